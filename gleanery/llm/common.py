@@ -48,6 +48,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB, unless the session says otherwise: long texts then need little memory."""
+    for key, value in (("maxBytesPerBatch", "4194304"), ("maxRecordsPerBatch", "2000")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words. A bounded memo: it is emptied when it holds ``most`` words."""
 
@@ -88,3 +96,42 @@ def mix(values: np.ndarray) -> np.ndarray:
 def signed(value: int) -> int:
     """An unsigned 64-bit integer as Spark's signed long."""
     return value - (1 << 64) if value >> 63 else value
+
+
+def split_by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray]):
+    """An Arrow batch with one row for each bucket that occurs; each column's values lie in one binary, in order."""
+    import pyarrow as pa
+
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.concatenate([cuts[1:], [len(bucket)]]).astype(np.int64)
+    arrays = [pa.array(bucket[cuts].astype(np.int32))]
+    for values in columns.values():
+        values = values[order]
+        arrays.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
+
+
+def by_bucket(batches, kinds: dict[str, type]):
+    """Of rows that lie together by bucket: each bucket and its arrays."""
+    held: dict[str, list[bytes]] = {c: [] for c in kinds}
+    now = None
+    done = lambda: (now, {c: np.frombuffer(b"".join(x), kinds[c]) for c, x in held.items()})
+    for batch in batches:
+        buckets = batch.column("bucket").to_pylist()
+        columns = {c: batch.column(c) for c in kinds}
+        for k, bucket in enumerate(buckets):
+            if bucket != now:
+                if now is not None:
+                    yield done()
+                now, held = bucket, {c: [] for c in kinds}
+            for c, column in columns.items():
+                held[c].append(column[k].as_py())
+    if now is not None:
+        yield done()
+
+
+def exchange(rows: DataFrame) -> DataFrame:
+    """Rows of split_by_bucket, each bucket in one task."""
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")

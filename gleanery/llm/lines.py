@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import SPACE, new_path, remove, stash, text_slices
+from gleanery.llm.common import SPACE, bound_batches, new_path, remove, stash, text_slices
 
 KEY = ["k1", "k2"]
 
@@ -87,6 +87,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the largest id only.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def keys(parts):
         import pyarrow as pa

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import text_slices
+from gleanery.llm.common import bound_batches, text_slices
 
 PIECES = "{id} {id_type}, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -153,6 +153,7 @@ def pack_examples(
     loss_pattern: a regular expression; only chunks of a text after a match of it and before the next blank line
     bear loss (for instruction data, such as ``assistant:``). None: every token does.
     """
+    bound_batches(rows.sparkSession)
     limits = limits or Limits()
     kind = rows.schema[id_col].dataType.simpleString()
 

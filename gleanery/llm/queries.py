@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import lines, packing
+from gleanery.llm import jaccard, lines, packing
 from gleanery.session import table
 
 
@@ -14,6 +14,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -25,5 +29,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_packing": op10_packing}
 ORACLE_SQL = {"op7_line_dedup": lines.SQL}
