@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard, lines, packing
+from gleanery.llm import jaccard, lines, packing, toxicity
 from gleanery.session import table
 
 
+def trained_toxicity(spark: SparkSession, sf_dir: str):
+    """A net trained on the labelled documents of sf_dir outside the fold that is held out."""
+    return toxicity.train(*toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, trained_toxicity(spark, sf_dir), keep_text=False)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,5 +41,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_packing": op10_packing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_packing": op10_packing}
 ORACLE_SQL = {"op7_line_dedup": lines.SQL}
