@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: The ASCII white space that separates words: [\x20\x09-\x0D].
@@ -56,24 +55,79 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-class WordHashes(dict):
-    """64-bit hashes of byte words. A bounded memo: it is emptied when it holds ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def text_slices(batch, columns: list[str], most_chars: int = 4_000_000):
+def _odd_inverse(x: int) -> int:
+    return pow(x, -1, 1 << 64)
+
+
+class Words:
+    """64-bit hashes of all words of a list of texts at once, in numpy.
+
+    A word's hash is a polynomial of random values of its bytes, taken from running sums over the joined texts, so
+    no word becomes a Python object. With ``lower``, A-Z hash as a-z.
+    """
+
+    POINT = 0x9E3779B97F4A7C15
+
+    def __init__(self, lower: bool, part_letters: bool = False):
+        """part_letters: a boundary of letters and ASCII punctuation (but for the apostrophe) ends a word, too."""
+        self.part_letters = part_letters
+        r = np.random.default_rng(20)
+        self.value = r.integers(1, 1 << 63, 256, dtype=np.uint64)
+        if lower:
+            self.value[65:91] = self.value[97:123]
+        self.gap = np.zeros(256, bool)
+        self.gap[list(SPACE)] = True
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > len(self.up):
+            n = max(2 * len(self.up), n, 1 << 20)
+            for name, base in (("up", self.POINT), ("down", _odd_inverse(self.POINT))):
+                powers = np.full(n, base, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+
+    @staticmethod
+    def _letter_edges(blob: np.ndarray) -> np.ndarray:
+        """Where ASCII or Latin letters and digits (to U+027F) meet ASCII punctuation."""
+        ascii_kind = np.zeros(256, np.uint8)
+        ascii_kind[33:127] = 2
+        ascii_kind[39] = 0
+        for a, b in ((48, 58), (65, 91), (97, 123)):
+            ascii_kind[a:b] = 1
+        kind = ascii_kind[blob]
+        lead = (blob >= 0xC3) & (blob <= 0xC9)
+        lead[:-1] &= ~((blob[:-1] == 0xC3) & ((blob[1:] == 0x97) | (blob[1:] == 0xB7)))  # multiplication and division signs
+        lead[:-1] &= ~((blob[:-1] == 0xC4) & (blob[1:] == 0xB0))  # capital i with a dot, whose lower case has a mark
+        first = (kind == 1) | lead
+        last = kind == 1
+        last[1:] |= lead[:-1]
+        return np.flatnonzero((last[:-1] & (kind[1:] == 2)) | ((kind[:-1] == 2) & first[1:])) + 1
+
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, and where each text's begin (one more, for the end)."""
+        return self.spans(texts)[:2]
+
+    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """As cut(); also the joined texts and where in them words start and end."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"\n".join(raw) + b"\n"
+        blob = np.frombuffer(joined, np.uint8)
+        gap = self.gap[blob]
+        edge = np.flatnonzero(np.concatenate([[True], gap[:-1]]) != gap)
+        starts, ends = edge[0::2], edge[1::2]
+        if self.part_letters and len(starts):
+            inner = self._letter_edges(blob)
+            starts, ends = (np.sort(np.concatenate([x, inner])) for x in (starts, ends))
+        self._powers(len(blob))
+        sums = np.zeros(len(blob) + 1, np.uint64)
+        np.cumsum(self.value[blob] * self.up[: len(blob)], out=sums[1:])
+        hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        offsets = np.cumsum([0, *[len(x) + 1 for x in raw]])
+        return hashes, np.searchsorted(starts, offsets), joined, starts, ends
+
+
+def text_slices(batch, columns: list[str], most_chars: int = 1_000_000):
     """Slices of an Arrow batch whose first column's texts have about most_chars characters together."""
     import pyarrow.compute as pc
 

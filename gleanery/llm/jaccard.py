@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of word-shingle sets by token-combination prefixes.
 
-Tokens (shingles) are ordered rare first. A set's prefix is extended until any partner must share one signature
+Tokens (shingles) are ordered rare first, by how often their words occur in all documents. A set's prefix is extended until any partner must share one signature
 with it: single tokens of the rare class, pairs of tokens of one frequent class. Signatures meet in buckets; each
-document is verified against the smallest document of its bucket first, components are formed, and then every pair
-of one bucket that components do not join yet is verified. Groups of similar texts so cost as many checks as they
+document is verified against the smallest document that it meets first, components are formed, and then every pair
+that meets and that components do not join yet is verified. Two sets that lead with rare tokens alone must share
+several of them (what their sizes demand); short buckets count these, pair by pair. Groups of similar texts so cost as many checks as they
 have members, and no link is lost.
 
 Which tokens are frequent (and their order) is a table of at most ``most_frequent`` tokens, the largest counts of
@@ -23,26 +24,75 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import WordHashes, bound_batches, by_bucket, exchange, mix, shuffle_partitions, signed, split_by_bucket, stash, text_slices
+from gleanery.llm.common import Words, bound_batches, by_bucket, exchange, mix, shuffle_partitions, signed, split_by_bucket, stash, text_slices
 from gleanery.llm.components import connected_components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Sets at least this large take many frequent classes, smaller ones few; those near the border take both.
 LARGE, MANY_CLASSES = 64, 16
+WORD_CLASSES = 1 << 18
 FREQUENT_BITS = np.uint64(24)  # a token's class goes by its hash without these low bits
 FLUSH = 1_000_000
+PAIR = np.uint64(1)  # the low bit of a signature of two tokens
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased."""
-    words = hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
+def shingle_set(words: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
+    """Distinct hashes of the k-word shingles of a text's word hashes, the likely rarest first.
+
+    weights: for each class of words (by the hash's low bits) the logarithm of its count.
+    """
     n = min(k, len(words))
     if not n:
         return words
-    found = words[: len(words) - n + 1].copy()
+    weight = weights[words & np.uint64(len(weights) - 1)]
+    found, total = words[: len(words) - n + 1].copy(), weight[: len(words) - n + 1].copy()
     for i in range(1, n):
         found = found * BASE + words[i : len(words) - n + 1 + i]
-    return np.unique(mix(found + np.uint64(n)))
+        total += weight[i : len(words) - n + 1 + i]
+    found, first = np.unique(mix(found + np.uint64(n)), return_index=True)
+    return found[np.argsort(total[first], kind="stable")]
+
+
+def shingle_sets(cutter: Words, texts: list[str | None], k: int, weights: np.ndarray):
+    hashes, at = cutter.cut(texts)
+    return [shingle_set(hashes[a:b], k, weights) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def word_weights(docs: DataFrame, classes: int = WORD_CLASSES) -> np.ndarray:
+    """Of every class of words its count over all documents, as rounded multiples of a logarithm: a table of fixed size."""
+    parts = 16
+
+    def count(batches):
+        import pyarrow as pa
+
+        cutter, counts = Words(lower=True), np.zeros(classes, np.int64)
+        for batch in batches:
+            for (texts,) in text_slices(batch, ["text"]):
+                words, _ = cutter.cut(texts)
+                counts += np.bincount((words & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+        step = classes // parts
+        rows = [(p, counts[p * step : (p + 1) * step]) for p in range(parts) if counts.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([c.tobytes() for _, c in rows], pa.binary())], names=["bucket", "counts"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        now, total = None, None
+        for batch in batches:
+            for p, c in zip(batch.column("bucket").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if p != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "counts"])
+                    now, total = p, np.zeros(classes // parts, np.int64)
+                total = total + np.frombuffer(c, np.int64)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "counts"])
+
+    out = np.zeros(classes, np.int64)
+    for row in exchange(docs.select("text").mapInArrow(count, "bucket int, counts binary")).mapInArrow(add, "bucket int, counts binary").collect():
+        step = classes // parts
+        out[row["bucket"] * step : (row["bucket"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
+    return np.round(4 * np.log2(out + 1)).astype(np.int32)
 
 
 def missing_at_most(n: int, percent: int) -> int:
@@ -56,26 +106,26 @@ def few_classes(percent: int) -> int:
     return max(1, -(-percent * least // 100) - 1)
 
 
-def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Signatures of a set. frequent: sorted token classes' keys; rank: their order by count."""
+def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set: single rare tokens, and pairs of frequent ones if the rare are too few.
+
+    frequent: sorted keys of the frequent tokens; rank: their order by count.
+    """
     n = len(tokens)
     if n < percent / (100 - percent):  # only equal sets reach the threshold
-        return tokens[:0]
+        return tokens[:0], tokens[:0]
     need = missing_at_most(n, percent) + 1
     keys = tokens >> FREQUENT_BITS
     at = np.searchsorted(frequent, keys)
     at[at == len(frequent)] = 0
     often = frequent[at] == keys if len(frequent) else np.zeros(n, bool)
-    rare = tokens[~often]
+    rare = tokens[~often] & ~PAIR
+    if len(rare) >= need:
+        return rare[:need], tokens[:0]
     out = []
     for scheme, classes in ((1, few_classes(percent)), (2, MANY_CLASSES)):
         if scheme == 1 and n * percent > LARGE * 100 or scheme == 2 and n * 100 < LARGE * percent:
             continue
-        salt = np.uint64(scheme)
-        if len(rare) >= need:
-            out.append(rare[:need] + salt)
-            continue
-        out.append(rare + salt)
         common = tokens[often]
         common = common[np.lexsort((common, rank[at[often]]))]
         kind = (mix(common >> FREQUENT_BITS) % np.uint64(classes)).astype(np.int64)
@@ -88,18 +138,18 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.
         for c in np.unique(kind):
             own = common[kind == c]
             i, j = np.triu_indices(len(own), 1)
-            out.append(mix((own[i] * BASE + own[j]) ^ salt))
-    return np.concatenate(out) if out else tokens[:0]
+            out.append(mix((own[i] * BASE + own[j]) ^ np.uint64(scheme)) | PAIR)
+    return rare, np.concatenate(out)
 
 
-def _sets_and_counts(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _sets_and_counts(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
     """Per document its set's size and 128-bit key; beside these, blobs of its leading tokens for counting."""
     buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        cutter, seen, held, size = Words(lower=True), set(), [], 0
         empty = lambda n, kind: pa.nulls(n, kind)
         names = ["id", "n", "k1", "k2", "bucket", "tokens"]
 
@@ -113,8 +163,7 @@ def _sets_and_counts(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
                 rows = []
-                for text, doc in zip(texts, ids, strict=True):
-                    tokens = shingle_set(text, k, hashes)
+                for tokens, doc in zip(shingle_sets(cutter, texts, k, told.value[0]), ids, strict=True):
                     key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                     rows.append((doc, len(tokens), signed(key >> 64), signed(key & (1 << 64) - 1)))
                     if key not in seen:
@@ -161,33 +210,61 @@ def _frequent(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.n
     return tokens, rank
 
 
-def _postings(docs: DataFrame, k: int, percent: int, frequent, rank) -> DataFrame:
-    """Members of every bucket with two documents or more: sig, head (its smallest document), id, n."""
+def least_overlap(n, m, percent: int):
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def least_shared(n: np.ndarray, p: np.ndarray, m: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """How many single tokens two sets of n and m tokens, that lead with p and q single tokens, share at least.
+
+    A set with fewer than it needs leads with all its rare tokens.
+    """
+    all_rare = (p <= missing_at_most(n, percent)) & (q <= missing_at_most(m, percent))
+    behind = np.where(all_rare, np.minimum(n - p, m - q), np.maximum(n - p, m - q))
+    return least_overlap(n, m, percent) - behind
+
+
+def pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of each run of elements: runs begin at start and have size elements."""
+    left, right = [], []
+    for m in np.unique(size):
+        i, j = np.triu_indices(m, 1)
+        own = start[size == m][:, None]
+        left.append((own + i).ravel())
+        right.append((own + j).ravel())
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
+def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, short: int = 48) -> DataFrame:
+    """What meets in signatures. Of buckets of frequent pairs, and of long ones: sig, head, id, n, p (its single
+    tokens); the head is the document of the fewest rare tokens, so the likeliest origin of copies. Of pairs in short
+    buckets of single tokens: head, id, n (what they must share), shared; sig is null."""
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    told = spark.sparkContext.broadcast((frequent, rank))
+    told = spark.sparkContext.broadcast((weights, frequent, rank))
 
     def emit(batches):
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        cutter, seen, held, size = Words(lower=True), set(), [], 0
 
         def flush():
-            sig, doc, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            sig, doc, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return split_by_bucket((mix(sig) % np.uint64(buckets)).astype(np.int64), {"sig": sig, "id": doc, "n": n})
+            return split_by_bucket((mix(sig) % np.uint64(buckets)).astype(np.int64), {"sig": sig, "id": doc, "n": n, "p": p})
 
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
-                for text, doc in zip(texts, ids, strict=True):
-                    tokens = shingle_set(text, k, hashes)
+                for tokens, doc in zip(shingle_sets(cutter, texts, k, told.value[0]), ids, strict=True):
                     key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                     if key in seen:  # its first copy of this task stands for it
                         continue
                     if len(seen) < 500_000:
                         seen.add(key)
-                    sig = signatures(tokens, percent, *told.value)
-                    if len(sig):
-                        held.append((sig, np.full(len(sig), doc, np.int64), np.full(len(sig), len(tokens), np.int32)))
-                        size += len(sig)
+                    single, paired = signatures(tokens, percent, *told.value[1:])
+                    m = len(single) + len(paired)
+                    if m:
+                        held.append((np.concatenate([single, paired]), np.full(m, doc, np.int64), np.full(m, len(tokens), np.int32), np.full(m, len(single), np.int32)))
+                        size += m
                         if size >= FLUSH:
                             yield flush()
                             size = 0
@@ -197,19 +274,44 @@ def _postings(docs: DataFrame, k: int, percent: int, frequent, rank) -> DataFram
     def meet(batches):
         import pyarrow as pa
 
-        for _, held in by_bucket(batches, {"sig": np.uint64, "id": np.int64, "n": np.int32}):
-            order = np.lexsort((held["id"], held["sig"]))
-            sig, doc, n = held["sig"][order], held["id"][order], held["n"][order]
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            group = np.cumsum(new) - 1
-            keep = np.bincount(group)[group] > 1
-            head = doc[np.flatnonzero(new)[group]]
-            for a in range(0, int(keep.sum()), FLUSH):
-                at = np.flatnonzero(keep)[a : a + FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at].astype(np.int64)), pa.array(head[at]), pa.array(doc[at]), pa.array(n[at].astype(np.int64))], names=["sig", "head", "id", "n"])
+        names = ["sig", "head", "id", "n", "p", "shared"]
 
-    blobs = docs.mapInArrow(emit, "bucket int, sig binary, id binary, n binary")
-    return exchange(blobs).mapInArrow(meet, "sig long, head long, id long, n long")
+        def rows(*columns):
+            for a in range(0, len(columns[1]), FLUSH):
+                yield pa.RecordBatch.from_arrays([pa.nulls(min(FLUSH, len(columns[1]) - a), pa.int64()) if c is None else pa.array(c[a : a + FLUSH].astype(np.int64)) for c in columns], names=names)
+
+        for _, held in by_bucket(batches, {"sig": np.uint64, "id": np.int64, "n": np.int32, "p": np.int32}):
+            order = np.lexsort((held["id"], held["p"], held["sig"]))
+            sig, doc, n, p = (held[c][order].astype(np.int64 if c != "sig" else np.uint64) for c in ("sig", "id", "n", "p"))
+            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(np.concatenate([start, [len(sig)]]))
+            single = (sig[start] & PAIR) == 0
+            counted = single & (size > 1) & (size <= short)
+            i, j = pairs_within(start[counted], size[counted])
+            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (doc[i] != doc[j])
+            i, j = i[fits], j[fits]
+            order = np.lexsort((doc[j], doc[i]))
+            i, j = i[order], j[order]
+            if len(i):
+                first = np.flatnonzero(np.concatenate([[True], (doc[i][1:] != doc[i][:-1]) | (doc[j][1:] != doc[j][:-1])]))
+                times = np.diff(np.concatenate([first, [len(i)]]))
+                i, j = i[first], j[first]
+                yield from rows(None, doc[i], doc[j], np.maximum(1, least_shared(n[i], p[i], n[j], p[j], percent)), None, times)
+            keep = np.repeat((size > 1) & ~counted, size)
+            # without a shared single token, a set of too many rare tokens links with no set of at least its size
+            keep &= np.repeat(single, size) | (n - p >= least_overlap(n, -(-percent * n // 100), percent))
+            group = np.repeat(np.arange(len(start)), size)
+            at = np.flatnonzero(keep)
+            group = group[at]
+            if len(at):
+                new = np.concatenate([[True], group[1:] != group[:-1]])
+                run = np.cumsum(new) - 1
+                several = (np.bincount(run) > 1)[run]
+                head = doc[at[np.flatnonzero(new)[run]]]
+                yield from rows(sig[at[several]], head[several], doc[at[several]], n[at[several]], p[at[several]], None)
+
+    blobs = docs.mapInArrow(emit, "bucket int, sig binary, id binary, n binary, p binary")
+    return exchange(blobs).mapInArrow(meet, "sig long, head long, id long, n long, p long, shared long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,25 +345,29 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def pairs(sig, doc, n, component):
+        def pairs(sig, doc, n, p, component):
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             for a, b in zip(start, [*start[1:], len(sig)], strict=True):
                 if (component[a:b] == component[a]).all():
                     continue
-                d, m, c = doc[a:b], n[a:b], component[a:b]
-                for i in range(len(d) - 1):
-                    fits = (c[i + 1 :] != c[i]) & (100 * np.minimum(m[i], m[i + 1 :]) >= percent * np.maximum(m[i], m[i + 1 :])) & (d[i + 1 :] != d[i])
+                d, m, r, c = doc[a:b], n[a:b], p[a:b], component[a:b]
+                paired = bool(sig[a] & 1)
+                for i in range(len(d) - 1):  # in order of single tokens, so the first of a pair is its head
+                    x, y = slice(i, i + 1), slice(i + 1, None)
+                    fits = (c[y] != c[x]) & (100 * np.minimum(m[x], m[y]) >= percent * np.maximum(m[x], m[y])) & (d[y] != d[x])
+                    if paired:
+                        fits &= least_shared(m[x], r[x], m[y], r[y], percent) <= 0
                     if fits.any():
-                        yield np.full(int(fits.sum()), d[i]), d[i + 1 :][fits]
+                        yield np.full(int(fits.sum()), d[i]), d[y][fits]
 
         held, size = [], 0
-        make = lambda x: pa.RecordBatch.from_arrays([pa.array(np.minimum(*x)), pa.array(np.maximum(*x))], names=["a", "b"])
-        rest = [np.zeros(0, np.int64)] * 4
+        make = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b"])
+        rest = [np.zeros(0, np.int64)] * 5
         for batch in _with_end(batches):
             if batch is None:
                 now, rest = rest, None
             else:
-                now = [np.concatenate([r, np.asarray(batch.column(c))]) for r, c in zip(rest, ("sig", "id", "n", "component"), strict=True)]
+                now = [np.concatenate([r, np.asarray(batch.column(c))]) for r, c in zip(rest, ("sig", "id", "n", "p", "component"), strict=True)]
                 cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last signature may go on
                 rest, now = [x[cut:] for x in now], [x[:cut] for x in now]
             if len(now[0]):
@@ -274,8 +380,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if size:
             yield make([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    dealt = members.repartition(shuffle_partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "id")
-    return dealt.select("sig", "id", "n", "component").mapInArrow(run, "a long, b long").distinct()
+    dealt = members.repartition(shuffle_partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "p", "id")
+    return dealt.select("sig", "id", "n", "p", "component").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches):
@@ -293,27 +399,40 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id IS NOT NULL")
-    first = stash(_sets_and_counts(named, k, percent), "sets")
+    weights = word_weights(named)
+    told = docs.sparkSession.sparkContext.broadcast((weights,))
+    first = stash(_sets_and_counts(named, k, percent, told), "sets")
     sizes = first.filter("bucket IS NULL").select("id", "n", "k1", "k2")
     frequent, rank = _frequent(first.filter("bucket IS NOT NULL").select("bucket", "tokens"), frequent_from, most_frequent)
-    members = stash(_postings(named, k, percent, frequent, rank), "postings")
+    members = stash(_postings(named, k, percent, weights, frequent, rank), "postings")
+
+    counted = members.filter("sig IS NULL").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.sum("shared").alias("shared"), F.max("n").alias("least"))
+    near = stash(counted.filter("shared >= least").select("a", "b", "shared"), "near")
+    members = members.filter("sig IS NOT NULL").select("sig", "head", "id", "n", "p")
 
     def token_sets(batches):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        cutter = Words(lower=True)
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
-                sets = [shingle_set(text, k, hashes).tobytes() for text in texts]
+                sets = [tokens.tobytes() for tokens in shingle_sets(cutter, texts, k, told.value[0])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    met = members.select("id").distinct()
+    met = members.select("id").union(near.select("a")).union(near.select("b")).distinct()
     sets = stash(named.join(met, "id", "left_semi").select("text", "id").mapInArrow(token_sets, "id long, tokens binary"), "met-sets")
-    stars = members.filter("id <> head").groupBy("id").agg(F.min("head").alias("a")).select("a", F.col("id").alias("b"))
+    # a document is held first against the head that it meets in most ways
+    heads = members.filter("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c")).unionByName(near.select("a", "b", F.col("shared").alias("c")))
+    stars = stash(heads.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
     links = stash(_verified(stars, sets, percent), "links")
-    linked = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    more = _verified(_across(placed, percent).join(stars, ["a", "b"], "left_anti"), sets, percent)
+    linked = stash(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
+    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", "p", F.coalesce("component", "id").alias("component"))
+    apart = near.select("a", "b")
+    for end in ("a", "b"):
+        apart = apart.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    rest = _across(placed, percent).union(apart).distinct().join(stars, ["a", "b"], "left_anti")
+    more = _verified(rest, sets, percent)
     # documents with equal sets link to the smallest of them
     copies = sizes.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     named_sets = sizes.join(copies, ["n", "k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from gleanery.llm import jaccard
-from gleanery.llm.common import WordHashes
+from gleanery.llm.common import Words
 
 
 def brute(rows, k, percent):
@@ -64,7 +64,15 @@ def test_partners_share_a_signature(percent):
         y = np.unique(y)
         common = len(np.intersect1d(x, y))
         if 100 * common >= percent * (len(x) + len(y) - common) and not np.array_equal(x, y):
-            assert len(np.intersect1d(jaccard.signatures(x, percent, frequent, rank), jaccard.signatures(y, percent, frequent, rank)))
+            (one, p_one), (two, p_two) = (jaccard.signatures(z, percent, frequent, rank) for z in (x, y))
+            singles = len(np.intersect1d(one, two))
+            n, p, m, q = (np.array([len(z)]) for z in (x, one, y, two))
+            assert singles >= jaccard.least_shared(n, p, m, q, percent)[0]
+            assert singles or len(np.intersect1d(p_one, p_two))
+            for z, own in ((x, p_one), (y, p_two)):
+                if not singles:
+                    kept = len(z) - len(one if z is x else two)
+                    assert kept >= jaccard.least_overlap(len(z), -(-percent * len(z) // 100), percent) and len(own)
 
 
 def test_empty_and_null_ids(spark):
@@ -74,6 +82,12 @@ def test_empty_and_null_ids(spark):
 
 
 def test_short_texts_are_one_shingle():
-    hashes = WordHashes()
-    assert len(jaccard.shingle_set("one two", 3, hashes)) == 1
-    assert len(jaccard.shingle_set(" ", 3, hashes)) == 0
+    one, blank = jaccard.shingle_sets(Words(lower=True), ["one two", " "], 3, np.zeros(4, np.int32))
+    assert len(one) == 1
+    assert len(blank) == 0
+
+
+def test_words_hash_alike_wherever_they_stand():
+    hashes, at = Words(lower=True).cut(["Ab c\nd  ", None, "", " x", "aB C", "\u00c9\x0b\u00e9", "c ab"])
+    assert list(np.diff(at)) == [3, 0, 0, 1, 2, 2, 2]
+    assert hashes[0] == hashes[4] == hashes[9] and hashes[1] == hashes[5] == hashes[8] and len(set(hashes.tolist())) == 6
