@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import bound_batches, text_slices
+from gleanery.llm.common import Words, bound_batches, text_slices
 
 PIECES = "{id} {id_type}, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -35,29 +35,66 @@ class Limits:
 
 
 class Ids:
-    """Token ids of a text as little-endian uint32 bytes, by a memo of blank-separated chunks.
+    """Token ids of a text as little-endian uint32 bytes, by a memo of the ids of its parts.
 
-    Right for tokenizers that never join characters across a blank or line end, as word_bpe_49k does not.
+    Right for tokenizers that never join characters across ASCII white space, lower-case, and part letters from
+    punctuation, as word_bpe_49k does: a text's ids are those of its parts in order. Parts are known by 64-bit hashes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.cutter = Words(lower=True, part_letters=True)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
+
+    def _learn(self, hashes: list[int], parts: list[str]) -> None:
+        for at in range(0, len(parts), 5_000):
+            ids = [found.ids for found in self.encode(parts[at : at + 5_000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            row, end = len(self.rows), self.used + int(sizes.sum())
+            while row + len(ids) > len(self.begin):
+                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+            while end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used : end] = np.fromiter((i for each in ids for i in each), "<u4", end - self.used)
+            self.begin[row : row + len(ids)] = self.used + np.cumsum(sizes) - sizes
+            self.size[row : row + len(ids)] = sizes
+            self.rows.update(zip(hashes[at : at + 5_000], range(row, row + len(ids)), strict=True))
+            self.used = end
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({chunk for each in chunks for chunk in each} - memo.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for chunk, found in zip(part, encode(part, add_special_tokens=False), strict=True):
-                memo[chunk] = np.asarray(found.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, each)) for each in chunks]
+        hashes, at, joined, starts, ends = self.cutter.spans(texts)
+        if len(self.rows) > self.most:
+            self._clear()
+        found, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        known = found.tolist()
+        held = list(map(self.rows.get, known))
+        if None in held:
+            new = [k for k, row in enumerate(held) if row is None]
+            places = first[new]
+            parts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
+            row = len(self.rows)
+            self._learn([known[k] for k in new], parts)
+            for k in new:
+                held[k] = row
+                row += 1
+        rows = np.array(held, np.int64)[back]
+        sizes = self.size[rows]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.begin[rows] - upto[:-1], sizes) + np.arange(upto[-1])]
+        cuts = upto[at].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k, text in enumerate(texts):  # special tokens reach over parts
+            if text and "<" in text and any(x in text for x in self.special):
+                out[k] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 class Loss:
@@ -158,10 +195,12 @@ def pack_examples(
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        import os
         import re
 
         import pyarrow as pa
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         ids = Ids(tokenizer_path)
         waiting: list[tuple] = []
         number = 0
@@ -198,7 +237,7 @@ def pack_examples(
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             types = [batch.schema.field(id_col).type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            for texts, keys, parts in text_slices(batch, [text_col, id_col, "_part"]):
+            for texts, keys, parts in text_slices(batch, [text_col, id_col, "_part"], 3_000_000):
                 for text, key, part, found in zip(texts, keys, parts, ids.of(texts), strict=True):
                     found += tail
                     if found:

@@ -58,6 +58,16 @@ def test_texts_round_trip(spark):
         assert list(pieces.offset) == [0, *np.cumsum(pieces.length)[:-1]]
 
 
+def test_parts_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    from gleanery.llm.packing import Ids
+
+    odd = ["a.b c'd.'s É.é x×y «z» “q”. 3.5,7 don't; <|endoftext|>. (.a) ΑΣ. ΑΣ", "Å.Ǆ ǅ! é́.x a…. İ.i", "l'été, c'est: re've 've! 's.", "", " .\u00a0. ", "e\u0301.b a\u0301, \u0301.", "<|startoftext|>x"]
+    expected = [np.asarray(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(PATH).encode_batch(odd, add_special_tokens=False)]
+    assert Ids(PATH).of(odd) == expected
+
+
 def test_empty_table_and_loss_pattern(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pack_examples(empty, PATH).count() == 0
