@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontamination, jaccard, lines, neighbours, packing, substrings, toxicity
+from gleanery.llm import decontamination, jaccard, lines, neighbours, packing, pages, substrings, toxicity
 from gleanery.session import table
 
 
@@ -43,6 +43,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -54,5 +58,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op10_packing": op10_packing}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing}
 ORACLE_SQL = {"op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL}
