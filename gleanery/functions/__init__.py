@@ -1 +1 @@
-"""Functions of the engine."""
+"""Functions of the engine, as Column expressions."""

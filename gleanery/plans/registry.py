@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curation",)
+MODULES = ("curation", "rules")
 
 
 def _families():
