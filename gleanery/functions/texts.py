@@ -133,7 +133,7 @@ def orientation(w: Column, h: Column) -> Column:
 
 def without_terms(text: Column, terms: Sequence[str]) -> Column:
     """A comma list without the given terms."""
-    kept = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: (x != "") & ~F.lower(x).isin(*terms))
+    kept = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).isin(*terms))
     return F.array_join(kept, ", ")
 
 
