@@ -65,9 +65,9 @@ def merged_sets(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("label", "_near").alias("label"))
         up = step.select(F.col("node").alias("_n"), F.col("label").alias("_up"))
         new = settle(step.join(up, F.col("label") == F.col("_n")).select("node", F.least("label", "_up").alias("label")))
-        moved = new.join(labels.withColumnRenamed("label", "_old"), "node").filter("label <> _old").isEmpty()
+        settled = new.join(labels.withColumnRenamed("label", "_old"), "node").filter("label <> _old").isEmpty()
         labels = new
-        if moved:
+        if settled:
             break
     kinds = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.min("priority").alias("priority"))
     return labels.join(kinds, "label").select("node", F.col("label").alias("set_id"), "priority")
