@@ -109,15 +109,37 @@ class Windows:
         return np.searchsorted(self.at, word, "right") - 1
 
 
-def _rows_by_id(ids: np.ndarray, places: np.ndarray):
-    """Rows (id, places as int32 in a binary), few for each id."""
-    import pyarrow as pa
+def _home(ids: np.ndarray, places: np.ndarray, buckets: int):
+    """A batch of blobs that takes (id, place) to the bucket of the id."""
+    return split_by_bucket((mix(ids.astype(np.uint64) + BASE) % np.uint64(buckets)).astype(np.int64), {"id": ids, "place": places.astype(np.int32)})
 
-    order = np.argsort(ids, kind="stable")
-    ids, places = ids[order], places[order].astype(np.int32)
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
-    ends = [*first[1:], len(ids)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array([places[a:b].tobytes() for a, b in zip(first, ends, strict=False)], pa.binary())], names=["id", "places"])
+
+def _by_id(rows: DataFrame) -> DataFrame:
+    """Of _home's blobs: id, runs; the runs of consecutive places of each id, as pairs (first, size) of int32."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _, x in by_bucket(batches, {"id": np.int64, "place": np.int32}):
+            order = np.lexsort((x["place"], x["id"]))
+            ids, places = x["id"][order], x["place"][order]
+            keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])])
+            ids, places = ids[keep], places[keep]
+            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1] + 1)]))
+            size = np.diff(np.concatenate([first, [len(ids)]]))
+            pairs = np.stack([places[first], size], axis=1).astype(np.int32)
+            own = ids[first]
+            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ends = [*cut[1:], len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["id", "runs"])
+
+    return exchange(rows).mapInArrow(run, "id long, runs binary")
+
+
+def places_of(runs: bytes | None) -> np.ndarray:
+    pairs = np.frombuffer(runs or b"", np.int32).reshape(-1, 2).astype(np.int64)
+    ends = np.cumsum(pairs[:, 1])
+    return np.repeat(pairs[:, 0] - (ends - pairs[:, 1]), pairs[:, 1]) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class _Outbox:
@@ -154,7 +176,7 @@ KINDS = {"key": np.uint64, "id": np.int64, "place": np.int32, "kind": np.uint8}
 
 
 def _witnesses(docs: DataFrame, width: int) -> DataFrame:
-    """id, places: first words of the witnesses that occur more than once."""
+    """id, runs: first words of the witnesses that occur more than once."""
     buckets = shuffle_partitions(docs.sparkSession)
 
     def emit(batches):
@@ -174,27 +196,28 @@ def _witnesses(docs: DataFrame, width: int) -> DataFrame:
         for _, x in by_bucket(batches, KINDS):
             _, back, counts = np.unique(x["key"], return_inverse=True, return_counts=True)
             keep = (counts[back] > 1) | (x["kind"] > 0)
-            yield _rows_by_id(x["id"][keep], x["place"][keep])
+            yield _home(x["id"][keep], x["place"][keep], buckets)
 
-    return exchange(docs.mapInArrow(emit, BLOB)).mapInArrow(repeated, "id long, places binary")
+    return _by_id(exchange(docs.mapInArrow(emit, BLOB)).mapInArrow(repeated, "bucket int, id binary, place binary"))
 
 
 def _later_windows(met: DataFrame, width: int) -> DataFrame:
-    """met: id, text, seen (places of repeated witnesses). id, places: windows whose words start earlier elsewhere."""
+    """met: id, text, seen (runs of repeated witnesses' places). id, runs: windows whose words start earlier elsewhere."""
     buckets = shuffle_partitions(met.sparkSession)
 
     def emit(batches):
         cutter, out = Words(lower=False), _Outbox(buckets)
         for batch in batches:
             for texts, ids, seen in text_slices(batch, ["text", "id", "seen"]):
+                texts = [None if i is None else t for t, i in zip(texts, ids, strict=True)]
+                ids = [i or 0 for i in ids]
                 # a text without a repeated witness still compares windows that have none
                 w = Windows(cutter, texts, width)
                 hit = np.zeros(len(w.start) + 1, bool)
-                for k, blobs in enumerate(seen):
-                    if blobs:
+                for k, runs in enumerate(seen):
+                    if runs:
                         a, b = np.searchsorted(w.start, w.at[k : k + 2])
-                        places = np.frombuffer(b"".join(blobs), np.int32) + w.at[k]
-                        hit[a:b] = np.isin(w.start[a:b], places)
+                        hit[a:b] = np.isin(w.start[a:b], places_of(runs) + w.at[k])
                 hit[-1] = True  # for witness -1
                 first = w.first[hit[w.witness]]
                 text = w.text_of(first)
@@ -214,18 +237,21 @@ def _later_windows(met: DataFrame, width: int) -> DataFrame:
             again = np.concatenate([[False], keys[1:] == keys[:-1]])
             start = np.maximum.accumulate(np.where(~again, np.arange(len(keys)), 0))
             again &= (ids != ids[start]) | (places != places[start])
-            yield _rows_by_id(np.concatenate([ids[again], x["id"][sure]]), np.concatenate([places[again], x["place"][sure]]))
+            yield _home(np.concatenate([ids[again], x["id"][sure]]), np.concatenate([places[again], x["place"][sure]]), buckets)
 
-    return exchange(met.mapInArrow(emit, BLOB)).mapInArrow(later, "id long, places binary")
+    return _by_id(exchange(met.mapInArrow(emit, BLOB)).mapInArrow(later, "bucket int, id binary, place binary"))
 
 
 def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with ``text_col`` as the words that stay, joined by blanks, and n_words and n_removed."""
     bound_batches(docs.sparkSession)
     named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    seen = _witnesses(named, width).groupBy("id").agg(F.collect_list("places").alias("seen"))
-    gone = _later_windows(named.join(seen, "id", "left").select("text", "id", "seen"), width).groupBy("id").agg(F.collect_list("places").alias("_gone"))
     plain = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    # both joins deal the same rows out by the same key, so that Spark deals them once
+    base, key = docs.select(*plain), F.col(id_col).cast("long")
+    seen = _witnesses(named, width).select(F.col("id").alias("_id"), F.col("runs").alias("_seen"))
+    met = base.join(seen, key == F.col("_id"), "left").select(F.col(text_col).alias("text"), key.alias("id"), F.col("_seen").alias("seen"))
+    gone = _later_windows(met, width).select(F.col("id").alias("_id"), F.col("runs").alias("_gone"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema) + ", n_words long, n_removed long"
     text_at = plain.index(text_col)
 
@@ -238,12 +264,12 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 texts, n, removed = [], [], []
-                for text, blobs in zip(rows.column(text_col).to_pylist(), rows.column("_gone").to_pylist(), strict=True):
+                for text, runs in zip(rows.column(text_col).to_pylist(), rows.column("_gone").to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     n.append(len(words))
-                    if blobs:
+                    if runs:
                         change = np.zeros(len(words) + width + 1, np.int64)
-                        places = np.unique(np.frombuffer(b"".join(blobs), np.int32))
+                        places = places_of(runs)
                         places = places[places + width <= len(words)]
                         change[places] += 1
                         change[places + width] -= 1
@@ -254,5 +280,5 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_
                 columns[text_at] = pa.array(texts, columns[text_at].type)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*plain, "n_words", "n_removed"])
 
-    out = docs.select(*plain).join(gone.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    out = base.join(gone, key == F.col("_id"), "left").drop("_id")
     return out.mapInArrow(rebuild, schema)
