@@ -29,7 +29,7 @@ def cover_scale(w: Column, h: Column, bucket_w: Column, bucket_h: Column) -> dic
     scale = F.greatest(bucket_w / w, bucket_h / h)
     new_w, new_h = (F.greatest(F.bround(x * scale, 0).cast("long"), b.cast("long")) for x, b in ((w, bucket_w), (h, bucket_h)))
     half = lambda x, b: F.floor((x - b) / 2).cast("long")
-    return {"scaled_w": new_w, "scaled_h": new_h, "left": half(new_w, bucket_w), "top": half(new_h, bucket_h)}
+    return {"scaled_w": new_w, "scaled_h": new_h, "crop_left": half(new_w, bucket_w), "crop_top": half(new_h, bucket_h)}
 
 
 def photo_size(w: Column, h: Column, area: int = 448 * 640, step: int = 8, least: int = 64) -> tuple[Column, Column]:
