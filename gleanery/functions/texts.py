@@ -13,7 +13,7 @@ REDACTED = "[redacted]"
 WORD = r"[\p{L}\p{N}_]+"
 #: Named references that titles hold.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
-EDGES = " ,.-–—"
+EDGES = r" ,.\-–—"  # inside a character class
 
 
 def redacted(text: Column) -> Column:

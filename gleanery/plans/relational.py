@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from gleanery.operators import joins
 from gleanery.session import table
 
-_NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+def _net():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
 
 
 def pricing_summary(spark, sf):
     items = table(spark, sf, "lineitem").filter("l_shipdate <= timestamp_ntz'1998-09-02'")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_NET), 2).alias("sum_disc"), F.round(F.sum(_NET * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
+    return items.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(_net()), 2).alias("sum_disc"), F.round(F.sum(_net() * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
 
 
 def shipping_priority(spark, sf):
     customers = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    items = table(spark, sf, "lineitem").select("l_orderkey", _NET.alias("net"))
+    items = table(spark, sf, "lineitem").select("l_orderkey", _net().alias("net"))
     joined = items.join(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("l_orderkey", "o_orderpriority").agg(F.round(F.sum("net"), 1).alias("revenue"))
 
@@ -33,7 +35,7 @@ def local_supplier_volume(spark, sf):
         .join(table(spark, sf, "supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
         .join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
     )
-    return joined.groupBy("n_name", "r_name").agg(F.round(F.sum(_NET), 2).alias("revenue"))
+    return joined.groupBy("n_name", "r_name").agg(F.round(F.sum(_net()), 2).alias("revenue"))
 
 
 def forecast_revenue(spark, sf):
