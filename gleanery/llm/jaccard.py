@@ -7,8 +7,9 @@ that meets and that components do not join yet is verified. Two sets that lead w
 several of them (what their sizes demand); short buckets count these, pair by pair. Groups of similar texts so cost as many checks as they
 have members, and no link is lost.
 
-Which tokens are frequent (and their order) is a table of at most ``most_frequent`` tokens, the largest counts of
-all documents' leading tokens; it steers cost alone, never results.
+Which tokens are frequent (and their order) is a table of at most twice ``most_frequent`` tokens, the largest counts
+of all documents' leading tokens and of those behind them where too few of the leading are rare; it steers cost
+alone, never results.
 
 Defined cases: null and empty texts have no shingles and link with nothing, nor do rows with a null id (their
 component is null); equal sets always link; repeated ids count as one document; an empty table gives no rows;
@@ -29,7 +30,7 @@ from gleanery.llm.components import connected_components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Sets at least this large take many frequent classes, smaller ones few; those near the border take both.
-LARGE, MANY_CLASSES = 64, 16
+LARGE, MANY_CLASSES = 64, 32
 WORD_CLASSES = 1 << 18
 FREQUENT_BITS = np.uint64(24)  # a token's class goes by its hash without these low bits
 FLUSH = 1_000_000
@@ -115,10 +116,7 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.
     if n < percent / (100 - percent):  # only equal sets reach the threshold
         return tokens[:0], tokens[:0]
     need = missing_at_most(n, percent) + 1
-    keys = tokens >> FREQUENT_BITS
-    at = np.searchsorted(frequent, keys)
-    at[at == len(frequent)] = 0
-    often = frequent[at] == keys if len(frequent) else np.zeros(n, bool)
+    often, at = is_frequent(tokens, frequent)
     rare = tokens[~often] & ~PAIR
     if len(rare) >= need:
         return rare[:need], tokens[:0]
@@ -151,14 +149,12 @@ def _sets_and_counts(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
 
         cutter, seen, held, size = Words(lower=True), set(), [], 0
         empty = lambda n, kind: pa.nulls(n, kind)
-        names = ["id", "n", "k1", "k2", "bucket", "tokens"]
+        names = ["id", "n", "k1", "k2", "bucket", "tokens", "sets"]
 
         def flush():
-            tokens = np.concatenate(held) >> FREQUENT_BITS
-            held.clear()
-            batch = split_by_bucket((tokens % np.uint64(buckets)).astype(np.int64), {"tokens": tokens.astype(np.uint64)})
+            batch = _count_blobs(held, buckets)
             m = batch.num_rows
-            return pa.RecordBatch.from_arrays([*[empty(m, pa.int64()) for _ in range(4)], batch.column("bucket"), batch.column("tokens")], names=names)
+            return pa.RecordBatch.from_arrays([*[empty(m, pa.int64()) for _ in range(4)], *batch.columns], names=names)
 
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
@@ -169,27 +165,79 @@ def _sets_and_counts(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
                     if key not in seen:
                         if len(seen) < 500_000:
                             seen.add(key)
-                        held.append(tokens[: 3 * (missing_at_most(len(tokens), percent) + 1)])
-                        size += len(held[-1])
+                        held.append((tokens[: leading(len(tokens), percent)], key))
+                        size += len(held[-1][0])
                 columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, empty(len(rows), pa.int32()), empty(len(rows), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, empty(len(rows), pa.int32()), *[empty(len(rows), pa.binary())] * 2], names=names)
                 if size >= 4 * FLUSH:
                     yield flush()
                     size = 0
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bucket int, tokens binary")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bucket int, tokens binary, sets binary")
+
+
+def _count_blobs(held: list[tuple[np.ndarray, int]], buckets: int):
+    """A batch of blobs of tokens to count, each with a mark of its set, so that copies of a set count once."""
+    tokens = np.concatenate([t for t, _ in held]) >> FREQUENT_BITS
+    sets = np.repeat(np.array([key & 0xFFFFFFFF for _, key in held], np.uint32), [len(t) for t, _ in held])
+    held.clear()
+    return split_by_bucket((tokens % np.uint64(buckets)).astype(np.int64), {"tokens": tokens, "sets": sets})
+
+
+def leading(n: int, percent: int) -> int:
+    """So many of a set's first tokens are counted at once."""
+    return 3 * (missing_at_most(n, percent) + 1)
+
+
+def _counts_behind(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
+    """Blobs of the tokens behind the leading ones, of sets that have too few rare tokens among these."""
+    buckets = shuffle_partitions(docs.sparkSession)
+
+    def run(batches):
+        cutter, seen, held, size = Words(lower=True), set(), [], 0
+        for batch in batches:
+            for (texts,) in text_slices(batch, ["text"]):
+                weights, frequent = told.value
+                for tokens in shingle_sets(cutter, texts, k, weights):
+                    first = leading(len(tokens), percent)
+                    rare = int((~is_frequent(tokens[:first], frequent)[0]).sum())
+                    if rare > missing_at_most(len(tokens), percent):
+                        continue
+                    key = xxhash.xxh3_128_intdigest(tokens.tobytes())
+                    if key not in seen:
+                        if len(seen) < 500_000:
+                            seen.add(key)
+                        held.append((tokens[first:], key))
+                        size += len(held[-1][0])
+                if size >= 4 * FLUSH:
+                    yield _count_blobs(held, buckets)
+                    size = 0
+        if size:
+            yield _count_blobs(held, buckets)
+
+    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, sets binary")
+
+
+def is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are frequent, and their places among the frequent ones' keys."""
+    keys = tokens >> FREQUENT_BITS
+    at = np.searchsorted(frequent, keys)
+    at[at == len(frequent)] = 0
+    return (frequent[at] == keys if len(frequent) else np.zeros(len(tokens), bool)), at
 
 
 def _frequent(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the frequent tokens, sorted, and their order by count; at most ``most`` of them."""
+    """Keys of the frequent tokens, sorted, and their counts; at most ``most`` of them."""
 
     def run(batches):
         import pyarrow as pa
 
-        for _, held in by_bucket(batches, {"tokens": np.uint64}):
-            found, counts = np.unique(held["tokens"], return_counts=True)
+        for _, held in by_bucket(batches, {"tokens": np.uint64, "sets": np.uint32}):
+            order = np.lexsort((held["sets"], held["tokens"]))
+            tokens, sets = held["tokens"][order], held["sets"][order]
+            found, counts = np.unique(tokens[np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])])], return_counts=True)
             keep = counts >= least
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["token", "docs"])
 
@@ -204,7 +252,14 @@ def _frequent(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.n
     if start is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rows = counted.filter(F.col("docs") >= start).toPandas().sort_values("token")
-    tokens, docs = rows["token"].to_numpy().astype(np.uint64), rows["docs"].to_numpy()
+    return rows["token"].to_numpy().astype(np.uint64), rows["docs"].to_numpy()
+
+
+def _merged(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of either, and their order by count."""
+    tokens, back = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
+    docs = np.zeros(len(tokens), np.int64)
+    np.add.at(docs, back, np.concatenate([one[1], two[1]]))
     rank = np.empty(len(docs), np.int64)
     rank[np.lexsort((tokens, docs))] = np.arange(len(docs))
     return tokens, rank
@@ -248,9 +303,9 @@ def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, sh
         cutter, seen, held, size = Words(lower=True), set(), [], 0
 
         def flush():
-            sig, doc, n, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            sig, doc, n, p, own = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return split_by_bucket((mix(sig) % np.uint64(buckets)).astype(np.int64), {"sig": sig, "id": doc, "n": n, "p": p})
+            return split_by_bucket((mix(sig) % np.uint64(buckets)).astype(np.int64), {"sig": sig, "id": doc, "n": n, "p": p, "set": own})
 
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
@@ -263,7 +318,7 @@ def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, sh
                     single, paired = signatures(tokens, percent, *told.value[1:])
                     m = len(single) + len(paired)
                     if m:
-                        held.append((np.concatenate([single, paired]), np.full(m, doc, np.int64), np.full(m, len(tokens), np.int32), np.full(m, len(single), np.int32)))
+                        held.append((np.concatenate([single, paired]), np.full(m, doc, np.int64), np.full(m, len(tokens), np.int32), np.full(m, len(single), np.int32), np.full(m, key & (1 << 64) - 1, np.uint64)))
                         size += m
                         if size >= FLUSH:
                             yield flush()
@@ -280,7 +335,12 @@ def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, sh
             for a in range(0, len(columns[1]), FLUSH):
                 yield pa.RecordBatch.from_arrays([pa.nulls(min(FLUSH, len(columns[1]) - a), pa.int64()) if c is None else pa.array(c[a : a + FLUSH].astype(np.int64)) for c in columns], names=names)
 
-        for _, held in by_bucket(batches, {"sig": np.uint64, "id": np.int64, "n": np.int32, "p": np.int32}):
+        for _, held in by_bucket(batches, {"sig": np.uint64, "id": np.int64, "n": np.int32, "p": np.int32, "set": np.uint64}):
+            # of copies of one set, from several tasks, the smallest document stands for all
+            order = np.lexsort((held["id"], held["set"], held["sig"]))
+            sig, own = held["sig"][order], held["set"][order]
+            once = order[np.concatenate([[True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])])]
+            held = {c: x[once] for c, x in held.items()}
             order = np.lexsort((held["id"], held["p"], held["sig"]))
             sig, doc, n, p = (held[c][order].astype(np.int64 if c != "sig" else np.uint64) for c in ("sig", "id", "n", "p"))
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -310,7 +370,7 @@ def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, sh
                 head = doc[at[np.flatnonzero(new)[run]]]
                 yield from rows(sig[at[several]], head[several], doc[at[several]], n[at[several]], p[at[several]], None)
 
-    blobs = docs.mapInArrow(emit, "bucket int, sig binary, id binary, n binary, p binary")
+    blobs = docs.mapInArrow(emit, "bucket int, sig binary, id binary, n binary, p binary, set binary")
     return exchange(blobs).mapInArrow(meet, "sig long, head long, id long, n long, p long, shared long")
 
 
@@ -403,7 +463,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     told = docs.sparkSession.sparkContext.broadcast((weights,))
     first = stash(_sets_and_counts(named, k, percent, told), "sets")
     sizes = first.filter("bucket IS NULL").select("id", "n", "k1", "k2")
-    frequent, rank = _frequent(first.filter("bucket IS NOT NULL").select("bucket", "tokens"), frequent_from, most_frequent)
+    ahead = _frequent(first.filter("bucket IS NOT NULL").select("bucket", "tokens", "sets"), frequent_from, most_frequent)
+    behind = _counts_behind(named, k, percent, docs.sparkSession.sparkContext.broadcast((weights, ahead[0])))
+    frequent, rank = _merged(ahead, _frequent(behind, frequent_from, most_frequent))
     members = stash(_postings(named, k, percent, weights, frequent, rank), "postings")
 
     counted = members.filter("sig IS NULL").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.sum("shared").alias("shared"), F.max("n").alias("least"))
@@ -444,3 +506,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     found = connected_components(edges).withColumnRenamed("node", "rep")
     out = named_sets.join(found, "rep", "left").select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
+
+
+#: DuckDB SQL for the documents table, three-word shingles and nine tenths.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p + 1 : p + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 2, 1))) AS p FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, a FROM both_ways UNION SELECT doc_id, b FROM reach JOIN both_ways ON other = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM (SELECT DISTINCT doc_id FROM w) LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+"""
