@@ -122,7 +122,7 @@ def _sql_slot(x: str) -> str:
     return f"({x} >= '{NUMBER}' AND {x} < '{AFTER}')"
 
 
-#: DuckDB SQL of judged_documents for items of at least WINDOW tokens.
+#: DuckDB SQL of judged_documents for items of at least WINDOW tokens, the items as one string.
 SQL = f"""
 WITH dw AS (SELECT doc_id AS doc, {_sql_tokens("text", True)} AS w FROM documents),
 bw AS (SELECT item_id AS item, {_sql_tokens("text", True)} AS w FROM benchmark UNION SELECT item_id, {_sql_tokens("text", False)} FROM benchmark),
@@ -135,6 +135,6 @@ aligned AS (SELECT doc, item, along, any_value(n) AS n, list(DISTINCT start_at)
 held AS (SELECT doc, item, any_value(n) AS n, len(list_distinct(flatten(list(ats)))) AS covered FROM aligned
          WHERE len(filled) = len(list_distinct(list_transform(filled, lambda z: z[1]))) GROUP BY doc, item),
 found AS (SELECT doc, list(item ORDER BY item) AS items FROM held WHERE covered >= {LEAST_COVER} * n GROUP BY doc)
-SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items, coalesce(items, []) AS items
+SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items, array_to_string(coalesce(items, []), ',') AS items
 FROM documents LEFT JOIN found ON doc_id = doc
 """

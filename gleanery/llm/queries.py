@@ -40,7 +40,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontamination.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing}
-ORACLE_SQL = {"op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL}
+ORACLE_SQL = {"op3_substring_dedup": substrings.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL, "op8_ngram_jaccard": jaccard.SQL}

@@ -282,3 +282,15 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_
 
     out = base.join(gone, key == F.col("_id"), "left").drop("_id")
     return out.mapInArrow(rebuild, schema)
+
+
+#: DuckDB SQL for the documents table and windows of 20 words.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, p, array_to_string(ws[p + 1 : p + 20], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS p FROM w WHERE len(ws) >= 20)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS rn FROM g) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(20) t(o)),
+flat AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM flat ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
