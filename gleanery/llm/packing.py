@@ -14,6 +14,8 @@ empty table gives no rows; columns of the input other than the id and the text a
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,90 @@ class Limits:
     loss: int = 2048
 
 
+class Merges:
+    """Byte-pair merges of many words at once, for words of Latin letters under word_bpe_49k's rules.
+
+    In each step every word makes its merge of the lowest rank, the leftmost of equal ones, as the tokenizer does.
+    """
+
+    PLAIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+    NEVER = np.int32(1 << 30)
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        # the printable stand-ins of bytes that byte-level vocabularies use
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand_in, extra = {b: chr(b) for b in shown}, 0
+        for b in range(256):
+            if b not in stand_in:
+                stand_in[b] = chr(256 + extra)
+                extra += 1
+        self.inner = np.array([vocab[stand_in[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[stand_in[b] + "</w>"] for b in range(256)], np.int32)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        left, right = (np.array([vocab[m[k]] for m in pairs], np.int64) for k in (0, 1))
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        keys = left << 20 | right
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        # most look-ups end at an empty slot of this table
+        self.slot = np.zeros(1 << 20, bool)
+        self.slot[self._slot(keys)] = True
+
+    @staticmethod
+    def _slot(keys):
+        return (keys * 0x9E3779B1 >> 11) & ((1 << 20) - 1)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.full(left.shape, self.NEVER)
+        key = left.astype(np.int64) << 20 | right
+        at = np.flatnonzero((right >= 0) & (left >= 0) & self.slot[self._slot(key)])
+        key = key.ravel()[at]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[found] == key
+        out.ravel()[at[hit]] = self.order[found[hit]]
+        return out
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the words, and in it their numbers of ids and all ids."""
+        raw = [w.lower().encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        order = np.argsort(sizes, kind="stable")
+        for at in range(0, len(order), 8_000):
+            part = order[at : at + 8_000]
+            size, width = sizes[part], int(sizes[part[-1]])
+            flat = np.frombuffer(b"".join([raw[k] for k in part.tolist()]), np.uint8)
+            ids = np.full((len(part), width + 1), -1, np.int32)
+            row = np.repeat(np.arange(len(part)), size)
+            ids[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = self.inner[flat]
+            ids[np.arange(len(part)), size - 1] = self.final[flat[np.cumsum(size) - 1]]
+            rank = np.concatenate([self.ranks(ids[:, :-1], ids[:, 1:]), np.full((len(part), 1), self.NEVER)], axis=1)
+            live, columns = np.arange(len(part)), np.arange(width + 1)
+            done = ids.copy()
+            while True:
+                j = rank.argmin(axis=1)
+                each = np.arange(len(live))
+                best = rank[each, j]
+                go = best < self.NEVER
+                if not go.all():
+                    done[live[~go]] = ids[~go]
+                    live, ids, rank, j, best = live[go], ids[go], rank[go], j[go], best[go]
+                    each = np.arange(len(live))
+                if not len(live):
+                    break
+                ids[each, j] = self.made[best]
+                take = np.minimum(columns + (columns > j[:, None]), width)
+                ids, rank = np.take_along_axis(ids, take, axis=1), np.take_along_axis(rank, take, axis=1)
+                ids[:, width], rank[:, width] = -1, self.NEVER
+                rank[each, j] = self.ranks(ids[each, j], ids[each, np.minimum(j + 1, width)])
+                back = np.flatnonzero(j)
+                rank[back, j[back] - 1] = self.ranks(ids[back, j[back] - 1], ids[back, j[back]])
+            counts.append((done >= 0).sum(axis=1))
+            found.append(done[done >= 0])
+        return order, np.concatenate(counts), np.concatenate(found)
+
+
 class Ids:
     """Token ids of a text as little-endian uint32 bytes, by a memo of the ids of its parts.
 
@@ -47,6 +133,9 @@ class Ids:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cutter = Words(lower=True, part_letters=True)
+        told = json.loads(self.tokenizer.to_str())
+        words = told["model"].get("end_of_word_suffix") == "</w>" and told["model"]["type"] == "BPE" and "</w>" in str(list(told["model"]["vocab"])[300:900])
+        self.merges = Merges(told["model"]) if words else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -54,20 +143,28 @@ class Ids:
         self.rows: dict[int, int] = {}
         self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
 
-    def _learn(self, hashes: list[int], parts: list[str]) -> None:
-        for at in range(0, len(parts), 5_000):
-            ids = [found.ids for found in self.encode(parts[at : at + 5_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            row, end = len(self.rows), self.used + int(sizes.sum())
-            while row + len(ids) > len(self.begin):
-                self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : end] = np.fromiter((i for each in ids for i in each), "<u4", end - self.used)
-            self.begin[row : row + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.size[row : row + len(ids)] = sizes
-            self.rows.update(zip(hashes[at : at + 5_000], range(row, row + len(ids)), strict=True))
-            self.used = end
+    def _learn(self, hashes: list[int], parts: list[str]) -> list[int]:
+        """Takes up the ids of parts; the row of each."""
+        plain = [k for k, x in enumerate(parts) if self.merges and Merges.PLAIN(x)]
+        other = sorted(set(range(len(parts))).difference(plain))
+        order, counts, flat = self.merges.encode([parts[k] for k in plain]) if plain else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        rest = [found.ids for found in self.encode([parts[k] for k in other], add_special_tokens=False)]
+        places = [*np.array(plain, np.int64)[order].tolist(), *other]
+        sizes = np.concatenate([counts, np.fromiter(map(len, rest), np.int64, len(rest))])
+        row, end = len(self.rows), self.used + int(sizes.sum())
+        while row + len(parts) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : end] = np.concatenate([flat, np.array([i for ids in rest for i in ids], np.int64)])
+        self.begin[row : row + len(parts)] = self.used + np.cumsum(sizes) - sizes
+        self.size[row : row + len(parts)] = sizes
+        self.used = end
+        out = [0] * len(parts)
+        for k, place in enumerate(places, row):
+            out[place] = k
+        self.rows.update(zip(hashes, out, strict=True))
+        return out
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         hashes, at, joined, starts, ends = self.cutter.spans(texts)
@@ -80,11 +177,8 @@ class Ids:
             new = [k for k, row in enumerate(held) if row is None]
             places = first[new]
             parts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
-            row = len(self.rows)
-            self._learn([known[k] for k in new], parts)
-            for k in new:
+            for k, row in zip(new, self._learn([known[k] for k in new], parts), strict=True):
                 held[k] = row
-                row += 1
         rows = np.array(held, np.int64)[back]
         sizes = self.size[rows]
         upto = np.concatenate([[0], np.cumsum(sizes)])
@@ -147,13 +241,13 @@ def pack_group(lengths: list[int], losses: list[Loss], limits: Limits) -> list[l
     while alive.any():
         room, bin_ = np.ones(3), []
         while True:
-            fit = alive & (need <= room + 1e-9).all(axis=1)
             tokens = round(room[0] * limits.tokens)
             if not tokens or round(room[1] * limits.segments) < 1:
                 break
-            if fit.any():
-                score = np.where(fit, need @ room, -1.0)
-                j = int(score.argmax())
+            score = need @ room
+            score[~((need <= room + 1e-9).all(axis=1) & alive)] = -1.0
+            j = int(score.argmax())
+            if score[j] >= 0:
                 upto = int(end[j])
             else:
                 score = np.where(alive, need @ room, -1.0)
