@@ -144,3 +144,11 @@ def dropped_caption(key: Column, text: Column, percent: int, seed: int) -> Colum
 
 def output_name(prefix: Column, seed: Column) -> Column:
     return F.concat(prefix, F.lit("_seed"), seed.cast("string"))
+
+
+def trim_optional(required: Column, optional: Column, budget: int, cost: Callable[[Column], Column] = token_count, separator: str = ", ") -> Column:
+    """All required parts and as many of the optional ones, each once and in order, as the budget allows."""
+    more = F.array_distinct(optional)
+    put = lambda k: F.array_join(F.concat(required, F.slice(more, 1, k)), separator)
+    fits = F.filter(F.sequence(F.lit(0), F.size(more)), lambda k: (k == 0) | (cost(put(k)) <= budget))
+    return put(F.array_max(fits))

@@ -38,6 +38,12 @@ def first_reason_wins(spark, sf):
     return ladder.first_reason(_issues(spark, sf).withColumn("ord", order), "doc_id", "category", "ord")
 
 
+def reject_ladder(spark, sf):
+    """The first rule that a document meets, in the order of the rules."""
+    judged = ladder.reject_ladder(table(spark, sf, "documents"), [(c, test) for c, _, test in ISSUES])
+    return judged.select("doc_id", "reason")
+
+
 def soft_flags(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.filter("n_chars > 5000").select("doc_id", F.lit("warning").alias("severity"), F.lit("large").alias("category"))
@@ -120,12 +126,13 @@ def size_guard(spark, sf):
     return parts.select("p_partkey", (F.pmod("p_size", F.lit(8)) == 0).alias("on_grid"), (F.floor(F.col("p_size") * 37 / 8) * 8).cast("long").alias("snapped"))
 
 
-QUERIES = {f.__name__: f for f in (issue_counts, severity_counts, first_reason_wins, soft_flags, stale_rules, dup_text_flag, secret_mask, provenance_check, missing_caption, manifest_check, upscale_detector, ingest_filter, answer_filter, gated_fields, size_guard)}
+QUERIES = {f.__name__: f for f in (issue_counts, severity_counts, first_reason_wins, reject_ladder, soft_flags, stale_rules, dup_text_flag, secret_mask, provenance_check, missing_caption, manifest_check, upscale_detector, ingest_filter, answer_filter, gated_fields, size_guard)}
 _VALUES = ", ".join(f"({x})" for x in LISTED)
 ORACLE_SQL = {
     "issue_counts": f"SELECT severity, category, count(*) AS n FROM ({_ISSUES}) GROUP BY 1, 2",
     "severity_counts": f"SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT doc_id) AS documents FROM ({_ISSUES})",
     "first_reason_wins": f"SELECT doc_id, min_by(category, ord) AS reason, count(*) AS n_issues FROM ({_ISSUES}) GROUP BY 1",
+    "reject_ladder": "SELECT doc_id, CASE " + " ".join(f"WHEN {test} THEN '{c}'" for c, _, test in ISSUES) + " END AS reason FROM documents",
     "soft_flags": "SELECT doc_id, 'warning' AS severity, 'large' AS category FROM documents WHERE n_chars > 5000",
     "stale_rules": f"SELECT l.id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'stale' ELSE 'excluded' END AS status FROM (VALUES {_VALUES}) l(id) LEFT JOIN documents d ON d.doc_id = l.id",
     "dup_text_flag": "SELECT doc_id, first_id FROM (SELECT doc_id, first_value(doc_id) OVER w AS first_id, row_number() OVER w AS rn FROM documents WINDOW w AS (PARTITION BY md5(text) ORDER BY doc_id)) WHERE rn > 1",

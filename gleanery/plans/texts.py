@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import captions as C
 from gleanery.functions import texts as T
 from gleanery.session import table
 
@@ -56,6 +57,27 @@ def assemble_caption(spark, sf):
     return docs.select("doc_id", T.assembled(fields, ["subject", "light", "place", "mood"]).alias("caption"), T.text_block({"Lang": F.col("lang"), "Source": F.nullif(F.col("source"), F.lit("src1"))}).alias("block"))
 
 
+def _pick(column, *values):
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (column % len(values) + 1).cast("int"))
+
+
+def caption_fields(spark, sf):
+    """Captions of answers made from part keys."""
+    k = F.col("p_partkey")
+    answers = F.create_map(F.lit("people_count"), _pick(k, "one", "2", "none", "nine"), F.lit("clothing"), _pick(k, "dress", "necklace", "blue", None, "red coat"), F.lit("clothing_color"), _pick(k, "red", "odd"), F.lit("pose"), _pick(k, "sitting", "no"), F.lit("action"), _pick(k, "standing", "reading", None), F.lit("jewelry"), _pick(k, "gold", "jewels"), F.lit("environment"), _pick(k, "garden", "in town", "sea", "phone booth"), F.lit("time"), _pick(k, "night", "day"), F.lit("objects"), F.lit(None).cast("string"), F.lit("expression"), _pick(k, "calm", "a sad expression", "unknown"))
+    legacy = C.measured_or_legacy(F.when(k % 2 == 0, F.create_map(F.lit("lighting"), F.lit("dark"), F.lit("palette"), F.lit("warm"), F.lit("orientation"), F.lit("portrait"))), F.lit("soft, night scene"), F.lit(""), F.lit("group of two figures, square"))
+    fields = C.caption_fields(answers, legacy, F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", *[c.alias(name) for name, c in fields.items() if name != "subject"])
+
+
+def prompt_trim(spark, sf):
+    """Two required parts; optional ones go from the tail."""
+    required = F.array(F.lit("zqstyle"), F.substring("part", 1, 30))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("part"))
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("r"), F.min_by("part", "turn").alias("part"))
+    return listed.select("conv_id", T.trim_optional(required, F.transform("r", lambda x: x["part"]), 45).alias("prompt"))
+
+
 def parse_counts(spark, sf):
     words = F.array(*[F.lit(x) for x in ("one", "Two", " 3 ", "many", "12", "ten")])
     events = table(spark, sf, "events").filter("event_id < 600")
@@ -95,7 +117,7 @@ def json_coercion(spark, sf):
     return events.select("event_id", F.coalesce(llm, F.col("event_type")).alias("chosen"))
 
 
-QUERIES = {f.__name__: f for f in (title_clean, year_extract, strip_trigger, short_titles, token_estimate, budget_trim, budget_trim_noted, assemble_caption, parse_counts, rewrites, visual_bands, negative_terms, caption_dropout, output_names, json_coercion)}
+QUERIES = {f.__name__: f for f in (title_clean, year_extract, strip_trigger, short_titles, token_estimate, budget_trim, budget_trim_noted, assemble_caption, caption_fields, prompt_trim, parse_counts, rewrites, visual_bands, negative_terms, caption_dropout, output_names, json_coercion)}
 
 
 def _title_sql(t: str) -> str:
@@ -129,6 +151,16 @@ ORACLE_SQL = {
     "budget_trim": _trim_sql("NULL::VARCHAR"),
     "budget_trim_noted": _trim_sql("CASE WHEN conv_id % 2 = 0 THEN 'noted by hand' END"),
     "assemble_caption": "SELECT doc_id, CASE WHEN trim(substr(text, 1, 20), ' ') <> '' THEN substr(text, 1, 20) || ', ' ELSE '' END || 'soft light' AS caption, 'Lang:' || chr(10) || lang || chr(10) || chr(10) || 'Source:' || chr(10) || coalesce(nullif(source, 'src1'), 'unknown') AS block FROM documents",
+    "caption_fields": """WITH a AS (SELECT p_partkey, p_partkey AS k, p_partkey % 2 = 0 AS even FROM part)
+        SELECT p_partkey, CASE k % 4 WHEN 0 THEN 'single-figure composition, ' WHEN 1 THEN 'group of two figures, ' WHEN 3 THEN 'group of many figures, ' ELSE '' END || CASE WHEN even THEN 'portrait' ELSE 'square' END AS composition,
+        CASE WHEN even AND k % 3 = 1 THEN 'sitting, reading' WHEN even THEN 'sitting' WHEN k % 3 = 1 THEN 'reading' ELSE 'unknown' END AS pose,
+        CASE k % 5 WHEN 0 THEN 'wearing ' || CASE WHEN even THEN 'red dress' ELSE 'dress' END WHEN 2 THEN 'wearing ' || CASE WHEN even THEN 'red blue clothing' ELSE 'blue clothing' END WHEN 4 THEN 'wearing red coat' ELSE 'unknown' END AS clothing,
+        CASE WHEN even THEN 'gold jewelry' ELSE 'jewels' END AS jewelry, CASE k % 3 WHEN 0 THEN 'calm expression' WHEN 1 THEN 'a sad expression' ELSE 'unknown' END AS expression, 'unknown' AS objects,
+        CASE k % 4 WHEN 0 THEN 'in a garden' WHEN 1 THEN 'in town' WHEN 2 THEN 'in sea' ELSE 'unknown' END AS environment, CASE WHEN even THEN 'dark, night scene' ELSE 'soft' END AS lighting, CASE WHEN even THEN 'warm' ELSE 'unknown' END AS visual_characteristics FROM a""",
+    "prompt_trim": f"""WITH p AS (SELECT conv_id, substr(min_by(text, turn), 1, 30) AS scene, list(substr(text, 1, 60) ORDER BY turn) AS parts FROM conversations GROUP BY 1),
+        u AS (SELECT conv_id, scene, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS parts FROM p),
+        c AS (SELECT conv_id, k, array_to_string(list_concat(['zqstyle', scene], parts[1:k]), ', ') AS t FROM (SELECT *, unnest(range(0, len(parts) + 1)) AS k FROM u))
+        SELECT conv_id, max_by(t, k) AS prompt FROM c WHERE k = 0 OR {_TOK.format(t="t")} <= 45 GROUP BY 1""",
     "parse_counts": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 12 WHEN 5 THEN 10 END AS count FROM events WHERE event_id < 600",
     "rewrites": "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'ing', 'ed', 'g'), '\\s+', ' ', 'g'), '^(a|the) ', '', 'g')) AS rewritten FROM documents",
     "visual_bands": """SELECT p_partkey, CASE WHEN m < 85 THEN 'dark' WHEN m > 170 THEN 'bright' ELSE 'balanced' END AS light, CASE WHEN r > g * 1.08 AND r > b * 1.08 THEN 'warm' WHEN b > r * 1.08 AND b > g * 1.08 THEN 'cool' WHEN g > r * 1.08 AND g > b * 1.08 THEN 'green' ELSE 'neutral' END AS palette,
