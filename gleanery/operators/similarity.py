@@ -21,7 +21,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3) -> DataFrame:
     """Per vector: mean, median, max similarity to the references, mean of the k best, nearest reference (ties: smallest id)."""
-    held = references.select(ref_col, vector_col).orderBy(ref_col).limit(MOST_REFERENCES + 1).collect()
+    held = sorted(references.select(ref_col, vector_col).limit(MOST_REFERENCES + 1).collect(), key=lambda r: r[0])
     if len(held) > MOST_REFERENCES or not held:
         return _scored_by_join(vectors, references, id_col, ref_col, vector_col, k)
     names, matrix = [r[0] for r in held], np.array([r[1] for r in held], np.float64)
