@@ -12,8 +12,6 @@ result; other columns pass through, whatever their names (those that the operato
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,7 +105,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = LineRuns(spark, fanout)
     for batch in range(batches):
         runs.ingest(held.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch))
-    heavy = runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
+    # written first, so that the join deals out both sides itself and can split a key that many documents hold
+    heavy = stash(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "heavy-lines")
     lost = held.join(heavy, KEY).filter("id <> last_doc").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
     plain = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema) + ", n_lines long, n_dropped long"
