@@ -142,7 +142,9 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     kept = stash(ranked.select("id", "v", "h", "r"), "vectors")
     distinct = kept.filter("r = 1")
     total = distinct.count()
-    sample = np.array([row["v"] for row in distinct.orderBy("h", "id").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, max(width, 1))
+    # of about twice the sample's size, by the hash, the first: what tasks send to the driver has a bound
+    some = distinct.filter(F.shiftrightunsigned("h", 1) <= min(2**63 - 1, int(2 * SAMPLE / max(1, total) * 2**63)))
+    sample = np.array([row["v"] for row in some.orderBy("h", "id").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, max(width, 1))
     lists = int(min(MOST_LISTS, max(1, total // LIST_ROWS), max(1, len(sample) // 4)))
     graph = Graph(balanced_centroids(sample, lists)) if len(sample) else None
     told = spark.sparkContext.broadcast(graph)
