@@ -33,7 +33,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 LARGE, MANY_CLASSES = 64, 32
 WORD_CLASSES = 1 << 18
 FREQUENT_BITS = np.uint64(24)  # a token's class goes by its hash without these low bits
-FLUSH = 1_000_000
+FLUSH = 250_000  # rows that a task holds before it sends them on
+SKETCH = 128  # counters of a sketch
 PAIR = np.uint64(1)  # the low bit of a signature of two tokens
 
 
@@ -399,13 +400,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Counts of a set's tokens by hash, capped at a byte. Two sketches never differ by more than their sets do."""
+    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, of sizes that allow the threshold."""
+    """Pairs of one bucket in different components, of sizes, single tokens and sketches that allow the threshold."""
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(sig, doc, n, p, component):
+        def pairs(sig, doc, n, p, component, sketches):
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             for a, b in zip(start, [*start[1:], len(sig)], strict=True):
                 if (component[a:b] == component[a]).all():
@@ -417,17 +423,23 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
                     fits = (c[y] != c[x]) & (100 * np.minimum(m[x], m[y]) >= percent * np.maximum(m[x], m[y])) & (d[y] != d[x])
                     if paired:
                         fits &= least_shared(m[x], r[x], m[y], r[y], percent) <= 0
-                    if fits.any():
-                        yield np.full(int(fits.sum()), d[i]), d[y][fits]
+                    at = np.flatnonzero(fits) + i + 1
+                    if len(at):
+                        apart = np.abs(sketches[a + at].astype(np.int16) - sketches[a + i]).sum(axis=1)
+                        at = at[(100 + percent) * apart <= (100 - percent) * (m[i] + m[at])]
+                    if len(at):
+                        yield np.full(len(at), d[i]), d[at]
 
         held, size = [], 0
         make = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b"])
-        rest = [np.zeros(0, np.int64)] * 5
+        rest = [*[np.zeros(0, np.int64)] * 5, np.zeros((0, SKETCH), np.uint8)]
         for batch in _with_end(batches):
             if batch is None:
                 now, rest = rest, None
             else:
-                now = [np.concatenate([r, np.asarray(batch.column(c))]) for r, c in zip(rest, ("sig", "id", "n", "p", "component"), strict=True)]
+                new = [np.asarray(batch.column(c)) for c in ("sig", "id", "n", "p", "component")]
+                new.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
+                now = [np.concatenate([r, x]) for r, x in zip(rest, new, strict=True)]
                 cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last signature may go on
                 rest, now = [x[cut:] for x in now], [x[:cut] for x in now]
             if len(now[0]):
@@ -441,7 +453,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             yield make([np.concatenate(x) for x in zip(*held, strict=True)])
 
     dealt = members.repartition(shuffle_partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "p", "id")
-    return dealt.select("sig", "id", "n", "p", "component").mapInArrow(run, "a long, b long")
+    return dealt.select("sig", "id", "n", "p", "component", "sketch").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches):
@@ -478,17 +490,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         cutter = Words(lower=True)
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
-                sets = [tokens.tobytes() for tokens in shingle_sets(cutter, texts, k, told.value[0])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
+                sets = shingle_sets(cutter, texts, k, told.value[0])
+                columns = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], names=["id", "tokens", "sketch"])
 
     met = members.select("id").union(near.select("a")).union(near.select("b")).distinct()
-    sets = stash(named.join(met, "id", "left_semi").select("text", "id").mapInArrow(token_sets, "id long, tokens binary"), "met-sets")
+    sets = stash(named.join(met, "id", "left_semi").select("text", "id").mapInArrow(token_sets, "id long, tokens binary, sketch binary"), "met-sets")
     # a document is held first against the head that it meets in most ways
     heads = members.filter("id <> head").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c")).unionByName(near.select("a", "b", F.col("shared").alias("c")))
     stars = stash(heads.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
     links = stash(_verified(stars, sets, percent), "links")
     linked = stash(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
-    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", "p", F.coalesce("component", "id").alias("component"))
+    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id")
+    placed = placed.select("sig", "id", "n", "p", F.coalesce("component", "id").alias("component"), "sketch")
     apart = near.select("a", "b")
     for end in ("a", "b"):
         apart = apart.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
@@ -496,7 +510,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     rest = _across(placed, percent).union(apart).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(rest, sets, percent)
     # documents with equal sets link to the smallest of them
-    copies = sizes.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
+    # written first, so that the join deals out both sides itself and can split a set of many copies
+    copies = stash(sizes.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), "copies")
     named_sets = sizes.join(copies, ["n", "k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("rep"))
     named_sets = stash(named_sets, "representatives")
     edges = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -75,6 +75,15 @@ def test_partners_share_a_signature(percent):
                     assert kept >= jaccard.least_overlap(len(z), -(-percent * len(z) // 100), percent) and len(own)
 
 
+def test_sketches_differ_no_more_than_their_sets():
+    r = np.random.default_rng(8)
+    for _ in range(60):
+        x, y = (np.unique(r.integers(0, 1 << 63, int(r.integers(1, 60000 if r.random() < 0.1 else 300)), dtype=np.uint64) << np.uint64(1)) for _ in range(2))
+        y = np.unique(np.concatenate([y, x[: len(x) // 2]]))
+        a, b = (np.frombuffer(jaccard.sketch(z), np.uint8).astype(int) for z in (x, y))
+        assert len(a) == jaccard.SKETCH and np.abs(a - b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_empty_and_null_ids(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, "A b c d")], "doc_id long, text string")
