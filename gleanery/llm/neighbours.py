@@ -2,10 +2,11 @@
 
 Centroids come from a balanced k-means on a bounded sample; an in-memory proximity graph finds the nearest centroids
 of a vector. Every vector lies in its nearest list; one near a boundary lies in up to ``REPLICAS`` lists, those whose
-centroid is not much farther than the nearest and not behind one taken already. A query searches the lists whose
-centroid distance is within a ratio of its nearest. Lists are split into parts of bounded size by a hash of the
-vector, so a list of any size is searched by many tasks. Of equal vectors only the smallest ids can be results, so
-the others are not indexed; queries of equal vectors are searched once.
+centroid is not much farther than the nearest and not behind one taken already. A query searches its ``SURE_LISTS``
+nearest lists and those whose centroid distance is within a ratio of its nearest; one that met too few candidates
+searches again, ``WIDEN`` times as many lists each time and all of them in the end. Lists are split into parts of
+bounded size by a hash of the vector, so a list of any size is searched by many tasks. Of equal vectors only the
+smallest ids can be results, so the others are not indexed; queries of equal vectors are searched once.
 
 The sample for the centroids has at most ``SAMPLE`` vectors, the centroids are at most ``MOST_LISTS``: both bound
 what is broadcast. Every vector is indexed. Distances are exact, in double precision, on the original vectors.
@@ -28,6 +29,7 @@ from gleanery.llm.common import bound_batches, stash
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 128, 8_192
 REPLICAS, REPLICA_RATIO = 4, 1.25
 LEAST_PROBES, PROBED_SHARE, RATIO = 64, 8, 1.8  # lists a query may search: an eighth of all, but 64 at least
+SURE_LISTS, WIDEN = 8, 8
 PART_ROWS = 2_000
 
 
@@ -116,7 +118,11 @@ class Graph:
     def lists_of(self, query: np.ndarray) -> list[int]:
         probes = max(LEAST_PROBES, len(self.centres) // PROBED_SHARE)
         lists, d = self.search(query, probes, probes + 64)
-        return lists[d <= RATIO * d[0] + 1e-12].tolist()
+        return lists[(np.arange(len(d)) < SURE_LISTS) | (d <= RATIO * d[0] + 1e-12)].tolist()
+
+    def nearest_lists(self, query: np.ndarray, count: int) -> list[int]:
+        """So many nearest lists by their distances, not by the graph, which may not reach all."""
+        return np.argsort(((self.centres - query) ** 2).sum(axis=1), kind="stable")[:count].tolist()
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -182,7 +188,9 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     asked = good.filter(F.pmod("id", F.lit(every)) == 0)
     queries = stash(asked.select("id", "h", "v").distinct(), "vector-queries")
     once = queries.groupBy("h", "v").agg(F.min("id").alias("id")).select("id", "h", "v")
-    sought = once.mapInArrow(assign(Graph.lists_of), shape).join(split, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "id", "h", "v")
+
+    def sought(rows, choose):
+        return rows.mapInArrow(assign(choose), shape).join(split, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "id", "h", "v")
 
     def search(key, pdf):
         import pandas as pd
@@ -208,10 +216,25 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
                     out.append(pd.DataFrame({"query": qid, "id": ids[near][best], "d": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
 
-    met = indexed.unionByName(sought).groupBy("list", "part").applyInPandas(search, "query long, id long, d double")
-    # one vector may be met in several lists
-    met = met.groupBy("query", "id").agg(F.min("d").alias("d"))
-    best = met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).filter(F.col("r") <= k + 1).select("query", "id", "d")
+    def found_by(rows, choose):
+        met = indexed.unionByName(sought(rows, choose)).groupBy("list", "part").applyInPandas(search, "query long, id long, d double")
+        # one vector may be met in several lists
+        met = met.groupBy("query", "id").agg(F.min("d").alias("d"))
+        nearest_first = Window.partitionBy("query").orderBy("d", "id")
+        return stash(met.withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1).select("query", "id", "d"), "met-vectors")
+
+    def short_of(rows, found):
+        """Queries of rows that met fewer than k + 1 candidates, themselves among them."""
+        enough = found.groupBy("query").count().filter(F.col("count") > k).select(F.col("query").alias("id"))
+        return stash(rows.join(enough, "id", "left_anti").select("id", "h", "v"), "short-queries")
+
+    best, count = found_by(once, Graph.lists_of), SURE_LISTS
+    short = short_of(once, best) if lists > count else None
+    while short is not None and not short.isEmpty():
+        count = min(lists, count * WIDEN)
+        again = found_by(short, lambda graph, v, n=count: graph.nearest_lists(v, n))
+        best = best.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(again)
+        short = short_of(short, again) if count < lists else None
     # every query of the same vector takes the same answers, but for itself
     same = queries.select(F.col("id").alias("query_id"), "h", "v").join(once.withColumnRenamed("id", "query"), ["h", "v"]).select("query_id", "query")
     answers = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("found"))  # at most k + 1 each

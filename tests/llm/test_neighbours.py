@@ -46,3 +46,29 @@ def test_few_rows(spark, rows):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = neighbours.nearest(frame).collect()
     assert len(out) == sum(i % 100 == 0 for i, _ in rows) * max(0, len(rows) - 1)
+
+
+def test_isolated_vectors_have_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 4)
+    r = np.random.default_rng(4)
+    near = r.normal(size=(600, 8))
+    far = [r.normal(size=8) * 400 for _ in range(20)]  # each becomes a list of its own
+    rows = [(1000 + i, [float(np.float32(x)) for x in v]) for i, v in enumerate(near)]
+    rows += [(10 * i, [float(np.float32(x)) for x in v]) for i, v in enumerate(far)]
+    rows += [(10 * i + j, rows[600 + i][1]) for i in range(15, 20) for j in (1, 2)]  # small groups of copies
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for x in neighbours.nearest(frame, every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    want = brute(rows, 10, 10)
+    assert set(got) == set(want) and all(len(x) == 10 and x == sorted(x) for x in got.values())
+    assert all(got[10 * i][:2] == [(0.0, 10 * i + 1), (0.0, 10 * i + 2)] for i in range(15, 20))
+
+
+def test_short_queries_search_all_lists_in_the_end(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 1)
+    monkeypatch.setattr(neighbours, "WIDEN", 2, raising=False)
+    rows = [(i, [float(3.0**i), 1.0]) for i in range(13)]  # nearly a list for each
+    frame = spark.createDataFrame([(10 * i + j, v) for i, v in rows for j in range(4)], "vec_id long, embedding array<float>")
+    out = neighbours.nearest(frame, every=10).groupBy("query_id").count().collect()
+    assert {x.query_id: x["count"] for x in out} == {10 * i: 10 for i, _ in rows}
