@@ -1,6 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, over characters and words, in numpy.
 
-Every word enters as a hashed word embedding beside the mean of its hashed character n-gram embeddings. Windows of
+Every word enters as a hashed word embedding beside the mean of its hashed character n-gram embeddings. A word of
+more than ``WORD_BYTES`` bytes (text without white space) is cut at its punctuation as well, and what is still longer
+into overlapping pieces that hold all its characters: each an input of its own. Windows of
 ``WINDOW`` words that overlap, the last ending with the text, run through a GRU in both directions; attention pools
 the states to one logit. A text's score is the largest of its windows' probabilities. Training picks, for each
 labelled text, the window that scores highest so far, as only some windows of a toxic text hold what makes it so.
@@ -15,6 +17,7 @@ gives no rows; other columns are not read unless they are asked to pass through.
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 
@@ -25,13 +28,30 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import bound_batches, text_slices
 
 WINDOW, STRIDE = 32, 20
+WORD_BYTES, PIECE, PIECE_STEP = 200, 48, 40  # a piece's characters have at most 192 bytes; the overlap holds any n-gram
 WORDS, GRAMS, WIDTH, HIDDEN, ATTEND = 1 << 12, 1 << 13, 8, 8, 8
 NGRAMS = (3, 4, 5)
 PUNCTUATION = string.punctuation + "¡¿«»…“”„‘’"
+JOINTS = re.compile(f"[{re.escape(PUNCTUATION)}、。，．！？；：・「」『』（）]+")
+
+
+def is_long(word: str) -> bool:
+    return len(word) > WORD_BYTES // 4 and len(word.encode("utf-8", "surrogatepass")) > WORD_BYTES
+
+
+def word_pieces(word: str) -> list[str]:
+    """Inputs of a long word: the words that punctuation joins in it, long ones as overlapping pieces."""
+    out = []
+    for w in JOINTS.split(word):
+        out += [w[k : k + PIECE] for k in range(0, len(w) - PIECE + PIECE_STEP, PIECE_STEP)] if is_long(w) else [w] if w else []
+    return out or [""]
 
 
 def split_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) <= WORD_BYTES // 4:
+        return words
+    return [x for w in words for x in (word_pieces(w) if is_long(w) else (w,))]
 
 
 def sigmoid(x):
@@ -41,7 +61,7 @@ def sigmoid(x):
 def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of normalised words: their word class, the flat classes of their n-grams and where each word's begin."""
     kinds = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (WORDS - 1) for w in words), np.int64, len(words))
-    raw = [b"<" + w.encode("utf-8", "surrogatepass")[:200] + b">\0\0\0" for w in words]
+    raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">\0\0\0" for w in words]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     owner = np.repeat(np.arange(len(raw)), sizes)

@@ -65,3 +65,29 @@ def test_edge_rows(spark):
     assert len(out) == 94 and all(0 <= r.score <= 1 for r in out)
     assert T.score_toxicity(docs.limit(0), None).count() == 0
     assert {r.score for r in T.score_toxicity(docs, None).collect()} == {0.0}
+
+
+def unspaced(texts, glue=""):
+    """Ideographs for letters, without white space."""
+    return [glue.join(t.lower().replace("!", "").split()).translate({ord("a") + k: 0x4E00 + 7 * k for k in range(26)}) for t in texts]
+
+
+def test_toxic_part_at_the_end_of_a_long_text_without_white_space():
+    texts, labels = corpus(5, 600)
+    net = T.train(texts + unspaced(texts) + unspaced(texts, " "), labels * 3, steps=500)
+    clean = [t for t, y in zip(*corpus(6, 240), strict=True) if not y]
+    clean = [" ".join(clean[k : k + 4]) for k in range(0, 160, 4)]
+    toxic = [f"{t} Zgrx{t.split()[0]}" for t in clean]
+    scorer = T.Scorer(net)
+    for glue in ("", "_", ","):
+        assert (scorer.score(unspaced(toxic, glue)) >= 0.5).mean() > 0.9, glue
+        assert (scorer.score(unspaced(clean, glue)) < 0.5).mean() > 0.9, glue
+    assert (scorer.score(["_".join(t.split()) for t in toxic]) >= 0.5).mean() > 0.9
+
+
+def test_inputs_hold_all_characters_of_long_words():
+    word = "".join(chr(0x4E00 + k) for k in range(1000))
+    pieces = T.split_words(f"a {word} b")[1:-1]
+    assert all(any(word[k : k + 5] in p for p in pieces) for k in range(996))
+    assert all(len(p.encode()) <= 200 for p in pieces)
+    assert T.split_words("x" * 200) == ["x" * 200] and len(T.split_words("x" * 201)) > 1
