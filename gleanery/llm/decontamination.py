@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units after numbers and capitalised words inside a sentence become typed placeholders that keep their
-value; windows of ``WINDOW`` canonical tokens are hash-joined with those of the benchmark items. What met along one
+Numbers, units after numbers and capitalised words become typed placeholders that keep their value; windows of
+``WINDOW`` canonical tokens are hash-joined with those of the benchmark items. Texts are read in three ways: only
+capitalised words inside a sentence are names, all capitalised words are, or none is; a window of the second way needs
+``LEAST_WORDS`` tokens that are no placeholders, as names alone fit any list of names. What met in one way along one
 alignment of an item must fill the item's slots consistently: one value of the item, one value of the document. A
 document is contaminated when consistent windows cover at least half of an item's windows, so an item with other
 numbers and names is caught and a chance meeting of templates is not.
@@ -23,7 +25,10 @@ from pyspark.sql import functions as F
 
 WINDOW, MOST_BROADCAST = 8, 200_000
 LEAST_COVER = 0.5
+LEAST_WORDS = 2
 NUMBER, NAME, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
+HEAD = AFTER  # marks the capitalised words that REWRITES leave: at the head of a text or sentence, or after a name
+INSIDE, ANYWHERE, NOWHERE = 0, 1, 2  # where capitalised words are names
 UNITS = "km|kg|cm|mm|mg|ml|m|g|l|lb|lbs|oz|mi|ft|s|min|h|hours|hour|minutes|days|weeks|years|euros|euro|dollars|dollar|percent|miles|meters|metres|grams|liters|litres"
 #: (pattern, replacement with $1) in order; understood alike by java.util.regex and RE2.
 REWRITES = (
@@ -32,15 +37,30 @@ REWRITES = (
     (rf"({NUMBER}\p{{N}}+) +({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1 {UNIT}$2$3"),
     (r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2"),
 )
+HEADS = (rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{HEAD}])(\p{{Lu}}\p{{Ll}}+)", f"{HEAD}$1")
 BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+"
 
 
-def tokens(text: Column, names: bool = True) -> Column:
-    """Tokens of a text, placeholders with their value behind a mark; without names, words are never placeholders."""
+def tokens(text: Column) -> Column:
+    """Tokens of a text, with a mark before numbers, units, names and other capitalised words."""
     text = F.coalesce(text, F.lit(""))
-    for pattern, into in REWRITES if names else REWRITES[:3]:
+    for pattern, into in (*REWRITES, HEADS):
         text = F.regexp_replace(text, pattern, into)
-    return F.array_remove(F.split(F.lower(text), BREAKS), "")
+    return F.array_remove(F.split(F.lower(text), BREAKS.replace(f"-{UNIT}", f"-{HEAD}")), "")
+
+
+def readings(found: Column, every: bool = False) -> Column:
+    """(way, w) of the tokens, without the marks that make no placeholder; one way does for a text without capitals, unless every."""
+    marked = F.lit(every) | F.exists(found, lambda x: F.substring(x, 1, 1).isin(NAME, HEAD))
+    plain = lambda marks: F.transform(found, lambda x: F.when(F.substring(x, 1, 1).isin(*marks), F.substring(x, 2, 1 << 30)).otherwise(x))
+    name = lambda x: F.when(F.substring(x, 1, 1) == HEAD, F.concat(F.lit(NAME), F.substring(x, 2, 1 << 30))).otherwise(x)
+    way = lambda k, w: F.struct(F.lit(k).alias("way"), w.alias("w"))
+    ways = F.array(
+        way(INSIDE, plain([HEAD])),
+        F.when(marked, way(ANYWHERE, F.transform(found, name))),
+        F.when(marked, way(NOWHERE, plain([NAME, HEAD]))),
+    )
+    return F.filter(ways, lambda x: x.isNotNull())
 
 
 def is_slot(token: Column) -> Column:
@@ -62,16 +82,17 @@ def slots(found: Column, at: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, n (its windows), size, at, h, item_slots: of every item with its names as slots and with them as words."""
+    """item, way, n (its windows), size, at, h, item_slots: of every item in every way of reading it."""
+    # the tokens are made once, not in every lambda that reads them
+    found = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.explode(F.array(tokens(F.col(text_col)))).alias("t")).filter(F.size("t") > 0)
+    found = found.select("item", F.explode(readings(F.col("t"), True)).alias("x")).select("item", "x.way", "x.w")
+    found = found.select("item", "way", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
     parts = []
-    for names in (True, False):
-        # the tokens are made once, not in every lambda that reads them
-        found = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.explode(F.array(tokens(F.col(text_col), names))).alias("w")).filter(F.size("w") > 0)
-        found = found.select("item", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
-        for size in range(1, WINDOW + 1):
-            fits = F.size("w") >= WINDOW if size == WINDOW else F.size("w") == size
-            rows = found.filter(fits).select("item", "w", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("n"), F.posexplode(window_hashes(F.col("c"), size)).alias("at", "h"))
-            parts.append(rows.select("item", "n", F.lit(size).alias("size"), "at", "h", slots(F.col("w"), F.col("at"), size).alias("item_slots")))
+    for size in range(1, WINDOW + 1):
+        fits = F.size("w") >= WINDOW if size == WINDOW else F.size("w") == size
+        rows = found.filter(fits).select("item", "way", "w", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("n"), F.posexplode(window_hashes(F.col("c"), size)).alias("at", "h"))
+        rows = rows.select("item", "way", "n", F.lit(size).alias("size"), "at", "h", slots(F.col("w"), F.col("at"), size).alias("item_slots"))
+        parts.append(rows.filter((F.col("way") != ANYWHERE) | (size - F.size("item_slots") >= min(LEAST_WORDS, size))))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -80,17 +101,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = benchmark_windows(benchmark, item_col, item_text_col)
     sizes = {row["size"]: row["n"] for row in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
     parts = max(1, -(-sum(sizes.values()) // MOST_BROADCAST))
-    made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col)))).alias("w"))
-    made = made.select("doc", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
+    made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col)))).alias("t"))
+    made = made.select("doc", F.explode(readings(F.col("t"))).alias("x")).select("doc", F.col("x.way").alias("doc_way"), "x.w")
+    made = made.select("doc", "doc_way", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
     met = []
     for size in sizes or [WINDOW]:
-        rows = made.select("doc", "w", F.posexplode(window_hashes(F.col("c"), size)).alias("pos", "h"))
+        rows = made.select("doc", "doc_way", "w", F.posexplode(window_hashes(F.col("c"), size)).alias("pos", "h"))
         for part in range(parts):
-            own = windows.filter((F.col("size") == size) & (F.pmod("h", F.lit(parts)) == part)).select("item", "n", "at", "h", "item_slots")
-            joined = rows.join(F.broadcast(own), "h")
-            met.append(joined.select("doc", "item", "n", "at", (F.col("pos") - F.col("at")).alias("along"), F.col("item_slots").alias("x"), slots(F.col("w"), F.col("pos"), size).alias("y")).withColumn("filled", F.arrays_zip("x", "y")).drop("x", "y"))
+            own = windows.filter((F.col("size") == size) & (F.pmod("h", F.lit(parts)) == part)).select("item", "way", "n", "at", "h", "item_slots")
+            # a document read in one way meets an item read in the same way, or as plain words
+            joined = rows.join(F.broadcast(own), "h").filter((F.col("way") == F.col("doc_way")) | (F.col("way") == NOWHERE))
+            met.append(joined.select("doc", "doc_way", "item", "n", "at", (F.col("pos") - F.col("at")).alias("along"), F.col("item_slots").alias("x"), slots(F.col("w"), F.col("pos"), size).alias("y")).withColumn("filled", F.arrays_zip("x", "y")).drop("x", "y"))
     met = reduce(DataFrame.unionByName, met)
-    aligned = met.groupBy("doc", "item", "along").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    aligned = met.groupBy("doc", "doc_way", "item", "along").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     consistent = F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda p: p["x"])))
     reworded = F.exists("filled", lambda p: p["x"] != p["y"])
     held = aligned.filter(consistent).groupBy("doc", "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.max(reworded).alias("reworded"))

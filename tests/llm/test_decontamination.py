@@ -32,3 +32,16 @@ def test_empty_tables(spark):
     assert contaminated(docs.limit(0), items).count() == 0
     assert contaminated(docs, items.limit(0)).count() == 0
     assert judged_documents(docs, items.limit(0)).first().n_items == 0
+
+
+def test_swapped_names_in_any_position(spark):
+    item = "Anna has 5 pens. Anna buys 3 pens. Tom Brown takes 2 pens. Anna Smith met Bob Brown and gave 1 pen to each."
+    swapped = "Maria has 8 pens. Maria buys 6 pens. Jim Black takes 4 pens. Maria Jones met Carl Black and gave 9 pen to each."
+    mixed = "Maria has 8 pens. Carl buys 6 pens. Jim Black takes 4 pens. Eve Jones met Rob White and gave 9 pen to each."
+    titles = "The Old House Of The North And The Long Way To The Blue Lake With Many New Boats Of Good Wood"
+    rows = [(1, f"we read: {swapped} so", ""), (2, swapped, ""), (3, mixed.replace("pens", "books").replace("met", "saw"), ""), (4, item.lower(), ""), (5, item, ""), (6, titles, "")]
+    items = [(1, item), (2, "Some Other Names Stand Here In One Row And Each Of Them Is Written So"), (3, "anna and bob walk to the old house by the lake")]
+    rows.append((7, "then Anna and Bob walk to the old House by the Lake", ""))
+    rows.append((8, f"we read: {swapped[:31].lower().replace('maria', 'Maria')} {swapped[32:]}".replace(". ", ", ") + " so", ""))  # no head of a sentence
+    docs, benchmark = frames(spark, rows, items)
+    assert {(r.doc, r.item) for r in contaminated(docs, benchmark).collect()} == {(1, 1), (2, 1), (4, 1), (5, 1), (7, 3), (8, 1)}
