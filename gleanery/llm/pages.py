@@ -3,9 +3,10 @@
 Pages of one host are dealt into groups of bounded size. In a group, tokens (tags with their class, and words, each
 under the path of open elements) that have the same occurrence vector over the pages form a class; a class is valid
 if its tokens come in one order on every page, and valid classes nest in the slots of the class of tokens that every
-page has once. What varies is in the slots that remain: the deepest template element that holds nearly all varying
-text outside of menus, forms, notices and the like is the article. Its text is kept whole, but for such parts inside
-it and for lines that are themselves template.
+page has once. What varies is in the slots that remain: the deepest template element that holds all varying text
+outside of menus, forms, notices and the like is the article, unless an <article> or <main> holds half of it. Its text
+is kept whole, but for such parts inside it and for lines that are themselves template. A page that has less than half
+of its own varying text there is judged for itself.
 
 Groups of fewer than ``LEAST`` different pages have no template of their own: there the elements' names alone decide.
 
@@ -154,6 +155,17 @@ def equivalence_classes(pages: list[Page]) -> list[list[tuple]]:
     return [order for once, order in sorted(valid, key=lambda x: not x[0])]
 
 
+def holds_half(page: Page, within: tuple, drop: set) -> bool:
+    """Whether at least half of a page's text outside of asides and template lines lies under a path."""
+    inside = total = 0
+    for kind, value, path, aside in page.tokens:
+        if kind == "text" and not aside and (path, " ".join(value.split())) not in drop:
+            size = sum(map(len, value.split()))
+            total += size
+            inside += size if path[: len(within)] == within else 0
+    return inside * 2 >= total
+
+
 def article_path(pages: list[Page]) -> tuple[tuple, set]:
     """The path of the article's element in a group's template, and the text lines that are template."""
     different = {tuple(t[1] for t in p.tokens if t[0] == "text"): p for p in pages}
@@ -180,7 +192,7 @@ def article_path(pages: list[Page]) -> tuple[tuple, set]:
     if named and total:
         best = max(named, key=lambda p: (p[-1].startswith("article"), weight[p], -len(p)))
     else:
-        best = max((p for p in weight if weight[p] * 100 >= 85 * total and total and (not p or p[-1].partition(".")[0] not in ("p", "b", "span", "a", "h1", "h2", "li", "td"))), key=len, default=())
+        best = max((p for p in weight if weight[p] == total and total and (not p or p[-1].partition(".")[0] not in ("p", "b", "span", "a", "h1", "h2", "li", "td"))), key=len, default=())
     drop = {line for line, n in lines.items() if len(sample) >= 8 and n * 10 >= 9 * len(sample)}
     return best, drop
 
@@ -192,7 +204,7 @@ def extract_group(sources: list[str | None]) -> list[str]:
     out = []
     for page in pages:
         within = best
-        if best and not any(t[0] == "text" and t[2][: len(best)] == best for t in page.tokens):
+        if best and not holds_half(page, best, drop):
             within, _ = article_path([page])  # a page of another make
         out.append("\n\n".join(page.lines(within, drop)))
     return out

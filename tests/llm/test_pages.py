@@ -56,3 +56,22 @@ def test_table(spark):
     assert len(out) == len(rows) and all(len((x.text or "").split()) in (0, 30) for x in out)
     assert {x.text for x in out if x.page_id == 900} == {""}
     assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_no_article_text_is_cut():
+    r = np.random.default_rng(3)
+    sources, expected = [], []
+    for k in range(20):
+        # long bodies, but for the last pages; headline, lead and a second section stand beside them
+        head, lead, body, more = words(r, 6), words(r, 12), words(r, 900 if k < 18 else 3), words(r, 20)
+        sources.append(f"<html><body><div class=nav><a>Home</a></div><div class=x1><div class=h>{head}</div><div class=l>{lead}</div><div class=body><p>{body}</p></div><div class=second>{more}</div></div></body></html>")
+        expected.append("\n\n".join([head, lead, body, more]))
+    assert extract_group(sources) == expected
+
+
+def test_a_page_with_most_text_elsewhere_is_judged_for_itself():
+    r = np.random.default_rng(4)
+    usual = [f"<body><div><article><p>{words(r, 200)}</p></article></div></body>" for _ in range(12)]
+    text = words(r, 150)
+    other = f"<body><div><article><p>stub</p></article><div class=long><p>{text}</p></div></div></body>"
+    assert extract_group([*usual, other])[-1] == f"stub\n\n{text}"
