@@ -32,11 +32,16 @@ FORMATS = {
     "jwt": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
     "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     "assigned": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth)[A-Za-z_]{0,12}[\"']?\s{0,2}[=:]\s{0,2}[\"']?[^\s\"',;]{6,}",
-    "mixed": r"[A-Za-z0-9+/_-]{0,40}[0-9][A-Za-z0-9+/_=-]{19,}",
 }
+#: A run of key characters from its start, or from the end of the candidate before, with a digit anywhere; it ends
+#: before a known format inside it.
+_KEY, _KNOWN = "[A-Za-z0-9+/_-]", "|".join(f"(?:{p})" for p in FORMATS.values())
+_DIGIT = r"(?=[A-Za-z+/_-]*[0-9])"
+_RUN = rf"(?:(?<!{_KEY})|\G){_DIGIT}(?!{_KEY}{{0,19}}(?:{_KNOWN}))(?:{_KEY}{{20,}}?(?={_KNOWN})|{_KEY}{{18,}}+==|{_KEY}{{19,}}+=|{_KEY}{{20,}}+)"
+FORMATS["mixed"] = rf"[A-Za-z0-9+/_-]{{0,40}}[0-9][A-Za-z0-9+/_=-]{{19,}}|{_RUN}"
 CANDIDATE = "|".join(f"(?:{p})" for p in FORMATS.values())
 #: A possible start, cheap to look for in every text.
-HINT = r"AKIA|gh[pousr]_|xox|sk-|AIza|[rs]k_|eyJ|-----BEGIN|(?i:passw|pwd|secret|token|key|auth)|[0-9][A-Za-z0-9+/_=-]{19}"
+HINT = r"AKIA|gh[pousr]_|xox|sk-|AIza|[rs]k_|eyJ|-----BEGIN|(?i:passw|pwd|secret|token|key|auth)|[0-9][A-Za-z0-9+/_=-]{19}" + rf"|(?<!{_KEY}){_DIGIT}{_KEY}{{18}}"
 CONTEXT = 60
 TELLING = "password|passwd|pwd|secret|token|key|credential|auth|login|aws|bearer"
 HARMLESS = "example|sample|dummy|test|fake|placeholder|changeme|your|xxx|commit|sha|md5|checksum|hash|digest|uuid|guid|integrity|revision|etag|version|build|todo"
@@ -103,6 +108,7 @@ def labelled_findings(seed: int = 13, each: int = 60) -> list[tuple[str, str, st
             f"{some('token', 'secret', 'api_key', 'password')} = \"{draw(hexa, int(r.integers(16, 48)))}",
             f"{some('password', 'passwd', 'pwd')}={draw(alnum + '!@#$%', int(r.integers(8, 16)))}",
             draw(alnum + "+/", 40),
+            draw(alnum, int(r.integers(20, 41))),
         ]
         for s in secrets:
             before = some(prose(), prose(), "export AWS_SECRET", "the token is", "login with", "")
@@ -122,6 +128,7 @@ def labelled_findings(seed: int = 13, each: int = 60) -> list[tuple[str, str, st
             ("0" * int(r.integers(20, 40)), prose(), ""),
             ("-" * 10 + "1" + "-" * 20, prose(), prose()),
             (f"ghp_{'x' * 36}", "example", ""),
+            (f"{'_'.join(str(w) for w in r.choice(dictionary, 5))}_{int(r.integers(1, 999))}", prose(), prose()),
         ]
         for s, before, after in mistaken:
             rows.append((s, before, after, some("src1", "src9", "tests/test_auth.py", "docs/example.md", ""), 0))
