@@ -1,119 +1,137 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, units after numbers and capitalised words become typed placeholders that keep their value; windows of
-``WINDOW`` canonical tokens are hash-joined with those of the benchmark items. Texts are read in three ways: only
-capitalised words inside a sentence are names, all capitalised words are, or none is; a window of the second way needs
-``LEAST_WORDS`` tokens that are no placeholders, as names alone fit any list of names. What met in one way along one
-alignment of an item must fill the item's slots consistently: one value of the item, one value of the document. A
-document is contaminated when consistent windows cover at least half of an item's windows, so an item with other
-numbers and names is caught and a chance meeting of templates is not.
+``WINDOW`` canonical tokens are hash-joined with those of the benchmark items. Texts are read in two ways: capitalised
+words are names, wherever they stand, but for words that head sentences without being names (``HEADS``); or none is. A
+window needs ``LEAST_WORDS`` tokens that are no placeholders, as names and numbers alone fit any list of them. What met
+along one alignment of an item must fill the item's slots consistently: one value of the item, one value of the
+document. A document is contaminated when consistent windows cover at least half of an item's windows, so an item with
+other numbers and names is caught and a chance meeting of templates is not.
 
-The windows of the benchmark are broadcast in parts of at most ``MOST_BROADCAST`` rows; a larger benchmark takes as
-many passes over the documents as it has parts.
+Every text is cut into tokens once. Up to ``MOST_BROADCAST`` windows of the benchmark are broadcast; of a larger one
+the windows' hashes meet in a shuffled join, and only what met is taken back to its text.
 
 Defined cases: null and empty texts are clean; a null item text has no windows; items shorter than a window are met
-as a whole, by windows of their length; rows with a null id are clean; repeated ids are judged together; an empty
-table gives no rows.
+as a whole, by windows of their length; an item of fewer than ``LEAST_ITEM_WORDS`` tokens that are no placeholders (a
+bare number, a lone word) says too little to be matched: ``unmatchable_items`` lists it; rows with a null id are clean;
+repeated ids are judged together; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import stash
+
 WINDOW, MOST_BROADCAST = 8, 200_000
 LEAST_COVER = 0.5
-LEAST_WORDS = 2
+LEAST_WORDS, LEAST_ITEM_WORDS = 2, 4
 NUMBER, NAME, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
-HEAD = AFTER  # marks the capitalised words that REWRITES leave: at the head of a text or sentence, or after a name
-INSIDE, ANYWHERE, NOWHERE = 0, 1, 2  # where capitalised words are names
+NAMED, PLAIN = 0, 1  # ways of reading: capitalised words are names, or words
 UNITS = "km|kg|cm|mm|mg|ml|m|g|l|lb|lbs|oz|mi|ft|s|min|h|hours|hour|minutes|days|weeks|years|euros|euro|dollars|dollar|percent|miles|meters|metres|grams|liters|litres"
+#: Words that are capitalised as heads of sentences and questions.
+HEADS = tuple(
+    "a an the this that these those it its he she they we you i his her their our your my and or but if when while where what which who whose why how "
+    "there here then so as at by for from in into of on to with after before during is are was were be do does did has have had can could will would "
+    "should may must not no yes all any each every some many most one first find calculate determine compute solve suppose let given show write name".split()
+)
 #: (pattern, replacement with $1) in order; understood alike by java.util.regex and RE2.
 REWRITES = (
     (r"(\p{N})[.,](\p{N})", "$1$2"),
     (r"(\p{N}+)", f" {NUMBER}$1 "),
     (rf"({NUMBER}\p{{N}}+) +({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1 {UNIT}$2$3"),
-    (r"([\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2"),
+    (rf"(^|[^\p{{L}}\p{{N}}{NUMBER}-{AFTER}])(\p{{Lu}}\p{{Ll}}+)", f"$1{NAME}$2"),
 )
-HEADS = (rf"(?<![\p{{L}}\p{{N}}{NUMBER}-{HEAD}])(\p{{Lu}}\p{{Ll}}+)", f"{HEAD}$1")
 BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens of a text, with a mark before numbers, units, names and other capitalised words."""
+    """Tokens of a text, with a mark before numbers, units and capitalised words."""
     text = F.coalesce(text, F.lit(""))
-    for pattern, into in (*REWRITES, HEADS):
+    for pattern, into in REWRITES:
         text = F.regexp_replace(text, pattern, into)
-    return F.array_remove(F.split(F.lower(text), BREAKS.replace(f"-{UNIT}", f"-{HEAD}")), "")
+    return F.array_remove(F.split(F.lower(text), BREAKS), "")
 
 
-def readings(found: Column, every: bool = False) -> Column:
-    """(way, w) of the tokens, without the marks that make no placeholder; one way does for a text without capitals, unless every."""
-    marked = F.lit(every) | F.exists(found, lambda x: F.substring(x, 1, 1).isin(NAME, HEAD))
-    plain = lambda marks: F.transform(found, lambda x: F.when(F.substring(x, 1, 1).isin(*marks), F.substring(x, 2, 1 << 30)).otherwise(x))
-    name = lambda x: F.when(F.substring(x, 1, 1) == HEAD, F.concat(F.lit(NAME), F.substring(x, 2, 1 << 30))).otherwise(x)
-    way = lambda k, w: F.struct(F.lit(k).alias("way"), w.alias("w"))
-    ways = F.array(
-        way(INSIDE, plain([HEAD])),
-        F.when(marked, way(ANYWHERE, F.transform(found, name))),
-        F.when(marked, way(NOWHERE, plain([NAME, HEAD]))),
-    )
-    return F.filter(ways, lambda x: x.isNotNull())
+def is_marked(token: Column) -> Column:
+    return (token >= NUMBER) & (token < AFTER)
 
 
-def is_slot(token: Column) -> Column:
-    return (token >= NUMBER) & (token < AFTER)
+def unmarked(token: Column) -> Column:
+    return F.substring(token, 2, 1 << 30)
+
+
+def is_slot(token: Column, way: Column | int) -> Column:
+    """Whether a token is a placeholder in a way of reading: numbers and units always, names in one."""
+    name = (F.lit(way) if isinstance(way, int) else way) == NAMED
+    return is_marked(token) & (~token.startswith(NAME) | (name & ~unmarked(token).isin(*HEADS)))
 
 
-def canonical_hashes(found: Column) -> Column:
-    return F.transform(found, lambda x: F.when(is_slot(x), F.xxhash64(F.substring(x, 1, 1))).otherwise(F.xxhash64(x)))
+def token_hashes(found: Column, way: int) -> Column:
+    """Hashes of tokens, of placeholders by their type."""
+    word = lambda x: F.when(x.startswith(NAME), F.xxhash64(unmarked(x))).otherwise(F.xxhash64(F.substring(x, 1, 1)))
+    if way == PLAIN:
+        return F.transform(found, lambda x: F.when(is_marked(x), word(x)).otherwise(F.xxhash64(x)))
+    return F.transform(found, lambda x: F.when(is_slot(x, NAMED), F.xxhash64(F.substring(x, 1, 1))).when(is_marked(x), word(x)).otherwise(F.xxhash64(x)))
 
 
-def window_hashes(hashes: Column, size: int) -> Column:
-    """Hashes of all windows of so many tokens, in order."""
-    one = lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + j) for j in range(size)])
-    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), one)).otherwise(F.array().cast("array<bigint>"))
+def each_window(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """Of tables with t (tokens): the other columns, t, way, size, pos and the hash h of every window of these sizes.
 
+    Each step is an explode of its own, so that lambdas run once a text; windows are made in generated code.
+    """
+    rest = [c for c in texts.columns if c != "t"]
+    ways = [F.struct(F.lit(way).alias("way"), F.lit(size).alias("size"), F.col(f"c.c{way}").alias("c")) for way in (NAMED, PLAIN) for size in sizes]
+    read = texts.select(*rest, "t", F.explode(F.array(F.struct(*[token_hashes(F.col("t"), way).alias(f"c{way}") for way in (NAMED, PLAIN)]))).alias("c"))
+    read = read.select(*rest, "t", F.explode(F.array(*ways)).alias("x")).select(*rest, "t", "x.way", "x.size", "x.c")
+    rows = read.select(*rest, "t", "way", "size", "c", F.posexplode("c").alias("pos", "_h")).filter(F.col("pos") + F.col("size") <= F.size("c"))
+    h = F.lit(None).cast("long")
+    for size in sizes:
+        h = F.when(F.col("size") == size, F.xxhash64("way", "size", *[F.get("c", F.col("pos") + j) for j in range(size)])).otherwise(h)
+    return rows.select(*rest, "t", "way", "size", "pos", h.alias("h"))
 
-def slots(found: Column, at: Column, size: int) -> Column:
-    return F.filter(F.slice(found, at + 1, size), is_slot)
+
+def slots(found: Column, at: Column, size: Column | int, way: Column | int) -> Column:
+    return F.filter(F.slice(found, at + 1, size), lambda x: is_slot(x, way))
+
+
+def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item, t (tokens), words (how many are no placeholders in any reading) of the items."""
+    found = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.explode(F.array(tokens(F.col(text_col)))).alias("t"))
+    return found.withColumn("words", F.size("t") - F.size(F.filter("t", lambda x: is_slot(x, PLAIN))))
+
+
+def unmatchable_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Items that hold too few words to be matched, with their number."""
+    return read_items(benchmark, item_col, text_col).filter(F.col("words") < LEAST_ITEM_WORDS).select(F.col("item").alias(item_col), "words")
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, way, n (its windows), size, at, h, item_slots: of every item in every way of reading it."""
-    # the tokens are made once, not in every lambda that reads them
-    found = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.explode(F.array(tokens(F.col(text_col)))).alias("t")).filter(F.size("t") > 0)
-    found = found.select("item", F.explode(readings(F.col("t"), True)).alias("x")).select("item", "x.way", "x.w")
-    found = found.select("item", "way", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
-    parts = []
-    for size in range(1, WINDOW + 1):
-        fits = F.size("w") >= WINDOW if size == WINDOW else F.size("w") == size
-        rows = found.filter(fits).select("item", "way", "w", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("n"), F.posexplode(window_hashes(F.col("c"), size)).alias("at", "h"))
-        rows = rows.select("item", "way", "n", F.lit(size).alias("size"), "at", "h", slots(F.col("w"), F.col("at"), size).alias("item_slots"))
-        parts.append(rows.filter((F.col("way") != ANYWHERE) | (size - F.size("item_slots") >= min(LEAST_WORDS, size))))
-    return reduce(DataFrame.unionByName, parts).distinct()
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER) -> DataFrame:
+    """item, way, size, at, h, item_slots, n (the item's windows that can meet): names read as such only in windows that hold one."""
+    found = read_items(benchmark, item_col, text_col).filter(F.col("words") >= LEAST_ITEM_WORDS).select("item", "t")
+    rows = each_window(found, list(range(LEAST_ITEM_WORDS, WINDOW + 1))).filter(F.col("size") == F.least(F.size("t"), F.lit(WINDOW)))
+    rows = rows.select("item", "way", "size", F.col("pos").alias("at"), "h", slots(F.col("t"), F.col("pos"), F.col("size"), F.col("way")).alias("item_slots"))
+    words = F.col("size") - F.size("item_slots")
+    rows = rows.filter(words >= F.when(F.col("size") == WINDOW, LEAST_WORDS).otherwise(LEAST_ITEM_WORDS))
+    rows = rows.filter((F.col("way") == PLAIN) | F.exists("item_slots", lambda x: x.startswith(NAME)))
+    windows = stash(rows.distinct(), "benchmark-windows")
+    return windows.join(windows.groupBy("item").agg(F.count_distinct("at").alias("n")), "item")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_cover: float = LEAST_COVER, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc, item, cover, reworded (some slot has another value): one row for each item that contaminates a document."""
     windows = benchmark_windows(benchmark, item_col, item_text_col)
-    sizes = {row["size"]: row["n"] for row in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
-    parts = max(1, -(-sum(sizes.values()) // MOST_BROADCAST))
+    counts = {row["size"]: row["n"] for row in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW rows
+    windows = windows.drop("way", "size")
     made = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.array(tokens(F.col(text_col)))).alias("t"))
-    made = made.select("doc", F.explode(readings(F.col("t"))).alias("x")).select("doc", F.col("x.way").alias("doc_way"), "x.w")
-    made = made.select("doc", "doc_way", "w", F.explode(F.array(canonical_hashes(F.col("w")))).alias("c"))
-    met = []
-    for size in sizes or [WINDOW]:
-        rows = made.select("doc", "doc_way", "w", F.posexplode(window_hashes(F.col("c"), size)).alias("pos", "h"))
-        for part in range(parts):
-            own = windows.filter((F.col("size") == size) & (F.pmod("h", F.lit(parts)) == part)).select("item", "way", "n", "at", "h", "item_slots")
-            # a document read in one way meets an item read in the same way, or as plain words
-            joined = rows.join(F.broadcast(own), "h").filter((F.col("way") == F.col("doc_way")) | (F.col("way") == NOWHERE))
-            met.append(joined.select("doc", "doc_way", "item", "n", "at", (F.col("pos") - F.col("at")).alias("along"), F.col("item_slots").alias("x"), slots(F.col("w"), F.col("pos"), size).alias("y")).withColumn("filled", F.arrays_zip("x", "y")).drop("x", "y"))
-    met = reduce(DataFrame.unionByName, met)
-    aligned = met.groupBy("doc", "doc_way", "item", "along").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    if sum(counts.values()) <= most_broadcast:
+        met = each_window(made, sorted(counts) or [WINDOW]).join(F.broadcast(windows), "h")
+    else:
+        told = made.withColumn("text", F.xxhash64("t"))  # of repeated ids each text meets for itself
+        met = each_window(told, sorted(counts)).drop("t").join(windows, "h").join(told.dropDuplicates(["doc", "text"]), ["doc", "text"])
+    met = met.select("doc", "item", "n", "at", (F.col("pos") - F.col("at")).alias("along"), F.arrays_zip(F.col("item_slots").alias("x"), slots(F.col("t"), F.col("pos"), F.col("size"), F.col("way")).alias("y")).alias("filled"))
+    aligned = met.groupBy("doc", "item", "along").agg(F.first("n").alias("n"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     consistent = F.size("filled") == F.size(F.array_distinct(F.transform("filled", lambda p: p["x"])))
     reworded = F.exists("filled", lambda p: p["x"] != p["y"])
     held = aligned.filter(consistent).groupBy("doc", "item").agg(F.first("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.max(reworded).alias("reworded"))
@@ -134,30 +152,34 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     return docs.join(found, F.col(id_col) == F.col("_doc"), "left_anti")
 
 
-def _sql_tokens(text: str, names: bool) -> str:
+def _sql_tokens(text: str) -> str:
     text = f"coalesce({text}, '')"
-    for pattern, into in REWRITES if names else REWRITES[:3]:
+    for pattern, into in REWRITES:
         text = f"regexp_replace({text}, '{pattern}', '{into.replace('$', chr(92))}', 'g')"
     return f"list_filter(string_split_regex(lower({text}), '{BREAKS}'), lambda x: x <> '')"
 
 
-def _sql_slot(x: str) -> str:
-    return f"({x} >= '{NUMBER}' AND {x} < '{AFTER}')"
-
-
-#: DuckDB SQL of judged_documents for items of at least WINDOW tokens, the items as one string.
+_SLOT = f"(x >= '{NUMBER}' AND x < '{AFTER}')"
+_HEADS = ", ".join(f"'{w}'" for w in HEADS)
+_READ = f"""SELECT *, {NAMED} AS way, list_transform(t, lambda x: CASE WHEN x[1] = '{NAME}' AND x[2:] IN ({_HEADS}) THEN x[2:] ELSE x END) AS w FROM {{0}}
+            UNION ALL SELECT *, {PLAIN}, list_transform(t, lambda x: CASE WHEN x[1] = '{NAME}' THEN x[2:] ELSE x END) FROM {{0}}"""
+_KEY = f"list_transform(win, lambda x: CASE WHEN {_SLOT} THEN x[1] ELSE x END) AS k"
+#: DuckDB SQL of judged_documents, the items as one string.
 SQL = f"""
-WITH dw AS (SELECT doc_id AS doc, {_sql_tokens("text", True)} AS w FROM documents),
-bw AS (SELECT item_id AS item, {_sql_tokens("text", True)} AS w FROM benchmark UNION SELECT item_id, {_sql_tokens("text", False)} FROM benchmark),
-d AS (SELECT doc, w[p + 1 : p + {WINDOW}] AS win, p FROM (SELECT doc, w, unnest(range(len(w) - {WINDOW} + 1)) AS p FROM dw WHERE len(w) >= {WINDOW})),
-b AS (SELECT item, n, w[p + 1 : p + {WINDOW}] AS win, p FROM (SELECT item, w, len(w) - {WINDOW} + 1 AS n, unnest(range(len(w) - {WINDOW} + 1)) AS p FROM bw WHERE len(w) >= {WINDOW})),
-dk AS (SELECT *, list_transform(win, lambda x: CASE WHEN {_sql_slot("x")} THEN x[1:1] ELSE x END) AS k FROM d),
-bk AS (SELECT DISTINCT item, n, p, win, list_transform(win, lambda x: CASE WHEN {_sql_slot("x")} THEN x[1:1] ELSE x END) AS k FROM b),
-met AS (SELECT doc, item, n, bk.p AS start_at, dk.p - bk.p AS along, list_filter(list_zip(bk.win, dk.win), lambda z: {_sql_slot("z[1]")}) AS filled FROM dk JOIN bk USING (k)),
-aligned AS (SELECT doc, item, along, any_value(n) AS n, list(DISTINCT start_at) AS ats, list_distinct(flatten(list(filled))) AS filled FROM met GROUP BY ALL),
-held AS (SELECT doc, item, any_value(n) AS n, len(list_distinct(flatten(list(ats)))) AS covered FROM aligned
+WITH dt AS (SELECT doc_id AS doc, {_sql_tokens("text")} AS t FROM documents), dw AS ({_READ.format("dt")}),
+bt AS (SELECT item_id AS item, {_sql_tokens("text")} AS t FROM benchmark), bw AS ({_READ.format("bt")}),
+able AS (SELECT item FROM bw WHERE way = {PLAIN} AND len(w) - len(list_filter(w, lambda x: {_SLOT})) >= {LEAST_ITEM_WORDS}),
+bp AS (SELECT item, way, size, p, w[p + 1 : p + size] AS win FROM (SELECT item, way, w, least(len(w), {WINDOW}) AS size, unnest(range(greatest(len(w) - {WINDOW}, 0) + 1)) AS p FROM bw JOIN able USING (item))),
+bk AS (SELECT *, {_KEY}, list_filter(win, lambda x: {_SLOT}) AS s FROM bp),
+bc AS (SELECT DISTINCT item, way, size, p, win, k FROM bk WHERE size - len(s) >= CASE WHEN size = {WINDOW} THEN {LEAST_WORDS} ELSE {LEAST_ITEM_WORDS} END AND (way = {PLAIN} OR len(list_filter(s, lambda x: x[1] = '{NAME}')) > 0)),
+n AS (SELECT item, count(DISTINCT p) AS n FROM bc GROUP BY 1),
+dp AS (SELECT doc, way, size, p, w[p + 1 : p + size] AS win FROM (SELECT doc, way, w, size, unnest(range(len(w) - size + 1)) AS p FROM dw, (SELECT DISTINCT size FROM bc) WHERE len(w) >= size)),
+dk AS (SELECT *, {_KEY} FROM dp),
+met AS (SELECT doc, item, bc.p AS start_at, dk.p - bc.p AS along, list_filter(list_zip(bc.win, dk.win), lambda z: z[1] >= '{NUMBER}' AND z[1] < '{AFTER}') AS filled FROM dk JOIN bc USING (k, way, size)),
+aligned AS (SELECT doc, item, along, list(DISTINCT start_at) AS ats, list_distinct(flatten(list(filled))) AS filled FROM met GROUP BY ALL),
+held AS (SELECT doc, item, len(list_distinct(flatten(list(ats)))) AS covered FROM aligned
          WHERE len(filled) = len(list_distinct(list_transform(filled, lambda z: z[1]))) GROUP BY doc, item),
-found AS (SELECT doc, list(item ORDER BY item) AS items FROM held WHERE covered >= {LEAST_COVER} * n GROUP BY doc)
+found AS (SELECT doc, list(item ORDER BY item) AS items FROM held JOIN n USING (item) WHERE covered >= {LEAST_COVER} * n GROUP BY doc)
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0) AS n_items, array_to_string(coalesce(items, []), ',') AS items
 FROM documents LEFT JOIN found ON doc_id = doc
 """

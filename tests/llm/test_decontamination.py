@@ -1,4 +1,4 @@
-from gleanery.llm.decontamination import clean_documents, contaminated, judged_documents
+from gleanery.llm.decontamination import clean_documents, contaminated, judged_documents, unmatchable_items
 
 ITEM = "A train leaves Paris at 9 with 120 people and goes 80 km each hour until it meets Anna near the old bridge"
 LONG = "first words of another story that has nothing in common with any item at all and goes on"
@@ -45,3 +45,25 @@ def test_swapped_names_in_any_position(spark):
     rows.append((8, f"we read: {swapped[:31].lower().replace('maria', 'Maria')} {swapped[32:]}".replace(". ", ", ") + " so", ""))  # no head of a sentence
     docs, benchmark = frames(spark, rows, items)
     assert {(r.doc, r.item) for r in contaminated(docs, benchmark).collect()} == {(1, 1), (2, 1), (4, 1), (5, 1), (7, 3), (8, 1)}
+
+
+def test_items_of_too_few_words_match_nothing_and_are_listed(spark):
+    items = [(1, "42"), (2, "Yes"), (3, "Anna has 5 pens"), (4, "3 + 5 = 8 and 7 + 9 = 16"), (5, ""), (6, None), (7, "what colour has snow")]
+    rows = [(1, "42 is a number, yes", ""), (2, "Yes", ""), (3, "Bob has 3 pens", ""), (4, "1 + 2 = 3 and 4 + 5 = 9", ""), (5, "he asked: what colour has snow?", "")]
+    docs, benchmark = frames(spark, rows, items)
+    assert {(r.doc, r.item) for r in contaminated(docs, benchmark).collect()} == {(5, 7)}
+    assert {r.item_id for r in unmatchable_items(benchmark).collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_a_large_benchmark_meets_in_a_shuffled_join(spark):
+    other = ITEM.replace("Paris", "Rome").replace("120", "1,500")
+    docs, items = frames(spark, [(1, f"{LONG}. {ITEM}", "x"), (2, other, ""), (2, LONG, ""), (3, LONG, ""), (3, other, ""), (3, other, "")])
+    ways = [sorted(tuple(r) for r in contaminated(docs, items, most_broadcast=most).collect()) for most in (1, 1000)]
+    assert ways[0] == ways[1] and {r[0] for r in ways[0]} == {1, 2, 3}
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"word{k % 997} other{k % 31}" for k in range(30_000))
+    docs, items = frames(spark, [(1, f"{long} {ITEM} {long}", "x"), (1, f"{long} {ITEM} {long}", "x"), (2, "a" * 300_000, ""), (3, long, "")])
+    assert {r.doc for r in contaminated(docs, items).collect()} == {1}
+    assert len(clean_documents(docs, items).collect()) == 2
