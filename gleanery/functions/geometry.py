@@ -71,6 +71,14 @@ def gradient_hash(gray: Column) -> Column:
     return F.array_join(bits, "")
 
 
+def hex_hash(gray: Column, size: int = 8) -> Column:
+    """The gradient bits of ``size`` rows of ``size + 1`` cells as hex; null for a picture of another shape."""
+    bits = gradient_hash(gray)
+    digits = F.transform(F.sequence(F.lit(1), F.length(bits) - 3, F.lit(4)), lambda i: F.lower(F.conv(F.substring(bits, i, 4), 2, 16)))
+    fits = (F.size(gray) == size) & F.forall(gray, lambda row: F.size(row) == size + 1)
+    return F.when(fits, F.array_join(digits, ""))
+
+
 def average_hash(gray: Column) -> Column:
     """Bits of what is brighter than the mean."""
     flat = F.flatten(gray)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +12,42 @@ from pyspark.sql import functions as F
 SECRET_WORDS = "token|api_key|apikey|secret|password"
 REDACTED = "[redacted]"
 WORD = r"[\p{L}\p{N}_]+"
-#: Named references that titles hold.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
+#: Named character references of HTML 4 and the apostrophe.
+REFERENCES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 EDGES = r" ,.\-–—"  # inside a character class
+#: What in a title tells of the file and not of the work, in this order; {who} stands for the maker's name.
+TITLE_NOISE = (
+    r"^file:",
+    r"\s*label\s+QS:.*$",
+    r",?\s*source\s*-.*$",
+    r",?\s*from the {who} (studio|press).*$",
+    r",?\s*{who} press$",
+    r",?\s*c\.\s*\d{4}'?s?$",
+    r"^painting\s+(of\s+)?(\d+\s+)?",
+    r"\(\s*\d{4}\s*-\s*\d+\s*\)",
+    r"\.(jpe?g|png|webp|tiff?)$",
+    r"{who}\s*\(\d{4}-\d{4}\)",
+    r"^{who}\s*[,\-–—:]?\s*",
+    r"\bby\s+{who}\b",
+    r"[-–—]\s*{who}$",
+    r"\b{who}$",
+    r"\s*-\s*google art project",
+    r"\bwellcome\s+v\d+",
+    r"\bva\s+ac\s+\w+",
+    r"\brcin\s+\d+",
+    r"-\s*royal collection",
+    r"\((cropped|crop|duplicate|another version)\)",
+    r"\bcrop\b",
+    r"\([^)]*(oleograph|chromolithograph)[^)]*\)",
+    r",\s*{who}\b",
+    r"\(\s*\d+\s*\)$",
+    r"\(\d{4}\)",
+    r"\d+$",
+)
+#: Number words of answers.
+COUNT_WORDS = {"none": 0, "no": 0, "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8}
+INDIC = r"[\x{0900}-\x{0DFF}]"
 
 
 def redacted(text: Column) -> Column:
@@ -30,24 +64,42 @@ def informative(text: Column, stop: Sequence[str], banned: Sequence[str]) -> Col
     return text.isNotNull() & (F.trim(text) != "") & ~F.lower(F.trim(text)).isin(*stop) & ~F.lower(text).rlike(word_pattern(banned))
 
 
-def unescape_named(text: Column) -> Column:
-    """Named references only; the ampersand last."""
-    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), ENTITIES.items(), text)
+def title_noise(who: str) -> list[str]:
+    """The noise patterns of titles for a maker, given as a pattern of the name."""
+    return ["(?i)" + pattern.replace("{who}", f"(?:{who})") for pattern in TITLE_NOISE]
+
+
+def unescaped(text: Column, names: dict[str, str] | None = None) -> Column:
+    """Character references decoded once: decimal, hexadecimal and named ones that end with a semicolon. What is no
+    character becomes U+FFFD; unknown names stay."""
+    table = F.create_map(*[F.lit(x) for pair in (names or REFERENCES).items() for x in pair])
+
+    def decoded(part):
+        ref = F.regexp_extract(part, REFERENCE, 1)
+        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        fine = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(32)), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        said = F.when(ref == "", "&").when(F.substring(ref, 1, 1) == "#", char).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
+        return F.concat(said, F.substring(part, F.when(ref == "", 1).otherwise(F.length(ref) + 2), F.length(part)))
+
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))).otherwise(text)
 
 
 def trim_edges(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{EDGES}]+|[{EDGES}]+$", "")
+    return F.regexp_replace(text, rf"^[{EDGES}]+|[{EDGES}]+\z", "")
 
 
 def clean_title(text: Column, noise: Sequence[str] = (), least: int = 3) -> Column:
-    """Tags to blanks, references decoded, underscores to blanks, quotes dropped, noise patterns taken off twice with
-    the edges trimmed after each, blanks squeezed, CamelCase split where no blank is; null if too short."""
-    t = F.replace(unescape_named(F.regexp_replace(text, "<[^>]*>", " ")), F.lit("_"), F.lit(" "))
-    t = F.regexp_replace(t, "[\"“”„«»]", "")
+    """Tags to blanks, references decoded, underscores to blanks, double quotes dropped, noise patterns taken off twice
+    with the edges trimmed after each, blanks squeezed, CamelCase split where no blank is; null if too short."""
+    t = F.replace(unescaped(F.regexp_replace(text, "<[^>]+>", " ")), F.lit("_"), F.lit(" "))
+    t = F.regexp_replace(F.replace(t, F.lit('"'), F.lit("")), r"^\s+|\s+\z", "")
     for pattern in [*noise, *noise]:
         t = trim_edges(F.regexp_replace(t, pattern, " "))
     t = trim_edges(F.regexp_replace(t, r"\s+", " "))
-    t = F.when(t.contains(" "), t).otherwise(F.regexp_replace(t, r"(\p{Ll})(\p{Lu})", "$1 $2"))
+    t = F.when(t.contains(" "), t).otherwise(F.regexp_replace(t, "([a-z])([A-Z])", "$1 $2"))
     return F.when(F.length(t) >= least, t)
 
 
@@ -59,7 +111,7 @@ def extract_year(text: Column, low: int, high: int, pattern: str = r"\((\d{4})\)
 
 def strip_tokens(text: Column, tokens: Sequence[str]) -> Column:
     """Takes trigger tokens out, with a comma behind them."""
-    return F.regexp_replace(F.regexp_replace(text, "(" + "|".join(tokens) + r"),?\s*", ""), "^[ ,]+|[ ,]+$", "")
+    return F.regexp_replace(F.regexp_replace(text, "(" + "|".join(tokens) + r"),?\s*", ""), r"^[ ,]+|[ ,]+\z", "")
 
 
 def with_trigger(text: Column, trigger: str) -> Column:
@@ -67,9 +119,17 @@ def with_trigger(text: Column, trigger: str) -> Column:
 
 
 def short_title(text: Column, words: int = 12) -> Column:
-    """The first sentence, of so many words at most."""
-    first = F.trim(F.get(F.split(text, r"[.\n]", 2), F.lit(0)))
-    return F.array_join(F.slice(F.split(first, " +"), 1, words), " ")
+    """The first sentence, of so many words at most, without catalogue residue and Indic script (and its label).
+
+    A sentence ends at a full stop between a small letter or a bracket and a blank, so that initials do not end it.
+    """
+    t = F.regexp_replace(text, r"\s*\b(title|label)\s+QS:.*$", "")
+    t = F.regexp_replace(F.regexp_replace(t, rf"\b[A-Z][a-z]+:\s*(?={INDIC})", ""), f"{INDIC}+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s{2,}", " "), r"^[ ,:\-]+|[ ,:\-]+\z", "")
+    t = F.regexp_replace(t, r"^\s+|\s+\z", "")
+    first = F.regexp_replace(F.regexp_replace(t, r"([a-z)])\.\s[\s\S]*\z", "$1"), r"\.+\z", "")
+    held = F.split(F.regexp_replace(first, r"^\s+|\s+\z", ""), r"\s+")
+    return F.when(F.size(held) > words, F.array_join(F.slice(held, 1, words), " ")).otherwise(first)
 
 
 def token_count(text: Column) -> Column:
@@ -94,11 +154,10 @@ def trim_to_budget(parts: Column, budget: int, cost: Callable[[Column], Column]
 
 
 def parse_count(text: Column) -> Column:
-    """A number word or digits; null for anything else."""
-    words = {w: k for k, w in enumerate("zero one two three four five six seven eight nine ten".split())}
-    table = F.create_map(*[x for w, k in words.items() for x in (F.lit(w), F.lit(k))])
+    """A number word up to eight, a word for none, or digits; null for anything else."""
+    table = F.create_map(*[x for w, k in COUNT_WORDS.items() for x in (F.lit(w), F.lit(k))])
     key = F.lower(F.trim(text))
-    return F.coalesce(table[F.when(key.isin(*words), key)], F.when(key.rlike(r"^\d{1,9}$"), key).cast("int"))
+    return F.coalesce(table[F.when(key.isin(*COUNT_WORDS), key)], F.when(key.rlike(r"^\d{1,9}$"), key).cast("int"))
 
 
 def rewritten(text: Column, rewrites: Sequence[tuple[str, str]]) -> Column:
@@ -121,9 +180,9 @@ def brightness_band(value: Column) -> Column:
 
 
 def palette_band(r: Column, g: Column, b: Column) -> Column:
-    """Which channel leads the other two by eight hundredths."""
-    leads = lambda x, y, z: (x > y * 1.08) & (x > z * 1.08)
-    return F.when(leads(r, g, b), "warm").when(leads(b, r, g), "cool").when(leads(g, r, b), "green").otherwise("neutral")
+    """Which channel leads: red by eight hundredths over each of the others, blue and green by anything."""
+    most = F.greatest(g, b)
+    return F.when(r > most * 1.08, "warm").when(b > F.greatest(r, g), "cool").when(g > F.greatest(r, b), "green").otherwise("neutral")
 
 
 def orientation(w: Column, h: Column) -> Column:
@@ -152,3 +211,19 @@ def trim_optional(required: Column, optional: Column, budget: int, cost: Callabl
     put = lambda k: F.array_join(F.concat(required, F.slice(more, 1, k)), separator)
     fits = F.filter(F.sequence(F.lit(0), F.size(more)), lambda k: (k == 0) | (cost(put(k)) <= budget))
     return put(F.array_max(fits))
+
+
+def coerced(answer: Column, scene: Column, subject: str = "subject") -> Column:
+    """The values of a JSON object as texts: items of lists joined, true as it is written in answers, what is empty,
+    false, zero or null dropped. Null where the answer is no object or its subject does not hold the scene as it is."""
+    found = F.from_json(answer, "map<string,variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    flat = lambda v: F.try_variant_get(v, "$", "string")
+
+    def told(k, v):
+        listed = F.array_join(F.try_variant_get(v, "$", "array<string>"), ", ")
+        return F.when(kind(v).startswith("ARRAY"), listed).when(kind(v) == "BOOLEAN", F.initcap(flat(v))).otherwise(flat(v))
+
+    texts = F.transform_values(F.map_filter(found, lambda k, v: v.isNotNull()), told)
+    kept = F.map_filter(texts, lambda k, v: v.isNotNull() & ~v.isin("", "False", "0", "0.0", "{}"))
+    return F.when(F.coalesce(F.try_element_at(kept, F.lit(subject)).contains(scene), F.lit(False)), kept)

@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.operators.ladder import best_per_group
+from gleanery.session import shared_path
 
 
 def settle(rows: DataFrame) -> DataFrame:
     """Writes rows to the shared checkpoint folder and reads them again; in a local session without one, to a temporary folder."""
-    spark = rows.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-        spark.sparkContext.setCheckpointDir(place)
-    path = f"{place.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = shared_path(rows.sparkSession, "settled")
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def hex_lanes(digest: Column, lanes: int) -> list[Column]:
@@ -39,24 +30,41 @@ def hamming(one: list[Column], two: list[Column]) -> Column:
 
 
 def hamming_pairs(hashed: DataFrame, id_col: str, lanes: list[str], most: int) -> DataFrame:
-    """Pairs a < b of at most ``most`` differing bits.
+    """Pairs a < b of at most ``most`` differing bits, a and b being the smallest ids of their hashes, and of every
+    further holder of a hash its pair with the smallest (0 bits): copies are not expanded into all pairs.
 
-    Two hashes that differ in at most ``most`` bits agree on one of ``most + 1`` bands, so the join hashes on bands.
+    Hashes are cut into bands so that two near ones differ in at most two bits of some band. Every hash is sent to its
+    bands as they are and with one bit turned, so that the join hashes on whole bands.
     """
     bits = 64 * len(lanes)
-    bands = most + 1
+    bands = most // 3 + 1
     edges = [bits * k // bands for k in range(bands + 1)]
+    if max(b - a for a, b in zip(edges, edges[1:], strict=False)) > 63:
+        raise ValueError("too few bands: a band must fit 63 bits")
+    reps = hashed.groupBy(*lanes).agg(F.min(id_col).alias("_rep"))
+    reps = settle(reps)
+    copies = hashed.join(reps, lanes).filter(F.col(id_col) != F.col("_rep")).select(F.col("_rep").alias("a"), F.col(id_col).alias("b"), F.lit(0).alias("bits"))
     text = F.concat(*[F.lpad(F.conv(F.col(c).cast("string"), 10, 2), 64, "0") for c in lanes])
-    cut = F.array(*[F.concat(F.lit(f"{k}:"), F.substring("_bits", edges[k] + 1, edges[k + 1] - edges[k])) for k in range(bands)])
-    held = hashed.select(id_col, *lanes).withColumn("_bits", text).withColumn("_band", F.explode(cut)).drop("_bits")
-    a = held.select(F.col(id_col).alias("a"), "_band", *[F.col(c).alias(f"a_{c}") for c in lanes])
-    b = held.select(F.col(id_col).alias("b"), "_band", *[F.col(c).alias(f"b_{c}") for c in lanes])
+    keys = []
+    for k in range(bands):
+        width = edges[k + 1] - edges[k]
+        own = F.conv(F.substring("_bits", edges[k] + 1, width), 2, 10).cast("long")
+        turned = F.concat(F.array(own), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i, own=own: own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+        keys.append(F.transform(turned, lambda x, k=k: F.struct(F.lit(k).alias("band"), x.alias("key"))))
+    dealt = reps.withColumn("_bits", text).withColumn("_keys", F.flatten(F.array(*keys))).drop("_bits")
+    dealt = dealt.select("_rep", *lanes, F.explode("_keys").alias("_k")).select("_rep", *lanes, "_k.band", "_k.key")
+    a = dealt.select(F.col("_rep").alias("a"), "band", "key", *[F.col(c).alias(f"a_{c}") for c in lanes])
+    b = dealt.select(F.col("_rep").alias("b"), "band", "key", *[F.col(c).alias(f"b_{c}") for c in lanes])
     near = hamming([F.col(f"a_{c}") for c in lanes], [F.col(f"b_{c}") for c in lanes])
-    return a.join(b, "_band").filter("a < b").withColumn("bits", near).filter(F.col("bits") <= most).select("a", "b", "bits").distinct()
+    met = a.join(b, ["band", "key"]).filter("a < b").withColumn("bits", near).filter(F.col("bits") <= most)
+    return met.select("a", "b", "bits").distinct().unionByName(copies)
 
 
 def merged_sets(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """pairs: a, b, priority. node, set_id (smallest node) and priority (least of the set's pairs) of every node."""
+    """pairs: a, b, priority. node, set_id (smallest node) and priority (least of the set's pairs) of every node.
+
+    Each round takes the least label of the neighbours and the label's own label; not to settle is an error.
+    """
     pairs = settle(pairs.select("a", "b", "priority"))
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
@@ -69,6 +77,8 @@ def merged_sets(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
         labels = new
         if settled:
             break
+    else:
+        raise ValueError(f"sets did not settle in {most_rounds} rounds")
     kinds = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.min("priority").alias("priority"))
     return labels.join(kinds, "label").select("node", F.col("label").alias("set_id"), "priority")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: A side of at most so many rows may be broadcast; beyond it Spark chooses.
 MOST_BROADCAST = 100_000
+NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
 def small(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
@@ -67,13 +68,22 @@ def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -
 
 
 def lexicon_hits(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """lexicon: name, alias. Per text and name the earliest place of any alias as a whole word, whatever its case.
+    """lexicon: name, alias. Per text and name the earliest place of any alias as whole words, whatever its case.
 
-    Single-word aliases are hash-joined with the texts' words; no text is compared with the whole lexicon.
+    An alias may have several words. The first words of aliases are hash-joined with the texts' different words, and
+    only what meets is searched for the whole alias; no text is compared with the whole lexicon.
     """
-    words = texts.select(id_col, F.posexplode(F.split(F.lower(text_col), r"[^\p{L}\p{N}_]+")).alias("at", "word"))
-    met = words.join(small(lexicon.select("name", F.lower("alias").alias("word"))), "word")
-    return met.groupBy(id_col, "name").agg(F.min("at").alias("first_at"))
+    words = texts.select(id_col, F.col(text_col).alias("_text"), F.array_distinct(F.split(F.lower(text_col), f"{NOT_WORD}+")).alias("_words"))
+    words = words.select(id_col, "_text", F.explode("_words").alias("word"))
+    first = F.regexp_extract(F.lower("alias"), r"([\p{L}\p{N}_]+)", 1)
+    named = lexicon.select("name", first.alias("word"), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}_])")).alias("_whole"))
+    met = words.join(small(named), "word").withColumn("_at", F.regexp_instr("_text", F.col("_whole"))).filter("_at > 0")
+    return met.groupBy(id_col, "name").agg(F.min("_at").alias("first_at"))
+
+
+def first_by_priority(hits: DataFrame, id_col: str, ranked: DataFrame, to: str) -> DataFrame:
+    """ranked: name, priority and what it stands for. Of the names that a text holds, what the first by priority stands for."""
+    return hits.join(small(ranked), "name").groupBy(id_col).agg(F.min_by(to, "priority").alias(to))
 
 
 def names_in_order(hits: DataFrame, id_col: str) -> DataFrame:
@@ -102,7 +112,8 @@ def interval_join(points: DataFrame, spans: DataFrame, key: str, at: str, start:
 
 
 def levels_from(edges: DataFrame, root, parent: str = "parent", child: str = "child", most: int = 50, settle=None) -> DataFrame:
-    """Breadth-first levels of a graph: node, level. Each level's new nodes are those not met before.
+    """Breadth-first levels of a graph: node, level. Each level's new nodes are those not met before. A graph of more
+    levels than ``most`` is an error.
 
     settle: cuts the lineage of a level (a written table on a cluster); None leaves it to Spark.
     """
@@ -115,4 +126,4 @@ def levels_from(edges: DataFrame, root, parent: str = "parent", child: str = "ch
         if front.isEmpty():
             return seen
         seen = settle(seen.unionByName(front))
-    return seen
+    raise ValueError(f"the graph has more than {most} levels")

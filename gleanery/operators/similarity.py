@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_REFERENCES = 50_000
+MOST_NUMBERS = 4_000_000  # of all reference vectors that one task holds
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,9 +20,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3) -> DataFrame:
-    """Per vector: mean, median, max similarity to the references, mean of the k best, nearest reference (ties: smallest id)."""
-    held = sorted(references.select(ref_col, vector_col).limit(MOST_REFERENCES + 1).collect(), key=lambda r: r[0])
-    if len(held) > MOST_REFERENCES or not held:
+    """Per vector: mean, median, max similarity to the references, mean of the k best, nearest reference (ties: smallest id).
+
+    Null vectors take no part, on either side. Without references there are no rows.
+    """
+    vectors, references = (rows.filter(F.col(vector_col).isNotNull()) for rows in (vectors, references))
+    first = references.select(F.size(vector_col)).first()
+    most = max(1, MOST_NUMBERS // max(1, first[0])) if first else 0
+    held = sorted(references.select(ref_col, vector_col).limit(most + 1).collect(), key=lambda r: r[0])
+    if len(held) > most or not held:
         return _scored_by_join(vectors, references, id_col, ref_col, vector_col, k)
     names, matrix = [r[0] for r in held], np.array([r[1] for r in held], np.float64)
     told = vectors.sparkSession.sparkContext.broadcast((names, matrix))
@@ -63,13 +69,23 @@ def diversity(rows: DataFrame, group: str, vector_col: str, width: int) -> DataF
     return made.select(group, "n", F.when((F.col("n") > 1) & (F.col("n") == F.col("_held")), value).alias("diversity"))
 
 
+def exact_mean(value: Column, digits: int = 4, held: int = 4) -> Column:
+    """The mean of numbers of ``held`` decimals, rounded half up from whole numbers, so that sums have no order."""
+    total, n = F.sum(F.round(value * 10**held).cast("long")), F.count(value)
+    unit = 10 ** (held - digits)
+    return F.when(n > 0, F.floor((2 * total + unit * n) / (2 * unit * n)) / 10**digits)
+
+
 def delta_stats(pairs: DataFrame, metrics: list[str]) -> DataFrame:
-    """For each metric of paired runs (x and base_x): means of both sides, mean difference, how many pairs rise."""
+    """For each metric of paired runs (x and base_x): means of both sides, mean difference, how many pairs rise.
+
+    Metrics have four decimals at most.
+    """
     stacked = pairs.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x"), F.col(f"base_{m}").alias("y")) for m in metrics])).alias("r")).select("r.*")
     d = F.col("x") - F.col("y")
     return stacked.groupBy("metric").agg(
-        F.round(F.avg("x"), 4).alias("run_mean"),
-        F.round(F.avg("y"), 4).alias("base_mean"),
-        F.round(F.avg(d), 4).alias("mean_delta"),
+        exact_mean(F.col("x")).alias("run_mean"),
+        exact_mean(F.col("y")).alias("base_mean"),
+        exact_mean(d).alias("mean_delta"),
         F.concat(F.count_if(d > 0).cast("string"), F.lit("/"), F.count(d).cast("string"), F.lit(" pairs")).alias("higher_in"),
     )

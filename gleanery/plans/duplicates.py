@@ -12,22 +12,22 @@ MOST_BITS = 34
 
 
 def _hashed(spark, sf):
-    docs = table(spark, sf, "documents").filter("doc_id < 800")
     lanes = G.hex_lanes(F.md5("text"), 2)
-    return docs.select("doc_id", "n_chars", lanes[0].alias("h0"), lanes[1].alias("h1"))
+    return table(spark, sf, "documents").select("doc_id", "n_chars", lanes[0].alias("h0"), lanes[1].alias("h1"))
 
 
 def hamming_pairs(spark, sf):
+    """Pairs of the smallest ids of hashes, and every other id with the smallest of its hash."""
     return G.hamming_pairs(_hashed(spark, sf), "doc_id", ["h0", "h1"], MOST_BITS)
 
 
 def _sets(spark, sf):
-    """Exact copies, curated pairs (ids 10 apart under 60) and near hashes, by priority."""
+    """Exact copies, curated pairs (those of a list: a benchmark item's id and the one 10 above) and near hashes, by priority."""
     docs = table(spark, sf, "documents")
     keyed = docs.select("doc_id", F.md5("text").alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("a"))
     exact = keyed.join(first, "digest").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("priority"))
-    curated = docs.filter("doc_id < 60 AND doc_id % 20 < 10").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 10).alias("b"), F.lit(1).alias("priority"))
+    curated = table(spark, sf, "benchmark").filter("item_id % 20 < 10").select(F.col("item_id").alias("a"), (F.col("item_id") + 10).alias("b"), F.lit(1).alias("priority"))
     near = hamming_pairs(spark, sf).select("a", "b", F.lit(2).alias("priority"))
     return exact.unionByName(curated).unionByName(near)
 
@@ -43,11 +43,11 @@ def component_survivor(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (hamming_pairs, dup_components, component_survivor)}
-_H = "h AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 16))::UBIGINT AS h0, ('0x' || substr(md5(text), 17, 16))::UBIGINT AS h1 FROM documents WHERE doc_id < 800)"
-_NEAR = f"near AS (SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)))::INT AS bits FROM h a JOIN h b ON a.doc_id < b.doc_id WHERE bits <= {MOST_BITS})"
+_H = "h AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 16))::UBIGINT AS h0, ('0x' || substr(md5(text), 17, 16))::UBIGINT AS h1 FROM documents), r AS (SELECT h0, h1, min(doc_id) AS doc_id FROM h GROUP BY 1, 2)"
+_NEAR = f"near AS (SELECT a.doc_id AS a, b.doc_id AS b, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)))::INT AS bits FROM r a JOIN r b ON a.doc_id < b.doc_id WHERE bits <= {MOST_BITS} UNION ALL SELECT r.doc_id, h.doc_id, 0 FROM h JOIN r USING (h0, h1) WHERE h.doc_id <> r.doc_id)"
 _SETS = f"""WITH RECURSIVE {_H}, {_NEAR}, k AS (SELECT doc_id, md5(text) AS digest FROM documents),
 pairs AS (SELECT f.a, k.doc_id AS b, 0 AS priority FROM k JOIN (SELECT digest, min(doc_id) AS a FROM k GROUP BY 1) f USING (digest) WHERE k.doc_id <> f.a
-UNION ALL SELECT doc_id, doc_id + 10, 1 FROM documents WHERE doc_id < 60 AND doc_id % 20 < 10 UNION ALL SELECT a, b, 2 FROM near),
+UNION ALL SELECT item_id, item_id + 10, 1 FROM benchmark WHERE item_id % 20 < 10 UNION ALL SELECT a, b, 2 FROM near),
 both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
 labels AS (SELECT node, min(other) AS set_id FROM reach GROUP BY 1), kinds AS (SELECT set_id, min(priority) AS priority FROM pairs JOIN labels ON node = a GROUP BY 1),
 sets AS (SELECT node, set_id, priority FROM labels JOIN kinds USING (set_id)) """

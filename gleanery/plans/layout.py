@@ -54,7 +54,7 @@ def seeded_shuffle(spark, sf):
 
 
 def _steps(spark, sf):
-    return table(spark, sf, "events").filter("user_id < 30").select("user_id", "event_id", (F.col("event_id") % 997).alias("step"), "value")
+    return table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 997).alias("step"), "value")
 
 
 def moving_avg_range(spark, sf):
@@ -113,7 +113,7 @@ QUERIES = {f.__name__: f for f in (aspect_buckets, nearest_bucket, resize_geomet
 _BUCKETS = "b AS (SELECT w AS bw, h AS bh FROM range(64, 961, 64) x(w), range(64, 961, 64) y(h) WHERE greatest(w, h) / least(w, h) <= 1.75 AND abs(w * h - 262144) <= 0.15 * 262144)"
 _SIZES = "s AS (SELECT p_partkey, p_size::BIGINT * 17 + 300 AS w, p_partkey % 600 + 400 AS h FROM part)"
 _NEAREST = f"{_SIZES}, {_BUCKETS}, n AS (SELECT p_partkey, w, h, min_by((bw, bh), (round(abs(ln(w / h) - ln(bw / bh)), 12), bw, bh)) AS k FROM s, b GROUP BY ALL), z AS (SELECT p_partkey, w, h, k[1]::INT AS bucket_w, k[2]::INT AS bucket_h FROM n)"
-_STEPS = "t AS (SELECT user_id, event_id, event_id % 997 AS step, value FROM events WHERE user_id < 30)"
+_STEPS = "t AS (SELECT user_id, event_id, event_id % 997 AS step, value FROM events)"
 ORACLE_SQL = {
     "aspect_buckets": f"WITH {_BUCKETS} SELECT bw::INT AS w, bh::INT AS h FROM b",
     "nearest_bucket": f"WITH {_NEAREST} SELECT p_partkey, bucket_w, bucket_h FROM z",

@@ -12,7 +12,7 @@ JOINTS = 6
 
 def _persons(spark, sf):
     """Persons of the first turns of conversations: joints from the text's length, some unseen."""
-    parts = table(spark, sf, "part").filter("p_partkey <= 300")
+    parts = table(spark, sf, "part")
     joint = lambda k, shift: F.when((F.col("p_partkey") + k) % 4 > 0, F.struct(((F.col("p_partkey") * (k + 3) + shift) % 40 / 100).alias("x"), ((F.col("p_size") * (k + 1)) % 30 / 100).alias("y")))
     person = lambda shift: F.array(*[joint(k, shift) for k in range(JOINTS)])
     generated = F.when(F.col("p_partkey") % 7 == 0, F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array(person(3), person(9)))
@@ -26,7 +26,7 @@ def pck_score(spark, sf):
 
 def map_gate(spark, sf):
     """Questions about persons drop out of an answer map where nobody is counted."""
-    events = table(spark, sf, "events").filter("event_id < 2000")
+    events = table(spark, sf, "events")
     answers = F.create_map(F.lit("pose"), F.lit("sitting"), F.lit("place"), F.col("event_type"), F.lit("dress"), F.lit("blue"))
     count = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 3)
     kept = F.map_filter(answers, lambda k, v: ~(k.isin("pose", "dress") & F.coalesce(count == 0, F.lit(False))))
@@ -50,7 +50,7 @@ def payload_flatten(spark, sf):
 def picture_hashes(spark, sf):
     """Gradient and average bits of 4 x 5 gray pictures made from part keys."""
     gray = F.array(*[F.array(*[(F.col("p_partkey") * (7 * r + 3 * c + 1) % 251).cast("double") for c in range(5)]) for r in range(4)])
-    return table(spark, sf, "part").filter("p_partkey <= 200").select("p_partkey", G.gradient_hash(gray).alias("gradient"), G.average_hash(gray).alias("average"))
+    return table(spark, sf, "part").select("p_partkey", G.gradient_hash(gray).alias("gradient"), G.average_hash(gray).alias("average"))
 
 
 QUERIES = {f.__name__: f for f in (pck_score, map_gate, json_props, payload_flatten, picture_hashes)}
@@ -58,12 +58,12 @@ _CELL = lambda r, c: f"(p_partkey * {7 * r + 3 * c + 1} % 251)"
 _ALL = [_CELL(r, c) for r in range(4) for c in range(5)]
 _MEAN = "((" + " + ".join(_ALL) + ") / 20)"
 ORACLE_SQL = {
-    "pck_score": f"""WITH p AS (SELECT * FROM part WHERE p_partkey <= 300), j AS (SELECT p_partkey, k, s, CASE WHEN (p_partkey + k) % 4 > 0 THEN ((p_partkey * (k + 3) + s) % 40) / 100 END AS x, ((p_size * (k + 1)) % 30) / 100 AS y FROM p, range({JOINTS}) t(k), (VALUES (0), (5), (3), (9)) v(s)),
+    "pck_score": f"""WITH p AS (SELECT * FROM part), j AS (SELECT p_partkey, k, s, CASE WHEN (p_partkey + k) % 4 > 0 THEN ((p_partkey * (k + 3) + s) % 40) / 100 END AS x, ((p_size * (k + 1)) % 30) / 100 AS y FROM p, range({JOINTS}) t(k), (VALUES (0), (5), (3), (9)) v(s)),
         h AS (SELECT a.p_partkey, a.s AS r, b.s AS g, count(*) FILTER (WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1) / count(a.x) AS share FROM j a JOIN j b ON a.p_partkey = b.p_partkey AND a.k = b.k WHERE a.s IN (0, 5) AND b.s IN (3, 9) GROUP BY ALL),
         m AS (SELECT p_partkey, avg(best) AS score FROM (SELECT p_partkey, r, max(share) AS best FROM h GROUP BY ALL) GROUP BY 1)
         SELECT p.p_partkey, CASE WHEN p.p_partkey % 11 = 0 THEN NULL WHEN p.p_partkey % 7 = 0 THEN 0.0::DOUBLE ELSE round(score, 6) END AS score FROM p JOIN m USING (p_partkey)""",
-    "map_gate": "SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 3 = 0 THEN 'place' ELSE 'dress,place,pose' END AS questions FROM events WHERE event_id < 2000",
+    "map_gate": "SELECT event_id, CASE WHEN event_id % 5 > 0 AND event_id % 3 = 0 THEN 'place' ELSE 'dress,place,pose' END AS questions FROM events",
     "json_props": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS most FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY 1",
     "payload_flatten": "SELECT r_regionkey::VARCHAR AS id, r_name AS title, CASE WHEN r_regionkey % 2 = 0 THEN 'cc' ELSE 'unknown' END AS license FROM region",
-    "picture_hashes": "SELECT p_partkey, " + " || ".join(f"CASE WHEN {_CELL(r, c)} > {_CELL(r, c - 1)} THEN '1' ELSE '0' END" for r in range(4) for c in range(1, 5)) + " AS gradient, " + " || ".join(f"CASE WHEN {x} > {_MEAN} THEN '1' ELSE '0' END" for x in _ALL) + " AS average FROM part WHERE p_partkey <= 200",
+    "picture_hashes": "SELECT p_partkey, " + " || ".join(f"CASE WHEN {_CELL(r, c)} > {_CELL(r, c - 1)} THEN '1' ELSE '0' END" for r in range(4) for c in range(1, 5)) + " AS gradient, " + " || ".join(f"CASE WHEN {x} > {_MEAN} THEN '1' ELSE '0' END" for x in _ALL) + " AS average FROM part",
 }

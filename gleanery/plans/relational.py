@@ -63,7 +63,7 @@ def as_of_join(spark, sf):
 
 def interval_join(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 5000).cast("double").alias("at"))
-    spans = table(spark, sf, "orders").filter("o_orderkey < 3000").select(F.col("o_custkey").alias("user_id"), "o_orderkey", (F.col("o_orderkey") * 1.5).cast("double").alias("start")).withColumn("end", F.col("start") + 400)
+    spans = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderkey", (F.col("o_orderkey") * 1.5).cast("double").alias("start")).withColumn("end", F.col("start") + 400)
     return joins.interval_join(events, spans, "user_id", "at", "start", "end", 250.0).select("event_id", "o_orderkey")
 
 
@@ -80,7 +80,7 @@ def grouping_sets(spark, sf):
 
 def window_ranks(spark, sf):
     w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    orders = table(spark, sf, "orders").filter("o_orderkey <= 4000")
+    orders = table(spark, sf, "orders")
     return orders.select("o_orderkey", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("percent"), F.round(F.cume_dist().over(w), 6).alias("cume"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey", 2).over(w).alias("after"), F.nth_value("o_orderkey", 3).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("third"))
 
 
@@ -144,10 +144,10 @@ ORACLE_SQL = {
     "forecast_revenue": "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity < 24",
     "semi_anti_full": "WITH o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 100000) SELECT 'semi' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (FROM o) UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (FROM o) UNION ALL SELECT 'full', count(*) FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20",
     "as_of_join": "WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(round(value, 6)) AS value FROM events WHERE event_type <> 'purchase' GROUP BY 1, 2) SELECT event_id, value AS latest FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts",
-    "interval_join": "SELECT event_id, o_orderkey FROM events JOIN orders ON user_id = o_custkey AND o_orderkey < 3000 AND event_id % 5000 >= o_orderkey * 1.5 AND event_id % 5000 < o_orderkey * 1.5 + 400",
+    "interval_join": "SELECT event_id, o_orderkey FROM events JOIN orders ON user_id = o_custkey AND event_id % 5000 >= o_orderkey * 1.5 AND event_id % 5000 < o_orderkey * 1.5 + 400",
     "cube_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
     "grouping_sets": "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())",
-    "window_ranks": "SELECT o_orderkey, rank() OVER w::INT AS rank, dense_rank() OVER w::INT AS dense, ntile(4) OVER w::INT AS quarter, round(percent_rank() OVER w, 6) AS percent, round(cume_dist() OVER w, 6) AS cume, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, nth_value(o_orderkey, 3) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM orders WHERE o_orderkey <= 4000 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)",
+    "window_ranks": "SELECT o_orderkey, rank() OVER w::INT AS rank, dense_rank() OVER w::INT AS dense, ntile(4) OVER w::INT AS quarter, round(percent_rank() OVER w, 6) AS percent, round(cume_dist() OVER w, 6) AS cume, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after, nth_value(o_orderkey, 3) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)",
     "set_operations": "WITH a AS (SELECT o_custkey AS k FROM orders), b AS (SELECT c_custkey * 2 AS k FROM customer) " + " UNION ALL ".join(f"SELECT '{n}' AS op, count(*) AS n, sum(k)::BIGINT AS total FROM (FROM a {sql} FROM b)" for n, sql in (("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL"), ("union", "UNION"))),
     "distinct_counts": "SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT (l_partkey, l_suppkey)) AS pairs FROM lineitem GROUP BY 1",
     "percentiles": "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(stddev(o_totalprice), 2) AS deviation FROM orders GROUP BY 1",

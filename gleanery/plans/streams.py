@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from gleanery.operators import groups
-from gleanery.session import table
+from gleanery.session import shared_path, table
 from gleanery.streaming import events as E
 
 
@@ -32,15 +29,44 @@ def first_of_kind(spark, sf):
 
 def streamed_tumbling(spark, sf):
     """The tumbling windows that a stream over the table's file has closed when it ends."""
-    source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    made = E.windowed(E.timed(source, "ts", "10 minutes"), "ts", "1 hour", None, ["event_type"], F.count("*").alias("n"))
-    groups.settle(spark.range(1))  # sets the shared folder where it is unset
-    place = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    made = E.windowed(E.timed(_stream(spark, sf), "ts", "10 minutes"), "ts", "1 hour", None, ["event_type"], F.count("*").alias("n"))
+    return _drained(spark, made)
+
+
+def _stream(spark, sf):
+    return spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+
+
+def _drained(spark, made):
+    place = shared_path(spark, "stream")
     return E.drained(made, f"{place}/out", f"{place}/state")
 
 
-QUERIES = {f.__name__: f for f in (tumbling_window, sliding_window, session_window, first_of_kind, streamed_tumbling)}
+def streamed_once(spark, sf):
+    """Users and kinds, each once on a stream whose watermark reaches over all events."""
+    return _drained(spark, E.once(E.timed(_stream(spark, sf), "ts", "36500 days"), ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
+def streamed_join(spark, sf):
+    """A stream with the names of its users."""
+    names = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return _drained(spark, E.enriched(_stream(spark, sf).select("event_id", "user_id"), names, "user_id"))
+
+
+def streamed_upsert(spark, sf):
+    """The latest event of each user, kept by batches of a stream."""
+    place = shared_path(spark, "upsert")
+    stream = _stream(spark, sf).select("user_id", "event_id", "event_type")
+    query = stream.writeStream.foreachBatch(E.upsert_into(f"{place}/out", ["user_id"], "event_id")).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out/{(query.lastProgress['batchId'] if query.lastProgress else 0) % 2}")
+
+
+QUERIES = {f.__name__: f for f in (tumbling_window, sliding_window, session_window, first_of_kind, streamed_tumbling, streamed_once, streamed_join, streamed_upsert)}
 ORACLE_SQL = {
+    "streamed_once": "SELECT DISTINCT user_id, event_type FROM events",
+    "streamed_join": "SELECT event_id, user_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey",
+    "streamed_upsert": "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "tumbling_window": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "sliding_window": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS start, count(*) AS n FROM events, range(2) t(k) GROUP BY 1",
     "session_window": """WITH g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, TRUE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)

@@ -54,20 +54,20 @@ def group_diversity(spark, sf):
 
 
 def _images(spark, sf):
-    events = table(spark, sf, "events").filter("user_id < 60")
+    events = table(spark, sf, "events")
     prompt = F.coalesce(F.nullif(F.when(F.col("user_id") % 9 > 0, F.concat(F.lit("p"), (F.col("user_id") % 12).cast("string"))), F.lit("")), F.concat(F.lit("e"), (F.col("event_id") % 4).cast("string")))
     return events.select(prompt.alias("prompt_id"), (F.col("event_id") % 4).alias("seed"), "event_id", F.round("value", 4).alias("style"), F.when(F.col("event_id") % 6 > 0, F.round(F.col("value") / 3, 4)).alias("adherence"), (F.col("event_id") % 2 == 0).alias("is_run"))
 
 
 def per_prompt_rollup(spark, sf):
-    return _images(spark, sf).groupBy("prompt_id").agg(F.count("*").alias("n"), F.round(F.avg("style"), 4).alias("style"), F.round(F.avg("adherence"), 4).alias("adherence"), F.max("style").alias("best"))
+    return _images(spark, sf).groupBy("prompt_id").agg(F.count("*").alias("n"), S.exact_mean(F.col("style")).alias("style"), S.exact_mean(F.col("adherence")).alias("adherence"), F.max("style").alias("best"))
 
 
 def two_level_summary(spark, sf):
     """Means of values rounded per image, and the mean of means rounded per prompt."""
     images = _images(spark, sf)
-    flat = images.agg(F.round(F.avg("style"), 4).alias("style"), F.round(F.avg("adherence"), 4).alias("adherence"), F.count("*").alias("n"))
-    prompts = per_prompt_rollup(spark, sf).agg(F.round(F.avg("style"), 4).alias("style_by_prompt"))
+    flat = images.agg(S.exact_mean(F.col("style")).alias("style"), S.exact_mean(F.col("adherence")).alias("adherence"), F.count("*").alias("n"))
+    prompts = per_prompt_rollup(spark, sf).agg(S.exact_mean(F.col("style")).alias("style_by_prompt"))
     return flat.join(F.broadcast(prompts))
 
 
@@ -80,15 +80,16 @@ def paired_delta_stats(spark, sf):
 
 def variant_means(spark, sf):
     rows = _images(spark, sf).withColumn("variant", F.concat(F.lit("v"), F.col("seed").cast("string")))
-    return rows.groupBy("is_run").pivot("variant", ["v0", "v1", "v2", "v3"]).agg(F.round(F.avg("adherence"), 3))
+    return rows.groupBy("is_run").pivot("variant", ["v0", "v1", "v2", "v3"]).agg(S.exact_mean(F.col("adherence"), 3))
 
 
 QUERIES = {f.__name__: f for f in (topk_mean_sim, nearest_ref, sim_mean_median, leak_flag, exclude_self_sim, group_diversity, per_prompt_rollup, two_level_summary, paired_delta_stats, variant_means)}
 _SIMS = """WITH s AS (SELECT a.vec_id, b.vec_id AS ref, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 5 <> 0 AND b.vec_id % 5 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref) AS rn FROM s) """
 _IMAGES = """images AS (SELECT coalesce(nullif(CASE WHEN user_id % 9 > 0 THEN 'p' || (user_id % 12) END, ''), 'e' || (event_id % 4)) AS prompt_id, event_id % 4 AS seed, event_id, round(value, 4) AS style,
-CASE WHEN event_id % 6 > 0 THEN round(value / 3, 4) END AS adherence, event_id % 2 = 0 AS is_run FROM events WHERE user_id < 60)"""
-_ROLLUP = "SELECT prompt_id, count(*) AS n, round(avg(style), 4) AS style, round(avg(adherence), 4) AS adherence, max(style) AS best FROM images GROUP BY 1"
+CASE WHEN event_id % 6 > 0 THEN round(value / 3, 4) END AS adherence, event_id % 2 = 0 AS is_run FROM events)"""
+_MEAN = lambda x, digits=4: f"floor((2 * sum(round({x} * 10000)::BIGINT) + {10 ** (4 - digits)} * count({x})) / (2.0::DOUBLE * {10 ** (4 - digits)} * count({x}))) / {10**digits}"
+_ROLLUP = f"SELECT prompt_id, count(*) AS n, {_MEAN('style')} AS style, {_MEAN('adherence')} AS adherence, max(style) AS best FROM images GROUP BY 1"
 ORACLE_SQL = {
     "topk_mean_sim": _SIMS + "SELECT vec_id, round(avg(s), 4) AS top3 FROM r WHERE rn <= 3 GROUP BY 1",
     "nearest_ref": _SIMS + "SELECT vec_id, ref AS nearest, round(s, 4) AS similarity FROM r WHERE rn = 1",
@@ -98,10 +99,10 @@ ORACLE_SQL = {
     "group_diversity": """WITH v AS (SELECT vec_id, label, CASE WHEN NOT (label = 3 AND vec_id < 40) THEN embedding::DOUBLE[] END AS e FROM embeddings), n AS (SELECT label, count(*) AS n, count(e) AS held FROM v GROUP BY 1),
         p AS (SELECT a.label, round(avg(1 - list_dot_product(a.e, b.e)), 4) AS d FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1) SELECT label, n, CASE WHEN n > 1 AND n = held THEN d END AS diversity FROM n LEFT JOIN p USING (label)""",
     "per_prompt_rollup": f"WITH {_IMAGES} {_ROLLUP}",
-    "two_level_summary": f"WITH {_IMAGES}, p AS ({_ROLLUP}) SELECT round(avg(style), 4) AS style, round(avg(adherence), 4) AS adherence, count(*) AS n, (SELECT round(avg(style), 4) FROM p) AS style_by_prompt FROM images",
+    "two_level_summary": f"WITH {_IMAGES}, p AS ({_ROLLUP}) SELECT {_MEAN('style')} AS style, {_MEAN('adherence')} AS adherence, count(*) AS n, (SELECT {_MEAN('style')} FROM p) AS style_by_prompt FROM images",
     "paired_delta_stats": f"""WITH {_IMAGES}, g AS (SELECT prompt_id, seed, is_run, max_by(style, event_id) AS style, arg_max_null(adherence, event_id) AS adherence FROM images GROUP BY ALL),
         p AS (SELECT r.style, r.adherence, b.style AS base_style, b.adherence AS base_adherence FROM g r JOIN g b ON r.is_run AND NOT b.is_run AND r.prompt_id = b.prompt_id AND r.seed = b.seed - 1),
         s AS (SELECT 'style' AS metric, style AS x, base_style AS y FROM p UNION ALL SELECT 'adherence', adherence, base_adherence FROM p)
-        SELECT metric, round(avg(x), 4) AS run_mean, round(avg(y), 4) AS base_mean, round(avg(x - y), 4) AS mean_delta, count(*) FILTER (WHERE x - y > 0) || '/' || count(x - y) || ' pairs' AS higher_in FROM s GROUP BY 1""",
-    "variant_means": f"WITH {_IMAGES} SELECT is_run, " + ", ".join(f"round(avg(adherence) FILTER (WHERE seed = {k}), 3) AS v{k}" for k in range(4)) + " FROM images GROUP BY 1",
+        SELECT metric, {_MEAN('x')} AS run_mean, {_MEAN('y')} AS base_mean, {_MEAN('(x - y)')} AS mean_delta, count(*) FILTER (WHERE x - y > 0) || '/' || count(x - y) || ' pairs' AS higher_in FROM s GROUP BY 1""",
+    "variant_means": f"WITH {_IMAGES} SELECT is_run, " + ", ".join(f"{_MEAN(f'(CASE WHEN seed = {k} THEN adherence END)', 3)} AS v{k}" for k in range(4)) + " FROM images GROUP BY 1",
 }

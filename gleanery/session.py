@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +30,14 @@ def make_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's Parquet tables, whatever store sf_dir lies in."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; only a local session without that setting gets a temporary one."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="gleanery-")
+        spark.sparkContext.setCheckpointDir(place)
+    return f"{place.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -35,18 +35,18 @@ def split_by_suffix(files: DataFrame, allowed: Sequence[str]) -> tuple[DataFrame
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str, required: str) -> tuple[DataFrame, DataFrame]:
-    """Rows and issues. One bad line, or one without the required field, rejects the whole file: rows are then empty
-    and each bad line is an issue with its number. Blank lines are skipped.
+    """Rows and issues of the files of a path. One bad line, or one without the required field, rejects its whole file:
+    that has no rows then, and each bad line is an issue with its file and number. Blank lines are skipped.
 
     A file is read as one, since a line's number is its place in the file.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter(F.trim("line") != "")
-    parsed = lines.select((F.col("at") + 1).alias("line_no"), F.from_json("line", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter(F.trim("line") != "")
+    parsed = lines.select("path", (F.col("at") + 1).alias("line_no"), F.from_json("line", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
     wrong = F.col("r").isNull() | F.col(f"r.{BAD}").isNotNull() | F.col(f"r.{required}").isNull()
-    issues = parsed.filter(wrong).select(F.lit("error").alias("severity"), F.lit("invalid_metadata").alias("category"), F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("message"))
-    rows = parsed.filter(~wrong).select("line_no", "r.*").drop(BAD)
-    return (rows if issues.isEmpty() else rows.limit(0)), issues
+    issues = parsed.filter(wrong).select(F.lit("error").alias("severity"), F.lit("invalid_metadata").alias("category"), "path", F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("message"))
+    rows = parsed.filter(~wrong).select("path", "line_no", "r.*").drop(BAD)
+    return rows.join(issues.select("path").distinct(), "path", "left_anti").drop("path"), issues
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -67,9 +67,9 @@ def read_manifest(spark: SparkSession, path: str, schema: str, fallback: str | N
     raise FileNotFoundError(path)
 
 
-def read_sidecars(spark: SparkSession, root: str, schema: str) -> DataFrame:
+def read_sidecars(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
     """One JSON object per file, with the file's stem; what is corrupt has nulls."""
-    held = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(root)
+    held = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", glob).json(root)
     return held.select(stem(F.col("_metadata.file_path")).alias("stem"), *held.columns)
 
 
