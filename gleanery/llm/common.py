@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,6 +48,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_count(rows: DataFrame, megabytes: int = 64) -> int:
+    """Buckets for what is made of rows: the shuffle partitions, or as many as the scan has parts of so many megabytes, if Spark knows."""
+    size, least = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), shuffle_partitions(rows.sparkSession)
+    return max(least, size // (megabytes << 20)) if size < 1 << 55 else least  # of unknown sizes Spark says 2^63
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of a few MB, unless the session says otherwise: long texts then need little memory."""
     for key, value in (("maxBytesPerBatch", "4194304"), ("maxRecordsPerBatch", "2000")):
@@ -162,7 +169,7 @@ def split_by_bucket(bucket: np.ndarray, columns: dict[str, np.ndarray]):
     ends = np.concatenate([cuts[1:], [len(bucket)]]).astype(np.int64)
     arrays = [pa.array(bucket[cuts].astype(np.int32))]
     for values in columns.values():
-        values = values[order]
+        values = values[order] if len(values) else values  # a column that these rows do not have
         arrays.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)], pa.binary()))
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", *columns])
 
@@ -186,6 +193,6 @@ def by_bucket(batches, kinds: dict[str, type]):
         yield done()
 
 
-def exchange(rows: DataFrame) -> DataFrame:
-    """Rows of split_by_bucket, each bucket in one task."""
-    return rows.repartition(shuffle_partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket")
+def exchange(rows: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Rows of split_by_bucket, each bucket in one task; a bucket's number is its partition's, so none gets two while others get none."""
+    return rows.repartitionById(buckets or shuffle_partitions(rows.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")

@@ -1,13 +1,19 @@
 """Exact substring deduplication by recompression.
 
 Texts are sequences of word hashes. Rounds name maximal runs of one symbol and then pairs of neighbours (a symbol of
-a left class followed by one of a right class); names are hashes of what they stand for, so all tasks give equal
-substrings equal names without asking each other. A symbol knows the span of words that decided it. Equal windows
-have equal symbols wherever that span lies inside, so every window takes, of the high-level symbols decided inside
-it, the one of the smallest hash as its witness. Only windows whose witness occurs elsewhere can repeat; these are
-compared by the hash of all their words, and each that starts earlier elsewhere has its words removed.
+a left class followed by one of a right class); names are hashes of what they stand for and classes are hashes of
+names, so all tasks of a round give equal substrings equal names without a table of names. Rounds go on until a text is
+one symbol or nothing pairs; symbols of all rounds then meet across the corpus in two Spark rounds:
 
-A key that a task meets often goes to its bucket once; what is known to repeat already is spread over all buckets.
+* The symbols of high rounds, as long as a window or longer, meet by 128 bits of their words. Every window inside of
+  one that starts earlier elsewhere repeats, and needs no look of its own: a long repeat costs a few symbols.
+* A symbol of a low round knows the span of words that decided it. Equal windows have equal symbols wherever that span
+  lies inside, so every window takes, of the symbols decided inside it, one of the highest round, of the smallest hash,
+  as its witness. Only windows whose witness occurs elsewhere can repeat; those that no long symbol settled are compared
+  by 128 bits of their words in the second round.
+
+Each window that starts earlier elsewhere has its words removed. A key that a task meets often goes to its bucket once;
+what is known to repeat already is spread over all buckets.
 
 Defined cases: null and empty texts have no words; texts shorter than a window stay whole; rows with a null id stay
 whole and are not compared; rows of one id are one document (what is removed from one is removed from the other at
@@ -21,10 +27,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Words, bound_batches, by_bucket, exchange, mix, shuffle_partitions, split_by_bucket, text_slices
+from gleanery.llm.common import Words, bound_batches, bucket_count, by_bucket, exchange, mix, split_by_bucket, stash, text_slices
 
-ROUNDS, LONGEST = 2, 4
+#: Rounds whose symbols keep the span that decides them (further ones outgrow it), and the most rounds in all.
+LOW_ROUNDS, ROUNDS = 4, 48
 BASE = np.uint64(0xD6E8FEB86659FD93)
+SECOND = np.uint64(0xA24BAED4963EE407)  # the base of the second 64 bits of a hash of words
 FLUSH = 1_000_000
 
 
@@ -38,40 +46,47 @@ def _neighbour(values: np.ndarray, same: np.ndarray, back: bool, outside: np.nda
     return out
 
 
-def recompress(words: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, longest: int = LONGEST):
-    """Symbols of all texts after the rounds: name, first word, end, and the span of words that decides the symbol."""
+def recompress(words: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, low_rounds: int = LOW_ROUNDS):
+    """After every round the symbols of all texts: round, name, first word, end and, in the first ``low_rounds``, the
+    span of words that decides the symbol."""
     n = len(words)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     name, start, end = words, np.arange(n), np.arange(1, n + 1)
     low, high = start, end
+    idle = 0
     for number in range(rounds):
-        for step in ("runs", "pairs"):
-            if len(name) < 2:
-                break
-            same = text[1:] == text[:-1]
-            before, after = _neighbour(low, same, True, at[text] - 1), _neighbour(high, same, False, at[text + 1] + 1)
-            if step == "runs":
-                joins = same & (name[1:] == name[:-1])
-            else:
-                left = (mix(name + np.uint64(number + 1)) & np.uint64(1)).astype(bool)
-                joins = same & left[:-1] & ~left[1:] & (end[1:] - start[:-1] <= longest)
+        if len(name) < 2 or idle == 8:
+            return
+        known, before = number < low_rounds, len(name)
+        same = text[1:] == text[:-1]
+        joins = same & (name[1:] == name[:-1])
+        if known or joins.any():
             first = np.flatnonzero(np.concatenate([[True], ~joins]))
             last = np.concatenate([first[1:] - 1, [len(name) - 1]])
             size = last - first + 1
-            if step == "runs":
-                new = np.where(size > 1, mix(name[first] + size.astype(np.uint64) * BASE), name[first])
-                low, high = before[first], after[last]  # a run must be known to end
-            else:
-                new = np.where(size > 1, mix(name[first] * BASE + name[last]), name[first])
-                low, high = np.where(size > 1, low[first], before[first]), np.where(size > 1, high[last], after[last])
-            name, start, end, text = new, start[first], end[last], text[first]
-    return name, start, end, low, high
+            if known:  # that a run ends must be known
+                low, high = _neighbour(low, same, True, at[text] - 1)[first], _neighbour(high, same, False, at[text + 1] + 1)[last]
+            name = np.where(size > 1, mix(name[first] + size.astype(np.uint64) * BASE), name[first])
+            start, end, text = start[first], end[last], text[first]
+            same = text[1:] == text[:-1]
+        left = (mix(name + np.uint64(number + 1)) & np.uint64(1)).astype(bool)
+        joins = same & left[:-1] & ~left[1:]
+        first = np.flatnonzero(np.concatenate([[True], ~joins]))
+        last = np.concatenate([first[1:] - 1, [len(name) - 1]])
+        pair = last > first
+        if known:  # a pair decides itself; a single one of a left class depends on what follows, else on what precedes
+            back, ahead = _neighbour(low, same, True, at[text] - 1), _neighbour(high, same, False, at[text + 1] + 1)
+            low, high = np.where(pair | left[first], low[first], back[first]), np.where(pair | ~left[first], high[last], ahead[last])
+        name = np.where(pair, mix(name[first] * BASE + name[last]), name[first])
+        start, end, text = start[first], end[last], text[first]
+        idle = idle + 1 if len(name) == before else 0
+        yield number, name, start, end, low if known else None, high if known else None
 
 
 class Windows:
-    """Windows of a slice of texts, their witnesses and hashes."""
+    """Windows of a slice of texts, their witnesses and hashes, and the long symbols."""
 
-    def __init__(self, cutter: Words, texts: list[str | None], width: int):
+    def __init__(self, cutter: Words, texts: list[str | None], width: int, long: bool = True):
         self.width = width
         words, self.at = cutter.cut(texts)
         n = len(words)
@@ -79,61 +94,97 @@ class Windows:
         up, down = cutter.up, cutter.down
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words * up[:n], out=sums[1:])
+        more = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words + SECOND) * up[:n], out=more[1:])
         fits = np.ones(n, bool)
         for a, b in zip(self.at[:-1], self.at[1:], strict=True):
             fits[max(a, b - width + 1) : b] = False
         self.first = np.flatnonzero(fits)  # first words of all windows
-        self.hash = lambda i: mix((sums[i + width] - sums[i]) * down[i])
-        name, start, _, low, high = recompress(words, self.at)
-        text = np.searchsorted(self.at, start, "right") - 1
-        inside = (low >= self.at[text]) & (high <= self.at[text + 1]) & (high - low <= width)
-        self.start, low, high, name = start[inside], low[inside], high[inside], name[inside]
-        # a symbol's key: its name and all words that decide it
-        self.key = mix(mix((sums[high] - sums[low]) * down[low] + (self.start - low).astype(np.uint64)) + name)
-        opened = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=n + 1))])  # symbols whose span starts before a word
-        closed = np.cumsum(np.bincount(high, minlength=n + 1))
-        a, b = opened[self.first], closed[self.first + width]
-        best, least = np.full(len(a), -1), np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-        live = np.flatnonzero(a < b)
-        step = 0
-        while len(live):
-            k = a[live] + step
-            better = self.key[k] < least[live]
-            least[live[better]] = self.key[k[better]]
-            best[live[better]] = k[better]
-            step += 1
-            live = live[a[live] + step < b[live]]
-        self.witness = best  # by window; -1: none is decided inside it
+        #: 128 bits of the words from i to j, in two arrays
+        self.hashes = lambda i, j: (mix((sums[j] - sums[i]) * down[i]), mix((more[j] - more[i]) * down[i] + (j - i).astype(np.uint64)))
+        self.hash = lambda i: self.hashes(i, i + width)[0]
+        levels, longer, codes = [], [], np.zeros(0, np.int64)
+        for number, name, start, end, low, high in recompress(words, self.at, ROUNDS if long else LOW_ROUNDS):
+            if number < LOW_ROUNDS:
+                text = np.searchsorted(self.at, start, "right") - 1
+                inside = (low >= self.at[text]) & (high <= self.at[text + 1]) & (high - low <= width)
+                own, a, b = start[inside], low[inside], high[inside]
+                # a symbol's key: its name and all words that decide it
+                levels.append((own, a, b, mix(mix((sums[b] - sums[a]) * down[a] + (own - a).astype(np.uint64)) + name[inside])))
+            big = end - start >= 2 * width
+            start, end = start[big], end[big]
+            code = start * (n + 1) + end
+            fresh = np.isin(code, codes, invert=True)  # long symbols that this round made
+            codes = code
+            longer.append((start[fresh], end[fresh]))
+        empty = np.zeros(0, np.int64)
+        self.long_start, self.long_end = (np.concatenate([empty, *[x[k] for x in longer]]) for k in (0, 1))
+        self.start, self.key = np.concatenate([empty, *[x[0] for x in levels]]), np.concatenate([np.zeros(0, np.uint64), *[x[3] for x in levels]])
+        self.witness = np.full(len(self.first), -1)  # by window; -1: none is decided inside it
+        begin = len(self.start)
+        for _, low, high, key in reversed(levels):
+            begin -= len(key)
+            open_ = np.flatnonzero(self.witness < 0)
+            starts_before = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=n + 1))])
+            closed = np.cumsum(np.bincount(high, minlength=n + 1))
+            a, b = starts_before[self.first[open_]], closed[self.first[open_] + width]
+            best, least = np.full(len(a), -1), np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+            live = np.flatnonzero(a < b)
+            step = 0
+            while len(live):
+                k = a[live] + step
+                better = key[k] < least[live]
+                least[live[better]] = key[k[better]]
+                best[live[better]] = k[better]
+                step += 1
+                live = live[a[live] + step < b[live]]
+            self.witness[open_[best >= 0]] = begin + best[best >= 0]
 
     def text_of(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, word, "right") - 1
 
 
-def _home(ids: np.ndarray, places: np.ndarray, buckets: int):
-    """A batch of blobs that takes (id, place) to the bucket of the id."""
-    return split_by_bucket((mix(ids.astype(np.uint64) + BASE) % np.uint64(buckets)).astype(np.int64), {"id": ids, "place": places.astype(np.int32)})
+#: Kinds of places that are taken home to their document: of witnesses that repeat, and of windows that do.
+SEEN, SURE = 0, 1
+HOME = "bucket int, id binary, place binary, size binary, what binary"
 
 
-def _by_id(rows: DataFrame) -> DataFrame:
-    """Of _home's blobs: id, runs; the runs of consecutive places of each id, as pairs (first, size) of int32."""
+def _home(ids: np.ndarray, places: np.ndarray, sizes: np.ndarray, what: int, buckets: int):
+    """A batch of blobs that takes (id, places from one on) to the bucket of the id."""
+    bucket = (mix(ids.astype(np.uint64) + BASE) % np.uint64(buckets)).astype(np.int64)
+    return split_by_bucket(bucket, {"id": ids, "place": places.astype(np.int32), "size": sizes.astype(np.int32), "what": np.full(len(ids), what, np.uint8)})
+
+
+def joined_runs(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> dict[int, bytes]:
+    """By id the union of its runs of places, as pairs (first, size) of int32."""
+    if not len(ids):
+        return {}
+    order = np.lexsort((first, ids))
+    ids, first, size = ids[order], first[order].astype(np.int64), size[order].astype(np.int64)
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    apart = (np.cumsum(new) - 1) * (1 << 33)  # ids do not touch each other
+    reach = np.maximum.accumulate(apart + first + size)
+    opens = np.concatenate([[True], (apart + first)[1:] > reach[:-1]])
+    at = np.flatnonzero(opens)
+    ends = reach[np.concatenate([at[1:] - 1, [len(ids) - 1]])] - apart[at]
+    pairs = np.stack([first[at], ends - first[at]], axis=1).astype(np.int32)
+    own = ids[at]
+    cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return {int(own[a]): pairs[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(own)], strict=True)}
+
+
+def _by_id(rows: DataFrame, buckets: int) -> DataFrame:
+    """Of _home's blobs: id, seen, sure; the runs of places of each id by kind, null if there are none."""
 
     def run(batches):
         import pyarrow as pa
 
-        for _, x in by_bucket(batches, {"id": np.int64, "place": np.int32}):
-            order = np.lexsort((x["place"], x["id"]))
-            ids, places = x["id"][order], x["place"][order]
-            keep = np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1])])
-            ids, places = ids[keep], places[keep]
-            first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] != places[:-1] + 1)]))
-            size = np.diff(np.concatenate([first, [len(ids)]]))
-            pairs = np.stack([places[first], size], axis=1).astype(np.int32)
-            own = ids[first]
-            cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ends = [*cut[1:], len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array([pairs[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["id", "runs"])
+        for _, x in by_bucket(batches, {"id": np.int64, "place": np.int32, "size": np.int32, "what": np.uint8}):
+            kinds = [joined_runs(x["id"][own], x["place"][own], x["size"][own]) for own in (x["what"] == SEEN, x["what"] == SURE)]
+            ids = sorted(kinds[0].keys() | kinds[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([k.get(i) for i in ids], pa.binary()) for k in kinds]], names=["id", "seen", "sure"])
 
-    return exchange(rows).mapInArrow(run, "id long, runs binary")
+    return exchange(rows, buckets).mapInArrow(run, "id long, seen binary, sure binary")
 
 
 def places_of(runs: bytes | None) -> np.ndarray:
@@ -143,103 +194,128 @@ def places_of(runs: bytes | None) -> np.ndarray:
 
 
 class _Outbox:
-    """Collects (key, id, place) and gives batches of blobs: one of equal keys goes to the key's bucket, the others,
-    known to repeat, to buckets that spread them."""
+    """Collects columns (key, id, place first) and gives batches of blobs: one of equal keys goes to the key's bucket, the
+    others, known to repeat, to buckets that spread them. Buckets are numbered 2 * bucket + side."""
+
+    COLUMNS = {"key": np.uint64, "key2": np.uint64, "id": np.int64, "place": np.int32, "size": np.int32, "kind": np.uint8}
 
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = np.uint64(buckets), [], 0
+    def __init__(self, buckets: int, side: int):
+        self.buckets, self.side, self.held, self.size = np.uint64(buckets), side, [], 0
 
-    def add(self, key, ids, places) -> None:
-        self.held.append((key, ids, places))
-        self.size += len(key)
+    def add(self, **columns) -> None:
+        self.held.append(columns)
+        self.size += len(columns["key"])
 
     def flush(self):
-        key, ids, places = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        x = {c: np.concatenate([held[c] for held in self.held]) for c in self.held[0]}
         self.held, self.size = [], 0
-        order = np.lexsort((places, ids, key))
-        key, ids, places = key[order], ids[order], places[order]
-        twice = (key[1:] == key[:-1]) & (ids[1:] == ids[:-1]) & (places[1:] == places[:-1])  # equal rows
+        wide = [x["key2"]] if "key2" in x else []
+        order = np.lexsort((x["place"], x["id"], *wide, x["key"]))
+        x = {c: v[order] for c, v in x.items()}
+        equal = x["key"][1:] == x["key"][:-1]
+        if wide:
+            equal &= x["key2"][1:] == x["key2"][:-1]
+        twice = equal & (x["id"][1:] == x["id"][:-1]) & (x["place"][1:] == x["place"][:-1])  # equal rows
         if twice.any():
             keep = np.concatenate([[True], ~twice])
-            key, ids, places = key[keep], ids[keep], places[keep]
-        again = np.concatenate([[False], key[1:] == key[:-1]])
+            x = {c: v[keep] for c, v in x.items()}
+            equal = x["key"][1:] == x["key"][:-1]
+            if wide:
+                equal &= x["key2"][1:] == x["key2"][:-1]
+        again = np.concatenate([[False], equal])
         many = again.copy()
         many[:-1] |= again[1:]
-        spread = mix(ids.astype(np.uint64) * BASE + places.astype(np.uint64))
-        bucket = (np.where(again, spread, mix(key)) % self.buckets).astype(np.int64)
-        kind = many.astype(np.uint8) + again  # 0: alone here, 1: first of several here, 2: a later one
-        return split_by_bucket(bucket, {"key": key, "id": ids, "place": places.astype(np.int32), "kind": kind.astype(np.uint8)})
-
-
-BLOB = "bucket int, key binary, id binary, place binary, kind binary"
-KINDS = {"key": np.uint64, "id": np.int64, "place": np.int32, "kind": np.uint8}
+        spread = mix(x["id"].astype(np.uint64) * BASE + x["place"].astype(np.uint64))
+        bucket = (np.where(again, spread, mix(x["key"])) % self.buckets).astype(np.int64)
+        x["kind"] = many.astype(np.uint8) + again  # 0: alone here, 1: first of several here, 2: a later one
+        none = np.zeros(0)
+        return split_by_bucket(2 * bucket + self.side, {c: x[c].astype(kind) if c in x else none for c, kind in self.COLUMNS.items()})
+
+
+BLOB = "bucket int, " + ", ".join(f"{c} binary" for c in _Outbox.COLUMNS)
+
+
+def later_elsewhere(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows of a bucket start later than another of the same key (of equal rows none does)."""
+    sure = x["kind"] == 2
+    rest = np.flatnonzero(~sure)
+    order = rest[np.lexsort((x["place"][rest], x["id"][rest], x["key2"][rest], x["key"][rest]))]
+    key, key2, ids, places = (x[c][order] for c in ("key", "key2", "id", "place"))
+    again = np.concatenate([[False], (key[1:] == key[:-1]) & (key2[1:] == key2[:-1])]) if len(key) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(~again, np.arange(len(key)), 0)) if len(key) else order
+    again &= (ids != ids[start]) | (places != places[start])
+    out = sure
+    out[order[again]] = True
+    return out
 
 
-def _witnesses(docs: DataFrame, width: int) -> DataFrame:
-    """id, runs: first words of the witnesses that occur more than once."""
-    buckets = shuffle_partitions(docs.sparkSession)
+def _repeats(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """id, seen, sure: first words of the witnesses that occur more than once; windows inside of long symbols that start earlier elsewhere."""
 
     def emit(batches):
-        cutter, out = Words(lower=False), _Outbox(buckets)
+        cutter, low, high = Words(lower=False), _Outbox(buckets, 0), _Outbox(buckets, 1)
         for batch in batches:
             for texts, ids in text_slices(batch, ["text", "id"]):
+                ids = np.array(ids, np.int64)
                 w = Windows(cutter, texts, width)
                 used = np.unique(w.witness[w.witness >= 0])
                 text = w.text_of(w.start[used])
-                out.add(w.key[used], np.array(ids, np.int64)[text], w.start[used] - w.at[text])
-                if out.size >= FLUSH:
-                    yield out.flush()
-        if out.size:
-            yield out.flush()
+                low.add(key=w.key[used], id=ids[text], place=w.start[used] - w.at[text])
+                text = w.text_of(w.long_start)
+                key, key2 = w.hashes(w.long_start, w.long_end)
+                high.add(key=key, key2=key2, id=ids[text], place=w.long_start - w.at[text], size=w.long_end - w.long_start)
+                yield from (box.flush() for box in (low, high) if box.size >= FLUSH)
+        yield from (box.flush() for box in (low, high) if box.size)
 
     def repeated(batches):
-        for _, x in by_bucket(batches, KINDS):
-            _, back, counts = np.unique(x["key"], return_inverse=True, return_counts=True)
-            keep = (counts[back] > 1) | (x["kind"] > 0)
-            yield _home(x["id"][keep], x["place"][keep], buckets)
+        for bucket, x in by_bucket(batches, _Outbox.COLUMNS):
+            if bucket % 2:
+                keep = later_elsewhere(x)
+                yield _home(x["id"][keep], x["place"][keep], x["size"][keep] - width + 1, SURE, buckets)
+            else:
+                _, back, counts = np.unique(x["key"], return_inverse=True, return_counts=True)
+                keep = (counts[back] > 1) | (x["kind"] > 0)
+                yield _home(x["id"][keep], x["place"][keep], np.ones(int(keep.sum())), SEEN, buckets)
 
-    return _by_id(exchange(docs.mapInArrow(emit, BLOB)).mapInArrow(repeated, "bucket int, id binary, place binary"))
+    return _by_id(exchange(docs.mapInArrow(emit, BLOB), buckets).mapInArrow(repeated, HOME), buckets)
 
 
-def _later_windows(met: DataFrame, width: int) -> DataFrame:
-    """met: id, text, seen (runs of repeated witnesses' places). id, runs: windows whose words start earlier elsewhere."""
-    buckets = shuffle_partitions(met.sparkSession)
+def _later_windows(met: DataFrame, width: int, buckets: int) -> DataFrame:
+    """met: id, text, seen, sure. id, sure: runs of the windows, of those that are not sure yet, whose words start earlier elsewhere."""
 
     def emit(batches):
-        cutter, out = Words(lower=False), _Outbox(buckets)
+        cutter, out = Words(lower=False), _Outbox(buckets, 0)
         for batch in batches:
-            for texts, ids, seen in text_slices(batch, ["text", "id", "seen"]):
+            for texts, ids, seen, sure in text_slices(batch, ["text", "id", "seen", "sure"]):
                 texts = [None if i is None else t for t, i in zip(texts, ids, strict=True)]
-                ids = [i or 0 for i in ids]
-                # a text without a repeated witness still compares windows that have none
-                w = Windows(cutter, texts, width)
-                hit = np.zeros(len(w.start) + 1, bool)
-                for k, runs in enumerate(seen):
-                    if runs:
-                        a, b = np.searchsorted(w.start, w.at[k : k + 2])
-                        hit[a:b] = np.isin(w.start[a:b], places_of(runs) + w.at[k])
-                hit[-1] = True  # for witness -1
-                first = w.first[hit[w.witness]]
+                ids = np.array([i or 0 for i in ids], np.int64)
+                w = Windows(cutter, texts, width, long=False)
+                hit, settled = (np.zeros(int(w.at[-1]) + 1, bool) for _ in range(2))
+                for marks, runs in ((hit, seen), (settled, sure)):
+                    for k, own in enumerate(runs):
+                        if own:
+                            places = places_of(own) + w.at[k]
+                            marks[places[places < w.at[k + 1]]] = True
+                # a window without a witness is always compared
+                open_ = ~settled[w.first]
+                told = w.witness >= 0
+                open_[told] &= hit[w.start[w.witness[told]]]
+                first = w.first[open_]
                 text = w.text_of(first)
                 if len(first):
-                    out.add(w.hash(first), np.array(ids, np.int64)[text], first - w.at[text])
+                    key, key2 = w.hashes(first, first + width)
+                    out.add(key=key, key2=key2, id=ids[text], place=first - w.at[text])
                 if out.size >= FLUSH:
                     yield out.flush()
         if out.size:
             yield out.flush()
 
     def later(batches):
-        for _, x in by_bucket(batches, KINDS):
-            sure = x["kind"] == 2
-            ids, places, keys = (x[c][~sure] for c in ("id", "place", "key"))
-            order = np.lexsort((places, ids, keys))
-            ids, places, keys = ids[order], places[order], keys[order]
-            again = np.concatenate([[False], keys[1:] == keys[:-1]])
-            start = np.maximum.accumulate(np.where(~again, np.arange(len(keys)), 0))
-            again &= (ids != ids[start]) | (places != places[start])
-            yield _home(np.concatenate([ids[again], x["id"][sure]]), np.concatenate([places[again], x["place"][sure]]), buckets)
+        for _, x in by_bucket(batches, _Outbox.COLUMNS):
+            keep = later_elsewhere(x)
+            yield _home(x["id"][keep], x["place"][keep], np.ones(int(keep.sum())), SURE, buckets)
 
-    return _by_id(exchange(met.mapInArrow(emit, BLOB)).mapInArrow(later, "bucket int, id binary, place binary"))
+    return _by_id(exchange(met.mapInArrow(emit, BLOB), buckets).mapInArrow(later, HOME), buckets)
 
 
 def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,11 +323,15 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_
     bound_batches(docs.sparkSession)
     named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     plain = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    # both joins deal the same rows out by the same key, so that Spark deals them once
+    # all joins deal the same rows out by the same key, so that Spark deals them once
     base, key = docs.select(*plain), F.col(id_col).cast("long")
-    seen = _witnesses(named, width).select(F.col("id").alias("_id"), F.col("runs").alias("_seen"))
-    met = base.join(seen, key == F.col("_id"), "left").select(F.col(text_col).alias("text"), key.alias("id"), F.col("_seen").alias("seen"))
-    gone = _later_windows(met, width).select(F.col("id").alias("_id"), F.col("runs").alias("_gone"))
+    buckets = bucket_count(named)
+    repeats = stash(_repeats(named, width, buckets), "repeats").select(F.col("id").alias("_id"), F.col("seen").alias("_seen"), F.col("sure").alias("_sure"))
+    met = base.join(repeats, key == F.col("_id"), "left").select(F.col(text_col).alias("text"), key.alias("id"), F.col("_seen").alias("seen"), F.col("_sure").alias("sure"))
+    later = _later_windows(met, width, buckets).select("id", "sure")
+    # a document's runs of both rounds; at most two rows each
+    both = repeats.filter("_sure IS NOT NULL").select(F.col("_id").alias("id"), F.col("_sure").alias("sure")).unionByName(later)
+    gone = both.groupBy(F.col("id").alias("_id")).agg(F.collect_list("sure").alias("_gone"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema) + ", n_words long, n_removed long"
     text_at = plain.index(text_col)
 
@@ -269,10 +349,10 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_
                     n.append(len(words))
                     if runs:
                         change = np.zeros(len(words) + width + 1, np.int64)
-                        places = places_of(runs)
-                        places = places[places + width <= len(words)]
-                        change[places] += 1
-                        change[places + width] -= 1
+                        pairs = np.frombuffer(b"".join(runs), np.int32).reshape(-1, 2).astype(np.int64)
+                        pairs = pairs[pairs[:, 0] + width <= len(words)]  # another row of the id may be longer
+                        np.add.at(change, pairs[:, 0], 1)
+                        np.add.at(change, np.minimum(pairs.sum(axis=1) - 1 + width, len(words)), -1)
                         words = list(compress(words, (np.cumsum(change)[: len(words)] == 0).tolist()))
                     removed.append(n[-1] - len(words))
                     texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
