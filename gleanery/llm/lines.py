@@ -1,21 +1,26 @@
 """Corpus-wide line deduplication over levelled sorted runs of line hashes.
 
-A run is a written table of line keys (128-bit hashes), sorted, with how many documents hold the key and the
-largest id of these. Each batch of documents merge-anti-joins the runs: keys that no run holds are written as
-fresh, the others as increments; both form the batch's own run at level 0. When a level holds ``fanout`` runs they
-are compacted into one run of the next level. The merged runs decide which lines go.
+Documents come in batches, those of the largest ids first. A run is a table of line keys (128-bit hashes), bucketed and
+sorted by key: how many documents of its batches hold the key and, in the run that met the key first, the largest id of
+these. Each batch is dealt to the same buckets and merge-anti-joins the runs, which are not moved: a key that no run
+holds is fresh, and as later batches have smaller ids only, its document is the one that keeps the line; of other keys
+the batch adds its count alone. Both form the batch's own run at level 0. When a level holds ``fanout`` runs they are
+merged, bucket by bucket, into one run of the next level. The merged runs decide which lines go.
 
 Defined cases: null and empty texts are one empty line, which is kept; a row with a null id keeps its lines and
-is not counted; each row counts as a document of its own, rows that repeat too; an empty table gives an empty
-result; other columns pass through, whatever their names (those that the operator adds replace equal names).
+is not counted; rows of one id count as one document; an empty table gives an empty result; other columns pass
+through, whatever their names (those that the operator adds replace equal names).
 """
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import SPACE, bound_batches, new_path, remove, stash, text_slices
+from gleanery.llm.common import SPACE, bound_batches, new_path, remove, shuffle_partitions, stash, text_slices
 
 KEY = ["k1", "k2"]
 
@@ -32,53 +37,87 @@ def line_keys(line: bytes, min_chars: int) -> tuple[int, int] | None:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(line.lower()))
 
 
+@contextmanager
+def _sorted_buckets(spark: SparkSession):
+    """Buckets of one file each are read as sorted, so that merges need no sort."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs: bucketed tables with their files in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
+        self.buckets = shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*paths) if paths else None
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"line-run-{level}")
-        rows.sortWithinPartitions(*KEY).write.parquet(path)
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, f"line-run-{level}")
+        with _sorted_buckets(self.spark):
+            rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", self.paths[name]).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
     @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.max("fresh").alias("fresh"))
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """One run of several, by merge joins: each has a key once, and one at most its last_doc."""
+        rows = runs[0]
+        for run in runs[1:]:
+            other = run.select(*KEY, F.col("n_docs").alias("more"), F.col("last_doc").alias("doc"))
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            rows = rows.join(other.hint("merge"), KEY, "full").select(*KEY, total.alias("n_docs"), F.coalesce("last_doc", "doc").alias("last_doc"))
+        return rows
+
+    def judged(self, keys: DataFrame) -> DataFrame:
+        """The run of a batch of (k1, k2, id), all ids smaller than those of batches before: last_doc of fresh keys alone."""
+        own = keys.distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_doc"))
+        fresh = F.lit(True)
+        for k, run in enumerate(self.tables()):
+            held = run.filter("last_doc IS NOT NULL").select(*KEY, F.lit(True).alias(f"held{k}"))
+            own = own.join(held.hint("merge"), KEY, "left")
+            fresh = fresh & F.col(f"held{k}").isNull()
+        return own.select(*KEY, "n_docs", F.when(fresh, F.col("last_doc")).alias("last_doc"))
 
     def ingest(self, keys: DataFrame) -> None:
-        """keys: k1, k2 and an id, one row for each document that holds the key."""
-        own = keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_doc"))
-        held = self._read([p for level in self.levels for p in level])
-        if held is None:
-            self._write(own.withColumn("fresh", F.lit(True)), 0)
-        else:
-            held = held.filter("fresh").select(*KEY)
-            fresh = own.join(held, KEY, "left_anti").withColumn("fresh", F.lit(True))
-            again = own.join(held, KEY, "left_semi").withColumn("fresh", F.lit(False))
-            self._write(fresh.unionByName(again), 0)
-        self._compact()
-
-    def _compact(self) -> None:
+        self._write(self.judged(keys), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(self._read(old)), level + 1)
-            remove(self.spark, *old)
+            self._write(self._merged([self.spark.table(name) for name in old]), level + 1)
+            self._drop(*old)
             level += 1
 
     def totals(self) -> DataFrame:
-        return self._merged(self._read([p for level in self.levels for p in level]))
+        return self._merged(self.tables())
+
+    def close(self) -> None:
+        self._drop(*list(self.paths))
+
+
+def deal_batches(docs: DataFrame, batches: int) -> list[int]:
+    """Ids that part the documents into about equal batches, largest first: a batch holds those above its id and not above the one before."""
+    cuts = docs.approxQuantile("id", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
+    return sorted({int(x) for x in cuts}, reverse=True)
 
 
-def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> DataFrame:
     """The documents with ``text_col`` rebuilt from the lines that stay, and n_lines and n_dropped.
 
     A key of at least min_chars code points in at least min_docs documents keeps its lines in the document with
@@ -101,13 +140,20 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=[*KEY, "id"])
 
     slim = docs.filter(F.col(id_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("id"))
-    held = stash(slim.mapInArrow(keys, "k1 long, k2 long, id long"), "line-keys")
+    cuts = deal_batches(slim.select("id"), batches)
+    batch = F.lit(len(cuts))
+    for k, cut in reversed(list(enumerate(cuts))):
+        batch = F.when(F.col("id") > cut, k).otherwise(batch)
+    path = new_path(spark, "line-keys")
+    slim.mapInArrow(keys, "k1 long, k2 long, id long").withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+    held = spark.read.schema("k1 long, k2 long, id long, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
-    for batch in range(batches):
-        runs.ingest(held.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch))
+    for k in range(len(cuts) + 1):
+        runs.ingest(held.filter(F.col("batch") == k).select(*KEY, "id"))
     # written first, so that the join deals out both sides itself and can split a key that many documents hold
     heavy = stash(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "heavy-lines")
-    lost = held.join(heavy, KEY).filter("id <> last_doc").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
+    runs.close()
+    lost = held.drop("batch").join(heavy, KEY).filter("id <> last_doc").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
     plain = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema) + ", n_lines long, n_dropped long"
     text_at = plain.index(text_col)
