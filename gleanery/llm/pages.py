@@ -2,11 +2,13 @@
 
 Pages of one host are dealt into groups of bounded size. In a group, tokens (tags with their class, and words, each
 under the path of open elements) that have the same occurrence vector over the pages form a class; a class is valid
-if its tokens come in one order on every page, and valid classes nest in the slots of the class of tokens that every
-page has once. What varies is in the slots that remain: the deepest template element that holds all varying text
-outside of menus, forms, notices and the like is the article, unless an <article> or <main> holds half of it. Its text
-is kept whole, but for such parts inside it and for lines that are themselves template. A page that has less than half
-of its own varying text there is judged for itself.
+if its tokens come in one order on every page. The class of tokens that every page has once is the template's root:
+between its tokens are slots. A further class nests in a slot of a class that holds it, the same one wherever it
+occurs, and has slots of its own; a class that crosses others or changes its slot is none. Tokens of the nested classes
+are template; what remains in the slots is extracted: the article is the run of the root's slots from the first to
+the last that hold varying text outside of menus, forms, notices and the like. An <article> or <main> that holds half
+of that text is a hint: then it is what lies in there. The text is kept whole, but for such parts inside it and for
+lines that are themselves template. A page that has less than half of its own varying text there is judged for itself.
 
 Groups of fewer than ``LEAST`` different pages have no template of their own: there the elements' names alone decide.
 
@@ -36,9 +38,11 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"(
 
 
 class Page:
-    """A page as tokens: (kind, value, path, aside); kind: open, close or text. Paths are tuples of element tokens."""
+    """A page as tokens: (kind, value, path, aside); kind: open, close or text. Paths are tuples of element tokens, one
+    object each in pages that share ``paths``."""
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, paths: dict | None = None):
+        shared = {} if paths is None else paths
         self.tokens: list[tuple] = []
         stack: list[tuple[str, str, bool]] = []  # name, token, is aside
         path: tuple = ()
@@ -75,6 +79,7 @@ class Page:
             if name not in VOID and not m.group(4).rstrip().endswith("/"):
                 stack.append((name, token, aside))
                 path = (*path, token)
+                path = shared.setdefault(path, path)
 
     def roles(self):
         """Template tokens in order: tags and words under their path."""
@@ -85,8 +90,8 @@ class Page:
             else:
                 yield (kind, value, path)
 
-    def lines(self, within: tuple, drop: set) -> list[str]:
-        """The blocks of text under a path, without asides and template lines."""
+    def lines(self, inside, drop: set) -> list[str]:
+        """The blocks of the text nodes for which inside(k, path) holds, k being the token's place, without asides and template lines."""
         out: list[str] = []
         block: list[str] = []
 
@@ -96,16 +101,14 @@ class Page:
                 out.append(line)
             block.clear()
 
-        depth = len(within)
-        for kind, value, path, aside in self.tokens:
-            inside = path[:depth] == within
+        for k, (kind, value, path, aside) in enumerate(self.tokens):
             if kind != "text":
                 name = value.partition(".")[0]
                 if name in BLOCKS:
                     end()
                 elif name in ("td", "th"):
                     block.append(" ")
-            elif inside and not aside:
+            elif not aside and inside(k, path):
                 if drop and (path, " ".join(value.split())) in drop:
                     continue
                 block.append(entities.unescape(value) if "&" in value else value)
@@ -155,61 +158,155 @@ def equivalence_classes(pages: list[Page]) -> list[list[tuple]]:
     return [order for once, order in sorted(valid, key=lambda x: not x[0])]
 
 
-def holds_half(page: Page, within: tuple, drop: set) -> bool:
-    """Whether at least half of a page's text outside of asides and template lines lies under a path."""
-    inside = total = 0
-    for kind, value, path, aside in page.tokens:
-        if kind == "text" and not aside and (path, " ".join(value.split())) not in drop:
-            size = sum(map(len, value.split()))
-            total += size
-            inside += size if path[: len(within)] == within else 0
-    return inside * 2 >= total
+class Template:
+    """The nested classes of pages. ``root``: place of each token of the root; ``nested``: of every other class that
+    nests, by its number, its parent's number (0: the root) and the slot in it; ``words``: the template's words and paths."""
+
+    def __init__(self, pages: list[Page], classes: list[list[tuple]]):
+        self.root = {role: k for k, role in enumerate(classes[0])}
+        places = {role: (c, k) for c, order in enumerate(classes) if c == 0 or len(order) > 1 for k, role in enumerate(order)}
+        met = [[x for x in map(places.get, page.roles()) if x] for page in pages]
+        last = [len(order) - 1 for order in classes]
+        live = {c for c, _ in places.values()}
+        loose: set[int] = set()  # places of the root's words that other classes hold: content that happens to be on every page once
+        while True:
+            slots: dict[int, tuple[int, int]] = {}
+            wrong, before = set(), len(loose)
+            for page in met:
+                open_: list[list[int]] = []  # class and the place of its latest token, outermost first
+                for c, k in page:
+                    if c not in live or not c and k in loose:
+                        continue
+                    if not c and open_ and open_[-1][0] and classes[0][k][0] == "word":
+                        loose.add(k)
+                        continue
+                    if k == 0 or not c and not open_:
+                        slot = tuple(open_[-1]) if open_ else (0, -1)
+                        if c and slots.setdefault(c, slot) != slot:
+                            wrong.add(c)
+                        open_.append([c, k])
+                    elif all(x[0] != c for x in open_):  # has been crossed
+                        wrong.add(c)
+                        continue
+                    else:
+                        while open_[-1][0] != c:  # what is still open crosses
+                            wrong.add(open_.pop()[0])
+                        open_[-1][1] = k
+                    if k == last[c] and c:
+                        open_.pop()
+            wrong.discard(0)
+            if not wrong and len(loose) == before:
+                break
+            live -= wrong
+        self.root = {role: k for role, k in self.root.items() if k not in loose}
+        self.nested = {c: slots[c] for c in live if c in slots}
+        self.words = {(value, path) for order in classes for kind, value, path in order if kind == "word"}
+
+    def spans(self, page: Page) -> list[tuple[int, int]]:
+        """Of every token the slots of the root that it reaches from and to; slot k follows the root's k-th token."""
+        out, at = [], 0
+        root = self.root.get
+        for kind, value, path, _ in page.tokens:
+            before = None
+            for role in [("word", w, path) for w in value.split()] if kind == "text" else [(kind, value, path)]:
+                k = root(role)
+                if k is not None:
+                    at = k + 1
+                    before = k if before is None else before
+                elif before is None:
+                    before = at
+            out.append((at if before is None else before, at))
+        return out
 
 
-def article_path(pages: list[Page]) -> tuple[tuple, set]:
-    """The path of the article's element in a group's template, and the text lines that are template."""
-    different = {tuple(t[1] for t in p.tokens if t[0] == "text"): p for p in pages}
-    sample = list(different.values())
+def distinct_pages(pages: list[Page]) -> list[Page]:
+    return list({tuple(t[1] for t in p.tokens if t[0] == "text"): p for p in pages}.values())
+
+
+def template_of(sample: list[Page]) -> Template | None:
+    """The template of different pages; None if they are too few or share no token."""
     classes = equivalence_classes(sample) if len(sample) >= LEAST else []
-    elements = {(*path, token) for order in classes for kind, token, path in order if kind == "open"}
-    words = {(word, path) for order in classes for kind, word, path in order if kind == "word"}
+    if not classes or any(sum(r == classes[0][0] for r in p.roles()) != 1 for p in sample):
+        return None
+    return Template(sample, classes)
+
+
+def varying(value: str, path: tuple, words: set) -> int:
+    return sum(len(w) for w in value.split() if (w, path) not in words)
+
+
+def hinted_path(sample: list[Page], words: set) -> tuple | None:
+    """The path of an <article> or <main> that holds half of the varying text at least."""
     weight: Counter = Counter()
-    lines: Counter = Counter()
+    total = 0
     for page in sample:
-        own = set()
         for kind, value, path, aside in page.tokens:
-            if kind != "text" or aside or not value.strip():
-                continue
-            size = sum(len(w) for w in value.split() if (w, path) not in words)
-            for k in range(len(path) + 1):
-                if not classes or k == 0 or path[:k] in elements:
-                    weight[path[:k]] += size
-            if classes and len(path) and all((w, path) in words for w in value.split()):
-                own.add((path, " ".join(value.split())))
-        lines.update(own)
-    total = weight[()]
-    named = [p for p in weight if p and p[-1].partition(".")[0] in ("article", "main") and weight[p] * 2 >= total]
-    if named and total:
-        best = max(named, key=lambda p: (p[-1].startswith("article"), weight[p], -len(p)))
-    else:
-        best = max((p for p in weight if weight[p] == total and total and (not p or p[-1].partition(".")[0] not in ("p", "b", "span", "a", "h1", "h2", "li", "td"))), key=len, default=())
-    drop = {line for line, n in lines.items() if len(sample) >= 8 and n * 10 >= 9 * len(sample)}
-    return best, drop
+            if kind == "text" and not aside and value.strip():
+                size = varying(value, path, words)
+                total += size
+                for k, name in enumerate(path):
+                    if name.partition(".")[0] in ("article", "main"):
+                        weight[path[: k + 1]] += size
+    named = [p for p, n in weight.items() if n and n * 2 >= total]
+    return max(named, key=lambda p: (p[-1].startswith("article"), weight[p], -len(p)), default=None)
+
+
+def template_lines(sample: list[Page], words: set) -> set:
+    """(path, line) of the lines of template words that nine tenths of eight pages or more have."""
+    lines: Counter = Counter()
+    for page in sample if len(sample) >= 8 else ():
+        lines.update({(path, " ".join(value.split())) for kind, value, path, aside in page.tokens if kind == "text" and path and not aside and value.strip() and not varying(value, path, words)})
+    return {line for line, n in lines.items() if n * 10 >= 9 * len(sample)}
 
 
 def extract_group(sources: list[str | None]) -> list[str]:
     """Main texts of pages of one host."""
-    pages = [Page(s) for s in sources]
-    best, drop = article_path(pages)
+    paths: dict = {}
+    pages = [Page(s, paths) for s in sources]
+    sample = distinct_pages(pages)
+    template = template_of(sample)
+    words = template.words if template else set()
+    hint, drop = hinted_path(sample, words), template_lines(sample, words) if template else set()
+    chosen: tuple[int, int] | None = None
+    spans: dict[int, list] = {}
+    if template and hint is None:
+        weight: Counter = Counter()
+        for page in sample:
+            spans[id(page)] = template.spans(page)
+            for (kind, value, path, aside), span in zip(page.tokens, spans[id(page)], strict=True):
+                if kind == "text" and not aside and value.strip():
+                    weight[span] += varying(value, path, words)
+        held = [span for span, n in weight.items() if n]
+        chosen = (min(a for a, _ in held), max(b for _, b in held)) if held else None
     out = []
     for page in pages:
-        within = best
-        if best and not holds_half(page, best, drop):
-            within, _ = article_path([page])  # a page of another make
-        out.append("\n\n".join(page.lines(within, drop)))
+        inside = _inside(hint, chosen, spans.get(id(page)) or (template.spans(page) if chosen else None))
+        if not _holds_half(page, inside, drop):  # a page of another make
+            inside = _inside(hinted_path([page], set()), None, None)
+        out.append("\n\n".join(page.lines(inside, drop)))
     return out
 
 
+def _inside(hint: tuple | None, chosen: tuple[int, int] | None, spans: list | None):
+    """Whether a text node belongs to the article: by the hinted element, else by the chosen slots, else always."""
+    if hint is not None:
+        return lambda k, path: path[: len(hint)] == hint
+    if chosen is not None:
+        return lambda k, path: spans[k][1] >= chosen[0] and spans[k][0] <= chosen[1]
+    return lambda k, path: True
+
+
+def _holds_half(page: Page, inside, drop: set) -> bool:
+    """Whether at least half of a page's text outside of asides and template lines belongs to the article."""
+    held = total = 0
+    for k, (kind, value, path, aside) in enumerate(page.tokens):
+        if kind == "text" and not aside and (not drop or (path, " ".join(value.split())) not in drop):
+            size = sum(map(len, value.split()))
+            total += size
+            held += size if inside(k, path) else 0
+    return held * 2 >= total
+
+
 def extract_main_text(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """id, url, text of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from gleanery.llm.pages import Page, article_path, equivalence_classes, extract_group, extract_main_text
+from gleanery.llm.pages import Page, Template, equivalence_classes, extract_group, extract_main_text, hinted_path, template_lines, template_of
 
 
 def words(r, n):
@@ -24,9 +24,50 @@ def test_template_shows_the_article():
         sources.append(plain_page(r, k, "".join(f"<p>{b}</p>" for b in blocks)))
         expected.append("\n\n".join(blocks))
     assert extract_group(sources) == expected
-    best, drop = article_path([Page(s) for s in sources])
-    assert best[-1] == "div.x2"
-    assert any(line == "Read more here" for _, line in drop)
+    sample = [Page(s) for s in sources]
+    template = template_of(sample)
+    assert hinted_path(sample, template.words) is None
+    assert any(line == "Read more here" for _, line in template_lines(sample, template.words))
+    spans = template.spans(sample[0])
+    texts = [(value, span) for (kind, value, *_), span in zip(sample[0].tokens, spans, strict=True) if kind == "text"]
+    article = {span for value, span in texts if value in expected[0]}
+    assert len({a for a, _ in article} | {b for _, b in article}) == 1  # one slot of the root holds the paragraphs
+    assert all(template.root[role] >= 0 for role in template.root) and ("open", "div.x2") in {r[:2] for r in template.root}
+
+
+def test_classes_nest_in_slots():
+    rows = lambda n: "".join(f"<li><i>a{k}</i><b>{k}</b></li>" for k in range(n))
+    pages = [Page(f"<div><ul>{rows(n)}</ul><p>x{n}</p></div>") for n in (1, 3, 2, 4, 6)]
+    classes = equivalence_classes(pages)
+    template = Template(pages, classes)
+    inner = next(c for c, order in enumerate(classes) if ("open", "li") in {r[:2] for r in order})
+    after = template.root[next(r for r in template.root if r[:2] == ("open", "ul"))]
+    assert template.nested[inner] == (0, after)  # behind <ul>, in every page
+    swapped = [Page(f"<div><ul>{rows(2)}</ul><p>x</p></div>" if k % 2 else f"<div><p>x</p><ul>{rows(3)}</ul></div>") for k in range(6)]
+    crossing = Template(swapped, equivalence_classes(swapped))
+    assert all(slot == crossing.nested[c] for c, slot in crossing.nested.items())
+
+
+def brute_slots(template, page):
+    """Spans by looking every token up in the whole page again."""
+    out = []
+    for k in range(len(page.tokens)):
+        part, head = Page(None), Page(None)
+        part.tokens, head.tokens = page.tokens[: k + 1], page.tokens[:k]
+        passed = lambda p: [template.root[r] + 1 for r in p.roles() if r in template.root]
+        own = passed(part)[len(passed(head)) :]
+        before = max(passed(head), default=0)
+        first = next(iter(Page.roles(type("one", (), {"tokens": page.tokens[k : k + 1]})())), None)
+        out.append((own[0] - 1 if own and first in template.root else before, max([before, *own])))
+    return out
+
+
+def test_spans_match_a_plain_count():
+    r = np.random.default_rng(8)
+    pages = [Page(plain_page(r, k, "".join(f"<p>{words(r, 9)}</p>" for _ in range(int(r.integers(1, 4)))))) for k in range(6)]
+    template = template_of(pages)
+    for page in pages[:3]:
+        assert template.spans(page) == brute_slots(template, page)
 
 
 def test_classes_are_valid_and_ordered():
