@@ -2,11 +2,12 @@
 
 Every example demands a vector: tokens, one segment, loss-bearing tokens. A sequence offers a vector of limits.
 Of the examples that fit, the one with the largest dot product of demand and remaining room goes in next
-(both as shares of the limits). What no example fits is filled by cutting one. A sequence that a limit other
-than tokens closes early, and the last ones of a group, end at a power of two, so they need no padding.
+(both as shares of the limits). What no example fits is filled by cutting one.
 
-Packing runs inside map tasks, over groups of a bounded number of examples in input order, so nothing is shuffled
-and no task holds more than one group.
+Packing runs inside map tasks, over groups of a bounded number of examples and tokens in input order, so nothing is
+shuffled and no task holds more than one group. Only full sequences leave a group; what is left of it goes on to the
+next one. At a task's end, and where more is left than ``MOST_LEFT`` examples (tiny ones alone reach the segments before
+the tokens), sequences end at a power of two, so they need no padding. ``fill_report`` tells how full sequences are.
 
 Defined cases: a null or empty text is its end id alone; repeated ids and rows are packed each for itself; an
 empty table gives no rows; columns of the input other than the id and the text are not read.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import Words, bound_batches, text_slices
 
+MOST_LEFT, GROUP_TOKENS = 2_048, 1_000_000
 PIECES = "{id} {id_type}, start long, length long, loss long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -125,20 +127,33 @@ class Ids:
 
     Right for tokenizers that never join characters across ASCII white space, lower-case, and part letters from
     punctuation, as word_bpe_49k does: a text's ids are those of its parts in order. Parts are known by 64-bit hashes.
+    Whether a tokenizer does is tried on ``PROBES``; one that does not encodes whole texts.
     """
 
+    #: Texts whose parts other tokenizers do not keep apart.
+    PROBES = ("It's a long-winded TEST, isn't it? 3.5 km (or 1,234.56)!", "Été à Århus: ßtraße naïve Ærø… «ça» l'été", "tab\tnew\nline  two   blanks ", " leading and trailing ", "unbelievable internationalization antidisestablishmentarianism", "x=1;y_z+=a->b['k'] // http://a.b/c?d=e&f#g", "日本語のテキスト и русский текст", "CamelCase ALLCAPS mixed123 abc4def", "")
+
     def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.cutter = Words(lower=True, part_letters=True)
-        told = json.loads(self.tokenizer.to_str())
-        words = told["model"].get("end_of_word_suffix") == "</w>" and told["model"]["type"] == "BPE" and "</w>" in str(list(told["model"]["vocab"])[300:900])
-        self.merges = Merges(told["model"]) if words else None
+        model = json.loads(self.tokenizer.to_str())["model"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        try:
+            self.merges = Merges(model) if model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" else None
+        except KeyError:  # another alphabet of bytes
+            self.merges = None
+        self.by_parts = True
+        self._clear()
+        probes = list(self.PROBES)
+        self.by_parts = self.of(probes) == self._whole(probes)
         self._clear()
 
+    def _whole(self, texts: list[str | None]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
     def _clear(self) -> None:
         self.rows: dict[int, int] = {}
         self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
@@ -167,6 +182,8 @@ class Ids:
         return out
 
     def of(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_parts:
+            return self._whole(texts)
         hashes, at, joined, starts, ends = self.cutter.spans(texts)
         if len(self.rows) > self.most:
             self._clear()
@@ -207,10 +224,15 @@ class Loss:
         return min(end, int(np.searchsorted(self.sums, self.sums[start] + room, "right")) - 1)
 
 
-def pack_group(lengths: list[int], losses: list[Loss], limits: Limits) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (example, start, end)."""
+def pack_group(lengths: list[int], losses: list[Loss], limits: Limits, starts: list[int] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences, as lists of (example, start, end), of all that is left of examples from their starts on."""
+    return pack_some(lengths, losses, limits, starts or [0] * len(lengths), True)[0]
+
+
+def pack_some(lengths: list[int], losses: list[Loss], limits: Limits, starts: list[int], final: bool) -> tuple[list[list[tuple[int, int, int]]], list[int]]:
+    """As pack_group(); unless final, full sequences alone, and where the rest of each example starts."""
     sequences: list[list[tuple[int, int, int]]] = []
-    start = [0] * len(lengths)
+    start = list(starts)
     for k, n in enumerate(lengths):  # what fills a sequence alone
         while n - start[k] >= limits.tokens and losses[k].of(start[k], start[k] + limits.tokens) <= limits.loss:
             sequences.append([(k, start[k], start[k] + limits.tokens)])
@@ -262,6 +284,11 @@ def pack_group(lengths: list[int], losses: list[Loss], limits: Limits) -> list[l
             room[2] -= losses[owner[j]].of(int(begin[j]), upto) / limits.loss
             take(j, upto, bin_)
         total = sum(e - b for _, b, e in bin_)
+        if total < limits.tokens and not final:
+            for k, b, _ in bin_:  # pieces of one example lie in order
+                at = int(np.flatnonzero(owner == k)[0])
+                begin[at] = min(begin[at], b)
+            break
         if total < limits.tokens and total & (total - 1):  # end at a power of two
             keep = 1 << (total.bit_length() - 1)
             held, bin_, at = bin_, [], 0
@@ -273,7 +300,17 @@ def pack_group(lengths: list[int], losses: list[Loss], limits: Limits) -> list[l
                     give_back(piece, max(0, keep - at), bin_)
                 at += size
         sequences.append(bin_)
-    return sequences
+    for k, b in zip(owner.tolist(), begin.tolist(), strict=True):
+        start[k] = b
+    return sequences, start
+
+
+def fill_report(pieces: DataFrame, tokens: int = 2048) -> DataFrame:
+    """One row: sequences, tokens, padding (to ``tokens``, none at a power of two), the share of tokens that is no padding, and of full sequences."""
+    sizes = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    power = F.bit_count("n") == 1
+    padding = F.when(power, 0).otherwise(tokens - F.col("n"))
+    return sizes.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.sum(padding).alias("padding"), (F.sum("n") / F.sum(F.col("n") + padding)).alias("fill"), F.avg((F.col("n") == tokens).cast("int")).alias("full"))
 
 
 def pack_examples(
@@ -296,8 +333,8 @@ def pack_examples(
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         ids = Ids(tokenizer_path)
-        waiting: list[tuple] = []
-        number = 0
+        waiting: list[tuple] = []  # key, part, ids, loss, where its rest starts
+        new = size = number = 0
         names = [id_col, "start", "length", "loss", "ids", "doc_tokens", "sequence_id", "offset"]
         types = None
 
@@ -313,19 +350,21 @@ def pack_examples(
                 mask[before : before + inside] = 1
             return Loss(mask)
 
-        def flush():
-            nonlocal number
+        def flush(final):
+            nonlocal number, waiting, new, size
             out: list[list] = [[] for _ in names]
-            lengths = [len(found) // 4 for _, _, found, _ in waiting]
-            for pieces in pack_group(lengths, [loss for *_, loss in waiting], limits):
+            lengths = [len(x[2]) // 4 for x in waiting]
+            sequences, starts = pack_some(lengths, [x[3] for x in waiting], limits, [x[4] for x in waiting], final or len(waiting) - new > MOST_LEFT)
+            for pieces in sequences:
                 offset = 0
                 for k, b, e in pieces:
-                    key, part, found, loss = waiting[k]
+                    key, part, found, loss, _ = waiting[k]
                     for column, value in zip(out, (key, b, e - b, loss.of(b, e), found[4 * b : 4 * e], lengths[k], (part << 33) | number, offset), strict=True):
                         column.append(value)
                     offset += e - b
                 number += bool(pieces)
-            waiting.clear()
+            waiting = [(*x[:4], b) for x, b, n in zip(waiting, starts, lengths, strict=True) if b < n]
+            new = size = 0
             return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(out, types, strict=True)], names=names)
 
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -335,11 +374,13 @@ def pack_examples(
                 for text, key, part, found in zip(texts, keys, parts, ids.of(texts), strict=True):
                     found += tail
                     if found:
-                        waiting.append((key, part, found, losses_of(text, found)))
-                    if len(waiting) >= group:
-                        yield flush()
+                        waiting.append((key, part, found, losses_of(text, found), 0))
+                        new += 1
+                        size += len(found) // 4
+                    if new >= group or size >= GROUP_TOKENS:
+                        yield flush(False)
         if waiting:
-            yield flush()
+            yield flush(True)
 
     part: Column = F.spark_partition_id().cast("long").alias("_part")
     return rows.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), part).mapInArrow(run, PIECES.format(id=f"`{id_col}`", id_type=kind))
