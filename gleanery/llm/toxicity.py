@@ -3,15 +3,16 @@
 Every word enters as a hashed word embedding beside the mean of its hashed character n-gram embeddings. A word of
 more than ``WORD_BYTES`` bytes (text without white space) is cut at its punctuation as well, and what is still longer
 into overlapping pieces that hold all its characters: each an input of its own. Windows of
-``WINDOW`` words that overlap, the last ending with the text, run through a GRU in both directions; attention pools
+``WINDOW`` words, each overlapping the next by half, the last ending with the text, run through a GRU in both directions; attention pools
 the states to one logit. A text's score is the largest of its windows' probabilities. Training picks, for each
 labelled text, the window that scores highest so far, as only some windows of a toxic text hold what makes it so.
 
-Training rows are bounded by ``most_rows`` of each label (a documented sample, by a hash of the id); ids come first,
-so that no table of texts is shuffled. Everything else reads whole texts in one map.
+Training rows are bounded by ``most_rows`` and ``most_chars`` of each label (a documented sample, by a hash of the id);
+ids come first, so that no table of texts is shuffled. Everything else reads whole texts in one map. A passage of up to
+half a window lies whole in some window, a longer one in parts of at least that size.
 
 Defined cases: null and empty texts have the score of an empty window; rows with a null id are scored and never
-learned from; repeated rows are scored alike; without labelled rows of both kinds every score is 0; an empty table
+learned from; of rows that repeat an id the least text is learned from; repeated rows are scored alike; without labelled rows of both kinds every score is 0; an empty table
 gives no rows; other columns are not read unless they are asked to pass through.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import bound_batches, text_slices
 
-WINDOW, STRIDE = 32, 20
+WINDOW, STRIDE = 32, 16
 WORD_BYTES, PIECE, PIECE_STEP = 200, 48, 40  # a piece's characters have at most 192 bytes; the overlap holds any n-gram
 WORDS, GRAMS, WIDTH, HIDDEN, ATTEND = 1 << 12, 1 << 13, 8, 8, 8
 NGRAMS = (3, 4, 5)
@@ -318,13 +319,21 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, steps: int
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
-    """Texts and labels to learn from: of each label at most most_rows ids with crc32(id) mod 5 not 0, by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, list]:
+    """Texts and labels to learn from: of each label at most most_rows ids with crc32(id) mod 5 not 0, by a hash of the id,
+    as many of these as hold most_chars characters together (one at least)."""
     key = F.col(id_col).cast("string")
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(key) % 5 != 0)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     chosen = [usable.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most_rows) for y in (0, 1)]
     ids = {row[0]: row[1] for row in chosen[0].unionByName(chosen[1]).collect()}  # at most 2 * most_rows
-    rows = docs.filter(F.col(id_col).isin(list(ids))).select(id_col, text_col).dropDuplicates([id_col]).collect() if ids else []
+    chosen = docs.filter(F.col(id_col).isin(list(ids))).groupBy(id_col).agg(F.min(text_col).alias("t"))
+    sizes = {row[0]: row[1] or 0 for row in chosen.select(id_col, F.length("t")).collect()} if ids else {}
+    held = dict.fromkeys((0, 1), 0)
+    for k in list(ids):  # in order of the hash
+        before, held[ids[k]] = held[ids[k]], held[ids[k]] + sizes.get(k, 0)
+        if before and held[ids[k]] > most_chars:
+            del ids[k]
+    rows = chosen.filter(F.col(id_col).isin(list(ids))).collect() if ids else []
     rows.sort(key=lambda x: x[0])
     return [row[1] for row in rows], [ids[row[0]] for row in rows]
 
