@@ -60,7 +60,7 @@ def shingle_sets(cutter: Words, texts: list[str | None], k: int, weights: np.nda
     return [shingle_set(hashes[a:b], k, weights) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def word_weights(docs: DataFrame, classes: int = WORD_CLASSES) -> np.ndarray:
+def word_weights(docs: DataFrame, classes: int = WORD_CLASSES, fan: int = 16) -> np.ndarray:
     """Of every class of words its count over all documents, as rounded multiples of a logarithm: a table of fixed size."""
     parts = 16
 
@@ -72,7 +72,6 @@ def word_weights(docs: DataFrame, classes: int = WORD_CLASSES) -> np.ndarray:
             for (texts,) in text_slices(batch, ["text"]):
                 words, _ = cutter.cut(texts)
                 counts += np.bincount((words & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
-        step = classes // parts
         rows = [(p, counts[p * step : (p + 1) * step]) for p in range(parts) if counts.any()]
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([c.tobytes() for _, c in rows], pa.binary())], names=["bucket", "counts"])
 
@@ -90,9 +89,12 @@ def word_weights(docs: DataFrame, classes: int = WORD_CLASSES) -> np.ndarray:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "counts"])
 
+    # in two steps, as every task sends a whole table
+    step = classes // parts
+    spread = docs.select("text").mapInArrow(count, "bucket int, counts binary").withColumn("bucket", F.col("bucket") * fan + F.pmod(F.spark_partition_id(), F.lit(fan)))
+    first = exchange(spread).mapInArrow(add, "bucket int, counts binary").withColumn("bucket", F.floor(F.col("bucket") / fan).cast("int"))
     out = np.zeros(classes, np.int64)
-    for row in exchange(docs.select("text").mapInArrow(count, "bucket int, counts binary")).mapInArrow(add, "bucket int, counts binary").collect():
-        step = classes // parts
+    for row in exchange(first).mapInArrow(add, "bucket int, counts binary").collect():
         out[row["bucket"] * step : (row["bucket"] + 1) * step] = np.frombuffer(row["counts"], np.int64)
     return np.round(4 * np.log2(out + 1)).astype(np.int32)
 
@@ -405,22 +407,36 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, of sizes, single tokens and sketches that allow the threshold."""
+def _across(members: DataFrame, sketches: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Pairs of one bucket in different components, of sizes, single tokens and sketches that allow the threshold.
+
+    members: sig, id, n, p, component. Buckets of one component are left out before anything is dealt; a bucket of more
+    than ``block`` members is cut into blocks, and each two of these meet in a task of their own.
+    """
+    several = members.groupBy("sig").agg(F.count("*").alias("_m"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high")
+    several = several.select("sig", F.ceil(F.col("_m") / block).cast("int").alias("_blocks"))
+    held = members.join(several, "sig").join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id"), "_blocks").cast("int"))
+    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    held = held.withColumn("one", F.least("own", "_other")).withColumn("two", F.greatest("own", "_other"))
 
     def run(batches):
         import pyarrow as pa
 
-        def pairs(sig, doc, n, p, component, sketches):
-            start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        def changes(sig, one, two):
+            return np.concatenate([[True], (sig[1:] != sig[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+
+        def pairs(sig, one, two, own, doc, n, p, component, sketches):
+            start = np.flatnonzero(changes(sig, one, two))
             for a, b in zip(start, [*start[1:], len(sig)], strict=True):
                 if (component[a:b] == component[a]).all():
                     continue
-                d, m, r, c = doc[a:b], n[a:b], p[a:b], component[a:b]
-                paired = bool(sig[a] & 1)
+                d, m, r, c, o = doc[a:b], n[a:b], p[a:b], component[a:b], own[a:b]
+                paired, cross = bool(sig[a] & 1), one[a] != two[a]
                 for i in range(len(d) - 1):  # in order of single tokens, so the first of a pair is its head
                     x, y = slice(i, i + 1), slice(i + 1, None)
                     fits = (c[y] != c[x]) & (100 * np.minimum(m[x], m[y]) >= percent * np.maximum(m[x], m[y])) & (d[y] != d[x])
+                    if cross:
+                        fits &= o[y] != o[x]
                     if paired:
                         fits &= least_shared(m[x], r[x], m[y], r[y], percent) <= 0
                     at = np.flatnonzero(fits) + i + 1
@@ -432,15 +448,16 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
         held, size = [], 0
         make = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b"])
-        rest = [*[np.zeros(0, np.int64)] * 5, np.zeros((0, SKETCH), np.uint8)]
+        names = ("sig", "one", "two", "own", "id", "n", "p", "component")
+        rest = [*[np.zeros(0, np.int64)] * len(names), np.zeros((0, SKETCH), np.uint8)]
         for batch in _with_end(batches):
             if batch is None:
                 now, rest = rest, None
             else:
-                new = [np.asarray(batch.column(c)) for c in ("sig", "id", "n", "p", "component")]
+                new = [np.asarray(batch.column(c)) for c in names]
                 new.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
                 now = [np.concatenate([r, x]) for r, x in zip(rest, new, strict=True)]
-                cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # the last signature may go on
+                cut = int(np.flatnonzero(changes(*now[:3]))[-1]) if len(now[0]) else 0  # the last blocks may go on
                 rest, now = [x[cut:] for x in now], [x[:cut] for x in now]
             if len(now[0]):
                 for pair in pairs(*now):
@@ -452,8 +469,8 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         if size:
             yield make([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    dealt = members.repartition(shuffle_partitions(members.sparkSession), "sig").sortWithinPartitions("sig", "p", "id")
-    return dealt.select("sig", "id", "n", "p", "component", "sketch").mapInArrow(run, "a long, b long")
+    dealt = held.repartition(shuffle_partitions(members.sparkSession), "sig", "one", "two").sortWithinPartitions("sig", "one", "two", "p", "id")
+    return dealt.select("sig", "one", "two", "own", "id", "n", "p", "component", "sketch").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches):
@@ -501,13 +518,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     stars = stash(heads.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), "stars")
     links = stash(_verified(stars, sets, percent), "links")
     linked = stash(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "linked")
-    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").join(sets.select("id", "sketch").dropDuplicates(["id"]), "id")
-    placed = placed.select("sig", "id", "n", "p", F.coalesce("component", "id").alias("component"), "sketch")
+    placed = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", "p", F.coalesce("component", "id").alias("component"))
+    placed = stash(placed, "placed")
     apart = near.select("a", "b")
     for end in ("a", "b"):
         apart = apart.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
     apart = apart.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    rest = _across(placed, percent).union(apart).distinct().join(stars, ["a", "b"], "left_anti")
+    rest = _across(placed, sets.select("id", "sketch").dropDuplicates(["id"]), percent).union(apart).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(rest, sets, percent)
     # documents with equal sets link to the smallest of them
     # written first, so that the join deals out both sides itself and can split a set of many copies
