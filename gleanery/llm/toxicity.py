@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import bound_batches, text_slices
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE, LEARNED_STRIDE = 32, 16, 20  # fewer windows are learned from than scored
 WORD_BYTES, PIECE, PIECE_STEP = 200, 48, 40  # a piece's characters have at most 192 bytes; the overlap holds any n-gram
 WORDS, GRAMS, WIDTH, HIDDEN, ATTEND = 1 << 12, 1 << 13, 8, 8, 8
 NGRAMS = (3, 4, 5)
@@ -165,11 +165,11 @@ class Net:
         return g, dgates
 
 
-def cut_windows(n: int) -> list[int]:
+def cut_windows(n: int, stride: int = STRIDE) -> list[int]:
     """Starts of the windows of a text of n words; the last one ends with the text."""
     if n <= WINDOW:
         return [0]
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+    return [*range(0, n - WINDOW, stride), n - WINDOW]
 
 
 def vocabulary_inputs(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7, steps: int
         ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
     kinds, grams, starts = vocabulary_inputs(list(vocab))
     del vocab
-    windows = [cut_windows(len(x)) for x in ids]
+    windows = [cut_windows(len(x), LEARNED_STRIDE) for x in ids]
     pos, neg = np.flatnonzero(y > 0.5), np.flatnonzero(y < 0.5)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     best: list[int] | None = None

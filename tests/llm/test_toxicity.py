@@ -91,3 +91,35 @@ def test_inputs_hold_all_characters_of_long_words():
     assert all(any(word[k : k + 5] in p for p in pieces) for k in range(996))
     assert all(len(p.encode()) <= 200 for p in pieces)
     assert T.split_words("x" * 200) == ["x" * 200] and len(T.split_words("x" * 201)) > 1
+
+
+def test_scores_match_a_plain_network():
+    """Every window by itself, step by step, without memo, batches or masks."""
+    net = T.train(*corpus(7, 200), steps=60)
+    p, h = net.p, T.HIDDEN
+
+    def window(words):
+        x = net.embed(*T.word_inputs(words))
+        states = np.zeros((len(words), 2 * h))
+        for way, order, at in (("f", range(len(words)), 0), ("b", range(len(words) - 1, -1, -1), h)):
+            state = np.zeros(h)
+            for k in order:
+                g, u = x[k] @ p[f"W{way}"] + p[f"c{way}"], state @ p[f"U{way}"]
+                z, r = 1 / (1 + np.exp(-(g[:h] + u[:h]))), 1 / (1 + np.exp(-(g[h : 2 * h] + u[h : 2 * h])))
+                state = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * state
+                states[k, at : at + h] = state
+        a = np.exp(np.tanh(states @ p["att"]) @ p["query"])
+        return float((a / a.sum()) @ states @ p["out"] + p["bias"][0])
+
+    texts = [*corpus(8, 25)[0], "", None, "x", "ka " * 300]
+    for text, score in zip(texts, T.Scorer(net).score(texts), strict=True):
+        words = [w.strip(T.PUNCTUATION) for w in T.split_words(text)]
+        logits = [window(words[s : s + T.WINDOW]) for s in T.cut_windows(len(words))] if words else [float(p["bias"][0])]
+        assert abs(score - 1 / (1 + np.exp(-max(logits)))) < 1e-4
+
+
+def test_a_passage_of_half_a_window_lies_whole_in_one():
+    for n in (40, 100, 333):
+        starts = T.cut_windows(n)
+        for a in range(n - T.WINDOW // 2 + 1):
+            assert any(s <= a and a + T.WINDOW // 2 <= s + T.WINDOW for s in starts)
