@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions on the main path.
 
-Paragraphs are lines. A multinomial logistic regression over binary word 1- and 2-grams names a licence family or
+Paragraphs are lines, a hard-wrapped one's lines together (``WRAP``). A multinomial logistic regression over binary word 1- and 2-grams names a licence family or
 none. It is trained on the driver from the family texts below (spans, dropped words, other years and versions) and
 from a bounded sample of the corpus's own lines. What is licence-like but no family convincingly is ``unknown``: the
 probabilities are tempered and their threshold set on licences outside the families. A family is confirmed when most
@@ -80,6 +80,8 @@ OTHERS = (
     "This font software is licensed under the SIL Open Font License, version 1.1.",
     "Licensed under the PostgreSQL License.",
 )
+#: A line break inside a paragraph: a small letter follows, or a long line before it ends in the middle of a sentence.
+WRAP = r"\n(?:(?=[ \t#*/]*\p{Ll})|(?<=[^\n]{40}[\p{L}\p{N},)]\r?\n)(?=[^\n]*\S))"
 PLAIN = "the a of and to in is it that for on was be with this are as by from or at an you not all have can will may his her they were one our out use if no so we which their time when there people into more other some than then these two way about after again also".split()
 
 
@@ -213,16 +215,20 @@ def paragraph_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
 
 
+def paragraphs(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, WRAP, " "), "\n")
+
+
 def sample_lines(docs: DataFrame, text_col: str = "text", most: int = MOST_LINES) -> list[str]:
-    """A bounded sample of the corpus's lines without licence words, by a hash.
+    """A bounded sample of the corpus's different paragraphs without licence words, by a hash.
 
-    Only lines whose hash is small enough for about ``most`` lines or some more are ordered, so what tasks send to
-    the driver does not grow with their number.
+    Only those whose hash is small enough for about ``most`` or some more are ordered, so what tasks send to the driver
+    does not grow with their number.
     """
     share = min(1.0, 2 * most / max(1, docs.count()))
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    lines = docs.filter(F.col(text_col).isNotNull()).select(F.explode(paragraphs(F.col(text_col))).alias("line"))
     plain = lines.filter(~F.lower("line").rlike("licen|copyright|rights|permi|warrant") & (F.length("line") > 20) & (F.shiftrightunsigned(F.xxhash64("line"), 1) <= min(2**63 - 1, int(share * 2**63))))
-    return [row["line"] for row in plain.orderBy(F.xxhash64("line"), "line").limit(most).collect()]
+    return [row["line"] for row in plain.distinct().orderBy(F.xxhash64("line"), "line").limit(most).collect()]
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +239,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         [(f, [float(v) for v in w], [int(v) for v in t]) for f, w, t in zip(model.features, model.weights, model.templates, strict=True)],
         "gram string, w array<double>, t array<long>",
     )
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
+    lines = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.posexplode(paragraphs(F.col(text_col))).alias("paragraph", "line"))
     # the model's words are a bounded list
     held = lines.select(id_col, "_row", "paragraph", F.explode(F.array(paragraph_words(F.col("line")))).alias("words")).filter(F.exists("words", lambda x: x.isin(model.anchors)))
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))

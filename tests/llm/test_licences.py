@@ -49,3 +49,58 @@ def test_no_feature_without_an_anchor(model):
     assert all(anchors & set(f.split()) for f, w in zip(model.features, model.weights, strict=True) if w.any())
     assert (model.weights != 0).any(axis=1).sum() <= licences.MOST_FEATURES
     assert model.bias.argmax() == len(model.classes) - 1
+
+
+WRAPPED = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software"""
+
+
+def test_wrapped_paragraphs_are_judged_whole(spark, model):
+    docs = spark.createDataFrame([(1, f"A title\n\n{WRAPPED}\n\nReleased under the MIT License.\nAnd prose.", 0)], "doc_id long, text string, paragraph int")
+    found = sorted((r.paragraph, r.family, r.confirmed) for r in licences.scan(docs, model).collect())
+    assert found == [(2, "MIT", True), (4, "MIT", True)]
+
+
+def plain_scan(model, text):
+    """The classifier and the template comparison without Spark."""
+    import re
+
+    import numpy as np
+
+    at = {w: k for k, w in enumerate(model.features)}
+    out = []
+    wrap = re.compile(r"\n(?=[ \t#*/]*[a-z])")  # the long lines here end with a full stop
+    for number, line in enumerate(wrap.sub(" ", text).split("\n")):
+        words = licences.words_of(line)
+        grams = licences.grams_of(words)
+        known = [at[g] for g in grams if g in at]
+        if not known or not set(words) & set(model.anchors):
+            continue
+        z = (model.weights[known].sum(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        if p[-1] >= 0.5:
+            continue
+        best = int(p[:-1].argmax())
+        family = model.classes[best] if p[best] >= model.least else licences.UNKNOWN
+        similar = model.templates[known, best].sum() / len(grams)
+        own = model.templates[known, len(model.classes) - 1 + best].sum() > 0
+        out.append((number, family, round(float(p[best]), 5), round(float(similar), 5), bool(family != licences.UNKNOWN and similar >= licences.LEAST_SIMILAR and own)))
+    return out
+
+
+def test_scan_matches_a_plain_classifier(spark, model):
+    import random
+
+    r = random.Random(6)
+    sentences = [x + "." for ts in licences.FAMILIES.values() for t in ts for x in t.split(". ")] + list(licences.OTHERS) + ["Plain prose stands here and says nothing.", "the version of it is 2.0 and more.", ""]
+    rows = [(k, "\n".join(r.choice(sentences).rstrip(".") + r.choice([".", ".", " and so on."]) for _ in range(r.randrange(0, 6)))) for k in range(60)]
+    rows += [(3, rows[3][1]), (70, "MIT " * 3000 + "License.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.doc_id, x.paragraph, x.family, round(x.probability, 5), round(x.similarity, 5), x.confirmed) for x in licences.scan(frame, model).collect())
+    want = sorted((k, *x) for k, t in rows for x in plain_scan(model, t))
+    assert [x[:3] + x[5:] for x in got] == [x[:3] + x[5:] for x in want]
+    assert all(abs(a[3] - b[3]) < 1e-4 and abs(a[4] - b[4]) < 1e-4 for a, b in zip(got, want, strict=True))
