@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gleanery.llm.packing import Limits, Loss, pack_examples, pack_group
+from gleanery.llm.packing import Ids, Limits, Loss, fill_report, pack_examples, pack_group, pack_some
 
 P = pytest.importorskip("public_tokenizers")
 PATH = str(P.path("word_bpe_49k.json"))
@@ -74,3 +74,40 @@ def test_empty_table_and_loss_pattern(spark):
     turns = spark.createDataFrame([(1, "user: tell me\n\nassistant: a long answer\n\nuser: no")], "doc_id long, text string")
     row = pack_examples(turns, PATH, loss_pattern="assistant:").agg({"loss": "sum", "length": "sum"}).first()
     assert row["sum(loss)"] == 3 and row["sum(length)"] > 8
+
+
+def test_leftovers_go_on_to_the_next_group(spark):
+    r = np.random.default_rng(4)
+    lengths = [int(x) for x in r.integers(1, 900, 200)]
+    sequences, starts = pack_some(lengths, [Loss() for _ in lengths], Limits(), [0] * len(lengths), False)
+    assert all(sum(e - b for _, b, e in pieces) == 2048 for pieces in sequences)
+    left = sum(n - b for n, b in zip(lengths, starts, strict=True))
+    assert left < 2048 and left + 2048 * len(sequences) == sum(lengths)
+    rows = [(k, "ka to mi " * int(r.integers(1, 300))) for k in range(900)] + [(1000 + k, "mi") for k in range(900)]
+    pieces = pack_examples(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, group=64).cache()
+    told = fill_report(pieces).first()
+    # a task ends in powers of two: at most 11 for its tokens, and one for each 128 of the tiny texts at its end
+    assert told.padding == 0 and told.sequences - round(told.full * told.sequences) <= 11 + 900 // 128
+    whole_docs = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(whole_docs) == 1800 and all(x["sum(length)"] == x["max(doc_tokens)"] for x in whole_docs)
+
+
+def test_tiny_texts_alone_are_packed_too(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "'mi' AS text").coalesce(1)
+    pieces = pack_examples(rows, PATH, group=512)
+    told = fill_report(pieces).first()
+    assert told.padding == 0 and pieces.count() == 6000
+
+
+def test_a_tokenizer_that_joins_parts_encodes_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: k for k, c in enumerate(sorted({chr(x) for x in range(32, 127)} | {"a b", "</w>", "\n", "\t"}))}
+    other = Tokenizer(models.BPE(vocab=vocab, merges=[("a", " "), ("a ", "b")] if "a " in vocab else [], unk_token=" "))
+    other.pre_tokenizer = pre_tokenizers.Split("x", "isolated")
+    other.save(str(tmp_path / "other.json"))
+    ids = Ids(str(tmp_path / "other.json"))
+    texts = ["It's a b, a b!", "UPPER lower", "", None]
+    assert not ids.by_parts
+    assert ids.of(texts) == [np.asarray(other.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert Ids(PATH).by_parts and Ids(PATH).merges is not None
