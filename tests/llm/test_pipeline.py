@@ -83,7 +83,24 @@ def test_run_and_empty(spark, place, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_the_rest_stands_without_these_folders(tmp_path):
+def test_repeated_ids_and_clashing_columns(spark, place):
+    texts = ["one text of its own with words enough to make some shingles", "another text under the same id that has other words", "a third text which nothing else in here is like at all"]
+    rows = [(1, texts[0], "x", 1, 7.5), (1, texts[1], "x", 2, 7.5), (1, texts[1], "x", 2, 7.5), (2, texts[2], "y", 3, None), (3, texts[2], "y", 4, 1.0), (None, texts[2], None, 5, 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, n_lines int, score double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, place)
+        assert out.columns == docs.columns
+        got = sorted((tuple(r) for r in out.collect()), key=str)
+        gone = [rows[2], rows[4]] if name == "ngram_jaccard" else []
+        want = sorted(rows, key=str)
+        for r in gone:
+            want.remove(r)
+        assert got == want, name
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, place).collect()} == {1, 2, 3, None}
+
+
+@pytest.mark.parametrize("keep_pipeline", [False, True])
+def test_the_rest_stands_without_these_folders(tmp_path, keep_pipeline):
     import shutil
     import subprocess
     import sys
@@ -92,5 +109,8 @@ def test_the_rest_stands_without_these_folders(tmp_path):
     top = Path(__file__).resolve().parents[2]
     shutil.copytree(top / "gleanery", tmp_path / "gleanery", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
+    if keep_pipeline:
+        shutil.copy(top / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(o) <= set(q) and not [k for k in q if k.startswith('op') and '_' in k and k[2].isdigit()]"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    run = f"import sys; sys.path[:] = [p for p in sys.path if p != {str(top)!r}]; {code}"
+    subprocess.run([sys.executable, "-c", run], cwd=tmp_path, check=True)
