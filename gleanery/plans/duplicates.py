@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gleanery.operators import groups as G
 from gleanery.session import table
 
-#: md5 stands in for a picture's hash: it exercises the join, not a likeness.
-MOST_BITS = 34
+#: md5 stands in for a picture's hash: it exercises the join, not a likeness. The share of bits is that of 40 in 256.
+MOST_BITS = 20
 
 
 def _hashed(spark, sf):
