@@ -12,8 +12,11 @@ lines that are themselves template. A page that has less than half of its own va
 
 Groups of fewer than ``LEAST`` different pages have no template of their own: there the elements' names alone decide.
 
-Defined cases: a null or empty html has an empty text; a null or odd url counts as one host; repeated rows are
-extracted each for itself; an empty table gives no rows; pages without markup are text; other columns are not read.
+A host's groups are told by its different rows. A row that repeats more often than a group has room is extracted once,
+so that no group grows with its copies.
+
+Defined cases: a null or empty html has an empty text; a null or odd url counts as one host; repeated rows all have
+their text in the result; an empty table gives no rows; pages without markup are text; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import stash
+
 GROUP, LEAST, MOST_BROADCAST = 64, 4, 50_000
 #: Elements by what they are for in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -310,16 +315,27 @@ def _holds_half(page: Page, inside, drop: set) -> bool:
 def extract_main_text(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """id, url, text of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
-    named = rows.select(F.col(id_col), F.col(url_col), F.col(html_col), host.alias("_host"))
-    large = named.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > group).select("_host", F.ceil(F.col("_n") / group).cast("int").alias("_parts"))
-    if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        large = F.broadcast(large)
-    deal = F.pmod(F.xxhash64(id_col, html_col), F.coalesce("_parts", F.lit(1)))
-    dealt = named.join(large, "_host", "left").select(id_col, url_col, html_col, "_host", deal.alias("_part"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(id_col, url_col).schema) + ", text string"
+    named = rows.select(F.col(id_col), F.col(url_col), F.col(html_col), host.alias("_host"), F.xxhash64(id_col, url_col, html_col).alias("_row"))
+    seen = stash(named.groupBy("_host", "_row").agg(F.count("*").alias("_times")), "pages-seen")
+    large = _small(seen.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > group).select("_host", F.ceil(F.col("_n") / group).cast("int").alias("_parts")))
+    often = seen.filter(F.col("_times") > group).select("_row").distinct()
+    once = named.withColumn("_copies", F.lit(1).cast("long"))
+    if not often.isEmpty():
+        often, own = _small(often), [id_col, url_col, html_col, "_host", "_row"]
+        held = named.join(often, "_row", "left_semi").groupBy(*own).agg(F.count("*").alias("_copies"))
+        once = once.join(often, "_row", "left_anti").unionByName(held)
+    deal = F.pmod(F.col("_row"), F.coalesce("_parts", F.lit(1)))
+    dealt = once.join(large, "_host", "left").select(id_col, url_col, html_col, "_copies", "_host", deal.alias("_part"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(id_col, url_col).schema) + ", text string, _copies long"
 
     def run(pdf):
         sources = [None if x is None or x != x else x for x in pdf[html_col]]
-        return pdf[[id_col, url_col]].assign(text=extract_group(sources))
+        return pdf[[id_col, url_col]].assign(text=extract_group(sources), _copies=pdf["_copies"])
+
+    texts = dealt.groupBy("_host", "_part").applyInPandas(run, schema)
+    return texts.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
+
 
-    return dealt.groupBy("_host", "_part").applyInPandas(run, schema)
+def _small(keys: DataFrame) -> DataFrame:
+    """Marked for a broadcast if there are few."""
+    return F.broadcast(keys) if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else keys

@@ -99,6 +99,17 @@ def test_table(spark):
     assert extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_a_row_repeated_often_is_extracted_once(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, f"https://h.example/{k}", plain_page(r, k, f"<p>{words(r, 30)}</p>")) for k in range(40)]
+    copies = [rows[7]] * 300 + [(None, None, None)] * 200
+    schema = "page_id long, url string, html string"
+    alone = {(x.page_id, x.text) for x in extract_main_text(spark.createDataFrame(rows, schema)).collect()}
+    out = extract_main_text(spark.createDataFrame(rows + copies, schema)).collect()
+    assert len(out) == 540 and sum(x.page_id == 7 for x in out) == 301 and sum(x.page_id is None for x in out) == 200
+    assert {(x.page_id, x.text) for x in out} == alone | {(None, "")}  # copies don't change the host's groups either
+
+
 def test_no_article_text_is_cut():
     r = np.random.default_rng(3)
     sources, expected = [], []
