@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import decontamination, jaccard, licences, lines, neighbours, packing, pages, secrets, substrings, toxicity
+from gleanery.llm import decontamination, infilling, jaccard, licences, lines, neighbours, packing, pages, secrets, substrings, toxicity
 from gleanery.session import table
 
 
@@ -68,5 +68,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing}
-ORACLE_SQL = {"op3_substring_dedup": substrings.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL, "op8_ngram_jaccard": jaccard.SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing, "op11_fill_in_middle": op11_fill_in_middle}
+ORACLE_SQL = {"op3_substring_dedup": substrings.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_in_middle": infilling.SQL}
