@@ -85,7 +85,7 @@ def slices(batch, column: str, most_bytes: int):
         start = end
 
 
-def fill_in_middle(docs: DataFrame, kind: Infilling | None = None, id_col: str = "doc_id", text_col: str = "text", keep_output: bool = True) -> DataFrame:
+def fill_in_middle(docs: DataFrame, kind: Infilling | None = None, id_col: str = "doc_id", text_col: str = "text", keep_output: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
     """id, n (code points), form, prefix_chars, middle_chars (null if plain), output (if kept), output_sha256 and
     restored_sha256 (digest of the text that output and form give back) of every row."""
     kind = kind or Infilling()
@@ -102,7 +102,7 @@ def fill_in_middle(docs: DataFrame, kind: Infilling | None = None, id_col: str =
         with duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": True}) as con:
             con.execute(MACROS)
             for batch in batches:
-                for part in slices(batch, "text", MOST_BYTES):
+                for part in slices(batch, "text", most_bytes):
                     con.register("batch", pa.Table.from_batches([part]))
                     made = con.execute(query).to_arrow_table()
                     con.unregister("batch")

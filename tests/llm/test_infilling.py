@@ -21,15 +21,14 @@ def plain_version(i, text):
     return n, "spm" if h4 % 100 < 20 else "psm", a, b - a, out
 
 
-def test_against_plain_python(spark, monkeypatch):
-    monkeypatch.setattr(infilling, "MOST_BYTES", 3_000)
+def test_against_plain_python(spark):
     pieces = ["", "a", "é😀\n\x00", "<P", "S>", "<", "P>", "x\r\ny ", "é", "ß ", "<M", ">"]
     texts = [None, "", "<S>", "a<M>b", "日" * 64, "y" * 63, "z" * 65, "long é " * 40_000]
     texts += ["".join(pieces[(k * 7 + j * (k + 3)) % len(pieces)] for j in range(k % 90)) for k in range(400)]
     rows = [(k, t, "spam", k) for k, t in enumerate(texts)]
     rows += [(None, "no id", "x", 1), rows[30], rows[30]]
     frame = spark.createDataFrame(rows, "doc_id long, text string, form string, n long").repartition(3)
-    out = infilling.fill_in_middle(frame)
+    out = infilling.fill_in_middle(frame, most_bytes=3_000)
     assert out.columns == ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "output_sha256", "restored_sha256"]
     got = sorted(map(tuple, out.collect()), key=str)
     want = []
