@@ -88,7 +88,7 @@ assert not any(b.startswith(a[k:]) for a in CONTROLS for b in CONTROLS for k in
 
 def fingerprint(paths: Column, layouts=LAYOUTS) -> Column:
     """A hash of those of the paths that some layout knows, in order."""
-    known = F.array(*[F.lit(p) for p in sorted({p for x in layouts for p in x.paths})])
+    known = F.array(*[F.lit(p) for p in sorted({p for x in layouts for p in (*x.paths, *[f"{x.listed[0]}[]"] * bool(x.listed))})])
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"))
 
 
@@ -102,21 +102,26 @@ def layout_of(mark: Column, layouts=LAYOUTS) -> Column:
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
-    """Nested field paths of a type; what an array holds is marked by []."""
+    """Nested field paths of a type; what an array holds is marked by [], and nothing follows if these are no structs."""
     if isinstance(kind, T.StructType):
         return [p for f in kind.fields for p in [f"{at}{f.name}", *schema_paths(f.dataType, f"{at}{f.name}.")]]
     if isinstance(kind, T.ArrayType):
-        return schema_paths(kind.elementType, f"{at.rstrip('.')}[].")
+        inner = f"{at.rstrip('.')}[]"
+        return schema_paths(kind.elementType, f"{inner}.") if isinstance(kind.elementType, T.StructType) else [inner]
     return []
 
 
 def json_paths(record: Column, layouts=LAYOUTS) -> Column:
-    """Field paths of a JSON object: its keys, and those of the first element of each array that a layout lists."""
+    """Field paths of a JSON object: its keys, and those of the first element of each array that a layout lists.
+
+    An array whose first element is no object has the path of its name and [].
+    """
     none = F.array().cast("array<string>")
     paths = [F.coalesce(F.json_object_keys(record), none)]
     for name in sorted({x.listed[0] for x in layouts if x.listed}):
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), none)
-        paths.append(_prefixed(inner, f"{name}[]."))
+        first = F.get_json_object(record, f"$.{name}[0]")
+        other = F.when(first.isNotNull(), F.array(F.lit(f"{name}[]")))
+        paths.append(F.coalesce(_prefixed(F.json_object_keys(first), f"{name}[]."), other, none))
     return F.array_distinct(F.concat(*paths))
 
 
@@ -182,7 +187,8 @@ def canonical_turns(rows: DataFrame, id_col: str = "conv_id", json_col: str | No
     turns = F.array().cast(f"array<{_TURN}>")
     order = F.lit(0).cast("long")
     for x in layouts:
-        if set(x.required) <= known and (not x.row or not json_col):
+        needed = {*x.required, *[f"{x.listed[0]}[].{n}" for n in x.listed[1:]]} if x.listed else set(x.required)
+        if needed <= known and (not x.row or not json_col):
             own = F.col("_layout") == x.name
             # an optional path that a table lacks is absent from every record
             lacking = lambda p: at(p) if p in known else F.lit(None).cast("string")

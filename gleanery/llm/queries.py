@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import chats, decontamination, infilling, jaccard, licences, lines, neighbours, packing, pages, secrets, substrings, toxicity
+from gleanery.llm import chats, decontamination, infilling, jaccard, licences, lines, negatives, neighbours, packing, pages, secrets, substrings, toxicity
 from gleanery.session import table
 
 
@@ -72,6 +72,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling.fill_in_middle(table(spark, sf_dir, "documents"), keep_output=False)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 #: Conversation -1, in another layout than the table's: both turns say control strings.
 CONTROL_RECORD = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
 
@@ -83,5 +87,5 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.read_back(chats.format_chats(turns))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing, "op11_fill_in_middle": op11_fill_in_middle, "op13_chat_formatting": op13_chat_formatting}
-ORACLE_SQL = {"op3_substring_dedup": substrings.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_in_middle": infilling.SQL, "op13_chat_formatting": chats.SQL}
+QUERIES = {"op1_license_scan": op1_license_scan, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_nearest_neighbours": op4_nearest_neighbours, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_html_extraction": op9_html_extraction, "op10_packing": op10_packing, "op11_fill_in_middle": op11_fill_in_middle, "op12_hard_negatives": op12_hard_negatives, "op13_chat_formatting": op13_chat_formatting}
+ORACLE_SQL = {"op3_substring_dedup": substrings.SQL, "op6_decontamination": decontamination.SQL, "op7_line_dedup": lines.SQL, "op8_ngram_jaccard": jaccard.SQL, "op11_fill_in_middle": infilling.SQL, "op12_hard_negatives": negatives.SQL, "op13_chat_formatting": chats.SQL}

@@ -1,7 +1,6 @@
 import hashlib
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from gleanery.llm import chats
@@ -65,6 +64,7 @@ RECORDS = [
     ("?", {"headline": "x"}, None, []),
     ("2", {"prompt": "q", "completion": "a", "messages": []}, None, []),
     ("[]", [1, 2], None, []),
+    ("w", {"messages": ["hello"]}, None, []),
 ]
 
 
@@ -75,7 +75,7 @@ def test_fingerprints_select_layouts(spark):
     for k, _, layout, want in RECORDS:
         own = [x for x in turns if x.conv_id == k]
         assert [(x.role, x.text) for x in own] == want and {x.layout for x in own} <= {layout}
-    assert {x.key for x in chats.unmapped(frame, "record").collect()} == {"?", "2", "[]", "bad", "null"}
+    assert {x.key for x in chats.unmapped(frame, "record").collect()} == {"?", "2", "[]", "w", "bad", "null"}
 
 
 def test_typed_tables(spark):
@@ -83,6 +83,8 @@ def test_typed_tables(spark):
     assert [(x.turn, x.role, x.text) for x in chats.canonical_turns(nested).collect()] == [(0, "user", "q"), (1, "assistant", "a")]
     pair = spark.createDataFrame([(1, "q", "a")], "conv_id long, prompt string, completion string")
     assert [(x.role, x.text) for x in chats.canonical_turns(pair).collect()] == [("user", "q"), ("assistant", "a")]
+    words = spark.createDataFrame([(1, ["q"])], "conv_id long, messages array<string>")
+    assert chats.canonical_turns(words).collect() == [] and chats.unmapped(words).count() == 1
     neither = pair.withColumn("messages", F.array(F.lit("x")))
     assert chats.canonical_turns(neither).collect() == [] and chats.unmapped(neither).count() == 1
 
@@ -96,6 +98,6 @@ def test_query(spark, tmp_path):
     assert got[1].formatted_chars == len("[INST][/INST]hi</s>") and got[-1].formatted_chars == 2 * (len(CONTROL_TEXT) + 3) + len("[INST][/INST]</s>")
 
 
-@pytest.mark.parametrize("kind", ["conv_id long, turn long, role string, text string"])
-def test_empty_table(spark, kind):
-    assert chats.read_back(chats.format_chats(chats.canonical_turns(spark.createDataFrame([], kind)))).collect() == []
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chats.read_back(chats.format_chats(chats.canonical_turns(none))).collect() == []
