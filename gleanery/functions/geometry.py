@@ -63,24 +63,3 @@ def best_keypoint_score(reference: Column, generated: Column, threshold: float =
     best = F.transform(reference, lambda p: F.array_max(F.transform(generated, lambda q: keypoint_hits(p, q, threshold))))
     mean = F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / F.size(reference)
     return F.when(reference.isNull() | (F.size(reference) == 0), F.lit(None).cast("double")).when(generated.isNull() | (F.size(generated) == 0), 0.0).otherwise(mean)
-
-
-def gradient_hash(gray: Column) -> Column:
-    """Bits of brightness steps along each row of a gray picture (array of arrays): 1 where it rises."""
-    bits = F.transform(gray, lambda row: F.array_join(F.transform(F.sequence(F.lit(1), F.size(row) - 1), lambda i: F.when(F.get(row, i) > F.get(row, i - 1), "1").otherwise("0")), ""))
-    return F.array_join(bits, "")
-
-
-def hex_hash(gray: Column, size: int = 8) -> Column:
-    """The gradient bits of ``size`` rows of ``size + 1`` cells as hex; null for a picture of another shape."""
-    bits = gradient_hash(gray)
-    digits = F.transform(F.sequence(F.lit(1), F.length(bits) - 3, F.lit(4)), lambda i: F.lower(F.conv(F.substring(bits, i, 4), 2, 16)))
-    fits = (F.size(gray) == size) & F.forall(gray, lambda row: F.size(row) == size + 1)
-    return F.when(fits, F.array_join(digits, ""))
-
-
-def average_hash(gray: Column) -> Column:
-    """Bits of what is brighter than the mean."""
-    flat = F.flatten(gray)
-    mean = F.aggregate(flat, F.lit(0.0), lambda s, x: s + x) / F.size(flat)
-    return F.array_join(F.transform(flat, lambda x: F.when(x > mean, "1").otherwise("0")), "")

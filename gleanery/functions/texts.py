@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -132,14 +133,58 @@ def short_title(text: Column, words: int = 12) -> Column:
     return F.when(F.size(held) > words, F.array_join(F.slice(held, 1, words), " ")).otherwise(first)
 
 
-def token_count(text: Column) -> Column:
-    """An estimate: 1.3 for each word, rounded down, and one for each comma."""
-    return (F.floor(F.regexp_count(text, F.lit(WORD)) * F.lit(13) / 10) + F.regexp_count(text, F.lit(","))).cast("long")
+@dataclass(frozen=True)
+class AdditiveCost:
+    """A cost that follows from measures which add up over the parts of a joined text.
+
+    measures: of a text, each a whole number. total: from their sums; it must not fall when one of them grows. A measure
+    adds up only where a separator keeps parts apart: ``apart`` tells whether one does.
+    """
+
+    measures: tuple[Callable[[Column], Column], ...]
+    total: Callable[..., Column]
+    apart: Callable[[str], bool] = lambda separator: True
+
+    def __call__(self, text: Column) -> Column:
+        return self.total(*[m(text).cast("long") for m in self.measures])
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
+
+
+def _commas(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+
+#: An estimate: 1.3 for each word, rounded down, and one for each comma.
+token_count = AdditiveCost(
+    (_words, _commas),
+    lambda words, commas: (F.floor(words * F.lit(13) / 10) + commas).cast("long"),
+    lambda separator: bool(separator) and not (separator[0].isalnum() or separator[0] == "_" or separator[-1].isalnum() or separator[-1] == "_"),
+)
+
+
+def _fitting(start: Sequence[Column], parts: Column, budget: int, cost: AdditiveCost, at_once: Callable[[Column], Sequence[Column]], least: int) -> Column:
+    """How many parts the budget allows, one pass over their running sums. start: sums before any part; at_once(k): what
+    the k-th part brings along; least: so many always stay."""
+    names = [f"m{j}" for j in range(len(cost.measures))]
+    state = F.struct(F.lit(0).alias("k"), F.lit(least).alias("best"), *[m.cast("long").alias(n) for n, m in zip(names, start, strict=True)])
+
+    def step(held, part):
+        k = held["k"] + 1
+        sums = [held[n] + m(part).cast("long") + more for n, m, more in zip(names, cost.measures, at_once(k), strict=True)]
+        return F.struct(k.alias("k"), F.when((k <= least) | (cost.total(*sums) <= budget), k).otherwise(held["best"]).alias("best"), *[x.cast("long").alias(n) for n, x in zip(names, sums, strict=True)])
+
+    return F.aggregate(parts, state, step, lambda held: F.least(held["best"], F.size(parts)))
 
 
 def trim_to_budget(parts: Column, budget: int, cost: Callable[[Column], Column] = token_count, separator: str = ", ", note: Column | None = None) -> Column:
     """The longest prefix of parts, joined, within the budget; the first part always stays. A note is put behind the
-    second part and stays, too. Parts arrive without nulls, in order of priority."""
+    second part and stays, too. Parts arrive without nulls, in order of priority.
+
+    An additive cost is summed up part by part; any other is asked for every prefix anew.
+    """
 
     def put(k):
         held = F.slice(parts, 1, k)
@@ -149,6 +194,11 @@ def trim_to_budget(parts: Column, budget: int, cost: Callable[[Column], Column]
         noted = F.concat(F.slice(held, 1, at), F.array(note), F.slice(held, at + 1, F.greatest(k - at, F.lit(0))))
         return F.array_join(F.when(note.isNull(), held).otherwise(noted), separator)
 
+    if isinstance(cost, AdditiveCost) and cost.apart(separator):
+        between = [m(F.lit(separator)) for m in cost.measures]
+        own = [F.lit(0)] * len(between) if note is None else [F.coalesce(m(note) + x, F.lit(0)) for m, x in zip(cost.measures, between, strict=True)]
+        kept = _fitting(own, parts, budget, cost, lambda k: [F.when(k > 1, x).otherwise(0) for x in between], 1)
+        return F.when(F.size(parts) > 0, put(kept))
     sizes = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: (k == 1) | (cost(put(k)) <= budget))
     return F.when(F.size(parts) > 0, put(F.array_max(sizes)))
 
@@ -209,6 +259,11 @@ def trim_optional(required: Column, optional: Column, budget: int, cost: Callabl
     """All required parts and as many of the optional ones, each once and in order, as the budget allows."""
     more = F.array_distinct(optional)
     put = lambda k: F.array_join(F.concat(required, F.slice(more, 1, k)), separator)
+    if isinstance(cost, AdditiveCost) and cost.apart(separator):
+        between = [m(F.lit(separator)) for m in cost.measures]
+        start = [F.coalesce(m(F.array_join(required, separator)), F.lit(0)) for m in cost.measures]
+        first = F.size(required) == 0  # the first part then has no separator before it
+        return put(_fitting(start, more, budget, cost, lambda k: [F.when((k == 1) & first, 0).otherwise(x) for x in between], 0))
     fits = F.filter(F.sequence(F.lit(0), F.size(more)), lambda k: (k == 0) | (cost(put(k)) <= budget))
     return put(F.array_max(fits))
 

@@ -12,6 +12,14 @@ def trailing_mean(rows: DataFrame, step: str, value: str, width: int, to: str, b
     return rows.withColumn(to, F.avg(value).over(w))
 
 
+def trailing_exact_mean(rows: DataFrame, step: str, value: str, width: int, to: str, by: list[str] | None = None, held: int = 2, digits: int = 4) -> DataFrame:
+    """As trailing_mean, of values of ``held`` decimals, rounded half up to ``digits`` from sums of whole numbers, which do
+    not depend on an order."""
+    w = Window.partitionBy(*(by or [])).orderBy(step).rangeBetween(-(width - 1), 0)
+    total, n = F.sum(F.round(F.col(value) * 10**held).cast("long")).over(w), F.count(value).over(w) * 10**held
+    return rows.withColumn(to, F.when(n > 0, F.floor((2 * total * 10**digits + n) / (2 * n)) / 10**digits))
+
+
 def recent_rows_mean(rows: DataFrame, order: str, value: str, n: int, to: str, by: list[str] | None = None) -> DataFrame:
     """Mean over a row and the n - 1 before it."""
     w = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(-(n - 1), 0)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.lexicon import WordTrie
+
 #: A side of at most so many rows may be broadcast; beyond it Spark chooses.
 MOST_BROADCAST = 100_000
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -51,9 +53,31 @@ def resume(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return todo.join(done.dropna(subset=list(keys)).select(*keys).distinct(), list(keys), "left_anti")
 
 
+def contained_needles(needles: DataFrame, needle: str, texts: DataFrame, text_col: str, q: int = 3) -> DataFrame:
+    """The different needles that occur in some text.
+
+    A text's substrings of up to q characters, the empty one too, are its keys: a needle so short occurs if it equals one. A longer one
+    meets only the texts that hold the one of its q-grams that the fewest texts hold, and is searched in these.
+    """
+    hay = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_hay")).distinct().withColumn("_t", F.xxhash64("_hay"))
+    wanted = needles.filter(F.col(needle).isNotNull()).select(F.col(needle).alias("_needle")).distinct()
+    grams_of = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
+    some = lambda text, n: F.when(F.length(text) >= n, grams_of(text, n)).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), *[some(F.col("_hay"), n) for n in range(1, q + 1)]))
+    keyed = hay.select("_t", F.explode(keys).alias("_gram"))
+    short = wanted.filter(F.length("_needle") <= q).join(keyed.select(F.col("_gram").alias("_needle")).distinct(), "_needle", "left_semi")
+    long = wanted.filter(F.length("_needle") > q).select("_needle", F.explode(F.array_distinct(grams_of(F.col("_needle"), q))).alias("_gram"))
+    counts = keyed.join(long.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a needle with a gram that no text holds occurs nowhere
+    rare = long.join(counts, "_gram", "left").groupBy("_needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    met = rare.join(keyed, "_gram").select("_needle", "_t").join(hay, "_t").filter(F.col("_hay").contains(F.col("_needle")))
+    return short.unionByName(met.select("_needle").distinct()).withColumnRenamed("_needle", needle)
+
+
 def not_contained(rows: DataFrame, needle: Column, texts: DataFrame, text_col: str) -> DataFrame:
-    """Rows whose needle occurs in none of the (few) texts."""
-    return rows.join(small(texts.select(F.col(text_col).alias("_hay"))), F.col("_hay").contains(needle), "left_anti")
+    """Rows whose needle occurs in none of the texts; a null needle occurs nowhere."""
+    held = rows.withColumn("_needle", needle)
+    return held.join(contained_needles(held, "_needle", texts, text_col), "_needle", "left_anti").drop("_needle")
 
 
 def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -70,15 +94,39 @@ def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -
 def lexicon_hits(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     """lexicon: name, alias. Per text and name the earliest place of any alias as whole words, whatever its case.
 
-    An alias may have several words. The first words of aliases are hash-joined with the texts' different words, and
-    only what meets is searched for the whole alias; no text is compared with the whole lexicon.
+    A lexicon of at most ``MOST_BROADCAST`` aliases becomes a trie of words that reads each text once. For a larger one
+    the words of texts and the first words of aliases meet in a join, and what meets is searched.
     """
+    lexicon = lexicon.filter("alias <> ''").select("name", "alias")
+    held = lexicon.limit(MOST_BROADCAST + 1).collect()
+    if len(held) > MOST_BROADCAST:
+        return _lexicon_join(texts, id_col, text_col, lexicon)
+    trie = texts.sparkSession.sparkContext.broadcast(WordTrie(held))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows, names, places = [], [], []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                for name, at in trie.value.earliest(text or "").items():
+                    rows.append(k)
+                    names.append(name)
+                    places.append(at + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.int32())], names=["_id", "name", "first_at"])
+
+    kind = texts.schema[id_col].dataType.simpleString()
+    hits = texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, name string, first_at int")
+    return hits.groupBy(F.col("_id").alias(id_col), "name").agg(F.min("first_at").alias("first_at"))
+
+
+def _lexicon_join(texts: DataFrame, id_col: str, text_col: str, lexicon: DataFrame) -> DataFrame:
     words = texts.select(id_col, F.col(text_col).alias("_text"), F.array_distinct(F.split(F.lower(text_col), f"{NOT_WORD}+")).alias("_words"))
     words = words.select(id_col, "_text", F.explode("_words").alias("word"))
     first = F.regexp_extract(F.lower("alias"), r"([\p{L}\p{N}_]+)", 1)
     named = lexicon.select("name", first.alias("word"), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}_])")).alias("_whole"))
-    met = words.join(small(named), "word").withColumn("_at", F.regexp_instr("_text", F.col("_whole"))).filter("_at > 0")
-    return met.groupBy(id_col, "name").agg(F.min("_at").alias("first_at"))
+    met = words.join(named, "word").withColumn("_at", F.regexp_instr("_text", F.col("_whole"))).filter("_at > 0")
+    return met.groupBy(id_col, "name").agg(F.min("_at").cast("int").alias("first_at"))
 
 
 def first_by_priority(hits: DataFrame, id_col: str, ranked: DataFrame, to: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity of vectors and what is summed up from it.
 
-Two ways for many vectors against few: a matrix product in Arrow batches when the few stay within a checked size,
-a hash-partitioned SQL product otherwise.
+Two ways: a matrix product in Arrow batches when the references stay within a checked size; otherwise both sides are
+cut into blocks, every pair of blocks is one product, and what the products tell of a vector adds up.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.groups import settle
+
+BLOCK_NUMBERS = 500_000  # of all vectors of a block
+BINS = 256  # of a vector's similarities, to find their median
 MOST_NUMBERS = 4_000_000  # of all reference vectors that one task holds
 
 
@@ -29,10 +33,9 @@ def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_c
     most = max(1, MOST_NUMBERS // max(1, first[0])) if first else 0
     held = sorted(references.select(ref_col, vector_col).limit(most + 1).collect(), key=lambda r: r[0])
     if len(held) > most or not held:
-        return _scored_by_join(vectors, references, id_col, ref_col, vector_col, k)
+        return scored_by_blocks(vectors, references, id_col, ref_col, vector_col, k) if held else vectors.sparkSession.createDataFrame([], _score_schema(vectors, references, id_col, ref_col))
     names, matrix = [r[0] for r in held], np.array([r[1] for r in held], np.float64)
     told = vectors.sparkSession.sparkContext.broadcast((names, matrix))
-    kind = references.schema[ref_col].dataType.simpleString()
 
     def run(batches):
         ids, m = told.value
@@ -44,15 +47,89 @@ def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_c
             at = sims.argmax(axis=1)
             yield pd.DataFrame({id_col: pdf[id_col], "sim_mean": sims.mean(axis=1), "sim_median": np.median(sims, axis=1), "sim_max": sims.max(axis=1), "sim_top": best.mean(axis=1), "nearest": [ids[j] for j in at]})
 
-    schema = f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, sim_mean double, sim_median double, sim_max double, sim_top double, nearest {kind}"
-    return vectors.select(id_col, vector_col).mapInPandas(run, schema)
+    return vectors.select(id_col, vector_col).mapInPandas(run, _score_schema(vectors, references, id_col, ref_col))
+
+
+def _score_schema(vectors, references, id_col, ref_col) -> str:
+    return f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, sim_mean double, sim_median double, sim_max double, sim_top double, nearest {references.schema[ref_col].dataType.simpleString()}"
+
+
+def _blocked(rows: DataFrame, id_col: str, vector_col: str, block: str, rows_of_block: int) -> DataFrame:
+    """A row for each block: its number and an array of id and vector, ordered by id. Ids are keys: blocks are their hashes."""
+    blocks = max(1, -(-rows.count() // rows_of_block))
+    dealt = rows.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias(block), F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).alias("_x"))
+    return settle(dealt.groupBy(block).agg(F.sort_array(F.collect_list("_x")).alias(f"{block}_rows")))
 
 
-def _scored_by_join(vectors, references, id_col, ref_col, vector_col, k):
-    pairs = vectors.select(id_col, F.col(vector_col).alias("_v")).crossJoin(references.select(F.col(ref_col).alias("_r"), F.col(vector_col).alias("_w")))
-    sims = pairs.select(id_col, "_r", dot(F.col("_v"), F.col("_w")).alias("s"))
-    ranked = sims.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("s"), "_r")))
-    return ranked.groupBy(id_col).agg(F.avg("s").alias("sim_mean"), F.percentile("s", F.lit(0.5)).alias("sim_median"), F.max("s").alias("sim_max"), F.avg(F.when(F.col("_n") <= k, F.col("s"))).alias("sim_top"), F.min_by("_r", "_n").alias("nearest"))
+def _met_blocks(batches):
+    """Of each pair of blocks: rows and matrix of the left side, those of the right one."""
+    for pdf in batches:
+        for left, right in zip(pdf["l_rows"], pdf["r_rows"], strict=True):
+            yield left, np.array([x["v"] for x in left], np.float64), right, np.array([x["v"] for x in right], np.float64)
+
+
+def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3) -> DataFrame:
+    """As ``scored_against``, for any number of references.
+
+    A first round of products gives for each vector and block of references count, sum, the k best, the nearest and a
+    histogram of ``BINS`` bins between bounds that the norms give. Counts of bins tell in which of them the median's
+    one or two values lie, and at which place; a second round gives the different values in these bins and how often
+    each occurs. So means, best ones and the median are exact, and no task holds all similarities of a vector.
+    """
+    width = references.select(F.size(vector_col)).first()[0]
+    size = max(1, BLOCK_NUMBERS // max(1, width))
+    left, right = _blocked(vectors, id_col, vector_col, "l", size), _blocked(references, ref_col, vector_col, "r", size)
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(right.agg(F.max("r")).first()[0])))
+    norm = float(references.agg(F.max(F.sqrt(dot(F.col(vector_col), F.col(vector_col))))).first()[0])
+    met = left.withColumn("r", every_block).join(right, "r")
+    kinds = vectors.schema[id_col].dataType.simpleString(), references.schema[ref_col].dataType.simpleString()
+
+    def bins_of(a, sims):
+        reach = np.maximum(np.sqrt((a**2).sum(axis=1)) * norm, 1e-300)
+        return np.clip(((sims / reach[:, None] + 1) / 2 * BINS).astype(np.int64), 0, BINS - 1)
+
+    def summed(batches):
+        for left_rows, a, right_rows, b in _met_blocks(batches):
+            sims = a @ b.T
+            # references come by id, so of equal ones the first is the smallest
+            nearest = [right_rows[j]["id"] for j in sims.argmax(axis=1)]
+            counts = [np.bincount(row, minlength=BINS) for row in bins_of(a, sims)]
+            best = -np.sort(-sims, axis=1)[:, :k]
+            yield pd.DataFrame({"id": [x["id"] for x in left_rows], "n": sims.shape[1], "total": sims.sum(axis=1), "best": list(best), "top": sims.max(axis=1), "nearest": nearest, "bins": [np.flatnonzero(c) for c in counts], "counts": [c[c > 0] for c in counts]})
+
+    first = met.select("l_rows", "r_rows").mapInPandas(summed, f"id {kinds[0]}, n long, total double, best array<double>, top double, nearest {kinds[1]}, bins array<long>, counts array<long>")
+    first = settle(first)
+    means = first.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("sim_mean"), F.max("top").alias("sim_max"), F.min(F.struct((-F.col("top")).alias("s"), "nearest")).alias("_m"))
+    of_vector = Window.partitionBy("id").orderBy(F.desc("s"))
+    tops = first.select("id", F.explode("best").alias("s")).withColumn("_r", F.row_number().over(of_vector)).filter(F.col("_r") <= k).groupBy("id").agg(F.avg("s").alias("sim_top"))
+
+    # the bins of places (n - 1) // 2 and n // 2, and how many values lie in bins before
+    counted = first.select("id", F.explode(F.arrays_zip("bins", "counts")).alias("c")).groupBy("id", F.col("c.bins").alias("bin")).agg(F.sum("c.counts").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("id").orderBy("bin")) - F.col("c")
+    placed = counted.withColumn("before", before).join(means.select("id", ((F.col("n") - 1) / 2).cast("long").alias("p0"), (F.col("n") / 2).cast("long").alias("p1")), "id")
+    within = lambda p: (F.col(p) >= F.col("before")) & (F.col(p) < F.col("before") + F.col("c"))
+    wanted = settle(placed.filter(within("p0") | within("p1")).select("id", "bin", "before", "p0", "p1"))
+    asked = wanted.groupBy("id").agg(F.array_sort(F.collect_list("bin")).alias("bins"))  # two at most
+    marked = left.select("l", F.explode("l_rows").alias("x")).select("l", "x.*").join(asked, "id").groupBy("l").agg(F.sort_array(F.collect_list(F.struct("id", "v", "bins"))).alias("l_rows"))
+    met = marked.withColumn("r", every_block).join(right, "r")
+
+    def values(batches):
+        for left_rows, a, _, b in _met_blocks(batches):
+            sims = a @ b.T
+            bins = bins_of(a, sims)
+            for j, x in enumerate(left_rows):
+                for n in x["bins"]:
+                    found, counts = np.unique(sims[j, bins[j] == n], return_counts=True)
+                    if len(found):
+                        yield pd.DataFrame({"id": x["id"], "bin": n, "s": found, "c": counts})
+
+    told = met.select("l_rows", "r_rows").mapInPandas(values, f"id {kinds[0]}, bin long, s double, c long").groupBy("id", "bin", "s").agg(F.sum("c").alias("c")).join(wanted, ["id", "bin"])
+    upto = F.sum("c").over(Window.partitionBy("id", "bin").orderBy("s")) + F.col("before")
+    told = told.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("c"))
+    at = lambda p: F.max(F.when((F.col(p) >= F.col("start")) & (F.col(p) < F.col("upto")), F.col("s")))
+    medians = told.groupBy("id").agg(((at("p0") + at("p1")) / 2).alias("sim_median"))
+    out = means.join(tops, "id").join(medians, "id")
+    return out.select(F.col("id").alias(id_col), "sim_mean", "sim_median", "sim_max", "sim_top", F.col("_m.nearest").alias("nearest"))
 
 
 def diversity(rows: DataFrame, group: str, vector_col: str, width: int) -> DataFrame:

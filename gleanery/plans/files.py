@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleanery.functions import geometry as G
+from gleanery.functions import pictures as P
 from gleanery.session import shared_path, table
 from gleanery.sources import readers as R
 from gleanery.sources import writers as W
@@ -141,7 +141,7 @@ def hex_hashes(spark, sf):
     wide = F.when(F.col("p_partkey") % 5 > 0, 9).otherwise(8)
     cell = lambda r, c: ((F.col("p_partkey") * 7 + r * 31 + c * 17) * (c + r + 3) % 251).cast("double")
     gray = F.array(*[F.slice(F.array(*[cell(r, c) for c in range(9)]), 1, wide) for r in range(8)])
-    return table(spark, sf, "part").select("p_partkey", G.hex_hash(gray, 8).alias("hash"))
+    return table(spark, sf, "part").select("p_partkey", P.hex_hash(gray, 8).alias("hash"))
 
 
 QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}

@@ -58,8 +58,7 @@ def _steps(spark, sf):
 
 
 def moving_avg_range(spark, sf):
-    out = H.trailing_mean(_steps(spark, sf), "step", "value", 50, "mean", ["user_id"])
-    return out.select("event_id", F.round("mean", 4).alias("mean"))
+    return H.trailing_exact_mean(_steps(spark, sf), "step", "value", 50, "mean", ["user_id"]).select("event_id", "mean")
 
 
 def recent_rows_mean(spark, sf):
@@ -123,7 +122,7 @@ ORACLE_SQL = {
     "size_histogram": f"WITH {_NEAREST} SELECT bucket_w || 'x' || bucket_h AS size, count(*) AS n FROM z GROUP BY 1",
     "fixed_batches": "SELECT p_partkey, p_size, ((row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) // 7)::BIGINT AS batch FROM part",
     "fixed_batches_dropped": "SELECT p_size, (count(*) // 7)::BIGINT AS batches, (count(*) // 7 * 7)::BIGINT AS n FROM part GROUP BY 1 HAVING count(*) >= 7",
-    "moving_avg_range": f"WITH {_STEPS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY step RANGE BETWEEN 49 PRECEDING AND CURRENT ROW), 4) AS mean FROM t",
+    "moving_avg_range": f"WITH {_STEPS}, s AS (SELECT event_id, sum(round(value * 100)::BIGINT) OVER w AS total, count(value) OVER w * 100 AS n FROM t WINDOW w AS (PARTITION BY user_id ORDER BY step RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)) SELECT event_id, floor((20000 * total + n)::DOUBLE / (2 * n)) / 10000 AS mean FROM s",
     "recent_rows_mean": f"WITH {_STEPS} SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS mean FROM t",
     "rewind_log": f"WITH {_STEPS} SELECT user_id, event_id, step FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.user_id = t.user_id AND u.event_id > t.event_id AND u.step <= t.step)",
     "retain_last_n": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2 AS kept FROM orders",

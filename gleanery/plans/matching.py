@@ -124,7 +124,7 @@ def bfs_levels(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (last_row_wins, missing_files, caption_resolution, holdout_split, unprepared_holdout, known_anti, substring_anti, lookup_failures, paired_ab_nullsafe, grid_crossjoin, resume_anti, lexicon_match, first_place, tagged_union, overlap_sets, ordered_distinct, bfs_levels)}
-_BEFORE = "'(?is)^((?:.*?[^\\p{L}\\p{N}_])?)' || alias || '(?:[^\\p{L}\\p{N}_]|$)'"
+_BEFORE = "'(?is)^((?:.*?[^\\p{L}\\p{N}_])??)' || alias || '(?:[^\\p{L}\\p{N}_]|$)'"
 _LEX = ", ".join(f"('{n}', '{a}')" for n, a in LEXICON)
 ORACLE_SQL = {
     "last_row_wins": "SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type, count(*) AS n_rows FROM events GROUP BY 1",

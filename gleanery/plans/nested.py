@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import geometry as G
+from gleanery.functions import pictures as P
 from gleanery.session import table
 
 JOINTS = 6
@@ -50,7 +51,7 @@ def payload_flatten(spark, sf):
 def picture_hashes(spark, sf):
     """Gradient and average bits of 4 x 5 gray pictures made from part keys."""
     gray = F.array(*[F.array(*[(F.col("p_partkey") * (7 * r + 3 * c + 1) % 251).cast("double") for c in range(5)]) for r in range(4)])
-    return table(spark, sf, "part").select("p_partkey", G.gradient_hash(gray).alias("gradient"), G.average_hash(gray).alias("average"))
+    return table(spark, sf, "part").select("p_partkey", P.gradient_hash(gray).alias("gradient"), P.average_hash(gray).alias("average"))
 
 
 QUERIES = {f.__name__: f for f in (pck_score, map_gate, json_props, payload_flatten, picture_hashes)}

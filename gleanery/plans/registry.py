@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("curation", "rules", "matching", "texts", "vectors", "duplicates", "layout", "nested", "relational", "streams", "files")
+MODULES = ("curation", "rules", "matching", "texts", "vectors", "duplicates", "layout", "nested", "relational", "streams", "files", "pictures")
 
 
 def _families():

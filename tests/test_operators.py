@@ -113,7 +113,7 @@ def test_similarity_ways_agree(spark):
     vectors = spark.createDataFrame([(k, [r.random() for _ in range(6)]) for k in range(40)], "id long, v array<double>")
     run, references = vectors.filter("id >= 10"), vectors.filter("id < 10")
     fast = {x.id: x for x in similarity.scored_against(run, references, "id", "id", "v").collect()}
-    for x in similarity._scored_by_join(run, references, "id", "id", "v", 3).collect():
+    for x in similarity.scored_by_blocks(run, references, "id", "id", "v", 3).collect():
         assert x.nearest == fast[x.id].nearest and abs(x.sim_top - fast[x.id].sim_top) < 1e-9 and abs(x.sim_median - fast[x.id].sim_median) < 1e-9
     few = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0]), ("c", None)], "g string, v array<double>")
     assert {x.g: x.diversity for x in similarity.diversity(few, "g", "v", 2).collect()} == {"a": None, "b": 1.0, "c": None}
