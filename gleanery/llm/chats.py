@@ -88,7 +88,8 @@ assert not any(b.startswith(a[k:]) for a in CONTROLS for b in CONTROLS for k in
 
 def fingerprint(paths: Column, layouts=LAYOUTS) -> Column:
     """A hash of those of the paths that some layout knows, in order."""
-    known = F.array(*[F.lit(p) for p in sorted({p for x in layouts for p in (*x.paths, *[f"{x.listed[0]}[]"] * bool(x.listed))})])
+    paths_of = lambda x: {*x.paths, f"{x.listed[0]}[]"} if x.listed else set(x.paths)
+    known = F.array(*[F.lit(p) for p in sorted(set().union(*map(paths_of, layouts)))])
     return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"))
 
 
