@@ -16,6 +16,15 @@ def aspect_buckets(spark: SparkSession, base: int = 512, step: int = 64, most_ra
     return fits.unionByName(fits.select(F.col("h").alias("w"), F.col("w").alias("h"))).distinct()
 
 
+def aspect_buckets_of(configs: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """configs: base, step, most_ratio and own columns. These with w, h of each configuration's buckets."""
+    span = F.sequence(F.col("step"), (F.floor(F.col("base") * F.col("most_ratio") / F.col("step")) * F.col("step") + F.col("step")).cast("int"), F.col("step"))
+    dealt = configs.withColumn("w", F.explode(span)).withColumn("h", F.explode(span))
+    area = F.col("base") * F.col("base")
+    ratio = F.greatest("w", "h") / F.least("w", "h")
+    return dealt.filter((ratio <= F.col("most_ratio")) & (F.abs(F.col("w") * F.col("h") - area) <= tolerance * area))
+
+
 def nearest_bucket(sizes: DataFrame, buckets: DataFrame, id_col: str, w: str = "w", h: str = "h") -> DataFrame:
     """Adds the bucket of the nearest log-ratio; of equal ones the first in order. The buckets are one small array."""
     table = buckets.agg(F.array_sort(F.collect_list(F.struct("w", "h"))).alias("_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,7 +15,12 @@ REDACTED = "[redacted]"
 WORD = r"[\p{L}\p{N}_]+"
 #: Named character references of HTML 4 and the apostrophe.
 REFERENCES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: References that need no semicolon, longer names first.
+BARE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+REFERENCES |= {name: html5[name] for name in BARE_NAMES}
+NUMBERED = r"^#([0-9]+|[xX][0-9a-fA-F]+);?"
+NAMED = r"^([A-Za-z][A-Za-z0-9]{1,31});"
+BARE = f"^({'|'.join(BARE_NAMES)})"
 EDGES = r" ,.\-–—"  # inside a character class
 #: What in a title tells of the file and not of the work, in this order; {who} stands for the maker's name.
 TITLE_NOISE = (
@@ -71,18 +76,26 @@ def title_noise(who: str) -> list[str]:
 
 
 def unescaped(text: Column, names: dict[str, str] | None = None) -> Column:
-    """Character references decoded once: decimal, hexadecimal and named ones that end with a semicolon. What is no
-    character becomes U+FFFD; unknown names stay."""
+    """Character references decoded once: decimal and hexadecimal ones, with a semicolon or not, and named ones; a few
+    old names need no semicolon, of which the longest that fits is taken. What is no character becomes U+FFFD; unknown names stay."""
     table = F.create_map(*[F.lit(x) for pair in (names or REFERENCES).items() for x in pair])
 
     def decoded(part):
-        ref = F.regexp_extract(part, REFERENCE, 1)
-        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
-        code = F.when(hexadecimal, F.conv(F.substring(ref, 3, 6), 16, 10)).otherwise(F.substring(ref, 2, 7)).try_cast("int")
+        number, digits = F.regexp_extract(part, NUMBERED, 0), F.regexp_extract(part, NUMBERED, 1)
+        hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
+        plain = F.regexp_replace(F.when(hexadecimal, F.substring(digits, 2, 1_000_000)).otherwise(digits), "^0+(?=.)", "")
+        code = F.when(F.length(plain) > 7, -1).when(hexadecimal, F.conv(plain, 16, 10)).otherwise(plain).try_cast("int")
         fine = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
         char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(F.when(fine, code).otherwise(32)), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        said = F.when(ref == "", "&").when(F.substring(ref, 1, 1) == "#", char).otherwise(F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref, F.lit(";"))))
-        return F.concat(said, F.substring(part, F.when(ref == "", 1).otherwise(F.length(ref) + 2), F.length(part)))
+        known = F.try_element_at(table, F.regexp_extract(part, NAMED, 1))
+        bare = F.regexp_extract(part, BARE, 1)
+        rest = lambda n: F.substring(part, n + 1, F.length(part))
+        return (
+            F.when(number != "", F.concat(char, rest(F.length(number))))
+            .when(known.isNotNull(), F.concat(known, rest(F.length(F.regexp_extract(part, NAMED, 0)))))
+            .when(bare != "", F.concat(F.try_element_at(table, bare), rest(F.length(bare))))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
 
     parts = F.split(text, "&")
     return F.when(text.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))).otherwise(text)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.groups import settle
+
 
 def trailing_mean(rows: DataFrame, step: str, value: str, width: int, to: str, by: list[str] | None = None) -> DataFrame:
     """Mean over the steps s - width + 1 to s that exist."""
@@ -51,9 +53,39 @@ def fixed_batches(rows: DataFrame, group: str, order: list, size: int, drop_last
     return out
 
 
+def ordinals(rows: DataFrame, order: list, to: str = "position") -> DataFrame:
+    """The place of every row in a global order, from 0: ranges are dealt to tasks and sorted there, each counts its own
+    rows, and what the ranges before hold is added. The order should tell all rows apart."""
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place within a task
+    dealt = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_task": F.spark_partition_id(), "_place": own}))
+    counts = dealt.groupBy("_task").agg(F.count("*").alias("_n"))  # a row for each task
+    before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_task").withColumn(to, F.col("_before") + F.col("_place")).drop("_task", "_place", "_before")
+
+
+def order_key(keys: list[str], seed: int, epoch: int) -> Column:
+    """A digest of keys, seed and epoch to shuffle by."""
+    return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed + epoch))))
+
+
 def shuffled(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    """An order that a key, the seed and the epoch determine."""
-    return rows.withColumn("order_key", F.xxhash64(key, F.lit(seed + epoch)))
+    """A permutation that a key, the seed and the epoch determine: ``position`` from 0, by ``order_key``."""
+    return ordinals(rows.withColumn("order_key", order_key([key], seed, epoch)), [F.col("order_key"), F.col(key)])
+
+
+def shuffled_batches(rows: DataFrame, group: str, key: str, size: int, seed: int, epoch: int, drop_last: bool = False) -> DataFrame:
+    """Batches that never mix groups, shuffled within a group and among each other: ``batch`` of the group, ``place`` of
+    the batch among all, both from 0. A group may be of any size: its order is a part of a global one."""
+    placed = ordinals(rows.withColumn("_key", order_key([key], seed, epoch)), [F.col(group), F.col("_key"), F.col(key)], "_at").drop("_key")
+    firsts = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    dealt = placed.join(firsts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("batch", F.floor((F.col("_at") - F.col("_first")) / size).cast("long"))
+    if drop_last:
+        dealt = dealt.filter((F.col("batch") + 1) * size <= F.col("_n"))
+    batches = firsts.select(F.col("_g"), F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("_n") - 1) / size).cast("long"))).alias("_b"), "_n")
+    batches = batches.filter((F.col("_b") + 1) * size <= F.col("_n")) if drop_last else batches
+    order = ordinals(batches.drop("_n").withColumn("_key", order_key(["_g", "_b"], seed, epoch)), [F.col("_key"), F.col("_g"), F.col("_b")], "place").drop("_key")
+    dealt = dealt.drop("_at", "_first", "_n", "_g")
+    return dealt.join(order, F.col(group).eqNullSafe(F.col("_g")) & (F.col("batch") == F.col("_b"))).drop("_g", "_b")
 
 
 def next_id(names: DataFrame, stem: str) -> DataFrame:

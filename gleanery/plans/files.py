@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import pictures as P
 from gleanery.session import shared_path, table
+from gleanery.sources import paged
 from gleanery.sources import readers as R
 from gleanery.sources import writers as W
 
@@ -80,7 +82,35 @@ def history_scan(spark, sf):
 
 
 def suite_scan(spark, sf):
-    return R.read_suite(spark, [{"prompt": "a lake"}, {"prompt": "a hill", "id": "own", "width": 512}, {"prompt": "a wood", "negative_prompt": "blurry"}])
+    """Prompt suites of benchmark items, a file for each of three: ids default to places."""
+    path = shared_path(spark, "suites")
+    key = F.col("item_id")
+    entry = F.struct(F.when(key % 4 == 0, F.concat(F.lit("own"), key.cast("string"))).alias("id"), F.md5("text").alias("prompt"), F.when(key % 5 > 0, 512).alias("width"), F.lit(640).alias("height"), F.when(key % 3 == 0, "blurry").alias("negative_prompt"))
+    suites = table(spark, sf, "benchmark").groupBy((key % 3).alias("suite")).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e")))).alias("all"))
+    suites.select("suite", F.to_json(F.transform("all", lambda x: x["e"])).alias("value")).repartition("suite").write.partitionBy("suite").text(path)
+    found = R.read_suites(spark, path)
+    return found.select(F.regexp_extract("file", r"suite=(\d+)/", 1).cast("long").alias("suite"), "id", "prompt", "width", "height", "negative_prompt")
+
+
+PAGE_ROWS = 40
+
+
+def paged_scan(spark, sf):
+    """Customers of each nation in pages of forty, some of which fail at first, by a source that follows their marks."""
+    path = shared_path(spark, "pages")
+    ranked = table(spark, sf, "customer").withColumn("_n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).withColumn("_p", F.floor(F.col("_n") / PAGE_ROWS).cast("int"))
+    pages = ranked.groupBy("c_nationkey", "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "c_custkey", "c_name"))), lambda x: F.struct(x["c_custkey"].alias("id"), x["c_name"].alias("name"))).alias("items"))
+    last = pages.groupBy("c_nationkey").agg(F.max("_p").alias("_last"))
+    name = lambda p: F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("-"), p.cast("string"))
+    reply = F.to_json(F.struct("items", F.when(F.col("_p") < F.col("_last"), name(F.col("_p") + 1)).alias("continue")))
+    made = pages.join(last, "c_nationkey")
+    good = made.select(name(F.col("_p")).alias("_page"), reply.alias("value"))
+    faults = made.filter("_p % 3 = 1").select(F.concat(name(F.col("_p")), F.lit(".try0")).alias("_page"), F.lit('{"status": 503}').alias("value"))
+    replies = good.unionByName(faults).withColumnRenamed("_page", "page")
+    replies.repartition("page").write.partitionBy("page").text(path)
+    items = paged.read_pages(spark, path, starts="nation")
+    parsed = items.select("start", F.regexp_extract("page", r"-(\d+)$", 1).cast("int").alias("page"), "place", F.from_json("item", "id long, name string").alias("x"))
+    return parsed.select(F.regexp_extract("start", r"nation(\d+)-", 1).cast("int").alias("nation"), "page", "place", "x.id", "x.name")
 
 
 def sorted_rewrite(spark, sf):
@@ -144,7 +174,7 @@ def hex_hashes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.hex_hash(gray, 8).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
+QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, paged_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
 _CELL = lambda r, c: f"((p_partkey * 7 + {r * 31 + c * 17}) * {c + r + 3} % 251)"
 _NIBBLE = lambda r, c: "printf('%x', " + " + ".join(f"CASE WHEN {_CELL(r, c + k + 1)} > {_CELL(r, c + k)} THEN {8 >> k} ELSE 0 END" for k in range(4)) + ")"
 ORACLE_SQL = {
@@ -156,7 +186,8 @@ ORACLE_SQL = {
     "file_scan": "SELECT '.json' AS suffix, count(*) AS n FROM region UNION ALL SELECT '.csv', 1",
     "missing_only": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT r_regionkey * 3 FROM region)",
     "history_scan": "SELECT CASE WHEN event_id % 7 > 0 THEN 0.5::DOUBLE END AS lr, count(*) AS n, max(event_id)::INT AS last FROM events GROUP BY 1",
-    "suite_scan": "SELECT * FROM (VALUES ('prompt00', 'a lake', NULL::INT, NULL::INT, NULL), ('own', 'a hill', 512, NULL, NULL), ('prompt02', 'a wood', NULL, NULL, 'blurry')) t(id, prompt, width, height, negative_prompt)",
+    "suite_scan": "SELECT item_id % 3 AS suite, CASE WHEN item_id % 4 = 0 THEN 'own' || item_id ELSE printf('prompt%02d', row_number() OVER (PARTITION BY item_id % 3 ORDER BY item_id) - 1) END AS id, md5(text) AS prompt, CASE WHEN item_id % 5 > 0 THEN 512 END AS width, 640 AS height, CASE WHEN item_id % 3 = 0 THEN 'blurry' END AS negative_prompt FROM benchmark",
+    "paged_scan": f"SELECT c_nationkey AS nation, (n // {PAGE_ROWS})::INT AS page, (n % {PAGE_ROWS})::INT AS place, c_custkey AS id, c_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)",
     "sorted_rewrite": "SELECT p_partkey FROM part WHERE p_size > 5",
     "append_rows": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END::BIGINT AS n FROM nation",
     "report_parts": "SELECT 'sizes' AS part, p_size, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*) FROM part",

@@ -11,7 +11,10 @@ from gleanery.session import table
 
 
 def aspect_buckets(spark, sf):
-    return G.aspect_buckets(spark)
+    """Buckets of a configuration for each region."""
+    key = F.col("r_regionkey")
+    configs = table(spark, sf, "region").select(key, (384 + key * 64).cast("int").alias("base"), F.when(key % 2 == 0, 64).otherwise(32).alias("step"), (1.5 + key * 0.25).alias("most_ratio"))
+    return G.aspect_buckets_of(configs).select("r_regionkey", "w", "h")
 
 
 def _sizes(spark, sf):
@@ -49,8 +52,19 @@ def fixed_batches_dropped(spark, sf):
 
 
 def seeded_shuffle(spark, sf):
-    """The order is Spark's hash of key and epoch: the same at every run, so only rows are checked."""
-    return H.shuffled(table(spark, sf, "part").select("p_partkey"), "p_partkey", 42, 1)
+    """A permutation of all parts, the same at every run."""
+    return H.shuffled(table(spark, sf, "part").select("p_partkey"), "p_partkey", 42, 1).select("p_partkey", "position")
+
+
+def shuffled_batches(spark, sf):
+    """Batches of seven parts of one size, shuffled within sizes and among each other."""
+    return H.shuffled_batches(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "p_partkey", 7, 42, 1)
+
+
+def shuffled_batches_dropped(spark, sf):
+    """The same without batches that are not full, and how many rows each place has."""
+    made = H.shuffled_batches(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", "p_partkey", 7, 42, 2, drop_last=True)
+    return made.groupBy("place").agg(F.count("*").alias("n"), F.min("p_size").alias("p_size"), F.sum("p_partkey").alias("total"))
 
 
 def _steps(spark, sf):
@@ -108,13 +122,20 @@ def training_plan(spark, sf):
     return rows.select("lang", *[c.cast("long").alias(k) for k, c in G.training_arithmetic(F.col("n"), 2, 4, 1500).items()])
 
 
-QUERIES = {f.__name__: f for f in (aspect_buckets, nearest_bucket, resize_geometry, photo_sizing, size_histogram, fixed_batches, fixed_batches_dropped, seeded_shuffle, moving_avg_range, recent_rows_mean, rewind_log, retain_last_n, latest_resolve, next_id, newest_n, limit_usable, sorted_accepted, min_snr, training_plan)}
+QUERIES = {f.__name__: f for f in (aspect_buckets, nearest_bucket, resize_geometry, photo_sizing, size_histogram, fixed_batches, fixed_batches_dropped, seeded_shuffle, shuffled_batches, shuffled_batches_dropped, moving_avg_range, recent_rows_mean, rewind_log, retain_last_n, latest_resolve, next_id, newest_n, limit_usable, sorted_accepted, min_snr, training_plan)}
 _BUCKETS = "b AS (SELECT w AS bw, h AS bh FROM range(64, 961, 64) x(w), range(64, 961, 64) y(h) WHERE greatest(w, h) / least(w, h) <= 1.75 AND abs(w * h - 262144) <= 0.15 * 262144)"
 _SIZES = "s AS (SELECT p_partkey, p_size::BIGINT * 17 + 300 AS w, p_partkey % 600 + 400 AS h FROM part)"
 _NEAREST = f"{_SIZES}, {_BUCKETS}, n AS (SELECT p_partkey, w, h, min_by((bw, bh), (round(abs(ln(w / h) - ln(bw / bh)), 12), bw, bh)) AS k FROM s, b GROUP BY ALL), z AS (SELECT p_partkey, w, h, k[1]::INT AS bucket_w, k[2]::INT AS bucket_h FROM n)"
+_dealt = lambda seed, full=False: f"""d AS (SELECT p_partkey, p_size, (row_number() OVER (PARTITION BY p_size ORDER BY md5(p_partkey || ':{seed}'), p_partkey) - 1) // 7 AS batch FROM part),
+o AS (SELECT p_size, batch, row_number() OVER (ORDER BY md5(p_size || ':' || batch || ':{seed}'), p_size, batch) - 1 AS place FROM d GROUP BY 1, 2 HAVING {'count(*) = 7' if full else 'TRUE'})"""
 _STEPS = "t AS (SELECT user_id, event_id, event_id % 997 AS step, value FROM events)"
 ORACLE_SQL = {
-    "aspect_buckets": f"WITH {_BUCKETS} SELECT bw::INT AS w, bh::INT AS h FROM b",
+    "aspect_buckets": """WITH c AS (SELECT r_regionkey, 384 + r_regionkey * 64 AS base, CASE WHEN r_regionkey % 2 = 0 THEN 64 ELSE 32 END AS step, 1.5::DOUBLE + r_regionkey * 0.25::DOUBLE AS ratio FROM region),
+        s AS (SELECT *, unnest(range(1, 100))::INT * step AS w FROM c), t AS (SELECT *, unnest(range(1, 100))::INT * step AS h FROM s)
+        SELECT r_regionkey, w::INT AS w, h::INT AS h FROM t WHERE greatest(w, h) / least(w, h) <= ratio AND abs(w * h - base * base) <= 0.15 * base * base AND w <= base * ratio + step AND h <= base * ratio + step""",
+    "seeded_shuffle": "SELECT p_partkey, row_number() OVER (ORDER BY md5(p_partkey || ':43'), p_partkey) - 1 AS position FROM part",
+    "shuffled_batches": f"WITH {_dealt(43)} SELECT p_partkey, p_size, batch, place FROM d JOIN o USING (p_size, batch)",
+    "shuffled_batches_dropped": f"WITH {_dealt(44, full=True)} SELECT place, count(*) AS n, min(p_size) AS p_size, sum(p_partkey)::BIGINT AS total FROM d JOIN o USING (p_size, batch) GROUP BY 1",
     "nearest_bucket": f"WITH {_NEAREST} SELECT p_partkey, bucket_w, bucket_h FROM z",
     "resize_geometry": f"""WITH {_NEAREST}, c AS (SELECT *, greatest(round_even(w * greatest(bucket_w / w, bucket_h / h), 0)::BIGINT, bucket_w) AS scaled_w, greatest(round_even(h * greatest(bucket_w / w, bucket_h / h), 0)::BIGINT, bucket_h) AS scaled_h FROM z)
         SELECT p_partkey, scaled_w, scaled_h, floor((scaled_w - bucket_w) / 2)::BIGINT AS crop_left, floor((scaled_h - bucket_h) / 2)::BIGINT AS crop_top FROM c""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import texts as T
-from gleanery.operators import joins, ladder
+from gleanery.operators import joins, ladder, manifests
 from gleanery.session import table
 
 #: (category, severity, test) over documents; understood alike by Spark and DuckDB.
@@ -90,6 +90,24 @@ def manifest_check(spark, sf):
     return ladder.all_issues(table(spark, sf, "part"), "p_partkey", rules).groupBy("p_partkey").agg(F.count("*").alias("n_problems"), F.count_if(F.col("severity") == "error").alias("n_errors"))
 
 
+def _manifest(spark, sf):
+    """A manifest of parts: sizes off the grid, unreadable ones, captions of all kinds."""
+    k = F.col("p_partkey")
+    said = F.concat(F.when(k % 7 > 0, "zqstyle, ").otherwise(""), F.col("p_type"), F.when(k % 13 == 0, ", unknown").when(k % 17 == 0, ", no VLM").otherwise(""), F.repeat(F.concat(F.lit(", "), F.col("p_name")), (k % 40).cast("int")))
+    return table(spark, sf, "part").select(k, F.concat(F.lit("img"), k.cast("string")).alias("image"), F.when(k % 19 > 0, said).alias("text"), F.when(k % 11 > 0, F.col("p_size") * 8 + F.when(k % 5 == 0, 1).otherwise(0)).alias("width"), (F.col("p_size") * 16).alias("height"))
+
+
+def manifest_problems(spark, sf):
+    """Every problem of every row of a prepared manifest."""
+    return manifests.manifest_problems(_manifest(spark, sf), "zqstyle", "p_partkey")
+
+
+def manifest_accepted(spark, sf):
+    """Rows that have warnings at most."""
+    rows = _manifest(spark, sf)
+    return manifests.accepted(rows, manifests.manifest_problems(rows, "zqstyle", "p_partkey")).select("image")
+
+
 def upscale_detector(spark, sf):
     """Declared size against the original's; an unknown original (0 or null) tells nothing."""
     parts = table(spark, sf, "part")
@@ -126,9 +144,20 @@ def size_guard(spark, sf):
     return parts.select("p_partkey", (F.pmod("p_size", F.lit(8)) == 0).alias("on_grid"), (F.floor(F.col("p_size") * 37 / 8) * 8).cast("long").alias("snapped"))
 
 
-QUERIES = {f.__name__: f for f in (issue_counts, severity_counts, first_reason_wins, reject_ladder, soft_flags, stale_rules, dup_text_flag, secret_mask, provenance_check, missing_caption, manifest_check, upscale_detector, ingest_filter, answer_filter, gated_fields, size_guard)}
+QUERIES = {f.__name__: f for f in (issue_counts, severity_counts, first_reason_wins, reject_ladder, soft_flags, stale_rules, dup_text_flag, secret_mask, provenance_check, missing_caption, manifest_check, manifest_problems, manifest_accepted, upscale_detector, ingest_filter, answer_filter, gated_fields, size_guard)}
 _VALUES = ", ".join(f"({x})" for x in LISTED)
+_MANIFEST = """m AS (SELECT p_partkey AS k, 'img' || p_partkey AS image, CASE WHEN p_partkey % 19 > 0 THEN CASE WHEN p_partkey % 7 > 0 THEN 'zqstyle, ' ELSE '' END || p_type || CASE WHEN p_partkey % 13 = 0 THEN ', unknown' WHEN p_partkey % 17 = 0 THEN ', no VLM' ELSE '' END || repeat(', ' || p_name, p_partkey % 40) ELSE '' END AS text,
+CASE WHEN p_partkey % 11 > 0 THEN p_size * 8 + (p_partkey % 5 = 0)::INT END AS w, p_size * 16 AS h FROM part),
+t AS (SELECT *, floor(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) * 1.3::DECIMAL(3, 1))::BIGINT + length(text) - length(replace(text, ',', '')) AS tokens FROM m),
+i AS (SELECT image, 'error' AS severity, 'unreadable_image' AS category, 'image missing or unreadable' AS message FROM t WHERE w IS NULL
+UNION ALL SELECT image, 'error', 'bad_size', w || 'x' || h || ' is not a multiple of 8' FROM t WHERE w % 8 <> 0 OR w IS NOT NULL AND h % 8 <> 0
+UNION ALL SELECT image, 'error', 'missing_trigger', 'caption does not start with zqstyle' FROM t WHERE NOT starts_with(text, 'zqstyle')
+UNION ALL SELECT image, 'error', 'placeholder_caption', 'caption contains placeholder text' FROM t WHERE contains(text, 'unknown') OR contains(text, 'no VLM')
+UNION ALL SELECT image, 'error', 'caption_too_long', tokens || ' tokens of 75' FROM t WHERE tokens > 75
+UNION ALL SELECT image, 'warning', 'duplicate_caption', 'same caption as ' || first FROM (SELECT image, k, first_value(image) OVER c AS first, row_number() OVER c AS n FROM t WINDOW c AS (PARTITION BY text ORDER BY k)) WHERE n > 1)"""
 ORACLE_SQL = {
+    "manifest_problems": f"WITH {_MANIFEST} SELECT * FROM i",
+    "manifest_accepted": f"WITH {_MANIFEST} SELECT image FROM t WHERE image NOT IN (SELECT image FROM i WHERE severity = 'error')",
     "issue_counts": f"SELECT severity, category, count(*) AS n FROM ({_ISSUES}) GROUP BY 1, 2",
     "severity_counts": f"SELECT count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT doc_id) AS documents FROM ({_ISSUES})",
     "first_reason_wins": f"SELECT doc_id, min_by(category, ord) AS reason, count(*) AS n_issues FROM ({_ISSUES}) GROUP BY 1",

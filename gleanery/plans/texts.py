@@ -128,9 +128,13 @@ QUERIES = {f.__name__: f for f in (title_clean, year_extract, strip_trigger, sho
 def _title_sql(t: str) -> str:
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     names = ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in T.REFERENCES.items())
-    ref = f"regexp_extract(p, '{T.REFERENCE}', 1)"
-    number = f"CASE WHEN lower({ref}[2]) = 'x' THEN ('0x' || {ref}[3:])::INT ELSE {ref}[2:]::INT END"
-    said = f"CASE WHEN {ref} = '' THEN '&' || p WHEN {ref}[1] = '#' THEN chr({number}) || p[length({ref}) + 2:] ELSE coalesce(map_extract_value(MAP {{{names}}}, {ref}), '&' || {ref} || ';') || p[length({ref}) + 2:] END"
+    got = lambda pattern, group=0: f"regexp_extract(p, '{pattern}', {group})"
+    digits = got(T.NUMBERED, 1)
+    number = f"CASE WHEN lower({digits}[1]) = 'x' THEN ('0x' || {digits}[2:])::INT ELSE {digits}::INT END"
+    told = "map_extract_value(MAP {" + names.replace("{", "{{").replace("}", "}}") + "}, {})"
+    told = told.replace("MAP {", "MAP {{").replace("}, {})", "}}, {})")
+    said = f"""CASE WHEN {got(T.NUMBERED)} <> '' THEN chr({number}) || p[length({got(T.NUMBERED)}) + 1:] WHEN {told.format(got(T.NAMED, 1))} IS NOT NULL THEN {told.format(got(T.NAMED, 1))} || p[length({got(T.NAMED)}) + 1:]
+        WHEN {got(T.BARE)} <> '' THEN {told.format(got(T.BARE, 1))} || p[length({got(T.BARE)}) + 1:] ELSE '&' || p END"""
     t = f"list_reduce(list_transform(string_split({t}, '&'), lambda p, k: CASE WHEN k = 1 THEN p ELSE {said} END), lambda a, b: a || b)"
     t = f"trim(replace(replace({t}, '_', ' '), chr(34), ''))"
     edge = lambda x: f"regexp_replace({x}, '^[{T.EDGES}]+|[{T.EDGES}]+\\z', '', 'g')"

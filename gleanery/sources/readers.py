@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BAD = "_bad"
+#: Names of files that are no data: hidden ones and the marks of Spark's writers.
+UNSEEN = r"^(\.|_SUCCESS$|_committed_|_started_|_temporary|_metadata$|_common_metadata$)"
 
 
 def suffix(path: Column) -> Column:
@@ -19,11 +21,11 @@ def stem(path: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True, content: bool = False) -> DataFrame:
-    """path, name, suffix, length of the files under a folder, dotfiles left out; the content only if asked for."""
+    """path, name, suffix, length of the files under a folder, without dotfiles and what writers leave; the content only if asked for."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).filter(~F.col("name").startswith("."))
+    files = reader.load(root).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).filter(~F.col("name").rlike(UNSEEN))
     return files.select("path", "name", suffix(F.col("path")).alias("suffix"), "length", *(["content", F.sha2("content", 256).alias("sha256")] if content else []))
 
 
@@ -34,15 +36,26 @@ def split_by_suffix(files: DataFrame, allowed: Sequence[str]) -> tuple[DataFrame
     return files.filter(good), bad
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no (from 1) and line of text files, without the line's end.
+
+    Large files are read in splits by many tasks. A line's number is its place in its split and the lines of the file's
+    splits before, whose counts are one small table: a row for each split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+    # a split's lines lie together in its task, so ids rise by one
+    splits = lines.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_start")) - F.col("_n")
+    placed = splits.select("path", "_start", "_first", before.alias("_before"))
+    return lines.join(placed, ["path", "_start"]).select("path", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+
+
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str, required: str) -> tuple[DataFrame, DataFrame]:
     """Rows and issues of the files of a path. One bad line, or one without the required field, rejects its whole file:
-    that has no rows then, and each bad line is an issue with its file and number. Blank lines are skipped.
-
-    A file is read as one, since a line's number is its place in the file.
+    that has no rows then, and each bad line is an issue with its file and number. Blank lines are skipped, but count.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).filter(F.trim("line") != "")
-    parsed = lines.select("path", (F.col("at") + 1).alias("line_no"), F.from_json("line", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
+    parsed = lines.select("path", F.col("line_no").cast("int").alias("line_no"), F.from_json("line", f"{schema}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"))
     wrong = F.col("r").isNull() | F.col(f"r.{BAD}").isNotNull() | F.col(f"r.{required}").isNull()
     issues = parsed.filter(wrong).select(F.lit("error").alias("severity"), F.lit("invalid_metadata").alias("category"), "path", F.concat(F.lit("line "), F.col("line_no").cast("string")).alias("message"))
     rows = parsed.filter(~wrong).select("path", "line_no", "r.*").drop(BAD)
@@ -82,6 +95,9 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("step int, loss double, lr double").option("header", "true").csv(path)
 
 
+SUITE = "id string, prompt string, width int, height int, negative_prompt string"
+
+
 def read_suite(spark: SparkSession, entries: Sequence[dict]) -> DataFrame:
     """id, prompt, width, height, negative_prompt of a prompt suite; ids default to their place, prompts must be there."""
     for k, entry in enumerate(entries):
@@ -89,10 +105,20 @@ def read_suite(spark: SparkSession, entries: Sequence[dict]) -> DataFrame:
             raise ValueError(f"entry {k} has no prompt")
     fields = ("id", "prompt", "width", "height", "negative_prompt")
     rows = [(k, *[e.get(f) for f in fields]) for k, e in enumerate(entries)]
-    table = spark.createDataFrame(rows, "pos int, id string, prompt string, width int, height int, negative_prompt string")
+    table = spark.createDataFrame(rows, f"pos int, {SUITE}")
     return table.withColumn("id", F.coalesce("id", F.format_string("prompt%02d", "pos"))).drop("pos")
 
 
+def read_suites(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of suite files, each a JSON array, with their file: ids default to the place in the file. An entry
+    without a prompt is an error, as is a file that holds no array."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", f"array<struct<{SUITE.replace(' ', ':').replace(',:', ',')}>>").alias("entries"))
+    listed = files.select("file", F.posexplode_outer("entries").alias("pos", "e"))
+    complaint = F.when(F.col("pos").isNull(), F.concat(F.col("file"), F.lit(" holds no entries"))).when(F.coalesce(F.trim("e.prompt"), F.lit("")) == "", F.concat(F.lit("entry "), F.col("pos").cast("string"), F.lit(" has no prompt in "), F.col("file")))
+    checked = listed.withColumn("_ok", F.when(complaint.isNotNull(), F.raise_error(complaint)).otherwise(F.lit(True))).filter("_ok")
+    return checked.select("file", F.coalesce("e.id", F.format_string("prompt%02d", "pos")).alias("id"), "e.prompt", "e.width", "e.height", "e.negative_prompt")
+
+
 def load_config(source: str | dict) -> dict:
     """A mapping from a YAML or JSON file, or the mapping itself."""
     if isinstance(source, dict):
