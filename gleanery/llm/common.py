@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,14 +71,16 @@ class Words:
     """64-bit hashes of all words of a list of texts at once, in numpy.
 
     A word's hash is a polynomial of random values of its bytes, taken from running sums over the joined texts, so
-    no word becomes a Python object. With ``lower``, A-Z hash as a-z.
+    no word becomes a Python object. There are long words for which any such polynomial modulo 2^64 is the same, so words
+    of more than ``LONG`` bytes are hashed by xxh3. With ``lower``, A-Z hash as a-z.
     """
 
     POINT = 0x9E3779B97F4A7C15
+    LONG = 64
 
     def __init__(self, lower: bool, part_letters: bool = False):
         """part_letters: a boundary of letters and ASCII punctuation (but for the apostrophe) ends a word, too."""
-        self.part_letters = part_letters
+        self.part_letters, self.lower = part_letters, lower
         r = np.random.default_rng(20)
         self.value = r.integers(1, 1 << 63, 256, dtype=np.uint64)
         if lower:
@@ -130,6 +133,9 @@ class Words:
         sums = np.zeros(len(blob) + 1, np.uint64)
         np.cumsum(self.value[blob] * self.up[: len(blob)], out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        for k in np.flatnonzero(ends - starts > self.LONG).tolist():
+            word = joined[starts[k] : ends[k]]
+            hashes[k] = xxhash.xxh3_64_intdigest(word.lower() if self.lower else word)  # lower() of bytes takes A-Z alone
         offsets = np.cumsum([0, *[len(x) + 1 for x in raw]])
         return hashes, np.searchsorted(starts, offsets), joined, starts, ends
 

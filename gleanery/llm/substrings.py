@@ -5,12 +5,12 @@ a left class followed by one of a right class); names are hashes of what they st
 names, so all tasks of a round give equal substrings equal names without a table of names. Rounds go on until a text is
 one symbol or nothing pairs; symbols of all rounds then meet across the corpus in two Spark rounds:
 
-* The symbols of high rounds, as long as a window or longer, meet by 128 bits of their words. Every window inside of
+* The symbols of high rounds, as long as a window or longer, meet by 128 bits made of their words' hashes. Every window inside of
   one that starts earlier elsewhere repeats, and needs no look of its own: a long repeat costs a few symbols.
 * A symbol of a low round knows the span of words that decided it. Equal windows have equal symbols wherever that span
   lies inside, so every window takes, of the symbols decided inside it, one of the highest round, of the smallest hash,
   as its witness. Only windows whose witness occurs elsewhere can repeat; those that no long symbol settled are compared
-  by 128 bits of their words in the second round.
+  by 128 bits made of their words' hashes in the second round. The words themselves are known by 64 bits each.
 
 Each window that starts earlier elsewhere has its words removed. A key that a task meets often goes to its bucket once;
 what is known to repeat already is spread over all buckets.
