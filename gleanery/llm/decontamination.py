@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, units after numbers and capitalised words become typed placeholders that keep their value; windows of
+Numbers (in digits or words), units after numbers and capitalised words become typed placeholders that keep their value;
+a point in a number is part of its value, a comma only before three digits: others list numbers. Windows of
 ``WINDOW`` canonical tokens are hash-joined with those of the benchmark items. Texts are read in two ways: capitalised
 words are names, wherever they stand, but for words that head sentences without being names (``HEADS``); or none is. A
 window needs ``LEAST_WORDS`` tokens that are no placeholders, as names and numbers alone fit any list of them. What met
@@ -14,7 +15,8 @@ the windows' hashes meet in a shuffled join, and only what met is taken back to
 Defined cases: null and empty texts are clean; a null item text has no windows; items shorter than a window are met
 as a whole, by windows of their length; an item of fewer than ``LEAST_ITEM_WORDS`` tokens that are no placeholders (a
 bare number, a lone word) says too little to be matched: ``unmatchable_items`` lists it; rows with a null id are clean;
-repeated ids are judged together; an empty table gives no rows.
+repeated ids are judged together; an empty table gives no rows; other columns are not read, whatever their names, and
+pass through ``clean_documents``; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from gleanery.llm.common import stash
 WINDOW, MOST_BROADCAST = 8, 200_000
 LEAST_COVER = 0.5
 LEAST_WORDS, LEAST_ITEM_WORDS = 2, 4
-NUMBER, NAME, UNIT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003"
+NUMBER, NAME, UNIT, POINT, AFTER = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 NAMED, PLAIN = 0, 1  # ways of reading: capitalised words are names, or words
 UNITS = "km|kg|cm|mm|mg|ml|m|g|l|lb|lbs|oz|mi|ft|s|min|h|hours|hour|minutes|days|weeks|years|euros|euro|dollars|dollar|percent|miles|meters|metres|grams|liters|litres"
 #: Words that are capitalised as heads of sentences and questions.
@@ -36,14 +38,23 @@ HEADS = tuple(
     "there here then so as at by for from in into of on to with after before during is are was were be do does did has have had can could will would "
     "should may must not no yes all any each every some many most one first find calculate determine compute solve suppose let given show write name".split()
 )
-#: (pattern, replacement with $1) in order; understood alike by java.util.regex and RE2.
+ONES = "one two three four five six seven eight nine".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = tuple([*"zero ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen hundred thousand million billion dozen".split(), *ONES, *TENS, *[t + o for t in TENS for o in ONES]])
+_GROUP = (r"(\p{N}),(\p{N}{3})([^\p{N}]|$)", "$1$2$3")
+_POINT = (r"(\p{N})\.(\p{N})", f"$1{POINT}$2")
+#: (pattern, replacement with $1) in order; understood alike by java.util.regex and RE2. What shares a character with the match before is met by a second turn.
 REWRITES = (
-    (r"(\p{N})[.,](\p{N})", "$1$2"),
-    (r"(\p{N}+)", f" {NUMBER}$1 "),
-    (rf"({NUMBER}\p{{N}}+) +({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1 {UNIT}$2$3"),
-    (rf"(^|[^\p{{L}}\p{{N}}{NUMBER}-{AFTER}])(\p{{Lu}}\p{{Ll}}+)", f"$1{NAME}$2"),
+    _GROUP,
+    _GROUP,
+    _POINT,
+    _POINT,
+    (f"(?i)({'|'.join(TENS)})[- ]({'|'.join(ONES)})", "$1$2"),
+    (rf"(\p{{N}}[\p{{N}}{POINT}]*)", f" {NUMBER}$1 "),
+    (rf"({NUMBER}[\p{{N}}{POINT}]+) +({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1 {UNIT}$2$3"),
+    (rf"(^|[^\p{{L}}\p{{N}}{NUMBER}-{AFTER}])(\p{{Lu}}\p{{L}}+)", f"$1{NAME}$2"),
 )
-BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+"
+BREAKS = rf"[^\p{{L}}\p{{N}}{NUMBER}-{POINT}]+"
 
 
 def tokens(text: Column) -> Column:
@@ -51,7 +62,9 @@ def tokens(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     for pattern, into in REWRITES:
         text = F.regexp_replace(text, pattern, into)
-    return F.array_remove(F.split(F.lower(text), BREAKS), "")
+    found = F.array_remove(F.split(F.lower(text), BREAKS), "")
+    plain = lambda x: F.when(x.startswith(NAME), unmarked(x)).otherwise(x)
+    return F.transform(found, lambda x: F.when(plain(x).isin(*NUMBER_WORDS), F.concat(F.lit(NUMBER), plain(x))).otherwise(x))
 
 
 def is_marked(token: Column) -> Column:
@@ -156,7 +169,9 @@ def _sql_tokens(text: str) -> str:
     text = f"coalesce({text}, '')"
     for pattern, into in REWRITES:
         text = f"regexp_replace({text}, '{pattern}', '{into.replace('$', chr(92))}', 'g')"
-    return f"list_filter(string_split_regex(lower({text}), '{BREAKS}'), lambda x: x <> '')"
+    plain = f"CASE WHEN x[1] = '{NAME}' THEN x[2:] ELSE x END"
+    numbers = ", ".join(f"'{w}'" for w in NUMBER_WORDS)
+    return f"list_transform(list_filter(string_split_regex(lower({text}), '{BREAKS}'), lambda x: x <> ''), lambda x: CASE WHEN ({plain}) IN ({numbers}) THEN '{NUMBER}' || ({plain}) ELSE x END)"
 
 
 _SLOT = f"(x >= '{NUMBER}' AND x < '{AFTER}')"

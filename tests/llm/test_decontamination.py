@@ -67,3 +67,39 @@ def test_very_long_and_repeated_texts(spark):
     docs, items = frames(spark, [(1, f"{long} {ITEM} {long}", "x"), (1, f"{long} {ITEM} {long}", "x"), (2, "a" * 300_000, ""), (3, long, "")])
     assert {r.doc for r in contaminated(docs, items).collect()} == {1}
     assert len(clean_documents(docs, items).collect()) == 2
+
+
+def test_number_words_lists_capitals_and_decimals(spark):
+    items = [
+        (1, "The farmer owns three red barns and two old sheds, and twenty-five sheep graze behind the long fence every morning"),
+        (2, "Sort the list 1,2,3 and then the list 4,5,6 before you add both of them to the table of results"),
+        (3, "When NASA sent a probe to the MOON the crew at ESA watched it land on the screens of the hall"),
+        (4, "A rope of 1.5 meters is cut in 15 parts and each part is as long as the thumb of the boy"),
+    ]
+    rows = [
+        (1, "The farmer owns five red barns and nine old sheds, and forty sheep graze behind the long fence every morning"),
+        (2, "so: Sort the list 10,20,30 and then the list 7,8,12 before you add both of them to the table of results"),
+        (3, "When JAXA sent a probe to the MARS the crew at IBM watched it land on the screens of the hall"),
+        (4, "A rope of 2.25 meters is cut in 9 parts and each part is as long as the thumb of the boy"),
+        (5, "A rope of 15 meters is cut in 1.5 parts and each part is as long as the thumb of the boy"),
+        (6, "The farmer owns Three red barns and 2 old sheds, and 1,250 sheep graze behind the long fence every morning"),
+        (7, "Nobody owns a barn or two of the sheds, and no list of three or five numbers says when the probe of the crew will land"),
+    ]
+    docs, benchmark = frames(spark, [(*r, "") for r in rows], items)
+    found = {(r.doc, r.item): r.reworded for r in contaminated(docs, benchmark).collect()}
+    assert found == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 4): True, (6, 1): True}
+
+
+def test_a_point_is_part_of_a_value(spark):
+    """One slot can't be 1.5 here and 15 there."""
+    item = "take 1.5 liters of the red paint and 1.5 liters of the blue paint and stir the mix for a long time"
+    docs, benchmark = frames(spark, [(1, item.replace("1.5", "15"), ""), (2, item.replace("1.5 liters of the red", "15 liters of the red"), "")], [(1, item)])
+    assert {r.doc for r in contaminated(docs, benchmark).collect()} == {1}
+
+
+def test_extra_columns_of_operator_names(spark):
+    docs, items = frames(spark, [(1, ITEM, "x"), (2, LONG, "y"), (3, None, None)])
+    clash = docs.toDF("doc_id", "text", "item").selectExpr("*", "1 AS h", "2 AS t", "3 AS way", "4 AS size", "5 AS doc", "6 AS n", "7 AS at")
+    kept = clean_documents(clash, items.selectExpr("*", "1 AS item", "2 AS words"))
+    assert kept.columns == clash.columns and sorted((r.doc_id, r.item, r.t) for r in kept.collect()) == [(2, "y", 2), (3, None, 2)]
+    assert {r.doc_id for r in judged_documents(clash, items).collect() if r.contaminated} == {1}
