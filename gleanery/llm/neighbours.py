@@ -5,7 +5,8 @@ of a vector. Every vector lies in its nearest list; one near a boundary lies in
 centroid is not much farther than the nearest and not behind one taken already. A query searches its ``SURE_LISTS``
 nearest lists and those whose centroid distance is within a ratio of its nearest; one that met too few candidates
 searches again, ``WIDEN`` times as many lists each time and all of them in the end. Lists are split into parts of
-bounded size by a hash of the vector, so a list of any size is searched by many tasks. Of equal vectors only the
+bounded size by a hash of the vector, so a list of any size is searched by many tasks; the queries of a list that many
+visit are split into blocks likewise, each of which meets every part. Of equal vectors only the
 smallest ids can be results, so the others are not indexed; queries of equal vectors are searched once.
 
 The sample for the centroids has at most ``SAMPLE`` vectors, the centroids are at most ``MOST_LISTS``: both bound
@@ -30,7 +31,7 @@ SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 128, 8_192
 REPLICAS, REPLICA_RATIO = 4, 1.25
 LEAST_PROBES, PROBED_SHARE, RATIO = 64, 8, 1.8  # lists a query may search: an eighth of all, but 64 at least
 SURE_LISTS, WIDEN = 8, 8
-PART_ROWS = 2_000
+PART_ROWS = BLOCK_QUERIES = 2_000
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -189,13 +190,18 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
     queries = stash(asked.select("id", "h", "v").distinct(), "vector-queries")
     once = queries.groupBy("h", "v").agg(F.min("id").alias("id")).select("id", "h", "v")
 
-    def sought(rows, choose):
-        return rows.mapInArrow(assign(choose), shape).join(split, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("query"), "id", "h", "v")
+    def meetings(rows, choose):
+        """Vectors and queries by list, part and block of queries: a part meets all blocks, a query all parts."""
+        sought = stash(rows.mapInArrow(assign(choose), shape), "query-lists")
+        blocks = F.broadcast(sought.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks")))  # at most MOST_LISTS rows
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asked = sought.join(split, "list").join(blocks, "list").select("list", each("parts").alias("part"), F.pmod(F.hash("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id", "h", "v")
+        return indexed.join(blocks, "list").select("list", "part", each("blocks").alias("block"), "query", "id", "h", "v").unionByName(asked)
 
     def search(key, pdf):
         import pandas as pd
 
-        # a part holds bounded rows; queries come in blocks
+        # parts and blocks hold bounded rows
         vectors = pdf[~pdf["query"]]
         asked = pdf[pdf["query"]]
         out = []
@@ -217,7 +223,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_i
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
 
     def found_by(rows, choose):
-        met = indexed.unionByName(sought(rows, choose)).groupBy("list", "part").applyInPandas(search, "query long, id long, d double")
+        met = meetings(rows, choose).groupBy("list", "part", "block").applyInPandas(search, "query long, id long, d double")
         # one vector may be met in several lists
         met = met.groupBy("query", "id").agg(F.min("d").alias("d"))
         nearest_first = Window.partitionBy("query").orderBy("d", "id")

@@ -72,3 +72,29 @@ def test_short_queries_search_all_lists_in_the_end(spark, monkeypatch):
     frame = spark.createDataFrame([(10 * i + j, v) for i, v in rows for j in range(4)], "vec_id long, embedding array<float>")
     out = neighbours.nearest(frame, every=10).groupBy("query_id").count().collect()
     assert {x.query_id: x["count"] for x in out} == {10 * i: 10 for i, _ in rows}
+
+
+def test_groups_are_bounded_whatever_list_is_asked(spark, monkeypatch):
+    """Many queries near one centroid are split, and still have their neighbours."""
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 30)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 100)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in 0.01 * r.normal(size=8) + 1]) for i in range(500)]
+    sizes = []
+    inner = type(spark.range(1)).groupBy
+
+    def watched(self, *keys):
+        if keys == ("list", "part", "block"):
+            counts = inner(self, *keys).agg(neighbours.F.count_if("query").alias("q"), neighbours.F.count_if(~neighbours.F.col("query")).alias("v")).collect()
+            sizes.extend((x.q, x.v) for x in counts)
+        return inner(self, *keys)
+
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", watched)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for x in neighbours.nearest(frame, every=2).collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    want = brute(rows, 10, 2)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert sizes and max(q for q, _ in sizes) < 60 and max(v for _, v in sizes) < 90
