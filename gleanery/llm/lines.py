@@ -148,11 +148,13 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim.mapInArrow(keys, "k1 long, k2 long, id long").withColumn("batch", batch).write.partitionBy("batch").parquet(path)
     held = spark.read.schema("k1 long, k2 long, id long, batch int").parquet(path)
     runs = LineRuns(spark, fanout)
-    for k in range(len(cuts) + 1):
-        runs.ingest(held.filter(F.col("batch") == k).select(*KEY, "id"))
-    # written first, so that the join deals out both sides itself and can split a key that many documents hold
-    heavy = stash(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "heavy-lines")
-    runs.close()
+    try:
+        for k in range(len(cuts) + 1):
+            runs.ingest(held.filter(F.col("batch") == k).select(*KEY, "id"))
+        # written first, so that the join deals out both sides itself and can split a key that many documents hold
+        heavy = stash(runs.totals().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "heavy-lines")
+    finally:  # a job that fails leaves no tables in the catalogue
+        runs.close()
     lost = held.drop("batch").join(heavy, KEY).filter("id <> last_doc").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct(*KEY)).alias("_lost"))
     plain = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*plain).schema) + ", n_lines long, n_dropped long"

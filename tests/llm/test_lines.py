@@ -64,3 +64,16 @@ def test_very_long_texts(spark):
 
 def test_empty(spark):
     assert deduplicate_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_failed_job_leaves_no_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 50) for k in range(9)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+
+    def fail(self):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(LineRuns, "totals", fail)
+    with pytest.raises(RuntimeError, match="lost"):
+        deduplicate_lines(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
