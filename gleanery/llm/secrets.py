@@ -173,11 +173,25 @@ def grow(x: np.ndarray, y: np.ndarray, r: np.random.Generator, depth: int) -> Tr
     return Tree(f, cut, share, grow(x[go], y[go], r, depth - 1), grow(x[~go], y[~go], r, depth - 1))
 
 
-def train(spark: SparkSession, labelled: list[tuple] | None = None, trees: int = 25, depth: int = 7, seed: int = 17) -> list[Tree]:
-    """A forest from labelled findings (candidate, before, after, path, label)."""
-    rows = labelled_findings() if labelled is None else labelled
-    table = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k long, candidate string, before string, after string, path string, label int")
-    made = features(table).select("k", "label", "f.*").orderBy("k").collect()
+FINDING = "candidate string, before string, after string, path string, label int"
+
+
+def read_findings(spark: SparkSession, labelled: DataFrame | list[tuple] | None, most: int) -> DataFrame:
+    """k, candidate, before, after, path and label of the findings to learn from, at most so many of a table: the first by
+    a hash. Findings of a null candidate or label tell nothing."""
+    if isinstance(labelled, DataFrame):
+        columns = [x.split()[0] for x in FINDING.split(", ")]
+        told = labelled.filter("candidate IS NOT NULL AND label IS NOT NULL").select(*columns)
+        return told.withColumn("k", F.xxhash64(*columns)).orderBy("k", *columns).limit(most)
+    return spark.createDataFrame([(k, *row) for k, row in enumerate(labelled_findings() if labelled is None else labelled)], f"k long, {FINDING}")
+
+
+def train(spark: SparkSession, labelled: DataFrame | list[tuple] | None = None, trees: int = 25, depth: int = 7, seed: int = 17, most: int = 50_000) -> list[Tree]:
+    """A forest from labelled findings (candidate, before, after, path, label): a table of them, a list, or, with neither,
+    findings that are made by rule."""
+    made = features(read_findings(spark, labelled, most)).select("k", "label", "f.*").orderBy("k", *FEATURES).collect()
+    if not made:
+        return [Tree(-1, 0.0, 0.0)]
     x, y = np.array([[row[c] for c in FEATURES] for row in made], float), np.array([row["label"] for row in made])
     r = np.random.default_rng(seed)
     forest = []
@@ -187,6 +201,13 @@ def train(spark: SparkSession, labelled: list[tuple] | None = None, trees: int =
     return forest
 
 
+def judged_findings(labelled: DataFrame, forest: list[Tree]) -> DataFrame:
+    """How findings of a table come out, by the first part of their path: path, n, right, secrets and found ones."""
+    score = reduce(Column.__add__, [F.expr(tree_sql(t)) for t in forest]) / len(forest)
+    told = features(labelled.filter("candidate IS NOT NULL AND label IS NOT NULL")).select(F.substring_index(F.coalesce("path", F.lit("")), "/", 1).alias("path"), "label", (score >= 0.5).cast("int").alias("said"))
+    return told.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("label")).alias("right"), F.sum("label").alias("secrets"), F.sum(F.col("said") * F.col("label")).alias("found"))
+
+
 def tree_sql(tree: Tree) -> str:
     if tree.feature < 0:
         return f"{tree.share}D"

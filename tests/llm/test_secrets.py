@@ -88,3 +88,16 @@ def test_candidates_match_a_plain_scan(spark, forest):
     scores = {(r.k, r.n): np.mean([secrets.tree_value(t, r.f) for t in forest]) for r in secrets.features(table).collect()}
     for r in secrets.scan(docs, forest).collect():
         assert abs(r.score - scores[r.doc_id, r.number]) < 1e-5 and r.is_secret == (r.score >= 0.5)
+
+
+def test_a_table_of_findings_held_out_by_path(spark):
+    rows = secrets.labelled_findings(seed=3, each=30)
+    table = spark.createDataFrame([(*x, 1) for x in rows] + [(None, "", "", "", 1, 2), ("x", "", "", "", None, 3)], f"{secrets.FINDING}, k int").repartition(5)
+    apart = secrets.F.col("path").startswith("src")
+    forest = secrets.train(spark, table.filter(~apart), trees=15)
+    assert [secrets.tree_sql(t) for t in forest] == [secrets.tree_sql(t) for t in secrets.train(spark, table.filter(~apart).repartition(2), trees=15)]
+    judged = secrets.judged_findings(table.filter(apart), forest).collect()
+    assert sum(x.n for x in judged) == sum(x[3].startswith("src") for x in rows)
+    assert sum(x.right for x in judged) >= 0.9 * sum(x.n for x in judged)
+    assert secrets.read_findings(spark, table, 10).count() == 10
+    assert [t.share for t in secrets.train(spark, table.limit(0))] == [0.0]
