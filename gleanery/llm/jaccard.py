@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import Words, bound_batches, by_bucket, exchange, mix, shuffle_partitions, signed, split_by_bucket, stash, text_slices
+from gleanery.llm.common import Words, bound_batches, bucket_count, by_bucket, exchange, mix, shuffle_partitions, signed, split_by_bucket, stash, text_slices
 from gleanery.llm.components import connected_components
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -143,9 +143,8 @@ def signatures(tokens: np.ndarray, percent: int, frequent: np.ndarray, rank: np.
     return rare, np.concatenate(out)
 
 
-def _sets_and_counts(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
+def _sets_and_counts(docs: DataFrame, k: int, percent: int, told, buckets: int) -> DataFrame:
     """Per document its set's size and 128-bit key; beside these, blobs of its leading tokens for counting."""
-    buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -194,9 +193,8 @@ def leading(n: int, percent: int) -> int:
     return 3 * (missing_at_most(n, percent) + 1)
 
 
-def _counts_behind(docs: DataFrame, k: int, percent: int, told) -> DataFrame:
+def _counts_behind(docs: DataFrame, k: int, percent: int, told, buckets: int) -> DataFrame:
     """Blobs of the tokens behind the leading ones, of sets that have too few rare tokens among these."""
-    buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         cutter, seen, held, size = Words(lower=True), set(), [], 0
@@ -231,7 +229,7 @@ def is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, n
     return (frequent[at] == keys if len(frequent) else np.zeros(len(tokens), bool)), at
 
 
-def _frequent(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(blobs: DataFrame, least: int, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the frequent tokens, sorted, and their counts; at most ``most`` of them."""
 
     def run(batches):
@@ -244,7 +242,7 @@ def _frequent(blobs: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.n
             keep = counts >= least
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["token", "docs"])
 
-    counted = stash(exchange(blobs).mapInArrow(run, "token long, docs long"), "frequent")
+    counted = stash(exchange(blobs, buckets).mapInArrow(run, "token long, docs long"), "frequent")
     sizes = counted.groupBy(F.floor(F.log2("docs") * 4).alias("q")).agg(F.count("*").alias("c"), F.min("docs").alias("from")).orderBy(F.desc("q")).collect()
     total, start = 0, None
     for row in sizes:  # a few dozen rows
@@ -294,12 +292,11 @@ def pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
-def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, short: int = 48) -> DataFrame:
+def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, buckets: int, short: int = 48) -> DataFrame:
     """What meets in signatures. Of buckets of frequent pairs, and of long ones: sig, head, id, n, p (its single
     tokens); the head is the document of the fewest rare tokens, so the likeliest origin of copies. Of pairs in short
     buckets of single tokens: head, id, n (what they must share), shared; sig is null."""
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     told = spark.sparkContext.broadcast((weights, frequent, rank))
 
     def emit(batches):
@@ -374,7 +371,7 @@ def _postings(docs: DataFrame, k: int, percent: int, weights, frequent, rank, sh
                 yield from rows(sig[at[several]], head[several], doc[at[several]], n[at[several]], p[at[several]], None)
 
     blobs = docs.mapInArrow(emit, "bucket int, sig binary, id binary, n binary, p binary, set binary")
-    return exchange(blobs).mapInArrow(meet, "sig long, head long, id long, n long, p long, shared long")
+    return exchange(blobs, buckets).mapInArrow(meet, "sig long, head long, id long, n long, p long, shared long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -488,14 +485,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = rows.filter("id IS NOT NULL")
-    weights = word_weights(named)
+    weights, buckets = word_weights(named), bucket_count(named)
     told = docs.sparkSession.sparkContext.broadcast((weights,))
-    first = stash(_sets_and_counts(named, k, percent, told), "sets")
+    first = stash(_sets_and_counts(named, k, percent, told, buckets), "sets")
     sizes = first.filter("bucket IS NULL").select("id", "n", "k1", "k2")
-    ahead = _frequent(first.filter("bucket IS NOT NULL").select("bucket", "tokens", "sets"), frequent_from, most_frequent)
-    behind = _counts_behind(named, k, percent, docs.sparkSession.sparkContext.broadcast((weights, ahead[0])))
-    frequent, rank = _merged(ahead, _frequent(behind, frequent_from, most_frequent))
-    members = stash(_postings(named, k, percent, weights, frequent, rank), "postings")
+    ahead = _frequent(first.filter("bucket IS NOT NULL").select("bucket", "tokens", "sets"), frequent_from, most_frequent, buckets)
+    behind = _counts_behind(named, k, percent, docs.sparkSession.sparkContext.broadcast((weights, ahead[0])), buckets)
+    frequent, rank = _merged(ahead, _frequent(behind, frequent_from, most_frequent, buckets))
+    members = stash(_postings(named, k, percent, weights, frequent, rank, buckets), "postings")
 
     counted = members.filter("sig IS NULL").groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.sum("shared").alias("shared"), F.max("n").alias("least"))
     near = stash(counted.filter("shared >= least").select("a", "b", "shared"), "near")

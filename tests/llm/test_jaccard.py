@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard
+from gleanery.llm import common, jaccard
 from gleanery.llm.common import Words
 
 
@@ -100,3 +101,24 @@ def test_words_hash_alike_wherever_they_stand():
     hashes, at = Words(lower=True).cut(["Ab c\nd  ", None, "", " x", "aB C", "\u00c9\x0b\u00e9", "c ab"])
     assert list(np.diff(at)) == [3, 0, 0, 1, 2, 2, 2]
     assert hashes[0] == hashes[4] == hashes[9] and hashes[1] == hashes[5] == hashes[8] and len(set(hashes.tolist())) == 6
+
+
+def test_buckets_follow_the_size_of_the_table(spark, monkeypatch):
+    """Groups of an exchange are as many as the table's size asks for, and none holds much more than its share."""
+    r = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 300, 40)) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate([*texts, *texts[:100]])), "doc_id long, text string").repartition(3)
+    want = {tuple(x) for x in jaccard.jaccard_components(frame).collect()}
+    sizes = []
+
+    def watched(rows, buckets=None):
+        if "tokens" in rows.columns or "sig" in rows.columns:
+            blob = "tokens" if "tokens" in rows.columns else "sig"
+            sizes.append((buckets, sorted(x.n for x in rows.groupBy("bucket").agg(F.sum(F.length(blob)).alias("n")).collect())))
+        return common.exchange(rows, buckets)
+
+    monkeypatch.setattr(jaccard, "bucket_count", lambda rows: 23)
+    monkeypatch.setattr(jaccard, "exchange", watched)
+    assert {tuple(x) for x in jaccard.jaccard_components(frame).collect()} == want
+    assert len(sizes) == 3 and all(b == 23 for b, _ in sizes)
+    assert all(not n or len(n) <= 23 and n[-1] <= 3 * (sum(n) / 23) for _, n in sizes)
