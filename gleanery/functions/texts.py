@@ -260,8 +260,9 @@ def without_terms(text: Column, terms: Sequence[str]) -> Column:
 
 
 def dropped_caption(key: Column, text: Column, percent: int, seed: int) -> Column:
-    """For a share of the keys, by a hash, the text before its first comma; the same at every run."""
-    return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < percent, F.substring_index(text, ",", 1)).otherwise(text)
+    """For a share of the keys, by a digest of key and seed, the text before its first comma; the same at every run."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % 100
+    return F.when(drawn < percent, F.substring_index(text, ",", 1)).otherwise(text)
 
 
 def output_name(prefix: Column, seed: Column) -> Column:

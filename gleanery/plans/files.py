@@ -47,6 +47,15 @@ def manifest_scan(spark, sf):
     return R.read_manifest(spark, shared_path(spark, "nothing"), PART, path)
 
 
+def moved_manifest(spark, sf):
+    """Pictures of parts: some where the manifest says, some beside it, some nowhere."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("img"), k.cast("string"), F.lit(".png"))
+    rows = table(spark, sf, "part").select(k, F.concat(F.lit("data/"), (k % 5).cast("string"), F.lit("/"), name).alias("image"))
+    files = rows.filter("p_partkey % 3 = 0").select(F.col("image").alias("path")).unionByName(table(spark, sf, "part").filter("p_partkey % 4 = 1").select(F.concat(F.lit("file:/moved/"), name).alias("path")))
+    return R.with_found_paths(rows, files, "image", "/moved/")
+
+
 def sidecar_scan(spark, sf):
     """One object a file; the broken one has nulls."""
     path = shared_path(spark, "sidecars")
@@ -174,7 +183,7 @@ def hex_hashes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.hex_hash(gray, 8).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, paged_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
+QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, moved_manifest, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, paged_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
 _CELL = lambda r, c: f"((p_partkey * 7 + {r * 31 + c * 17}) * {c + r + 3} % 251)"
 _NIBBLE = lambda r, c: "printf('%x', " + " + ".join(f"CASE WHEN {_CELL(r, c + k + 1)} > {_CELL(r, c + k)} THEN {8 >> k} ELSE 0 END" for k in range(4)) + ")"
 ORACLE_SQL = {
@@ -182,6 +191,7 @@ ORACLE_SQL = {
     "jsonl_issues": "SELECT 'error' AS severity, 'invalid_metadata' AS category, 'line ' || rn AS message FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS rn FROM part) WHERE p_partkey % 1000 = 4",
     "jsonl_lax": "SELECT p_partkey, p_name FROM part",
     "manifest_scan": "SELECT p_partkey, p_name FROM part",
+    "moved_manifest": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 1 THEN '/moved/img' || p_partkey || '.png' ELSE 'data/' || p_partkey % 5 || '/img' || p_partkey || '.png' END AS image FROM part",
     "sidecar_scan": "SELECT nullif(n_nationkey, 7) AS n_nationkey, CASE WHEN n_nationkey <> 7 THEN n_name END AS n_name FROM nation",
     "file_scan": "SELECT '.json' AS suffix, count(*) AS n FROM region UNION ALL SELECT '.csv', 1",
     "missing_only": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT r_regionkey * 3 FROM region)",

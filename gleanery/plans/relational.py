@@ -103,6 +103,16 @@ def approximate_distinct(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey").alias("orders"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("parts"))
 
 
+def sketch_error(spark, sf):
+    """Exact counts, and whether the estimates of two sketches and of their union lie within three of their standard errors."""
+    lines = table(spark, sf, "lineitem")
+    near = lambda estimate, exact, error: F.abs(estimate - exact) <= 3 * error * exact + 1
+    made = lines.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("orders"), F.approx_count_distinct("l_orderkey", 0.03).alias("a"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey", F.lit(12))).alias("h"))
+    parts = lines.groupBy("l_returnflag").agg(F.hll_sketch_agg("l_orderkey", F.lit(12)).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("h"))
+    whole = lines.agg(F.count_distinct("l_orderkey").alias("orders"), F.approx_count_distinct("l_orderkey", 0.03).alias("a")).join(F.broadcast(parts)).select(F.lit("all").alias("l_returnflag"), "orders", "a", "h")
+    return made.unionByName(whole).select("l_returnflag", "orders", near(F.col("a"), F.col("orders"), 0.03).alias("near"), near(F.col("h"), F.col("orders"), 0.02).alias("near_hll"))
+
+
 def percentiles(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.round(F.percentile("o_totalprice", 0.5), 4).alias("median"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"), F.round(F.stddev("o_totalprice"), 2).alias("deviation"))
 
@@ -135,9 +145,10 @@ def event_funnel(spark, sf):
     return events.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.count("event_id")).na.fill(0)
 
 
-QUERIES = {f.__name__: f for f in (pricing_summary, shipping_priority, local_supplier_volume, forecast_revenue, semi_anti_full, as_of_join, interval_join, cube_rollup, grouping_sets, window_ranks, set_operations, distinct_counts, approximate_distinct, percentiles, discrete_percentile, listed, value_histogram, date_parts, decimal_sums, event_funnel)}
+QUERIES = {f.__name__: f for f in (pricing_summary, shipping_priority, local_supplier_volume, forecast_revenue, semi_anti_full, as_of_join, interval_join, cube_rollup, grouping_sets, window_ranks, set_operations, distinct_counts, approximate_distinct, sketch_error, percentiles, discrete_percentile, listed, value_histogram, date_parts, decimal_sums, event_funnel)}
 _N = "l_extendedprice * (1 - l_discount)"
 ORACLE_SQL = {
+    "sketch_error": "SELECT coalesce(l_returnflag, 'all') AS l_returnflag, count(DISTINCT l_orderkey) AS orders, TRUE AS near, TRUE AS near_hll FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())",
     "pricing_summary": f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum({_N}), 2) AS sum_disc, round(sum({_N} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "shipping_priority": f"SELECT l_orderkey, o_orderpriority, round(sum({_N}), 1) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2",
     "local_supplier_volume": f"SELECT n_name, r_name, round(sum({_N}), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",

@@ -52,6 +52,14 @@ def budget_trim_noted(spark, sf):
     return _parts(spark, sf).select("conv_id", T.trim_to_budget(F.col("parts"), 40, note=note).alias("text"))
 
 
+#: A budget of characters: any cost that adds up may be given.
+LETTERS = T.AdditiveCost((F.length,), lambda n: n)
+
+
+def budget_trim_letters(spark, sf):
+    return _parts(spark, sf).select("conv_id", T.trim_to_budget(F.col("parts"), 400, LETTERS, separator=" / ").alias("text"))
+
+
 def assemble_caption(spark, sf):
     docs = table(spark, sf, "documents")
     fields = F.create_map(F.lit("subject"), F.col("text"), F.lit("light"), F.when(F.col("doc_id") % 2 == 0, "unknown").otherwise("soft light"), F.lit("place"), F.lit("soft light"), F.lit("mood"), F.lit(None).cast("string"))
@@ -101,9 +109,9 @@ def negative_terms(spark, sf):
 
 
 def caption_dropout(spark, sf):
-    """Deterministic in the key and the seed; which keys drop is a hash of Spark's, so only rows are checked."""
+    """A tenth of the texts, by a digest of their keys, lose what follows the first comma."""
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", T.dropped_caption(F.col("doc_id"), F.col("text"), 10, 7).alias("text"))
+    return docs.select("doc_id", F.md5(T.dropped_caption(F.col("doc_id"), F.col("text"), 10, 7)).alias("text"))
 
 
 def output_names(spark, sf):
@@ -122,7 +130,7 @@ def json_coercion(spark, sf):
     return table(spark, sf, "events").select("event_id", *[chosen(x) for x in ("pose", "clothing", "style", "lighting")])
 
 
-QUERIES = {f.__name__: f for f in (title_clean, year_extract, strip_trigger, short_titles, token_estimate, budget_trim, budget_trim_noted, assemble_caption, caption_fields, prompt_trim, parse_counts, rewrites, visual_bands, negative_terms, caption_dropout, output_names, json_coercion)}
+QUERIES = {f.__name__: f for f in (title_clean, year_extract, strip_trigger, short_titles, token_estimate, budget_trim, budget_trim_noted, budget_trim_letters, assemble_caption, caption_fields, prompt_trim, parse_counts, rewrites, visual_bands, negative_terms, caption_dropout, output_names, json_coercion)}
 
 
 def _title_sql(t: str) -> str:
@@ -157,6 +165,8 @@ def _trim_sql(note: str) -> str:
 
 
 ORACLE_SQL = {
+    "caption_dropout": "SELECT doc_id, md5(CASE WHEN ('0x' || substr(md5(doc_id || ':7'), 1, 8))::UBIGINT % 100 < 10 THEN split_part(text, ',', 1) ELSE text END) AS text FROM documents",
+    "budget_trim_letters": f"WITH {_PARTS}, c AS (SELECT conv_id, k, array_to_string(parts[1:k], ' / ') AS t FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM p)) SELECT conv_id, max_by(t, k) AS text FROM c WHERE k = 1 OR length(t) <= 400 GROUP BY 1",
     "title_clean": f"""SELECT page_id, CASE WHEN length(u) >= 3 THEN u END AS title FROM (SELECT page_id, CASE WHEN contains(t, ' ') THEN t ELSE regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g') END AS u
         FROM (SELECT page_id, {_title_sql(f"regexp_extract(html, '{_TITLE}', 1)")} AS t FROM pages))""",
     "year_extract": "SELECT p_partkey, CASE WHEN y BETWEEN 1860 AND 1910 THEN y::INT END AS year FROM (SELECT p_partkey, p_partkey % 400 + 1700 AS y FROM part)",

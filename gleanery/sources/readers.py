@@ -80,6 +80,19 @@ def read_manifest(spark: SparkSession, path: str, schema: str, fallback: str | N
     raise FileNotFoundError(path)
 
 
+def with_found_paths(rows: DataFrame, files: DataFrame, path_col: str, folder: str) -> DataFrame:
+    """Rows of a manifest that may have been moved together with its files: a path of no file becomes that of the file
+    of its name in the manifest's folder, if that is there; others stay as they are. files: path, as scans give it."""
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//)?", "")  # noqa: E731  without a scheme
+    place = folder.rstrip("/")
+    there = files.select(plain(F.col("path")).alias("_path")).distinct()
+    beside = there.filter(F.regexp_replace("_path", "/[^/]*$", "") == plain(F.lit(place))).select(F.regexp_extract("_path", r"([^/]+)$", 1).alias("_name"), F.lit(True).alias("_beside"))
+    held = rows.withColumns({"_at": plain(F.col(path_col)), "_name": F.regexp_extract(path_col, r"([^/]+)$", 1)})
+    held = held.join(there.select(F.col("_path").alias("_at"), F.lit(True).alias("_there")), "_at", "left").join(beside, "_name", "left")
+    moved = F.col("_there").isNull() & F.col("_beside").isNotNull()
+    return held.withColumn(path_col, F.when(moved, F.concat(F.lit(f"{place}/"), F.col("_name"))).otherwise(F.col(path_col))).select(*rows.columns)
+
+
 def read_sidecars(spark: SparkSession, root: str, schema: str, glob: str = "*.json") -> DataFrame:
     """One JSON object per file, with the file's stem; what is corrupt has nulls."""
     held = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", glob).json(root)

@@ -162,3 +162,12 @@ def test_suites_of_files(spark, tmp_path):
         (tmp_path / f"bad{k}" / "c.json").write_text(bad)
         with pytest.raises(Exception, match="no prompt|no entries"):
             R.read_suites(spark, str(tmp_path / f"bad{k}")).collect()
+
+
+def test_moved_manifest_finds_its_files(spark, tmp_path):
+    for name in ("old/a.png", "new/a.png", "new/b.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    rows = spark.createDataFrame([(1, f"{tmp_path}/old/a.png", "z"), (2, f"{tmp_path}/old/b.png", "z"), (3, "c.png", None), (4, None, None)], "k int, image string, _name string")
+    found = R.with_found_paths(rows, R.scan_files(spark, str(tmp_path)), "image", f"{tmp_path}/new")
+    assert {x.k: x.image for x in found.collect()} == {1: f"{tmp_path}/old/a.png", 2: f"{tmp_path}/new/b.png", 3: "c.png", 4: None}
