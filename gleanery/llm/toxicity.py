@@ -3,13 +3,13 @@
 Every word enters as a hashed word embedding beside the mean of its hashed character n-gram embeddings. A word of
 more than ``WORD_BYTES`` bytes (text without white space) is cut at its punctuation as well, and what is still longer
 into overlapping pieces that hold all its characters: each an input of its own. Windows of
-``WINDOW`` words, each overlapping the next by half, the last ending with the text, run through a GRU in both directions; attention pools
+``WINDOW`` words at every ``STRIDE``-th word, the last ending with the text, run through a GRU in both directions; attention pools
 the states to one logit. A text's score is the largest of its windows' probabilities. Training picks, for each
 labelled text, the window that scores highest so far, as only some windows of a toxic text hold what makes it so.
 
 Training rows are bounded by ``most_rows`` and ``most_chars`` of each label (a documented sample, by a hash of the id);
 ids come first, so that no table of texts is shuffled. Everything else reads whole texts in one map. A passage of up to
-half a window lies whole in some window, a longer one in parts of at least that size.
+WINDOW - STRIDE words lies whole in some window, a longer one in parts of at least that size.
 
 Defined cases: null and empty texts have the score of an empty window; rows with a null id are scored and never
 learned from; of rows that repeat an id the least text is learned from; repeated rows are scored alike; without labelled rows of both kinds every score is 0; an empty table
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import bound_batches, text_slices
 
-WINDOW, STRIDE, LEARNED_STRIDE = 32, 16, 20  # fewer windows are learned from than scored
+WINDOW, STRIDE, LEARNED_STRIDE = 32, 10, 20  # fewer windows are learned from than scored
 WORD_BYTES, PIECE, PIECE_STEP = 200, 48, 40  # a piece's characters have at most 192 bytes; the overlap holds any n-gram
 WORDS, GRAMS, WIDTH, HIDDEN, ATTEND = 1 << 12, 1 << 13, 8, 8, 8
 NGRAMS = (3, 4, 5)
