@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import groups, joins
@@ -56,7 +57,9 @@ def plain_hits(text, lexicon):
     return out
 
 
-def test_trie_reads_like_a_regex_per_alias():
+@pytest.mark.parametrize("few", [0, 2, 5, 16])
+def test_trie_reads_like_a_regex_per_alias(few, monkeypatch):
+    monkeypatch.setattr(WordTrie, "FEW", few)
     r = random.Random(8)
     lexicon = [("a", "in"), ("a", "in the"), ("b", "the end"), ("c", "in the end"), ("d", "end-in"), ("e", "+in"), ("f", "the ("), ("g", "++"), ("h", "ÉNA"), ("a", "a  b"), ("i", "x_y")]
     bits = ["in", "In", "the", "end", "-", "+", "++", " ", " ", " ", "(", "éna", "Éna", "a", "b", "  ", "x_y", "_", "ß", "İ", "7"]
