@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import pictures as P
 from gleanery.session import shared_path, table
+from gleanery.sources import catalogues as C
 from gleanery.sources import paged
 from gleanery.sources import readers as R
 from gleanery.sources import writers as W
@@ -47,6 +48,41 @@ def manifest_scan(spark, sf):
     return R.read_manifest(spark, shared_path(spark, "nothing"), PART, path)
 
 
+SHELF_ROWS = 50
+LICENCES = {"cc0": "CC0 1.0", "pdm": "Public Domain Mark"}
+
+
+def catalogue_scan(spark, sf):
+    """Works of a catalogue of parts that four chains of pages list: those of open licences and one maker that are large
+    enough and that no supplier's note names, numbered."""
+    path = shared_path(spark, "catalogue")
+    k = F.col("p_partkey")
+    image = F.concat(F.lit("img"), F.lpad(k.cast("string"), 7, "0"))
+    url = F.when(k % 11 > 0, F.concat(F.lit("https://pictures.example/iiif/"), image, F.lit("/info.json")))
+    licence = F.element_at(F.array(F.lit("cc0"), F.lit("pdm"), F.lit("in-copyright")), (k % 3 + 1).cast("int"))
+    item = F.struct(F.array(F.struct(url.alias("url"), F.struct(licence.alias("id")).alias("license"))).alias("locations"), F.struct(F.concat(F.lit("w"), k.cast("string")).alias("id"), F.when(k % 5 > 1, F.concat("p_name", F.lit(" by ACME"))).otherwise(F.col("p_name")).alias("title")).alias("source"))
+    ranked = table(spark, sf, "part").withColumn("_shelf", k % 4).withColumn("_n", F.row_number().over(Window.partitionBy("_shelf").orderBy("p_partkey")) - 1).withColumn("_p", F.floor(F.col("_n") / SHELF_ROWS).cast("int"))
+    pages = ranked.groupBy("_shelf", "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    last = pages.groupBy("_shelf").agg(F.max("_p").alias("_last"))
+    name = lambda p: F.concat(F.lit("shelf"), F.col("_shelf").cast("string"), F.lit("-"), p.cast("string"))
+    replies = pages.join(last, "_shelf").select(name(F.col("_p")).alias("page"), F.to_json(F.struct("items", F.when(F.col("_p") < F.col("_last"), name(F.col("_p") + 1)).alias("continue"))).alias("value"))
+    replies.repartition("page").write.partitionBy("page").text(path)
+    infos = table(spark, sf, "part").filter(k % 7 > 0).select(image.alias("image_id"), (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 30 + 200).alias("height"))
+    known = table(spark, sf, "supplier").select(F.concat(F.lit("seen: "), F.lit("img"), F.lpad((F.col("s_suppkey") * 2).cast("string"), 7, "0"), F.lit(", "), F.col("s_name")).alias("note"))
+    items = paged.read_pages(spark, path).withColumn("number", F.regexp_extract("page", r"-(\d+)$", 1).cast("int"))
+    return C.catalogue_records(items.drop("page"), [F.col("start"), F.col("number"), F.col("place")], infos, known, "note", LICENCES, "acme", first_index=3, least_side=400)
+
+
+def flat_listing(spark, sf):
+    """Pictures of one folder in order: what lies deeper, is hidden or begins with a line is none."""
+    path = shared_path(spark, "flat")
+    regions = table(spark, sf, "region").select("r_regionkey", "r_name")
+    regions.repartitionByRange(5, "r_regionkey").write.option("maxRecordsPerFile", 1).json(path)
+    regions.write.mode("append").partitionBy("r_regionkey").json(f"{path}/deeper")
+    listed = R.flat_files(spark, path, [".json"])
+    return listed.select("place", F.from_json(F.col("content").cast("string"), "r_name string").alias("x")).select("place", "x.r_name").groupBy((F.col("place") >= 0).alias("placed")).agg(F.count_distinct("place").alias("n"), F.max("place").alias("last"), F.count_distinct("r_name").alias("names"))
+
+
 def moved_manifest(spark, sf):
     """Pictures of parts: some where the manifest says, some beside it, some nowhere."""
     k = F.col("p_partkey")
@@ -183,7 +219,7 @@ def hex_hashes(spark, sf):
     return table(spark, sf, "part").select("p_partkey", P.hex_hash(gray, 8).alias("hash"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, moved_manifest, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, paged_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
+QUERIES = {f.__name__: f for f in (jsonl_strict, jsonl_issues, jsonl_lax, manifest_scan, moved_manifest, catalogue_scan, flat_listing, sidecar_scan, file_scan, missing_only, history_scan, suite_scan, paged_scan, sorted_rewrite, append_rows, report_parts, tagged_csv, written_once, dual_sink, hex_hashes)}
 _CELL = lambda r, c: f"((p_partkey * 7 + {r * 31 + c * 17}) * {c + r + 3} % 251)"
 _NIBBLE = lambda r, c: "printf('%x', " + " + ".join(f"CASE WHEN {_CELL(r, c + k + 1)} > {_CELL(r, c + k)} THEN {8 >> k} ELSE 0 END" for k in range(4)) + ")"
 ORACLE_SQL = {
@@ -191,6 +227,10 @@ ORACLE_SQL = {
     "jsonl_issues": "SELECT 'error' AS severity, 'invalid_metadata' AS category, 'line ' || rn AS message FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) AS rn FROM part) WHERE p_partkey % 1000 = 4",
     "jsonl_lax": "SELECT p_partkey, p_name FROM part",
     "manifest_scan": "SELECT p_partkey, p_name FROM part",
+    "catalogue_scan": """WITH p AS (SELECT p_partkey AS k, 'img' || lpad(p_partkey::VARCHAR, 7, '0') AS image_id, p_name || ' by ACME' AS title, CASE p_partkey % 3 WHEN 0 THEN 'CC0 1.0' ELSE 'Public Domain Mark' END AS licence, p_size * 40 AS width, p_size * 30 + 200 AS height
+        FROM part WHERE p_partkey % 11 > 0 AND p_partkey % 3 < 2 AND p_partkey % 5 > 1 AND p_partkey % 7 > 0 AND least(p_size * 40, p_size * 30 + 200) >= 400 AND p_partkey NOT IN (SELECT s_suppkey * 2 FROM supplier))
+        SELECT CASE WHEN n > 9999 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 4, '0') END || '.jpg' AS image, title, licence, 'w' || k AS work, image_id, 'https://pictures.example/iiif/' || image_id || '/info.json' AS url, width, height FROM (SELECT *, row_number() OVER (ORDER BY k % 4, k) + 2 AS n FROM p)""",
+    "flat_listing": "SELECT TRUE AS placed, count(*) AS n, count(*) - 1 AS last, count(DISTINCT r_name) AS names FROM region",
     "moved_manifest": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 4 = 1 THEN '/moved/img' || p_partkey || '.png' ELSE 'data/' || p_partkey % 5 || '/img' || p_partkey || '.png' END AS image FROM part",
     "sidecar_scan": "SELECT nullif(n_nationkey, 7) AS n_nationkey, CASE WHEN n_nationkey <> 7 THEN n_name END AS n_name FROM nation",
     "file_scan": "SELECT '.json' AS suffix, count(*) AS n FROM region UNION ALL SELECT '.csv', 1",

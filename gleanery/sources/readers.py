@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.history import ordinals
+
 BAD = "_bad"
 #: Names of files that are no data: hidden ones and the marks of Spark's writers.
 UNSEEN = r"^(\.|_SUCCESS$|_committed_|_started_|_temporary|_metadata$|_common_metadata$)"
@@ -29,6 +31,16 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
     return files.select("path", "name", suffix(F.col("path")).alias("suffix"), "length", *(["content", F.sha2("content", 256).alias("sha256")] if content else []))
 
 
+def flat_files(spark: SparkSession, folder: str, allowed: Sequence[str]) -> DataFrame:
+    """The files of a folder, not of those in it, of an allowed suffix and no name that begins with a line: in order of
+    their names, with their place from 0."""
+    plain = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(//)?", "")  # noqa: E731  without a scheme
+    # Spark takes folders in a folder for partitions, unless it looks into all
+    here = F.regexp_replace(plain(F.col("path")), "/[^/]*$", "") == plain(F.lit(folder.rstrip("/")))
+    files = scan_files(spark, folder, content=True).filter(here & ~F.col("name").startswith("_") & F.col("suffix").isin([s.lower() for s in allowed]))
+    return ordinals(files, [F.col("name")], "place")
+
+
 def split_by_suffix(files: DataFrame, allowed: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Files of an allowed suffix, and issues for the others."""
     good = F.col("suffix").isin([s.lower() for s in allowed])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import geometry as G
 from gleanery.functions import texts as T
 from gleanery.operators import history, manifests
-from gleanery.sources import paged
+from gleanery.sources import catalogues, paged
 from gleanery.sources import readers as R
 from gleanery.streaming import events as E
 from gleanery.streaming import logs as L
@@ -171,3 +171,35 @@ def test_moved_manifest_finds_its_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, f"{tmp_path}/old/a.png", "z"), (2, f"{tmp_path}/old/b.png", "z"), (3, "c.png", None), (4, None, None)], "k int, image string, _name string")
     found = R.with_found_paths(rows, R.scan_files(spark, str(tmp_path)), "image", f"{tmp_path}/new")
     assert {x.k: x.image for x in found.collect()} == {1: f"{tmp_path}/old/a.png", 2: f"{tmp_path}/new/b.png", 3: "c.png", 4: None}
+
+
+def test_catalogue_records(spark):
+    item = lambda k, url, licence, title: json.dumps({"locations": [{"url": url, "license": {"id": licence}}, {"url": "other"}] if url != "none" else [], "source": {"id": f"w{k}", "title": title}})
+    rows = [
+        (0, item(0, "https://x/a1/info.json", "cc0", "A lake by Acme")),
+        (1, item(1, "https://x/a2/info.json/", "cc0", "ACME: a hill")),
+        (2, item(2, "https://x/a3/info.json", "in-copyright", "Acme")),
+        (3, item(3, "https://x/a4/info.json", "cc0", "another maker")),
+        (4, item(4, "none", "cc0", "Acme")),
+        (5, item(5, "https://x/known/info.json", "cc0", "Acme")),
+        (6, item(6, "https://x/small/info.json", "pdm", "Acme")),
+        (7, item(7, "https://x/nosize/info.json", "pdm", "Acme")),
+        (8, item(8, "https://x/a5/info.json", "pdm", "by acme")),
+        (9, "{broken"),
+        (10, None),
+        (11, "{}"),
+    ]
+    frame = spark.createDataFrame(rows, "k int, item string").repartition(3)
+    infos = spark.createDataFrame([(x, 900, 800) for x in ("a1", "a2", "a3", "a4", "a5", "known")] + [("small", 900, 100)], "image_id string, width int, height int")
+    known = spark.createDataFrame([("there is x-known.jpg",), (None,)], "note string")
+    made = lambda **more: [(x.image, x.image_id, x.licence) for x in catalogues.catalogue_records(frame, [F.col("k")], infos, known, "note", {"cc0": "C", "pdm": "P"}, "Acme", 9998, **more).orderBy(F.length("image"), "image").collect()]
+    assert made(least_side=500) == [("9998.jpg", "a1", "C"), ("9999.jpg", "a2", "C"), ("10000.jpg", "a5", "P")]
+    assert [x[1] for x in made()] == ["a1", "a2", "small", "nosize", "a5"] and made(least_side=500, most=1) == [("9998.jpg", "a1", "C")]
+
+
+def test_flat_files(spark, tmp_path):
+    for name in ("b.png", "a.PNG", ".c.png", "d.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "deeper").mkdir()
+    (tmp_path / "deeper" / "e.png").write_bytes(b"x")
+    assert [(x.place, x.name) for x in R.flat_files(spark, str(tmp_path), [".png"]).orderBy("place").collect()] == [(0, "a.PNG"), (1, "b.png")]
