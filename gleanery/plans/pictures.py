@@ -38,7 +38,8 @@ def border_boxes(spark, sf):
     made = settle(_shaped(spark, sf).select("p_partkey", *[_channel(k).alias(f"g{k}") for k in range(3)]))
     boxed = settle(made.select("p_partkey", "g0", P.border([F.col(f"g{k}") for k in range(3)]).alias("box")))
     left = P.cropped(F.col("g0"), F.col("box"))
-    return boxed.select("p_partkey", "box.*", F.size(F.flatten(left)).alias("n_left"), F.aggregate(F.flatten(left), F.lit(0.0), lambda s, x: s + x).alias("total"))
+    edges = [F.col(f"box.{side}").alias(f"{side}_edge") for side in ("top", "bottom", "left", "right")]
+    return boxed.select("p_partkey", *edges, F.size(F.flatten(left)).alias("n_left"), F.aggregate(F.flatten(left), F.lit(0.0), lambda s, x: s + x).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (resized_hashes, border_boxes)}
@@ -58,5 +59,5 @@ ORACLE_SQL = {
         cols AS (SELECT p, h, w, c, bool_and(flat) AS flat FROM (SELECT p, h, w, k, c, count(*) * sum(v * v) - sum(v) * sum(v) < 144 * count(*) * count(*) AND abs(sum(v) - any_value(corner) * count(*)) < 24 * count(*) AS flat FROM x JOIN m USING (p, k) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
         tb AS (SELECT p, any_value(h) AS h, least(floor(any_value(h) * 0.15), coalesce(min(r) FILTER (NOT flat), any_value(h)))::INT AS top, greatest(any_value(h) - floor(any_value(h) * 0.15), coalesce(max(r) FILTER (NOT flat) + 1, 0))::INT AS bottom FROM rows GROUP BY 1),
         lr AS (SELECT p, least(floor(any_value(w) * 0.15), coalesce(min(c) FILTER (NOT flat), any_value(w)))::INT AS "left", greatest(any_value(w) - floor(any_value(w) * 0.15), coalesce(max(c) FILTER (NOT flat) + 1, 0))::INT AS "right" FROM cols GROUP BY 1)
-        SELECT p AS p_partkey, top, bottom, "left", "right", count(*)::INT AS n_left, sum(v)::DOUBLE AS total FROM x JOIN tb USING (p) JOIN lr USING (p) WHERE k = 0 AND r >= top AND r < bottom AND c >= "left" AND c < "right" GROUP BY ALL""",
+        SELECT p AS p_partkey, top AS top_edge, bottom AS bottom_edge, "left" AS left_edge, "right" AS right_edge, count(*)::INT AS n_left, sum(v)::DOUBLE AS total FROM x JOIN tb USING (p) JOIN lr USING (p) WHERE k = 0 AND r >= top AND r < bottom AND c >= "left" AND c < "right" GROUP BY ALL""",
 }
