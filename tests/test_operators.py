@@ -245,3 +245,11 @@ def test_buckets(spark):
     assert {r.id: (r.bucket_w, r.bucket_h) for r in G.nearest_bucket(sizes, buckets, "id").collect()} == {1: (448, 640), 2: (512, 512)}
     w, h = G.photo_size(F.col("w"), F.col("h"))
     assert all(64 <= x <= 2000 and x % 8 == 0 for r in sizes.select(w.alias("w"), h.alias("h")).collect() for x in r)
+
+
+def test_next_id_of_keys_of_seven_digits(spark, tmp_path):
+    from gleanery.plans import layout
+
+    keys = [*range(999_990, 1_000_005), 1_234_566]
+    spark.createDataFrame([(k, f"part {k}") for k in keys], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert layout.next_id(spark, str(tmp_path)).first()[0] == 1_234_567
