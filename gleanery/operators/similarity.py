@@ -16,6 +16,7 @@ from gleanery.operators.groups import settle
 BLOCK_NUMBERS = 500_000  # of all vectors of a block
 BINS = 256  # of a vector's similarities, to find their median
 MOST_NUMBERS = 4_000_000  # of all reference vectors that one task holds
+PRODUCTS = 1_000_000  # similarities that a task holds at once
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,17 +24,46 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3) -> DataFrame:
+def products(a: np.ndarray, b: np.ndarray):
+    """Slices of the rows of a, with their dot products with all rows of b: at most ``PRODUCTS`` at once, or one row's."""
+    step = max(1, PRODUCTS // max(1, len(b)))
+    for at in range(0, len(a), step):
+        own = slice(at, at + step)
+        yield own, a[own] @ b.T
+
+
+def nearest_of(a: np.ndarray, b: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a the first of the rows of b with the largest product, and this. A matrix product may give equal rows
+    different last bits, so what is near the largest is summed up again, component by component."""
+    at, top = sims.argmax(axis=1), sims.max(axis=1)
+    slack = 1e-12 * np.sqrt((a**2).sum(axis=1)) * np.sqrt((b**2).sum(axis=1).max())
+    row, col = np.nonzero(sims >= (top - slack)[:, None])
+    exact = np.zeros(len(row))
+    for i in range(a.shape[1]):
+        exact += a[row, i] * b[col, i]
+    order = np.lexsort((col, -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+    at[row[first]], top[row[first]] = col[first], exact[first]
+    return at, top
+
+
+def best_of(sims: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row (all, if fewer), the largest first."""
+    return -np.sort(-np.partition(sims, -k, axis=1)[:, -k:] if sims.shape[1] > k else -sims, axis=1)
+
+
+def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3, median: bool = True) -> DataFrame:
     """Per vector: mean, median, max similarity to the references, mean of the k best, nearest reference (ties: smallest id).
 
-    Null vectors take no part, on either side. Without references there are no rows.
+    Null vectors take no part, on either side. Without references there are no rows. Without ``median`` that is null.
     """
     vectors, references = (rows.filter(F.col(vector_col).isNotNull()) for rows in (vectors, references))
     first = references.select(F.size(vector_col)).first()
     most = max(1, MOST_NUMBERS // max(1, first[0])) if first else 0
     held = sorted(references.select(ref_col, vector_col).limit(most + 1).collect(), key=lambda r: r[0])
     if len(held) > most or not held:
-        return scored_by_blocks(vectors, references, id_col, ref_col, vector_col, k) if held else vectors.sparkSession.createDataFrame([], _score_schema(vectors, references, id_col, ref_col))
+        return scored_by_blocks(vectors, references, id_col, ref_col, vector_col, k, median) if held else vectors.sparkSession.createDataFrame([], _score_schema(vectors, references, id_col, ref_col))
     names, matrix = [r[0] for r in held], np.array([r[1] for r in held], np.float64)
     told = vectors.sparkSession.sparkContext.broadcast((names, matrix))
 
@@ -42,12 +72,15 @@ def scored_against(vectors: DataFrame, references: DataFrame, id_col: str, ref_c
         for pdf in batches:
             if not len(pdf):
                 continue
-            sims = np.array(pdf[vector_col].tolist(), np.float64) @ m.T
-            best = np.sort(sims, axis=1)[:, ::-1][:, :k]
-            at = sims.argmax(axis=1)
-            yield pd.DataFrame({id_col: pdf[id_col], "sim_mean": sims.mean(axis=1), "sim_median": np.median(sims, axis=1), "sim_max": sims.max(axis=1), "sim_top": best.mean(axis=1), "nearest": [ids[j] for j in at]})
+            a = np.array(pdf[vector_col].tolist(), np.float64)
+            for own, sims in products(a, m):
+                at, top = nearest_of(a[own], m, sims)
+                middle = np.median(sims, axis=1) if median else None
+                yield pd.DataFrame({id_col: pdf[id_col].iloc[own], "sim_mean": sims.mean(axis=1), "sim_median": middle, "sim_max": top, "sim_top": best_of(sims, k).mean(axis=1), "nearest": [ids[j] for j in at]})
 
-    return vectors.select(id_col, vector_col).mapInPandas(run, _score_schema(vectors, references, id_col, ref_col))
+    # a small file is one split, but may be much work
+    dealt = vectors.select(id_col, vector_col).repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    return dealt.mapInPandas(run, _score_schema(vectors, references, id_col, ref_col))
 
 
 def _score_schema(vectors, references, id_col, ref_col) -> str:
@@ -68,7 +101,7 @@ def _met_blocks(batches):
             yield left, np.array([x["v"] for x in left], np.float64), right, np.array([x["v"] for x in right], np.float64)
 
 
-def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3) -> DataFrame:
+def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref_col: str, vector_col: str, k: int = 3, median: bool = True) -> DataFrame:
     """As ``scored_against``, for any number of references.
 
     A first round of products gives for each vector and block of references count, sum, the k best, the nearest and a
@@ -90,12 +123,11 @@ def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref
 
     def summed(batches):
         for left_rows, a, right_rows, b in _met_blocks(batches):
-            sims = a @ b.T
-            # references come by id, so of equal ones the first is the smallest
-            nearest = [right_rows[j]["id"] for j in sims.argmax(axis=1)]
-            counts = [np.bincount(row, minlength=BINS) for row in bins_of(a, sims)]
-            best = -np.sort(-sims, axis=1)[:, :k]
-            yield pd.DataFrame({"id": [x["id"] for x in left_rows], "n": sims.shape[1], "total": sims.sum(axis=1), "best": list(best), "top": sims.max(axis=1), "nearest": nearest, "bins": [np.flatnonzero(c) for c in counts], "counts": [c[c > 0] for c in counts]})
+            for own, sims in products(a, b):
+                # references come by id, so of equal ones the first is the smallest
+                at, top = nearest_of(a[own], b, sims)
+                counts = [np.bincount(row, minlength=BINS) for row in bins_of(a[own], sims)] if median else [np.zeros(0, np.int64)] * len(sims)
+                yield pd.DataFrame({"id": [x["id"] for x in left_rows[own]], "n": sims.shape[1], "total": sims.sum(axis=1), "best": list(best_of(sims, k)), "top": top, "nearest": [right_rows[j]["id"] for j in at], "bins": [np.flatnonzero(c) for c in counts], "counts": [c[c > 0] for c in counts]})
 
     first = met.select("l_rows", "r_rows").mapInPandas(summed, f"id {kinds[0]}, n long, total double, best array<double>, top double, nearest {kinds[1]}, bins array<long>, counts array<long>")
     first = settle(first)
@@ -103,6 +135,10 @@ def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref
     of_vector = Window.partitionBy("id").orderBy(F.desc("s"))
     tops = first.select("id", F.explode("best").alias("s")).withColumn("_r", F.row_number().over(of_vector)).filter(F.col("_r") <= k).groupBy("id").agg(F.avg("s").alias("sim_top"))
 
+    if not median:
+        out = means.join(tops, "id")
+        return out.select(F.col("id").alias(id_col), "sim_mean", F.lit(None).cast("double").alias("sim_median"), "sim_max", "sim_top", F.col("_m.nearest").alias("nearest"))
+
     # the bins of places (n - 1) // 2 and n // 2, and how many values lie in bins before
     counted = first.select("id", F.explode(F.arrays_zip("bins", "counts")).alias("c")).groupBy("id", F.col("c.bins").alias("bin")).agg(F.sum("c.counts").alias("c"))
     before = F.sum("c").over(Window.partitionBy("id").orderBy("bin")) - F.col("c")
@@ -115,13 +151,15 @@ def scored_by_blocks(vectors: DataFrame, references: DataFrame, id_col: str, ref
 
     def values(batches):
         for left_rows, a, _, b in _met_blocks(batches):
-            sims = a @ b.T
-            bins = bins_of(a, sims)
-            for j, x in enumerate(left_rows):
-                for n in x["bins"]:
-                    found, counts = np.unique(sims[j, bins[j] == n], return_counts=True)
-                    if len(found):
-                        yield pd.DataFrame({"id": x["id"], "bin": n, "s": found, "c": counts})
+            for own, sims in products(a, b):
+                bins, asked = bins_of(a[own], sims), [x["bins"] for x in left_rows[own]]
+                for place in range(2):
+                    wanted_bin = np.array([x[place] if len(x) > place else -1 for x in asked])
+                    row, col = np.nonzero(bins == wanted_bin[:, None])
+                    found, counts = np.unique(np.stack([row, sims[row, col]]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0)), row)
+                    rows = found[0].astype(np.int64)
+                    if len(rows):
+                        yield pd.DataFrame({"id": [left_rows[own][j]["id"] for j in rows], "bin": wanted_bin[rows], "s": found[1], "c": counts})
 
     told = met.select("l_rows", "r_rows").mapInPandas(values, f"id {kinds[0]}, bin long, s double, c long").groupBy("id", "bin", "s").agg(F.sum("c").alias("c")).join(wanted, ["id", "bin"])
     upto = F.sum("c").over(Window.partitionBy("id", "bin").orderBy("s")) + F.col("before")

@@ -15,9 +15,9 @@ def _sides(spark, sf):
     return vectors.filter("vec_id % 5 <> 0"), vectors.filter("vec_id % 5 = 0")
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, median=False):
     run, references = _sides(spark, sf)
-    return S.scored_against(run, references, "vec_id", "vec_id", "embedding")
+    return S.scored_against(run, references, "vec_id", "vec_id", "embedding", median=median)
 
 
 def topk_mean_sim(spark, sf):
@@ -29,7 +29,7 @@ def nearest_ref(spark, sf):
 
 
 def sim_mean_median(spark, sf):
-    return _scored(spark, sf).select("vec_id", F.round("sim_mean", 4).alias("mean"), F.round("sim_median", 4).alias("median"), F.round("sim_max", 4).alias("max"))
+    return _scored(spark, sf, median=True).select("vec_id", F.round("sim_mean", 4).alias("mean"), F.round("sim_median", 4).alias("median"), F.round("sim_max", 4).alias("max"))
 
 
 def leak_flag(spark, sf):

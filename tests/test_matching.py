@@ -115,3 +115,26 @@ def test_blocks_score_like_the_broadcast_way(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert similarity.scored_against(a, b.limit(0), "id", "id", "embedding").collect() == []
+
+
+def test_products_come_in_bounded_slices(spark, monkeypatch):
+    import numpy as np
+
+    from gleanery.operators import similarity
+
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(25, 6)), r.normal(size=(40, 6))
+    b[30:] = b[3]  # copies: the first of them is the nearest
+    a[7] = b[3]
+    monkeypatch.setattr(similarity, "PRODUCTS", 100)
+    slices = list(similarity.products(a, b))
+    assert max(x.size for _, x in slices) <= 100 and np.allclose(np.concatenate([x for _, x in slices]), a @ b.T)
+    at, top = similarity.nearest_of(a, b, a @ b.T)
+    assert at[7] == 3 and top[7] == sum(x * x for x in b[3].tolist()) and (at < 30).all()
+    rows = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {x.id: x for x in similarity.scored_against(rows(a), rows(b), "id", "id", "v").collect()}
+    for i, s in enumerate(a @ b.T):
+        assert got[i].nearest == at[i] and abs(got[i].sim_median - np.median(s)) < 1e-9 and abs(got[i].sim_top - np.sort(s)[-3:].mean()) < 1e-9
+    monkeypatch.setattr(similarity, "MOST_NUMBERS", 60)
+    few = similarity.scored_against(rows(a), rows(b), "id", "id", "v", median=False).collect()
+    assert all(x.nearest == got[x.id].nearest and abs(x.sim_top - got[x.id].sim_top) < 1e-9 and x.sim_median is None for x in few) and len(few) == 25
