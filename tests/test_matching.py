@@ -138,3 +138,15 @@ def test_products_come_in_bounded_slices(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MOST_NUMBERS", 60)
     few = similarity.scored_against(rows(a), rows(b), "id", "id", "v", median=False).collect()
     assert all(x.nearest == got[x.id].nearest and abs(x.sim_top - got[x.id].sim_top) < 1e-9 and x.sim_median is None for x in few) and len(few) == 25
+
+
+def test_no_sketch_for_each_key(spark, tmp_path):
+    from gleanery.plans import relational
+
+    rows = [("AN"[k % 2] if k % 7 else None, k // 3 if k % 11 else None) for k in range(900)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = relational.sketch_error(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"keys=\[[^\]]*l_orderkey[^\]]*\], functions=\[[^\]]*(sketch|approx)", plan)
+    want = {f: len({k for g, k in rows if g == f and k is not None}) for f in ("A", "N", None)} | {"all": len({k for _, k in rows if k is not None})}
+    assert {x.l_returnflag: x.orders for x in made.collect()} == want
