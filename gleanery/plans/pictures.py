@@ -10,8 +10,9 @@ from gleanery.session import table
 
 
 def _shaped(spark, sf):
-    """p_partkey, h, w."""
-    return table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 13 + 5).cast("int").alias("h"), (F.col("p_partkey") % 17 + 6).cast("int").alias("w"))
+    """p_partkey, h, w; dealt over the shuffle partitions, as a small file of keys is one split, but many pictures."""
+    parts = table(spark, sf, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select("p_partkey", (F.col("p_partkey") % 13 + 5).cast("int").alias("h"), (F.col("p_partkey") % 17 + 6).cast("int").alias("w"))
 
 
 def _picture(cell):
