@@ -228,7 +228,9 @@ class _Outbox:
         spread = mix(x["id"].astype(np.uint64) * BASE + x["place"].astype(np.uint64))
         bucket = (np.where(again, spread, mix(x["key"])) % self.buckets).astype(np.int64)
         x["kind"] = many.astype(np.uint8) + again  # 0: alone here, 1: first of several here, 2: a later one
-        none = np.zeros(0)
+        # keys are random, but ids and places in order take few bytes when shuffled
+        order = np.lexsort((x["place"], x["id"], bucket))
+        x, bucket, none = {c: v[order] for c, v in x.items()}, bucket[order], np.zeros(0)
         return split_by_bucket(2 * bucket + self.side, {c: x[c].astype(kind) if c in x else none for c, kind in self.COLUMNS.items()})
 
 

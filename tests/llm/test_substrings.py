@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gleanery.llm.common import Words
-from gleanery.llm.substrings import Windows, deduplicate_substrings
+from gleanery.llm.substrings import Windows, _Outbox, deduplicate_substrings
 
 
 def brute(rows, width):
@@ -63,3 +63,16 @@ def test_equal_windows_have_equal_witnesses():
 
 def test_empty(spark):
     assert deduplicate_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_blobs_are_in_order_of_ids_and_places():
+    """Ordered ids and places compress well when shuffled; keys do not in any order."""
+    r = np.random.default_rng(1)
+    box = _Outbox(3, 0)
+    box.add(key=r.integers(0, 500, 2000).astype(np.uint64), id=r.integers(0, 40, 2000), place=r.integers(0, 300, 2000))
+    rows = 0
+    for blob in box.flush().to_pylist():
+        ids, places = np.frombuffer(blob["id"], np.int64), np.frombuffer(blob["place"], np.int32)
+        assert (np.lexsort((places, ids)) == np.arange(len(ids))).all()
+        rows += len(ids)
+    assert rows > 1900
