@@ -11,6 +11,8 @@ from gleanery.operators.lexicon import WordTrie
 
 #: A side of at most so many rows may be broadcast; beyond it Spark chooses.
 MOST_BROADCAST = 100_000
+#: Characters of a needle's head, a power of two.
+MOST_HEAD = 64
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
 
@@ -53,25 +55,34 @@ def resume(todo: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return todo.join(done.dropna(subset=list(keys)).select(*keys).distinct(), list(keys), "left_anti")
 
 
-def contained_needles(needles: DataFrame, needle: str, texts: DataFrame, text_col: str, q: int = 3) -> DataFrame:
-    """The different needles that occur in some text.
+def contained_needles(needles: DataFrame, needle: str, texts: DataFrame, text_col: str) -> DataFrame:
+    """The different needles that occur in some text, the empty one in any.
 
-    A text's substrings of up to q characters, the empty one too, are its keys: a needle so short occurs if it equals one. A longer one
-    meets only the texts that hold the one of its q-grams that the fewest texts hold, and is searched in these.
+    A needle's head is its longest beginning of 1, 2, 4 .. ``MOST_HEAD`` characters. Where a text holds a head, its substrings
+    of the lengths that needles of that head have are compared with whole needles. So the work grows with the texts and the needles,
+    not with the pairs that share something.
     """
-    hay = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_hay")).distinct().withColumn("_t", F.xxhash64("_hay"))
+    hay = texts.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_hay")).distinct()
     wanted = needles.filter(F.col(needle).isNotNull()).select(F.col(needle).alias("_needle")).distinct()
-    grams_of = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
-    some = lambda text, n: F.when(F.length(text) >= n, grams_of(text, n)).otherwise(F.array().cast("array<string>"))
-    keys = F.array_distinct(F.concat(F.array(F.lit("")), *[some(F.col("_hay"), n) for n in range(1, q + 1)]))
-    keyed = hay.select("_t", F.explode(keys).alias("_gram"))
-    short = wanted.filter(F.length("_needle") <= q).join(keyed.select(F.col("_gram").alias("_needle")).distinct(), "_needle", "left_semi")
-    long = wanted.filter(F.length("_needle") > q).select("_needle", F.explode(F.array_distinct(grams_of(F.col("_needle"), q))).alias("_gram"))
-    counts = keyed.join(long.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
-    # a needle with a gram that no text holds occurs nowhere
-    rare = long.join(counts, "_gram", "left").groupBy("_needle").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    met = rare.join(keyed, "_gram").select("_needle", "_t").join(hay, "_t").filter(F.col("_hay").contains(F.col("_needle")))
-    return short.unionByName(met.select("_needle").distinct()).withColumnRenamed("_needle", needle)
+    met = substrings_met(wanted, hay).unionByName(hay.select(F.lit("").alias("_needle")).distinct())
+    return wanted.join(met, "_needle", "left_semi").withColumnRenamed("_needle", needle)
+
+
+def substrings_met(wanted: DataFrame, hay: DataFrame) -> DataFrame:
+    """_needle: the different substrings of texts that begin like a needle of their length."""
+    # an equal hash of another head gives a substring more, no wrong needle
+    width = F.least(F.pow(F.lit(2), F.length(F.bin(F.length("_needle"))) - 1).cast("int"), F.lit(MOST_HEAD))
+    headed = wanted.filter("_needle <> ''").select(width.alias("_width"), F.length("_needle").alias("_n"), "_needle")
+    heads = headed.groupBy("_width", F.xxhash64(F.split(F.substr("_needle", F.lit(1), F.col("_width")), "")).alias("_key")).agg(F.sort_array(F.collect_set("_n")).alias("_lengths"))
+    widths = sorted(x[0] for x in headed.select("_width").distinct().collect())  # powers of two up to MOST_HEAD
+    hay = hay.withColumn("_t", F.xxhash64("_hay"))
+    lettered = hay.select("_t", F.split("_hay", "").alias("_letters"))
+    begins = lambda w: F.when(F.size("_letters") >= w, F.transform(F.sequence(F.lit(1), F.size("_letters") - (w - 1)), lambda i: F.struct(i.alias("_at"), F.lit(w).alias("_width"), F.xxhash64(F.slice("_letters", i, w)).alias("_key"))))
+    none = F.array().cast("array<struct<_at:int,_width:int,_key:bigint>>")
+    windows = lettered.select("_t", F.explode(F.concat(none, *[F.coalesce(begins(w), none) for w in widths])).alias("_w")).select("_t", "_w.*")
+    met = windows.join(heads, ["_width", "_key"]).groupBy("_t", "_lengths").agg(F.collect_set("_at").alias("_places"))
+    placed = met.join(hay, "_t").select("_hay", "_lengths", F.explode("_places").alias("_at")).select("_hay", "_at", F.explode("_lengths").alias("_n"))
+    return placed.filter(F.col("_at") + F.col("_n") - 1 <= F.length("_hay")).select(F.substr("_hay", F.col("_at"), F.col("_n")).alias("_needle")).distinct()
 
 
 def not_contained(rows: DataFrame, needle: Column, texts: DataFrame, text_col: str) -> DataFrame:

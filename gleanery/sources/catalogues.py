@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.groups import settle
 from gleanery.operators.history import ordinals
 from gleanery.operators.joins import contained_needles, small
 
@@ -30,7 +31,8 @@ def catalogue_records(items: DataFrame, order: list[Column], infos: DataFrame, k
     """
     names = F.create_map(*[F.lit(x) for pair in licences.items() for x in pair])
     works = listed_works(items).withColumn("licence", F.try_element_at(names, F.col("licence")))
-    works = works.filter(F.col("licence").isNotNull() & F.lower("title").contains(who.lower()) & F.col("image_id").isNotNull())
+    # the pages are read once
+    works = settle(works.filter(F.col("licence").isNotNull() & F.lower("title").contains(who.lower()) & F.col("image_id").isNotNull()))
     works = works.join(contained_needles(works, "image_id", known, known_col), "image_id", "left_anti")
     sized = works.join(small(infos.select("image_id", "width", "height")), "image_id", "left")
     if least_side:

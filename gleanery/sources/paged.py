@@ -1,17 +1,20 @@
 """A paged source: replies with continuation marks, read page by page with retries.
 
-Replies are captured in a folder, which stands in for a network: a page is a sub-folder ``page=<name>`` with one JSON
-file (items, and in continue the next page's name), and ``page=<name>.try<k>`` holds what its k-th request got instead (a
-status). A partition is a chain of pages from a first one, whose name ends with -0; chains are read by different tasks.
+Replies are captured in a folder, which stands in for a network. A partition is a chain of pages from a first one, whose
+name ends with -0; chains are read by different tasks. A reply is JSON (items, and in continue the next page's name), and that
+of ``<name>.try<k>`` is what the k-th request for a page got instead (a status). A chain's replies lie in a sub-folder
+``chain=<name of the first>``, a line of name, tab and JSON each, in any order, or each in a sub-folder ``page=<name>`` of its own.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Replies that may be different the next time.
@@ -51,6 +54,29 @@ def chained(request: Callable[[str, int], dict], start: str, tries: int, wait: f
         page = reply.get("continue")
 
 
+class Recorded:
+    """The replies of a chain's files by name: only their places are held."""
+
+    def __init__(self, files, folder: str):
+        from pyarrow import fs
+
+        self.places = {}
+        for x in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if x.is_file and not x.base_name.startswith((".", "_")):
+                lines, at = io.BufferedReader(files.open_input_file(x.path), 1 << 20), 0
+                for line in lines:
+                    name = line.partition(b"\t")[0]
+                    self.places[name.decode()] = lines, at + len(name) + 1, len(line) - len(name) - 1
+                    at += len(line)
+
+    def reply(self, name: str) -> dict:
+        if name not in self.places:
+            return {"status": 404}
+        lines, at, size = self.places[name]
+        lines.seek(at)
+        return json.loads(lines.read(size))
+
+
 class Chain(InputPartition):
     def __init__(self, start: str):
         super().__init__(start)
@@ -73,15 +99,19 @@ class CapturedReader(DataSourceReader):
 
         files, root = self._folder()
         names = [x.base_name for x in files.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory]
-        starts = sorted(x.removeprefix("page=") for x in names if x.startswith("page=") and x.endswith("-0"))
-        return [Chain(x) for x in starts if x.startswith(self.prefix)]
+        starts = {x.removeprefix("page=") for x in names if x.startswith("page=") and x.endswith("-0")} | {x.removeprefix("chain=") for x in names if x.startswith("chain=")}
+        return [Chain(x) for x in sorted(starts) if x.startswith(self.prefix)]
 
     def read(self, partition):
         from pyarrow import fs
 
         files, root = self._folder()
+        recorded = Recorded(files, f"{root}/chain={partition.start}")
 
         def request(page: str, k: int) -> dict:
+            if recorded.places:
+                name = f"{page}.try{k}"
+                return recorded.reply(name if name in recorded.places else page)
             for folder in (f"{root}/page={page}.try{k}", f"{root}/page={page}"):
                 info = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
                 for x in info:
@@ -108,6 +138,12 @@ class CapturedPages(DataSource):
         return CapturedReader(self.options)
 
 
+def write_chains(replies: DataFrame, path: str) -> None:
+    """Captures replies: chain (the name of its first page), page and value (JSON), in a file for each chain."""
+    lines = replies.select("chain", F.concat("page", F.lit("\t"), "value").alias("value"))
+    lines.repartition("chain").write.partitionBy("chain").text(path)
+
+
 def read_pages(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """start, page, place and item (as JSON) of all pages of a captured folder."""
     spark.dataSource.register(CapturedPages)

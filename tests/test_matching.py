@@ -93,6 +93,29 @@ def test_not_contained_against_all_pairs(spark):
     assert joins.not_contained(rows, F.col("needle"), hay.limit(0), "hay").count() == len(needles)
 
 
+@pytest.mark.parametrize("head", [2, 64])
+def test_not_contained_with_long_needles(spark, monkeypatch, head):
+    monkeypatch.setattr(joins, "MOST_HEAD", head)
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab😀") for _ in range(r.randrange(1, 200))) for _ in range(30)] + ["a" * 90]
+    needles = [("a" * n, i) for i, n in enumerate((1, 7, 8, 89, 90, 91))]
+    for i in range(200):
+        t = r.choice(texts)
+        at = r.randrange(len(t))
+        needles.append((t[at : at + r.randrange(1, 190)] + r.choice(("", "", "a", "b")), 100 + i))
+    got = joins.not_contained(spark.createDataFrame(needles, "needle string, id int"), F.col("needle"), spark.createDataFrame([(t,) for t in texts], "hay string"), "hay")
+    assert {x.id for x in got.collect()} == {i for n, i in needles if not any(n in t for t in texts)}
+
+
+def test_containment_takes_few_substrings(spark):
+    """All needles and texts share what they are made of: 4,000,000 pairs of them hold a common part of three."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("01") for _ in range(24))
+    wanted = spark.createDataFrame([(word(),) for _ in range(2000)], "_needle string").distinct()
+    hay = spark.createDataFrame([(f"seen: {word()}, {word()}",) for _ in range(2000)], "_hay string")
+    assert joins.substrings_met(wanted, hay).count() < 5000
+
+
 def test_blocks_score_like_the_broadcast_way(spark, monkeypatch):
     import numpy as np
 

@@ -45,3 +45,21 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted(duck.sql(sql).columns) == columns
     want = sorted((tuple(plain(x) for x in r) for r in duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()), key=str)
     assert got == want
+
+
+@pytest.mark.parametrize(("name", "rows", "size"), [("catalogue_scan", "SHELF_ROWS", 50), ("paged_scan", "PAGE_ROWS", 40)])
+def test_long_listings_lie_in_chains(spark, duck, monkeypatch, name, rows, size):
+    """Pages of two rows: chains of at most two of them, one folder for each chain and not for each page."""
+    from gleanery.plans import files
+
+    made, path = [], files.shared_path
+    monkeypatch.setattr(files, "shared_path", lambda *a: made.append(path(*a)) or made[-1])
+    monkeypatch.setattr(files, rows, 2)
+    monkeypatch.setattr(files, "CHAIN_PAGES", 2, raising=False)
+    got = registry.queries()[name](spark, SF)
+    sql = registry.oracle_sql()[name].replace(f"// {size})", "// 2)").replace(f"% {size})", "% 2)")
+    want = duck.sql(sql)
+    assert sorted((tuple(r) for r in got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    table, group = {"catalogue_scan": ("part", "p_partkey % 4"), "paged_scan": ("customer", "c_nationkey")}[name]
+    chains = duck.sql(f"SELECT sum((n + 3) // 4) FROM (SELECT count(*) AS n FROM {table} GROUP BY {group})").fetchall()[0][0]
+    assert sum("=" in x for x in os.listdir(made[0].removeprefix("file://"))) == chains

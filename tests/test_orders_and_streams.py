@@ -153,6 +153,21 @@ def test_waits_grow_and_faults_end():
         list(paged.chained(lambda name, k: replies["r", 0], "r", 1, 0.0, 10))
 
 
+def test_chains_in_files_are_followed(spark, tmp_path):
+    rows = [("a-0", "a-2", {"items": [[3]]}), ("a-0", "a-1.try1", {"status": 503}), ("a-0", "a-1", {"items": [], "continue": "a-2"}), ("a-0", "a-0", {"items": [{"x": "é\tb\n"}, 1], "continue": "a-1"}), ("a-0", "a-1.try0", {"status": 429}), ("b-0", "b-0", {})]
+    made = spark.createDataFrame([(chain, name, json.dumps(reply, ensure_ascii=False)) for chain, name, reply in rows], "chain string, page string, value string")
+    path = f"file://{tmp_path}/pages"
+    paged.write_chains(made, path)
+    page(tmp_path / "pages", "c-0", items=[5])
+    got = {(x.start, x.page, x.place, x.item) for x in paged.read_pages(spark, path, tries="3").collect()}
+    assert got == {("a-0", "a-0", 0, '{"x": "é\\tb\\n"}'), ("a-0", "a-0", 1, "1"), ("a-0", "a-2", 0, "[3]"), ("c-0", "c-0", 0, "5")}
+    with pytest.raises(Exception, match="status 503"):
+        paged.read_pages(spark, path, tries="2").collect()
+    paged.write_chains(made.filter("page <> 'a-2'"), f"file://{tmp_path}/less")
+    with pytest.raises(Exception, match="a-2: status 404"):
+        paged.read_pages(spark, f"file://{tmp_path}/less").collect()
+
+
 def test_suites_of_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"prompt": "x"}, {"prompt": "y", "id": "own", "width": 8, "more": 1}]))
     (tmp_path / "b.json").write_text(json.dumps([{"prompt": "z"}]))
@@ -197,6 +212,21 @@ def test_catalogue_records(spark):
     assert [x[1] for x in made()] == ["a1", "a2", "small", "nosize", "a5"] and made(least_side=500, most=1) == [("9998.jpg", "a1", "C")]
 
 
+def test_catalogue_reads_its_items_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(item):
+        seen.add(1)
+        return item
+
+    items = [json.dumps({"locations": [{"url": f"https://x/a{k}/info.json", "license": {"id": "cc0"}}], "source": {"id": f"w{k}", "title": "Acme"}}) for k in range(12)]
+    frame = spark.createDataFrame(list(enumerate(items)), "k int, item string").withColumn("item", F.udf(read, "string").asNondeterministic()("item"))
+    infos = spark.createDataFrame([("a1", 900, 800)], "image_id string, width int, height int")
+    known = spark.createDataFrame([("x-a5.jpg",)], "note string")
+    made = catalogues.catalogue_records(frame, [F.col("k")], infos, known, "note", {"cc0": "C"}, "acme")
+    assert [x.work for x in made.orderBy("image").collect()] == [f"w{k}" for k in range(12) if k != 5] and seen.value == 12
+
+
 def test_flat_files(spark, tmp_path):
     for name in ("b.png", "a.PNG", ".c.png", "d.txt"):
         (tmp_path / name).write_bytes(b"x")
